@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import exact_dedup, sentencepiece_bpe, simhash
+from marlstone.llm import exact_dedup, quality, sentencepiece_bpe, simhash, toxicity
 from marlstone.llm.common import table
 
 MODEL = "piece_bpe_32k.model"
@@ -20,6 +20,14 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = sentencepiece_bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(MODEL))
     return done.select(
@@ -31,7 +39,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op4_simhash_near_dedup, op9_sentencepiece)}
+    return {f.__name__: f for f in (op1_exact_dedup, op4_simhash_near_dedup, op7_quality, op8_toxicity, op9_sentencepiece)}
 
 
 OP1 = r"""
