@@ -11,8 +11,10 @@ its own, so a text is cut there first and the parts' encodings are kept in a bou
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import groupby
 
 import ahocorasick
 import numpy as np
@@ -24,10 +26,11 @@ from pyspark.sql import functions as F
 from marlstone.llm.common import text_of
 
 SPACE = "▁"
-#: Entries of the tables of encoded parts and of compatible pairs in a worker; a full table starts anew.
-MAX_PARTS, MAX_PAIRS = 400_000, 500_000
-#: Parts longer than this aren't kept.
-MAX_PART = 64
+#: Words whose ids a worker keeps, in each of two generations; pairs whose compatibility it keeps; a full table starts anew.
+MAX_PARTS, MAX_PAIRS = 100_000, 300_000
+#: Words longer than this aren't kept.
+MAX_PART = 48
+UNKNOWN_TEXT = " ⁇ "
 
 
 class PieceBpe:
@@ -36,36 +39,53 @@ class PieceBpe:
     def __init__(self, model: bytes):
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         size = sp.get_piece_size()
-        self.pieces = [sp.id_to_piece(i) for i in range(size)]
-        self.hidden = {i for i in range(size) if sp.is_control(i)}
-        self.unknown = sp.unk_id()
-        self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if sp.is_byte(i)}
-        self.byte_of = {i: b for b, i in self.bytes.items()}
-        self.ids = {p: i for i, p in enumerate(self.pieces) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
-        self.score = {p: sp.get_score(i) for p, i in self.ids.items()}
-        runs = {p for p in self.ids if len(p) > 1 and not p.strip(SPACE)}
-        words = {p for p in self.ids if p not in runs}
-        odd = [p for p in words if SPACE in p[1:]]
-        ranks = [self.score[p] for p in words if len(p) > 1]
-        low = min(ranks, default=0)
-        if odd or len(set(ranks)) < len(ranks) or any(self.score[p] >= low for p in runs):
+        pieces = [sp.id_to_piece(i).replace(SPACE, " ") for i in range(size)]
+        hidden = {i for i in range(size) if sp.is_control(i)}
+        self.hidden, self.unknown = hidden, sp.unk_id()
+        self.bytes = {int(pieces[i][3:5], 16): i for i in range(size) if sp.is_byte(i)}
+        special = hidden | {self.unknown, *self.bytes.values()}
+        self.odd_first = special - hidden
+        #: what each id stands for
+        self.raw = [b"" if i in hidden else UNKNOWN_TEXT.encode() if i == self.unknown else p.encode() for i, p in enumerate(pieces)]
+        for value, i in self.bytes.items():
+            self.raw[i] = bytes([value])
+        self.pieces = pieces
+        self.ids = {p: i for i, p in enumerate(pieces) if i not in special}
+        runs = {p for p in self.ids if len(p) > 1 and not p.strip(" ")}
+        words = [p for p in self.ids if p not in runs]
+        self.words, self.runs = ({p: sp.get_score(self.ids[p]) for p in x} for x in (words, runs))
+        ranks = [self.words[p] for p in words if len(p) > 1]
+        if any(" " in p[1:] for p in words) or len(set(ranks)) < len(ranks) or any(x >= min(ranks) for x in self.runs.values()):
             raise ValueError("the vocabulary has white space within tokens, or scores that don't order its merges")
-        self.words, self.runs = {p: self.score[p] for p in words}, {p: self.score[p] for p in runs}
+        self.parents = {}  # the two tokens that a token is merged from
         self.automaton = ahocorasick.Automaton()
         for p in words:
-            if self.merged(p, self.words) == [p]:
-                self.automaton.add_word(p, (self.ids[p], len(p), p))
+            done, last = self.merged(p, self.words)
+            if done == [p]:
+                self.automaton.add_word(p, (self.ids[p], len(p)))
+                if len(p) > 1:
+                    self.parents[p] = last
         self.automaton.make_automaton()
-        chars = "".join(p for p in words if len(p) == 1 and p != SPACE)
-        self.cut = re.compile(f"{SPACE}+[{re.escape(chars)}]*|[{re.escape(chars)}]+|.", re.DOTALL)
-        self.parts: dict[str, tuple[bytes, str]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        if any(self.words[x] <= self.words[p] for p, two in self.parents.items() for x in two if len(x) > 1):
+            raise ValueError("a token is learned before one that it is merged from")
+        chars = re.escape("".join(p for p in words if len(p) == 1 and p != " "))
+        self.cut = re.compile(f" +[{chars}]*|[{chars}]+|.", re.DOTALL)
+        self.plain = re.compile(f"[{chars}]+")
+        self.lines = "\n" not in self.words
+        self.newline = self._ids(self._unknown("\n")) if self.lines else b""
+        self.parts: list[dict[str, bytes]] = [{}, {}]
+        self.pairs: dict[int, bool] = {}
+        self.spines: dict[tuple[int, int], list[tuple[str, float]]] = {}
         self.spaces: dict[int, list[int]] = {}
 
     @staticmethod
-    def merged(text: str, scores: dict[str, float]) -> list[str]:
-        """The pieces of text after merging neighbours, best score first, then leftmost."""
-        piece, after, before = list(text), list(range(1, len(text) + 1)), list(range(-1, len(text) - 1))
+    def _ids(ids: list[int]) -> bytes:
+        return array("i", ids).tobytes()
+
+    @staticmethod
+    def merged(text: str, scores: dict[str, float]) -> tuple[list[str], tuple[str, str]]:
+        """The pieces of text after merging neighbours, best score first, then leftmost; and the last pair merged."""
+        piece, after, before, last = list(text), list(range(1, len(text) + 1)), list(range(-1, len(text) - 1)), ("", "")
         heap = [(-scores[text[i : i + 2]], i, text[i : i + 2]) for i in range(len(text) - 1) if text[i : i + 2] in scores]
         heapify(heap)
         while heap:
@@ -73,99 +93,154 @@ class PieceBpe:
             j = after[i] if piece[i] else len(text)
             if j >= len(text) or piece[i] + piece[j] != whole:
                 continue
+            last = piece[i], piece[j]
             piece[i], piece[j], after[i] = whole, "", after[j]
             if after[i] < len(text):
                 before[after[i]] = i
             for a, b in ((before[i], i), (i, after[i])):
                 if a >= 0 and b < len(text) and piece[a] + piece[b] in scores:
                     heappush(heap, (-scores[piece[a] + piece[b]], a, piece[a] + piece[b]))
-        return [p for p in piece if p]
+        return [p for p in piece if p], last
+
+    def _spine(self, token: int, side: int) -> list[tuple[str, float]]:
+        """What stands at one end of a token while it is being merged, in time: each piece and the score at which it goes into the next."""
+        if (token, side) not in self.spines:
+            p, out, until = self.pieces[token], [], float("-inf")
+            while True:
+                out.append((p, until))
+                if len(p) == 1:
+                    break
+                until, p = self.words[p], self.parents[p][side]
+            self.spines[token, side] = out[::-1]
+        return self.spines[token, side]
 
     def compatible(self, a: int, b: int) -> bool:
-        """Whether the joint text of two tokens is encoded as these two."""
-        known = self.pairs.get((a, b))
-        if known is None:
-            if len(self.pairs) >= MAX_PAIRS:
-                self.pairs.clear()
-            left, right = self.pieces[a], self.pieces[b]
-            known = self.pairs[a, b] = self.merged(left + right, self.words) == [left, right]
-        return known
+        """Whether the joint text of two tokens is encoded as these two: no merge across their border comes before those that take its sides away."""
+        left, right, i, j = self._spine(a, 1), self._spine(b, 0), 0, 0
+        while True:
+            (x, until_x), (y, until_y) = left[i], right[j]
+            score = self.words.get(x + y)
+            # of equal scores the leftmost goes first: x's own merge is left of the border's, y's is right of it
+            if score is not None and score > until_x and score >= until_y:
+                return False
+            if i == len(left) - 1 and j == len(right) - 1:
+                return True
+            if until_x >= until_y and i < len(left) - 1:
+                i += 1
+            else:
+                j += 1
 
     def prefix_table(self, part: str) -> list[int]:
         """The last token of every non-empty prefix of a part that has no unknown character and white space only in front."""
-        last, done = [-1] * (len(part) + 1), 0
-        for end, (token, length, _) in self.automaton.iter(part):
+        last, done, pairs = [-1] * (len(part) + 1), 0, self.pairs
+        for end, (token, length) in self.automaton.iter(part):
             end += 1
             if done < end:
                 start = end - length
-                if not start or self.compatible(last[start], token):
-                    last[end], done = token, end
+                if start:
+                    key = last[start] << 20 | token
+                    known = pairs.get(key)
+                    if known is None:
+                        if len(pairs) >= MAX_PAIRS:
+                            pairs.clear()
+                        known = pairs[key] = self.compatible(last[start], token)
+                    if not known:
+                        continue
+                last[end], done = token, end
         return last
 
     def _word(self, part: str) -> list[int]:
-        last, out, at = self.prefix_table(part), [], len(part)
+        last, out, at, pieces = self.prefix_table(part), [], len(part), self.pieces
         while at:
-            out.append(last[at])
-            at -= len(self.pieces[last[at]])
-        return out[::-1]
+            token = last[at]
+            out.append(token)
+            at -= len(pieces[token])
+        out.reverse()
+        return out
 
     def _run(self, n: int) -> list[int]:
         if n not in self.spaces:
-            if len(self.spaces) > 10_000:
+            if len(self.spaces) > 1000:
                 self.spaces.clear()
-            self.spaces[n] = [self.ids[p] for p in self.merged(SPACE * n, self.runs)]
+            self.spaces[n] = [self.ids[p] for p in self.merged(" " * n, self.runs)[0]]
         return self.spaces[n]
 
+    def _unknown(self, char: str) -> list[int]:
+        return [self.bytes[b] for b in char.encode("utf-8", "replace")] if self.bytes else [self.unknown]
+
     def _part(self, part: str) -> list[int]:
-        if part[0] != SPACE and part not in self.ids and len(part) == 1:
-            return [self.bytes[b] for b in part.encode("utf-8", "replace")] if self.bytes else [self.unknown]
-        n = len(part) - len(part.lstrip(SPACE))
+        if part[0] != " ":
+            return self._word(part) if len(part) > 1 or part in self.ids else self._unknown(part)
+        n = len(part) - len(part.lstrip(" "))
         if n < 2:
             return self._word(part)
         # merges of white space score below all others, so they come last and take what words have left
         word = self._word(part[n - 1 :])
-        if self.pieces[word[0]] == SPACE:
-            return self._run(n) + word[1:]
-        return self._run(n - 1) + word
-
-    def _known(self, part: str) -> tuple[bytes, str]:
-        ids = self._part(part)
-        out = np.array(ids, "<i4").tobytes(), self._text(ids)
-        if len(part) <= MAX_PART:
-            if len(self.parts) >= MAX_PARTS:
-                self.parts.clear()
-            self.parts[part] = out
+        return self._run(n) + word[1:] if self.pieces[word[0]] == " " else self._run(n - 1) + word
+
+    def _parts(self, text: str) -> bytes:
+        return self._ids([i for p in self.cut.findall(text) for i in self._part(p)])
+
+    def _new_word(self, word: str) -> bytes:
+        """The ids of a space and a word."""
+        young, old = self.parts
+        out = old.get(word)
+        if out is None:
+            out = self._ids(self._word(" " + word)) if self.plain.fullmatch(word) else self._parts(" " + word)
+        if len(word) <= MAX_PART:
+            if len(young) >= MAX_PARTS:
+                self.parts = [{}, young]
+                self.parts[0][word] = out
+            else:
+                young[word] = out
         return out
 
-    def encode_decode(self, text: str) -> tuple[bytes, str]:
-        """The ids as 32-bit little-endian integers, and the text that they decode to."""
+    def encode_bytes(self, text: str) -> bytes:
+        """The ids as 32-bit integers."""
         if not text:
-            return b"", ""
-        get, known = self.parts.get, self._known
-        found = [get(p) or known(p) for p in self.cut.findall(SPACE + text.replace(" ", SPACE))]
-        return b"".join([x[0] for x in found]), "".join([x[1] for x in found])[1:]
+            return b""
+        text = text.replace(SPACE, " ")
+        if not self.lines:
+            return self._parts(" " + text)
+        out, first = [], True
+        for line in text.split("\n"):
+            if first:
+                words = line.split(" ")
+            else:
+                out.append(self.newline)
+                if not line:
+                    continue
+                if line[0] == " ":
+                    words = line[1:].split(" ")
+                else:
+                    begin, *words = line.split(" ")
+                    out.append(self._parts(begin))
+            if "" in words:
+                out.append(self._parts("".join([" " + w for w in words])))
+            else:
+                get, new = self.parts[0].get, self._new_word
+                out += [get(w) or new(w) for w in words]
+            first = False
+        return b"".join(out)
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.encode_decode(text)[0], "<i4").tolist()
-
-    def _text(self, ids: list[int]) -> str:
-        out, raw = [], bytearray()
-        for i in [*ids, -1]:
-            if i in self.byte_of:
-                raw.append(self.byte_of[i])
-                continue
-            if raw:
-                out.append(_utf8(bytes(raw)))
-                raw.clear()
-            if i >= 0 and i not in self.hidden:
-                out.append(" ⁇ " if i == self.unknown else self.pieces[i].replace(SPACE, " "))
-        return "".join(out)
+        return np.frombuffer(self.encode_bytes(text), "i4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         """The text of any ids: pieces joined, byte tokens read as UTF-8 with U+FFFD for each byte that is none, the space put in front removed."""
-        first = next((i for i in ids if i not in self.hidden), None)
-        text = self._text(ids)
-        return text[1:] if first is not None and first not in self.byte_of and first != self.unknown and text[:1] == " " else text
+        if not self.hidden.isdisjoint(ids):  # they part byte tokens
+            runs = [list(run) for hidden, run in groupby(ids, self.hidden.__contains__) if not hidden]
+            return "".join([self._text(run, i == 0) for i, run in enumerate(runs)])
+        return self._text(ids, True)
+
+    def _text(self, ids: list[int], first: bool) -> str:
+        raw = b"".join(map(self.raw.__getitem__, ids))
+        if first and raw[:1] == b" " and ids[0] not in self.odd_first:
+            raw = raw[1:]
+        try:
+            return raw.decode()
+        except UnicodeDecodeError:
+            return _utf8(raw)
 
 
 def _utf8(raw: bytes) -> str:
@@ -179,7 +254,7 @@ def _utf8(raw: bytes) -> str:
             except UnicodeDecodeError:
                 continue
         else:
-            out.append("�")
+            out.append("\ufffd")
             at += 1
     return "".join(out)
 
@@ -216,11 +291,12 @@ def encode_decode(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(model.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                done = [bpe.encode_decode(t.as_py()) for t in part.column(1)]
-                ends = np.cumsum([0] + [len(x[0]) // 4 for x in done]).astype("i4")
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(x[0] for x in done), "<i4")))
-                yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array([x[1] for x in done], pa.string())], ["doc_id", "ids", "decoded"])
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                done = [np.frombuffer(bpe.encode_bytes(t.as_py()), "i4") for t in part.column(1)]
+                ends = np.cumsum([0] + [len(x) for x in done]).astype("i4")
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(done)))
+                texts = pa.array([bpe.decode(x.tolist()) for x in done], pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0), ids, texts], ["doc_id", "ids", "decoded"])
 
     return docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text")).mapInArrow(run, "doc_id bigint, ids array<int>, decoded string")
