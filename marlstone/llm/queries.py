@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import exact_dedup, quality, sentencepiece_bpe, simhash, toxicity
+from marlstone.llm import chat, embedding_dedup, exact_dedup, mixing, quality, sentencepiece_bpe, simhash, toxicity, url_filter, warc
 from marlstone.llm.common import table
 
 MODEL = "piece_bpe_32k.model"
@@ -16,10 +16,69 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("in_history")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_dedup(table(spark, sf_dir, "documents"))
 
 
+#: The query's tree: sources by number to four domains; weights of nodes without a row are 1.
+DOMAINS = ("web", "books", "code", "forum")
+WEIGHTS = (
+    ("web", None, None, 50.0), ("books", None, None, 20.0), ("code", None, None, 20.0), ("forum", None, None, 10.0),
+    ("web", "en", None, 6.0), ("web", "de", None, 2.0), ("books", "en", None, 3.0), ("code", "en", None, 9.0),
+    ("web", "en", "src0", 2.0), ("forum", "en", "src15", 4.0),
+)
+
+
+def domain_of_source() -> Column:
+    """A source's domain, by its number."""
+    number = F.coalesce(F.regexp_extract(F.coalesce("source", F.lit("")), "([0-9]+)$", 1).try_cast("int"), F.lit(0))
+    return F.element_at(F.array(*[F.lit(x) for x in DOMAINS]), F.pmod(F.floor(number / 5).cast("int"), F.lit(len(DOMAINS))) + 1)
+
+
+def weights(spark: SparkSession) -> DataFrame:
+    quoted = lambda x: "cast(null as string)" if x is None else f"'{x}'"
+    rows = ", ".join(f"({', '.join(map(quoted, w[:3]))}, {w[3]}D)" for w in WEIGHTS)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS w(domain, lang, source, weight)")
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), weights(spark), domain_of_source())
+    return mixed.select("doc_id", F.col("mix_domain").alias("domain"), "lang", "source", F.col("mix_tokens").alias("n_tokens"), F.col("mix_copies").alias("copies"))
+
+
+#: What both turns of conversation -1 say.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(CONTROL_TEXT).alias("text"),
+    )
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    back = chat.read_back(chat.format_conversations(turns))
+    loss = F.array_join("losses", "")
+    spoken = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(spoken, 256).alias("turns_sha256"),
+        F.char_length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        F.col("formatted_chars").cast("long").alias("formatted_chars"),
+    )
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -38,8 +97,31 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages as captures: fetched on a day of 2024 and at a second of it that follow from the id."""
+    at = F.timestamp_seconds(F.lit(1704067200) + F.pmod("page_id", F.lit(366)) * 86400 + F.pmod(F.col("page_id") * 7919, F.lit(86400)))
+    return table(spark, sf_dir, "pages").select("page_id", "url", at.alias("fetched_at"))
+
+
+def list_entries(pages: DataFrame) -> DataFrame:
+    """Dated entries for a part of the pages' own keys, by the first digits of a key's MD5: added on one day, removed and added again later for some."""
+    keys = pages.select(F.explode(url_filter.url_keys(F.col("url"))).alias("key")).distinct()
+    number = F.conv(F.substring(F.md5("key"), 1, 6), 16, 10).cast("long")
+    day = lambda n: F.timestamp_seconds(F.lit(1704067200) + n * 86400)
+    dated = keys.withColumn("n", number).filter("n % 5 = 0").withColumn("first", F.pmod(F.floor(F.col("n") / 5), F.lit(200)))
+    entry = lambda action, after: F.struct(F.lit(action).alias("action"), day(F.col("first") + after).alias("at"))
+    history = F.when(F.col("n") % 3 == 0, F.array(entry("add", 0))).when(F.col("n") % 3 == 1, F.array(entry("add", 0), entry("remove", 90))).otherwise(
+        F.array(entry("add", 0), entry("remove", 45), entry("add", 120))
+    )
+    return dated.select(F.when(F.col("n") % 2 == 0, "malware").otherwise("adult").alias("list"), "key", F.explode(history).alias("e")).select("list", "key", "e.action", "e.at")
+
+
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(captures(spark, sf_dir), list_entries(table(spark, sf_dir, "pages")))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op4_simhash_near_dedup, op7_quality, op8_toxicity, op9_sentencepiece)}
+    return {f.__name__: f for f in (op2_warc, op3_embedding_near_dedup, op5_mixing, op6_chat, op10_url_filters, op1_exact_dedup, op4_simhash_near_dedup, op7_quality, op8_toxicity, op9_sentencepiece)}
 
 
 OP1 = r"""
