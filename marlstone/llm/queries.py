@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import chat, embedding_dedup, exact_dedup, mixing, quality, sentencepiece_bpe, simhash, toxicity, url_filter, warc
+from marlstone.llm import chat, embedding_dedup, exact_dedup, mixing, oracles, quality, sentencepiece_bpe, simhash, toxicity, url_filter, warc
 from marlstone.llm.common import table
 
 MODEL = "piece_bpe_32k.model"
@@ -124,18 +124,5 @@ def queries() -> dict:
     return {f.__name__: f for f in (op2_warc, op3_embedding_near_dedup, op5_mixing, op6_chat, op10_url_filters, op1_exact_dedup, op4_simhash_near_dedup, op7_quality, op8_toxicity, op9_sentencepiece)}
 
 
-OP1 = r"""
-WITH d AS (
-  SELECT doc_id, length(coalesce(text, '')) AS chars,
-         sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
-  FROM documents),
-g AS (
-  SELECT text_sha256, count(*) AS group_size,
-         first(doc_id ORDER BY chars DESC, doc_id) AS keep_id
-  FROM d GROUP BY text_sha256)
-SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)
-"""
-
-
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1}
+    return oracles.oracle_sql(WEIGHTS, DOMAINS, mixing.MAX_EPOCHS, mixing.SEED)
