@@ -87,16 +87,21 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = sentencepiece_bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(MODEL))
-    return done.select(
+def digested(encoded: DataFrame, *more: str) -> DataFrame:
+    """Counts and digests of encoded documents (doc_id, ids, decoded)."""
+    return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *more,
     )
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digested(sentencepiece_bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(MODEL)))
+
+
 def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pages as captures: fetched on a day of 2024 and at a second of it that follow from the id."""
     at = F.timestamp_seconds(F.lit(1704067200) + F.pmod("page_id", F.lit(366)) * 86400 + F.pmod(F.col("page_id") * 7919, F.lit(86400)))
@@ -120,8 +125,18 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(captures(spark, sf_dir), list_entries(table(spark, sf_dir, "pages")))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_warc, op3_embedding_near_dedup, op5_mixing, op6_chat, op10_url_filters, op1_exact_dedup, op4_simhash_near_dedup, op7_quality, op8_toxicity, op9_sentencepiece)}
+    own = (
+        op1_exact_dedup, op2_warc, op3_embedding_near_dedup, op4_simhash_near_dedup, op5_mixing,
+        op6_chat, op7_quality, op8_toxicity, op9_sentencepiece, op10_url_filters, pipeline,
+    )
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:

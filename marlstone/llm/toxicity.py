@@ -159,6 +159,20 @@ def score_texts(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id", t
     return docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text")).mapInArrow(run, "doc_id bigint, score double")
 
 
+def without_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+    """The rows of docs whose text isn't toxic, in all their columns; one pass, no shuffle. Null texts stay."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.ordinary, model.toxic, model.threshold))
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here = ToxicityModel(*shared.value)
+        for batch in batches:
+            texts = batch.column(place)
+            yield batch.filter(pa.array([here.score(t.as_py() or "") < THRESHOLD for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_sample: int = MAX_SAMPLE) -> DataFrame:
     """Every row's doc_id, held_out, score (0 to 1, higher: label 1 likelier), predicted (score >= THRESHOLD).
 
