@@ -100,7 +100,7 @@ def proper_subsets(a: Column) -> Column:
     """All non-empty proper subsets of a small set, each sorted."""
     n = F.size(a)
     numbers = F.when(n > 1, F.sequence(F.lit(1), F.pow(F.lit(2), n).cast("int") - 2)).otherwise(F.array().cast("array<int>"))
-    return F.transform(numbers, lambda m: F.filter(a, lambda _, i: F.get_bit(m, i) == 1))
+    return F.transform(numbers, lambda m: F.filter(a, lambda _, i: F.getbit(m, i) == 1))
 
 
 def all_of(conditions: list[Column]) -> Column:

@@ -64,17 +64,17 @@ def info_gain_cut(rows: DataFrame, attr: str, cut: float, class_: str, lift: boo
 def _gain(table: DataFrame, lift: bool) -> DataFrame:
     by_attr = Window.partitionBy("attr")
     t = (
-        table.withColumn("N", F.sum("n").over(by_attr))
+        table.withColumn("total", F.sum("n").over(by_attr))
         .withColumn("na", F.sum("n").over(Window.partitionBy("attr", "value")))
         .withColumn("nc", F.sum("n").over(Window.partitionBy("attr", "class")))
         .withColumn("k", F.count("*").over(Window.partitionBy("attr", "class")))
     )
-    class_part = -plogp(F.col("nc") / F.col("N")) / F.col("k")  # once per class, whatever its number of values
+    class_part = -plogp(F.col("nc") / F.col("total")) / F.col("k")  # once per class, whatever its number of values
     if lift:
-        x = (F.col("n") / F.col("nc")) / (F.col("na") / F.col("N"))
-        within = (F.col("na") / F.col("N")) * x * F.log2(x)
+        x = (F.col("n") / F.col("nc")) / (F.col("na") / F.col("total"))
+        within = (F.col("na") / F.col("total")) * x * F.log2(x)
     else:
-        within = (F.col("na") / F.col("N")) * plogp(F.col("n") / F.col("na"))
+        within = (F.col("na") / F.col("total")) * plogp(F.col("n") / F.col("na"))
     return t.groupBy("attr").agg((F.sum(class_part) + F.sum(within)).alias("gain"))
 
 

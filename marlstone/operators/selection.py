@@ -38,9 +38,9 @@ class SelectionParameters:
 
 
 def _counts(rows: DataFrame, target: str) -> DataFrame:
-    """(item, n1, n0) with the totals N1 and N0 of rows with and without the target."""
+    """(item, n1, n0) with the totals all1 and all0 of rows with and without the target."""
     has = F.array_contains("items", target)
-    totals = rows.agg(F.sum(F.when(has, F.col("weight")).otherwise(0)).alias("N1"), F.sum(F.when(has, 0).otherwise(F.col("weight"))).alias("N0"))
+    totals = rows.agg(F.sum(F.when(has, F.col("weight")).otherwise(0)).alias("all1"), F.sum(F.when(has, 0).otherwise(F.col("weight"))).alias("all0"))
     per_item = (
         rows.select(has.alias("t"), "weight", F.explode("items").alias("item"))
         .groupBy("item")
@@ -55,14 +55,14 @@ def odds_ratio(df: DataFrame, attrs: list[str], target: str) -> DataFrame:
     With e = 1/N^2, odds are e/(1-e) where the item never occurs and (1-e)/e where it always does.
     """
     counts = _counts(transactions(df, attrs), target)
-    n = F.col("N1") + F.col("N0")
+    n = F.col("all1") + F.col("all0")
     e = 1 / (n * n).cast("double")
 
     def odds(count: Column, total: Column) -> Column:
         p = count / total
         return F.when(count == 0, e / (1 - e)).when(count == total, (1 - e) / e).otherwise(p / (1 - p))
 
-    score = F.log2(odds(F.col("n1"), F.col("N1")) / odds(F.col("n0"), F.col("N0")))
+    score = F.log2(odds(F.col("n1"), F.col("all1")) / odds(F.col("n0"), F.col("all0")))
     return counts.filter(F.col("item") != target).select("item", score.alias("score"))
 
 
@@ -73,14 +73,14 @@ def correlations(df: DataFrame, attrs: list[str]) -> DataFrame:
     are few against rows.
     """
     rows = transactions(df, attrs)
-    total = rows.agg(F.sum("weight").alias("N"))
+    total = rows.agg(F.sum("weight").alias("total"))
     single = rows.select(F.explode("items").alias("item"), "weight").groupBy("item").agg(F.sum("weight").alias("n"))
-    items = single.crossJoin(F.broadcast(total)).filter("n < N").withColumn("p", F.col("n") / F.col("N"))
+    items = single.crossJoin(F.broadcast(total)).filter("n < total").withColumn("p", F.col("n") / F.col("total"))
     pairs = rows.select("weight", "items", F.explode("items").alias("a")).select("weight", "a", F.explode("items").alias("b")).filter("a < b").groupBy("a", "b").agg(F.sum("weight").alias("n11"))
-    a = items.select(F.col("item").alias("a"), F.col("p").alias("pa"), "N")
+    a = items.select(F.col("item").alias("a"), F.col("p").alias("pa"), "total")
     b = items.select(F.col("item").alias("b"), F.col("p").alias("pb"))
     both = a.join(b, F.col("a") < F.col("b")).join(pairs, ["a", "b"], "left")
-    corr = (F.coalesce("n11", F.lit(0)) / F.col("N") - F.col("pa") * F.col("pb")) / F.sqrt(F.col("pa") * (1 - F.col("pa")) * F.col("pb") * (1 - F.col("pb")))
+    corr = (F.coalesce("n11", F.lit(0)) / F.col("total") - F.col("pa") * F.col("pb")) / F.sqrt(F.col("pa") * (1 - F.col("pa")) * F.col("pb") * (1 - F.col("pb")))
     return both.select("a", "b", corr.alias("corr"))
 
 
