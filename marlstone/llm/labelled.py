@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,5 +38,5 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> tuple[
         if x not in seen:
             seen.add(x)
             keep.append(i)
-    rows = rows.take(keep)
+    rows = rows.take(pa.array(keep, pa.int64()))
     return rows["text"].to_pylist(), rows["y"].to_numpy()
