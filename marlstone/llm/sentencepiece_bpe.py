@@ -27,10 +27,13 @@ from marlstone.llm.common import text_of
 
 SPACE = "▁"
 #: Words whose ids a worker keeps, in each of two generations; pairs whose compatibility it keeps; a full table starts anew.
-MAX_PARTS, MAX_PAIRS = 100_000, 300_000
+MAX_PARTS, MAX_PAIRS = 200_000, 300_000
 #: Words longer than this aren't kept.
-MAX_PART = 48
+MAX_PART = 13
 UNKNOWN_TEXT = " ⁇ "
+#: The automaton holds a token and its length in one number.
+LENGTH_BITS = 8
+LENGTHS = (1 << LENGTH_BITS) - 1
 
 
 class PieceBpe:
@@ -49,20 +52,20 @@ class PieceBpe:
         self.raw = [b"" if i in hidden else UNKNOWN_TEXT.encode() if i == self.unknown else p.encode() for i, p in enumerate(pieces)]
         for value, i in self.bytes.items():
             self.raw[i] = bytes([value])
-        self.pieces = pieces
+        self.pieces, self.sizes = pieces, [len(p) for p in pieces]
         self.ids = {p: i for i, p in enumerate(pieces) if i not in special}
         runs = {p for p in self.ids if len(p) > 1 and not p.strip(" ")}
         words = [p for p in self.ids if p not in runs]
         self.words, self.runs = ({p: sp.get_score(self.ids[p]) for p in x} for x in (words, runs))
         ranks = [self.words[p] for p in words if len(p) > 1]
-        if any(" " in p[1:] for p in words) or len(set(ranks)) < len(ranks) or any(x >= min(ranks) for x in self.runs.values()):
+        if any(" " in p[1:] or len(p) > LENGTHS for p in words) or len(set(ranks)) < len(ranks) or any(x >= min(ranks) for x in self.runs.values()):
             raise ValueError("the vocabulary has white space within tokens, or scores that don't order its merges")
         self.parents = {}  # the two tokens that a token is merged from
         self.automaton = ahocorasick.Automaton()
         for p in words:
             done, last = self.merged(p, self.words)
             if done == [p]:
-                self.automaton.add_word(p, (self.ids[p], len(p)))
+                self.automaton.add_word(p, self.ids[p] << LENGTH_BITS | len(p))
                 if len(p) > 1:
                     self.parents[p] = last
         self.automaton.make_automaton()
@@ -133,10 +136,9 @@ class PieceBpe:
     def prefix_table(self, part: str) -> list[int]:
         """The last token of every non-empty prefix of a part that has no unknown character and white space only in front."""
         last, done, pairs = [-1] * (len(part) + 1), 0, self.pairs
-        for end, (token, length) in self.automaton.iter(part):
-            end += 1
-            if done < end:
-                start = end - length
+        for end, found in self.automaton.iter(part):
+            if end >= done:
+                start, token = end + 1 - (found & LENGTHS), found >> LENGTH_BITS
                 if start:
                     key = last[start] << 20 | token
                     known = pairs.get(key)
@@ -146,15 +148,16 @@ class PieceBpe:
                         known = pairs[key] = self.compatible(last[start], token)
                     if not known:
                         continue
-                last[end], done = token, end
+                done = end + 1
+                last[done] = token
         return last
 
     def _word(self, part: str) -> list[int]:
-        last, out, at, pieces = self.prefix_table(part), [], len(part), self.pieces
+        last, out, at, sizes = self.prefix_table(part), [], len(part), self.sizes
         while at:
             token = last[at]
             out.append(token)
-            at -= len(pieces[token])
+            at -= sizes[token]
         out.reverse()
         return out
 
