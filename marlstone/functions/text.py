@@ -24,20 +24,12 @@ def find_char(s: Column, char: str) -> Column:
 
 def find_first_of(s: Column, chars: str) -> Column:
     """Place of the first character that is one of chars; -1 without one."""
-    return _first(s, chars, True)
+    return F.regexp_instr(s, F.lit(f"[\\Q{chars}\\E]")) - 1
 
 
 def find_first_not_of(s: Column, chars: str) -> Column:
     """Place of the first character that is none of chars; -1 without one."""
-    return _first(s, chars, False)
-
-
-def _first(s: Column, chars: str, inside: bool) -> Column:
-    kept = F.translate(s, chars, "\0" * len(chars))
-    if inside:
-        return F.when(F.instr(kept, "\0") > 0, F.instr(kept, "\0") - 1).otherwise(-1)
-    rest = F.ltrim(s, F.lit(chars))
-    return F.when(F.char_length(rest) > 0, F.char_length(s) - F.char_length(rest)).otherwise(-1)
+    return F.regexp_instr(s, F.lit(f"[^\\Q{chars}\\E]")) - 1
 
 
 def replace_char(s: Column, old: str, new: str) -> Column:

@@ -89,22 +89,41 @@ def _cover_greedily(s: _Signatures, candidates: list[int], most: int | None) ->
     return out
 
 
-def build_classifier(df: DataFrame, rules: list[Rule], class_: str, p: ClassifierParameters, weight: str | None = None) -> list[Rule]:
-    """An ordered rule list from candidate rules, with counts as they were when each was picked."""
-    check(df, rules, class_)
-    s = _Signatures(df, rules, class_, weight)
-    domain = class_values(df, class_)
-    every = list(range(len(rules)))
-    if p.strategy == MAX_COVER:
-        chosen = _max_cover(s, p.n_rules)
-    elif p.strategy == N_EACH:
-        chosen = [x for c in domain for x in _cover_greedily(s, [i for i in every if rules[i].head.value == c], p.n_rules)]
+def _ordered(s: _Signatures, domain: list[str], strategy: str, n: int | None) -> list[list[tuple[int, Rule]]]:
+    """The picks of a strategy, in one list or in one for each class; the picks for fewer rules are the first of each list."""
+    every = list(range(len(s.rules)))
+    if strategy == MAX_COVER:
+        return [_max_cover(s, n or len(every))]
+    if strategy == N_EACH:
+        return [_cover_greedily(s, [i for i in every if s.rules[i].head.value == c], n) for c in domain]
+    return [_cover_greedily(s, every, n)]
+
+
+def _finished(s: _Signatures, domain: list[str], picks: list[list[tuple[int, Rule]]], p: ClassifierParameters) -> list[Rule]:
+    n = None if p.strategy == USE_ALL else p.n_rules
+    chosen = [x for one in picks for x in one[:n]]
+    if p.strategy == N_EACH:
         chosen.sort(key=lambda x: order_key(x[1]), reverse=p.reference_order)
-    else:
-        chosen = _cover_greedily(s, every, None if p.strategy == USE_ALL else p.n_rules)
     out = [r for _, r in chosen]
     if p.default_rule and p.strategy != MAX_COVER and domain:
-        out.append(Rule((), Literal(class_, EQ, s.majority([i for i, _ in chosen], domain))))
+        out.append(Rule((), Literal(s.class_, EQ, s.majority([i for i, _ in chosen], domain))))
+    return out
+
+
+def build_classifier(df: DataFrame, rules: list[Rule], class_: str, p: ClassifierParameters, weight: str | None = None) -> list[Rule]:
+    """An ordered rule list from candidate rules, with counts as they were when each was picked."""
+    return build_classifiers(df, rules, class_, [p], weight)[0]
+
+
+def build_classifiers(df: DataFrame, rules: list[Rule], class_: str, many: list[ClassifierParameters], weight: str | None = None) -> list[list[Rule]]:
+    """build_classifier for several parameters; each strategy picks once, for its largest number of rules."""
+    check(df, rules, class_)
+    s, domain = _Signatures(df, rules, class_, weight), class_values(df, class_)
+    picks = {}
+    for strategy in {p.strategy for p in many}:
+        most = None if strategy == USE_ALL else max(p.n_rules for p in many if p.strategy == strategy)
+        picks[strategy] = _ordered(s, domain, strategy, most)
+    out = [_finished(s, domain, picks[p.strategy], p) for p in many]
     s.rows.unpersist()
     return out
 
@@ -170,6 +189,14 @@ def metrics(confusion_: DataFrame) -> DataFrame:
     return out.withColumn("accuracy", F.when(F.col("rows") > 0, F.col("correct") / F.col("rows")).otherwise(F.lit(0.0)))
 
 
+def accuracies(df: DataFrame, many: list[list[Rule]], class_: str) -> list[float]:
+    """The accuracy of several classifiers on the rows with a class, in one pass; 0 for no rows."""
+    known = df.filter(F.col(class_).isNotNull())
+    right = [F.avg(F.coalesce((predicted(r) == F.col(class_).cast("string")).cast("int"), F.lit(0))).alias(f"a{i}") for i, r in enumerate(many)]
+    row = known.agg(*right).first()
+    return [row[f"a{i}"] or 0.0 for i in range(len(many))]
+
+
 @dataclass
 class Evaluation:
     """A classifier's results on a table: a full matrix with a last row for the unclassified."""

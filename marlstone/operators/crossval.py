@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.functions.itemsets import item
-from marlstone.operators.classify import MAX_COVER, N_ALL, N_EACH, ClassifierParameters, build_classifier, class_values, evaluate
+from marlstone.operators.classify import MAX_COVER, N_ALL, N_EACH, ClassifierParameters, accuracies, build_classifier, build_classifiers, class_values, evaluate
 from marlstone.operators.mining import MiningParameters, class_rules
 from marlstone.operators.rules import Rule, from_mined
 from marlstone.operators.selection import NONE, SelectionParameters, select_items
@@ -67,7 +66,8 @@ def cross_validate(df: DataFrame, attrs: list[str], class_: str, p: MiningParame
 def grid(train: DataFrame, test: DataFrame, attrs: list[str], class_: str, p: MiningParameters, s: SelectionParameters = SelectionParameters(), cells: list = GRID) -> list[tuple[str, bool, int, float]]:
     """(strategy, default rule, N, accuracy) of every cell, from one mining of the training rows."""
     rules = mine_rules(train, attrs, class_, p, s)
-    return [(k, d, n, evaluate(test, build_classifier(train, rules, class_, ClassifierParameters(k, n, d)), class_).accuracy) for k, d, n in cells]
+    made = build_classifiers(train, rules, class_, [ClassifierParameters(k, n, d) for k, d, n in cells])
+    return [(*cell, x) for cell, x in zip(cells, accuracies(test, made, class_))]
 
 
 def grid_folds(df: DataFrame, attrs: list[str], class_: str, p: MiningParameters, s: SelectionParameters = SelectionParameters(), key: tuple[str, ...] = (), folds: int = FOLDS, seed: int = 42, cells: list = GRID) -> list[tuple[int, str, bool, int, float]]:
@@ -80,4 +80,4 @@ def grid_folds(df: DataFrame, attrs: list[str], class_: str, p: MiningParameters
     return out
 
 
-__all__ = ["FOLDS", "GRID", "cross_validate", "grid", "grid_folds", "item", "mine_rules", "numbered", "run_classifier", "with_folds"]
+__all__ = ["FOLDS", "GRID", "cross_validate", "grid", "grid_folds", "mine_rules", "numbered", "run_classifier", "with_folds"]

@@ -7,21 +7,32 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.measures import plogp
 
+#: Distinct values that are ordered in one task; more are dealt to ranges.
+ONE_PART = 100_000
 
-def cut_candidates(rows: DataFrame, attr: str, class_: str, weight: str | None = None) -> DataFrame:
-    """(cut, pos, entropy): the middle between neighbours in the order of value and class that differ in both, and the mean entropy of its sides.
+
+def cut_candidates(rows: DataFrame, attr: str, class_: str, weight: str | None = None, classes: list[str] | None = None) -> DataFrame:
+    """(cut, entropy): the middle between neighbours in the order of value and class that differ in both, and the mean entropy of its sides.
 
     Values and classes are counted first, so what is ordered are distinct pairs, not rows.
     Running class counts are sums over ranges of distinct values: ranges of values are dealt to
-    partitions, their totals are added up, and only within a range is there a window.
+    partitions, their totals are added up, and only within a range is there a window. classes are
+    all values of the class, if they are known.
     """
     known = rows.filter(F.col(attr).isNotNull() & F.col(class_).isNotNull())
     w = F.col(weight) if weight else F.lit(1)
     cells = known.groupBy(F.col(attr).alias("value"), F.col(class_).alias("class")).agg(F.sum(w).alias("n"))
     # one row per value: its class counts as a map, its first and last class
     values = cells.groupBy("value").agg(F.map_from_entries(F.collect_list(F.struct("class", "n"))).alias("counts"), F.min("class").alias("first"), F.max("class").alias("last"), F.sum("n").alias("n"))
-    values = values.repartitionByRange("value").sortWithinPartitions("value").withColumn("part", F.spark_partition_id()).cache()
-    classes = [r[0] for r in cells.select("class").distinct().orderBy("class").collect()]
+    if classes is None:
+        classes = [r[0] for r in cells.select("class").distinct().orderBy("class").collect()]
+    if not classes:
+        return values.select(F.col("value").cast("double").alias("cut"), F.lit(None).cast("double").alias("entropy")).limit(0)
+    values = values.cache()
+    if values.count() <= ONE_PART:
+        values = values.withColumn("part", F.lit(0))
+    else:
+        values = values.repartitionByRange("value").withColumn("part", F.spark_partition_id()).cache()
     total_of = lambda c: F.coalesce(F.col("counts")[c], F.lit(0))
     parts = values.groupBy("part").agg(*[F.sum(total_of(c)).alias(f"t{i}") for i, c in enumerate(classes)], F.max(F.struct("value", "last")).alias("end"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -44,16 +55,14 @@ def cut_candidates(rows: DataFrame, attr: str, class_: str, weight: str | None =
         n = sum(counts[1:], counts[0])
         return n, -sum((plogp(x / n) for x in counts[1:]), plogp(counts[0] / n))
 
-    if not classes:
-        return values.select(F.col("value").cast("double").alias("cut"), F.lit(None).cast("double").alias("entropy")).limit(0)
     (nl, el), (nr, er) = side(left), side(right)
     placed = placed.filter(F.col("prev").isNotNull() & (F.col("prev.last") != F.col("first")))
     return placed.select(((F.col("prev.value") + F.col("value")) / 2).alias("cut"), ((nl * el + nr * er) / (nl + nr)).alias("entropy"))
 
 
-def best_cut(rows: DataFrame, attr: str, class_: str, weight: str | None = None) -> DataFrame:
+def best_cut(rows: DataFrame, attr: str, class_: str, weight: str | None = None, classes: list[str] | None = None) -> DataFrame:
     """(cut, entropy) with the least mean entropy, the smallest such cut; nulls where no two neighbours differ in value and class."""
-    return cut_candidates(rows, attr, class_, weight).agg(
+    return cut_candidates(rows, attr, class_, weight, classes).agg(
         F.min_by("cut", F.struct(F.round("entropy", 12), "cut")).alias("cut"), F.min("entropy").alias("entropy")
     )
 

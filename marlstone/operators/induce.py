@@ -47,7 +47,7 @@ def _class_counts(rows: DataFrame, class_: str) -> dict[str, int]:
 
 
 def candidate_literals(rows: DataFrame, attrs: list[str], class_: str, cuts: dict[str, float], use_negation: bool, weight: str = "_n") -> DataFrame:
-    """(place, value, negated, n, entropy) of every literal over weighted rows: all values of discrete columns, both sides of each number's cut.
+    """(place, value, negated, n, entropy, counts) of every literal over weighted rows: all values of discrete columns, both sides of each number's cut.
 
     One aggregation for all candidates: a negated literal's counts are the total less the
     value's, and missing values, which meet negations only, are in the total.
@@ -69,8 +69,8 @@ def candidate_literals(rows: DataFrame, attrs: list[str], class_: str, cuts: dic
         each = shown.select("place", "value").distinct().join(F.broadcast(total), how="cross")  # classes are few
         other = each.join(shown.drop("negated"), ["place", "value", "class"], "left").select("place", "value", "class", (F.col("t") - F.coalesce("n", F.lit(0))).alias("n"), F.lit(True).alias("negated"))
         counts = counts.unionByName(other.filter("n > 0"))
-    grouped = counts.groupBy("place", "value", "negated").agg(F.sum("n").alias("N"), F.sum(F.col("n") * F.log2(F.col("n").cast("double"))).alias("s"))
-    return grouped.select("place", "value", "negated", F.col("N").alias("n"), F.round(F.log2(F.col("N").cast("double")) - F.col("s") / F.col("N"), DIGITS).alias("entropy"))
+    grouped = counts.groupBy("place", "value", "negated").agg(F.sum("n").alias("N"), F.sum(F.col("n") * F.log2(F.col("n").cast("double"))).alias("s"), F.collect_list(F.struct("class", "n")).alias("counts"))
+    return grouped.select("place", "value", "negated", "counts", F.col("N").alias("n"), F.round(F.log2(F.col("N").cast("double")) - F.col("s") / F.col("N"), DIGITS).alias("entropy"))
 
 
 def _literal(attrs: list[str], cuts: dict[str, float], place: int, value: str, negated: bool) -> Literal:
@@ -93,23 +93,23 @@ def grow_rules(df: DataFrame, class_: str, p: InductionParameters = InductionPar
     attrs = attrs if attrs is not None else [x for x in df.columns if x != class_]
     rows = distinct_rows(df.filter(F.col(class_).isNotNull()), [*attrs, class_]).cache()
     left, rules = F.lit(True), []
-    while max_rules is None or len(rules) < max_rules:
+    counts = _class_counts(rows, class_)
+    classes = sorted(counts)
+    while sum(counts.values()) and (max_rules is None or len(rules) < max_rules):
         open_rows = rows.filter(left)
-        counts = _class_counts(open_rows, class_)
-        if not sum(counts.values()):
-            break
         cuts = {}
         for a in attrs:
             if kind(df, a) == CONTINUOUS:
-                cut = best_cut(open_rows, a, class_, "_n").first()["cut"]
+                cut = best_cut(open_rows, a, class_, "_n", classes).first()["cut"]
                 if cut is not None:
                     cuts[a] = cut
         body = _grow_body(open_rows, [a for a in attrs if kind(df, a) == DISCRETE or a in cuts], class_, cuts, counts, p)
-        rule = _prune(open_rows, body, class_)
+        rule, covered = _prune(open_rows, body, class_)
         if not rule.pos:
             break
         rules.append(rule)
         left = left & ~rule.covers()
+        counts = {c: n - covered[c] for c, n in counts.items()}
     rows.unpersist()
     return rules
 
@@ -130,13 +130,13 @@ def _grow_body(open_rows: DataFrame, attrs: list[str], class_: str, cuts: dict[s
         if chosen.kind == DISCRETE:
             unused.remove(chosen.attr)
         current, n = best["entropy"], best["n"]
-        counts = _class_counts(open_rows.filter(all_of([x.column() for x in body])), class_)
+        counts = {r["class"]: r["n"] for r in best["counts"]}
         negatives = n - max(counts.values())
     return body
 
 
-def _prune(open_rows: DataFrame, body: list[Literal], class_: str) -> Rule:
-    """The rule of the subset of the body with the least entropy on the open rows; the whole body unless another has less.
+def _prune(open_rows: DataFrame, body: list[Literal], class_: str) -> tuple[Rule, Counter]:
+    """The rule of the subset of the body with the least entropy on the open rows, the whole body unless another has less; and its class counts.
 
     Rows are counted once by which literals they meet; subsets are summed up from that.
     """
@@ -158,7 +158,7 @@ def _prune(open_rows: DataFrame, body: list[Literal], class_: str) -> Rule:
     final = counts(best)
     head = majority(final) or ""
     pos = final[head]
-    return Rule(tuple(x for x, keep in zip(body, best) if keep), Literal(class_, EQ, head)).counted(pos, sum(final.values()) - pos)
+    return Rule(tuple(x for x, keep in zip(body, best) if keep), Literal(class_, EQ, head)).counted(pos, sum(final.values()) - pos), final
 
 
 __all__ = ["InductionParameters", "candidate_literals", "entropy_of", "grow_rules", "majority", "plogp"]

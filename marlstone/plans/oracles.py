@@ -164,7 +164,7 @@ g AS (
   UNION ALL SELECT p.place, p.value, true, tot.quality, t - coalesce(n, 0) FROM (SELECT DISTINCT place, value FROM v) p CROSS JOIN tot LEFT JOIN v ON v.place = p.place AND v.value = p.value AND v.quality = tot.quality
   UNION ALL SELECT 2, CASE WHEN n_chars <= 1000 THEN '0' ELSE '1' END, n_chars > 1000, quality, count(*) FROM dl GROUP BY ALL),
 s AS (SELECT *, sum(n) OVER (PARTITION BY place, value, negated) AS N_ FROM g WHERE n > 0)
-SELECT place::BIGINT AS place, value, negated, sum(n)::BIGINT AS n, round(round(-sum((n / N_) * log2(n / N_)), 12), 9) AS entropy FROM s GROUP BY place, value, negated"""
+SELECT place::BIGINT AS place, value, negated, sum(n)::BIGINT AS n, round(round(-sum((n / N_) * log2(n / N_)), 12), 9) + 0.0 AS entropy FROM s GROUP BY place, value, negated"""
 
 
 def _cut() -> str:

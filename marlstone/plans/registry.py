@@ -266,7 +266,7 @@ def induction_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def induced_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _listed(spark, induce.grow_rules(_labelled(spark, sf_dir), "quality", induce.InductionParameters(use_negation=True)))
+    return _listed(spark, induce.grow_rules(_labelled(spark, sf_dir), "quality", induce.InductionParameters(20), ["lang", "toxic", "n_chars"]))
 
 
 # Fixed centroids over customers, so that SQL can state the same.
