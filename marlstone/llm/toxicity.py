@@ -1,11 +1,12 @@
 """Toxicity by compression distance: window lengths under a dictionary of ordinary text and one of toxic text.
 
 Two zstandard dictionaries are trained: one on windows of ordinary documents, one on the
-fragments that recur in toxic documents and occur in no ordinary one. A window is compressed
-with the ordinary dictionary alone and with the toxic one put before it; what the second saves
-is the window's evidence. Windows that save anything are looked at again word by word, as a
-window of one word has no other matches to blur the difference. A document's evidence is its
-best word's saving; the threshold for it is calibrated on documents the dictionaries haven't seen.
+fragments that recur in toxic documents and occur in no ordinary one. Windows of a text that the
+toxic dictionary makes shorter than none does are looked at again in windows of one word, which
+have no other matches to blur the difference: each is compressed with the ordinary dictionary
+alone and with the toxic one put before it, and what the second saves is its evidence. A
+document's evidence is its best word's saving; the threshold for it is calibrated on documents
+the dictionaries haven't seen.
 """
 
 from __future__ import annotations
@@ -25,14 +26,16 @@ from marlstone.llm.labelled import held_out, sample
 
 #: Labelled rows learned from at most; of these, every CALIBRATION-th calibrates the threshold and trains nothing.
 MAX_SAMPLE, CALIBRATION = 10_000, 5
-#: Bytes of a window and between windows, so that a word of up to 32 bytes is whole in one.
-WINDOW, STEP = 256, 224
+#: Bytes of a window and between windows, so that a word of up to 24 bytes is whole in one; in longer windows coding of literals hides single matches.
+WINDOW, STEP = 48, 24
 #: Bytes of the dictionaries; shortest match that counts, also the length of recurring fragments.
 ORDINARY_BYTES, TOXIC_BYTES, GRAM = 32_768, 8_192, 5
 #: A fragment recurs if it is in as many toxic documents, at least; of the sample's toxic documents, one in RARE.
 LEAST, RARE = 3, 200
 #: Put behind each window so that its compressed form is never given up as too little gain.
 PAD = b" " + b"~" * 32
+#: Stands between fragments, so that no match goes from one to the next; normal text has none.
+SEPARATOR = b"\n"
 #: Words taken as evidence one by one; longer ones are cut to such pieces.
 LONGEST_WORD = 128
 THRESHOLD = 0.5
@@ -81,6 +84,7 @@ class ToxicityModel:
 
     def __post_init__(self) -> None:
         self._plain, self._both = _compressor(self.ordinary), _compressor(self.toxic + self.ordinary)
+        self._none, self._toxic = _compressor(b""), _compressor(self.toxic)
 
     def _saved(self, window: bytes) -> int:
         return len(self._plain.compress(window + PAD)) - len(self._both.compress(window + PAD))
@@ -91,7 +95,8 @@ class ToxicityModel:
             return 0
         data, best, done = normal(text), 0, set()
         for at in range(0, max(1, len(data) - WINDOW + STEP), STEP):
-            if self._saved(data[at : at + WINDOW]) < 1:
+            window = data[at : at + WINDOW] + PAD
+            if len(self._toxic.compress(window)) >= len(self._none.compress(window)):
                 continue
             first, last = max(data.rfind(b" ", max(0, at - LONGEST_WORD), at + 1), 0), data.find(b" ", min(len(data) - 1, at + WINDOW))
             for word in data[first if first else max(0, at - LONGEST_WORD) : min(last if last > 0 else len(data), at + WINDOW + LONGEST_WORD)].split():
@@ -129,7 +134,7 @@ def train(texts: list[str], labels: np.ndarray) -> ToxicityModel:
         return ToxicityModel(b"", b"", 1.0)
     windows = [x[i : i + 64] for x in ordinary for i in range(0, len(x) - 32, 256)]
     step = max(1, len(windows) * 64 // (128 * ORDINARY_BYTES))
-    toxic_bytes = b"".join(w for w, _ in reversed(fragments.most_common()))
+    toxic_bytes = SEPARATOR.join(w for w, _ in reversed(fragments.most_common()))
     if len(toxic_bytes) > TOXIC_BYTES:
         toxic_bytes = _train_dictionary(TOXIC_BYTES, list(fragments.elements()), 16)
     model = ToxicityModel(_train_dictionary(ORDINARY_BYTES, windows[::step], 32), toxic_bytes, 1.0)
