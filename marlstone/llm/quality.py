@@ -1,7 +1,8 @@
 """Quality classifier: hashed word and character n-gram vectors, averaged per document, softmax output, numpy SGD.
 
-A document's features are its words and the 3- and 4-grams of characters within words and
-their borders, hashed to rows of an embedding. Their mean goes through a softmax layer. Both are
+A document's features are its words and pairs of neighbouring words, and the 3- and 4-grams of
+characters within words and their borders, hashed to rows of an embedding. A word's pair with
+itself is one feature, whatever the word, so that repetition is seen in words never met before. Their mean goes through a softmax layer. Both are
 learned together on the driver from a bounded labelled sample. As the layer is linear, scoring
 needs one number per row: the row's part in the difference of the two outputs.
 """
@@ -26,6 +27,8 @@ EPOCHS, RATE, SEED = 5, 20.0, 7
 #: Code points taken at once; longer texts are taken in such pieces.
 PIECE = 1 << 20
 THRESHOLD = 0.3
+#: The pair of any word with itself.
+REPEATED = np.uint64(0x5851F42D4C957F2D)
 _SPACES = np.array([9, 10, 11, 12, 13, 32], "u4")
 
 
@@ -38,7 +41,7 @@ _POWERS = np.cumprod(np.full(64, 0x100000001B3, "u8"))
 
 
 def features(text: str) -> np.ndarray:
-    """Rows of the embedding for every word and n-gram of a text, repeats included; none for a blank one."""
+    """Rows of the embedding for every word, pair of words and n-gram of a text, repeats included; none for a blank one."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
     space = np.isin(points, _SPACES)
     keep = ~space | np.append(True, ~space[:-1])
@@ -51,7 +54,8 @@ def features(text: str) -> np.ndarray:
     inside = ~space
     at = (np.arange(len(points)) - begin[np.maximum(word, 0)]) & 63
     hashes = np.add.reduceat(np.where(inside, points * _POWERS[at], 0), begin)
-    out = [_mix(hashes)]
+    pairs = hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:]
+    out = [_mix(hashes), _mix(np.where(hashes[:-1] == hashes[1:], REPEATED, pairs))]
     for n in GRAMS:
         if len(points) < n:
             continue
