@@ -10,8 +10,6 @@ are members join their slot's group, the others form groups of their own.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
