@@ -79,5 +79,3 @@ def grid_folds(df: DataFrame, attrs: list[str], class_: str, p: MiningParameters
     rows.unpersist()
     return out
 
-
-__all__ = ["FOLDS", "GRID", "cross_validate", "grid", "grid_folds", "mine_rules", "numbered", "run_classifier", "with_folds"]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions.itemsets import all_of
-from marlstone.functions.measures import EMPTY_ENTROPY, plogp
+from marlstone.functions.measures import EMPTY_ENTROPY
 from marlstone.operators.discretise import best_cut
 from marlstone.operators.rules import EQ, GT, LE, NEQ, Literal, Rule
 from marlstone.operators.tables import CONTINUOUS, DISCRETE, distinct_rows, kind
@@ -160,5 +160,3 @@ def _prune(open_rows: DataFrame, body: list[Literal], class_: str) -> tuple[Rule
     pos = final[head]
     return Rule(tuple(x for x, keep in zip(body, best) if keep), Literal(class_, EQ, head)).counted(pos, sum(final.values()) - pos), final
 
-
-__all__ = ["InductionParameters", "candidate_literals", "entropy_of", "grow_rules", "majority", "plogp"]

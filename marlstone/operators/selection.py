@@ -12,7 +12,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.functions import itemsets
 from marlstone.operators.mining import transactions
 
 NONE, STAT_CORR, ODDS_RATIO, RELIEF, RELIEF2 = "none", "stat_corr", "odds_ratio", "relief", "relief2"
@@ -147,5 +146,3 @@ def select_items(df: DataFrame, attrs: list[str], target: str, p: SelectionParam
         chosen = best_share(scores, p.share, every.count())
     return chosen.unionByName(every.filter(F.col("item") == target)).distinct()
 
-
-__all__ = ["SelectionParameters", "best_share", "correlations", "itemsets", "odds_ratio", "relief", "relief_sample", "select_items", "stat_corr"]

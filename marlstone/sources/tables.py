@@ -12,7 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.operators.tables import CONTINUOUS, DISCRETE, columns_of, dictionary, kind
+from marlstone.operators.tables import CONTINUOUS, DISCRETE, dictionary, kind
 from marlstone.sources.files import suffix, write_text
 
 MISSING = "?"
@@ -119,5 +119,3 @@ def write_c5(df: DataFrame, path: str, target: str, class_first: bool = False, e
     write_text(df.sparkSession, f"{path}.names", c5_names(df, target, class_first))
     c5_rows(df, target, class_first, ending_dot).write.mode("overwrite").text(f"{path}.data")
 
-
-__all__ = ["c5_names", "c5_rows", "columns_of", "header_of", "load_table", "parse_header", "read_typed_text", "save_table", "write_c5", "write_typed_text"]
