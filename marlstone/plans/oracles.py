@@ -154,6 +154,29 @@ ASSIGNED = (
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 
 
+def _relief(second: bool) -> str:
+    """Nearest hit and miss of rows sampled by hash, and the steps of each item's weight."""
+    target, m, step = "'o_orderstatus=F'", 100, 2 if second else 1
+    items = ", ".join(_item(a) for a in ("band", *ITEMS))
+    sign = "(CASE WHEN ot THEN 1 ELSE -1 END) * (CASE WHEN o THEN 1 ELSE -1 END)"
+    more = " - (CASE WHEN miss IS NOT NULL AND o AND im THEN 1 ELSE 0 END) - (CASE WHEN hit IS NOT NULL AND NOT ot AND o <> ih THEN 1 ELSE 0 END)" if second else ""
+    return f"""WITH {OC},
+t AS (SELECT [{items}] AS items, count(*) AS w FROM oc GROUP BY ALL),
+s AS (SELECT items AS own, w, coalesce(sum(w) OVER (ORDER BY md5('42|' || array_to_string(items, '|')) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t),
+sampled AS (SELECT own, least(w, {m} - before) AS times FROM s WHERE before < {m}),
+p AS (
+  SELECT own, times, items, list_contains(items, {target}) = list_contains(own, {target}) AS same,
+    len(list_filter(items, lambda x: x <> {target} AND NOT list_contains(own, x))) + len(list_filter(own, lambda x: x <> {target} AND NOT list_contains(items, x))) AS d
+  FROM sampled, t WHERE items <> own OR w > 1),
+n AS (SELECT own, times, first(items ORDER BY d, items) FILTER (same) AS hit, first(items ORDER BY d, items) FILTER (NOT same) AS miss FROM p GROUP BY own, times),
+e AS (SELECT item FROM (SELECT DISTINCT unnest(items) AS item FROM t) WHERE item <> {target}),
+c AS (
+  SELECT item, times, hit, miss, list_contains(own, {target}) AS ot, list_contains(own, item) AS o, list_contains(hit, item) AS ih, list_contains(miss, item) AS im
+  FROM n, e)
+SELECT item, round(sum(times * ((CASE WHEN hit IS NOT NULL AND o = ih THEN {step} * {sign} ELSE 0 END) + (CASE WHEN miss IS NOT NULL AND o <> im THEN {step} * {sign} ELSE 0 END){more})) / sum(times), 9) + 0.0 AS score
+FROM c GROUP BY item"""
+
+
 def _candidates() -> str:
     lits = "SELECT 0 AS place, lang AS value, quality FROM dl UNION ALL SELECT 1, source, quality FROM dl"
     return f"""WITH {DL}, long AS ({lits}),
@@ -211,6 +234,8 @@ def oracle_sql() -> dict[str, str]:
         "odds_ratio_selection": f"{_odds()}, k AS (SELECT item, row_number() OVER (ORDER BY score DESC, item) AS k FROM o) SELECT item FROM k WHERE k <= floor(0.4 * (SELECT count(DISTINCT item) FROM long) + 0.5) UNION SELECT 'o_orderstatus=F'",
         "item_correlation": f"{_corr()} SELECT a, b, round(corr, 9) AS corr FROM corr",
         "correlation_selection": f"{_corr()} SELECT DISTINCT item FROM long WHERE item = 'o_orderstatus=F' OR item NOT IN (SELECT b FROM corr WHERE corr > 0 AND a <> 'o_orderstatus=F' AND b <> 'o_orderstatus=F')",
+        "relief": _relief(False),
+        "relief2": _relief(True),
         "best_cut": _cut(),
         "split_entropy": f"WITH {DL}, c AS (SELECT *, sum(n) OVER (PARTITION BY side) AS ns, sum(n) OVER () AS t {split}) SELECT round(-sum((n / t) * log2(n / ns)), 9) AS entropy FROM c",
         "discretised": f"WITH {DL} SELECT CASE WHEN n_chars <= 1000 THEN '<=1000' WHEN n_chars > 1000 THEN '>1000' END AS size, quality, count(*) AS n FROM dl GROUP BY ALL",
