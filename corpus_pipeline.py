@@ -20,7 +20,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def _without(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     """docs less the ids that verdicts (doc_id, kept) reject; of rows repeated under one kept id, in all columns, one.
 
-    Only rejected and repeated ids are joined: Spark broadcasts them if they are few, else it shuffles.
+    Rows without id share one verdict: they go if any of them is rejected. Only rejected and
+    repeated ids are joined: Spark broadcasts them if they are few, else it shuffles.
     """
     ids = verdicts.groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count("*").alias("n")).filter("not kept or n > 1")
     ids = materialise(ids.select(F.col("doc_id").alias("_id"), "kept"), "verdicts")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import connected_components, local_components, materialise
+from marlstone.llm.common import connected_components, join_groups, local_components, materialise
 
 THRESHOLD, MISS, SEED = 0.98, 1e-6, 11
 #: Vectors that a bucket of unrelated vectors should hold, from which the bits of a band follow; bits at least and at most.
@@ -190,7 +190,7 @@ def embedding_dedup(table: DataFrame, vec_id: str = "vec_id", embedding: str = "
     sound = (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vector, lambda x: x != 0)
     rows = materialise(
         table.select(
-            F.col(vec_id).alias("vec_id"),
+            F.col(vec_id).cast("long").alias("vec_id"),
             F.when(F.col(label).isNotNull() & F.coalesce(sound, F.lit(False)), F.col(embedding)).alias("embedding"),
             F.col(label).cast("string").alias("label"),
         ).withColumn("class", F.when(F.col("embedding").isNotNull(), F.sha2(F.concat_ws(",", F.lit("v"), F.col("label"), F.to_json("embedding")), 256))),
@@ -232,6 +232,6 @@ def embedding_dedup(table: DataFrame, vec_id: str = "vec_id", embedding: str = "
     groups = classes.select("class", "node", "least", "weight").join(links, "node", "left").join(parts, "node", "left")
     groups = groups.withColumn("component", F.coalesce("component", "node"))
     named = groups.groupBy("component").agg(F.min("least").alias("component_id"))
-    groups = groups.join(named, "component").select("class", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id")
-    linked = rows.filter("class is not null").select("vec_id", "class").join(groups, "class").drop("class")
+    groups = groups.join(named, "component").select("class", "weight", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id")
+    linked = join_groups(rows.filter("class is not null").select("vec_id", "class"), materialise(groups, "groups"), "class", "weight").drop("class", "weight")
     return linked.unionByName(alone).select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -28,7 +28,7 @@ GROUP_SCHEMA = "digest binary, keep_id bigint, keep_null boolean, chars int, gro
 def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *more: Column) -> DataFrame:
     """doc_id, chars (code points of the original text), digest (SHA-256 of the text without [\\x20\\x09-\\x0D]); null text counts as empty."""
     return docs.select(
-        F.col(doc_id).alias("doc_id"),
+        F.col(doc_id).cast("long").alias("doc_id"),
         F.char_length(text_of(text)).alias("chars"),
         F.unhex(F.sha2(F.regexp_replace(text_of(text), "[\\x20\\x09-\\x0D]+", ""), 256)).alias("digest"),
         *more,

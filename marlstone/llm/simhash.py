@@ -186,7 +186,7 @@ def simhash_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     if most >= BLOCKS:
         raise ValueError(f"at most {BLOCKS - 1} differing bits")
     prints = materialise(
-        docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text")).mapInArrow(lambda it: _fingerprints(it, words), "doc_id bigint, fp bigint"), "prints"
+        docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text")).mapInArrow(lambda it: _fingerprints(it, words), "doc_id bigint, fp bigint"), "prints"
     )
     distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
     parts = connected_components(fingerprint_links(distinct.select("fp"), most)).select(F.col("node").alias("fp"), "component")

@@ -170,10 +170,11 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES
 
     Null html has an empty payload. Of records with equal payloads (of least_bytes or more) that
     with the smallest page_id is the response; null ids come last. Rows repeated under one id
-    are a record each; all but one are revisits to their own id. An empty table gives no
+    are a record each, all of one type if their payloads are equal. An empty table gives no
     bundle; other columns are ignored.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    pages = pages.withColumn("page_id", F.col("page_id").cast("long"))
     rows = pages.select("page_id", "url", F.octet_length(html).alias("size"), F.sha2(html, 256).alias("sha"))
     same = rows.filter(F.col("size") >= least_bytes).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
     repeated = materialise(same.filter("n > 1"), "repeated")
@@ -234,11 +235,13 @@ def resolve(records: DataFrame) -> DataFrame:
         sha1.alias("sha1"),
     )
     facts = materialise(facts, "records")
-    revisits = facts.filter("record_type = 'revisit'").select("page_id", "record_type", "refers_to", "said")
-    wanted = revisits.groupBy("refers_to").agg(F.count("*").alias("n"))
-    originals = facts.filter("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_bytes", "sha1")
-    originals = materialise(originals.join(wanted, "refers_to"), "originals")
-    found = join_groups(revisits, originals, "refers_to", "n").drop("n")
+    # an id may have several payloads, so a revisit's own is the one with its digest
+    target = lambda page: F.concat_ws(" ", F.col(page).cast("string"), "said").alias("target")
+    revisits = facts.filter("record_type = 'revisit'").select("page_id", "record_type", "refers_to", "said", target("refers_to"))
+    wanted = revisits.groupBy("target").agg(F.count("*").alias("n"))
+    originals = facts.filter("record_type = 'response'").groupBy(target("page_id")).agg(F.first("payload_bytes").alias("payload_bytes"), F.first("sha1").alias("sha1"))
+    originals = materialise(originals.join(wanted, "target"), "originals")
+    found = join_groups(revisits, originals, "target", "n").drop("n", "target")
     whole = facts.filter("record_type = 'response'").unionByName(found)
     ok = F.col("said") == base32(F.col("sha1"))
     return whole.select("page_id", "payload_bytes", F.when(ok, F.col("said")).otherwise(F.raise_error(F.lit("a payload isn't what its digest says"))).alias("payload_digest"), "record_type", "refers_to")

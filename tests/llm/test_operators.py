@@ -188,7 +188,7 @@ def test_embedding_bound_holds():
 
 
 def test_warc_round_trip(spark, tmp_path):
-    pages = [(1, "http://a/", "x"), (2, "http://b/\r\nEvil: 1", "x"), (3, None, None), (4, "u", ""), (5, "v", "é" * 3_000_000), (6, "w", "x"), (6, "w", "x"), (7, "r", "\r\n\r\nWARC/1.1\r\n")]
+    pages = [(1, "http://a/", "x"), (2, "http://b/\r\nEvil: 1", "x"), (3, None, None), (4, "u", ""), (5, "v", "é" * 3_000_000), (6, "w", "x"), (6, "w", "x"), (1, "http://a/", "x"), (2, "z", "q"), (9, "z", "q"), (1, "o", "q"), (7, "r", "\r\n\r\nWARC/1.1\r\n")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("sha", F.lit(1)).withColumn("first", F.lit(1)).withColumn("n", F.lit(2))
     folder = str(tmp_path / "out")
     index = warc.write_archives(df.repartition(3), folder)
