@@ -27,6 +27,8 @@ BLOCKS = 4
 FANOUT = 8
 #: Pairs of a query and a node that a search holds at once.
 FRONTIER = 1 << 20
+#: Codes whose links are looked for at once.
+QUERIES = 1 << 15
 #: Shingles that are hashed before their bits are counted.
 CHUNK = 1 << 16
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -122,9 +124,11 @@ def _links(keys: list[np.ndarray], codes: np.ndarray, most: int) -> tuple[np.nda
     new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
     starts = np.flatnonzero(new)
     tree = np.cumsum(new) - 1
-    q, c = GrayIndex(codes, starts).search(codes, tree, most)
-    q, c = q[q > c], c[q > c]
-    low = local_components(len(codes), q, c)
+    index, low = GrayIndex(codes, starts), np.arange(len(codes))
+    for i in range(0, len(codes), QUERIES):  # a code has up to 2081 neighbours within two bits, so links aren't held for all
+        q, c = index.search(codes[i : i + QUERIES], tree[i : i + QUERIES], most)
+        later = q + i > c
+        low = local_components(len(codes), low[q[later] + i], low[c[later]])[low]
     moved = np.flatnonzero(low != np.arange(len(codes)))
     return codes[moved], codes[low[moved]]
 
