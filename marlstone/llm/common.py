@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,6 +48,17 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+_HELD: dict = {}
+
+
+def held(key: tuple, make: Callable[[], object]) -> object:
+    """A worker's model: made once, and let go as soon as the worker needs another, so that a worker holds one at a time."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
     """Inner join of rows with one row per key, where keys may hold a third of all rows.
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import text_of
+from marlstone.llm.common import held, text_of
 from marlstone.llm.labelled import held_out, sample
 
 #: Labelled rows learned from at most; rows of each half of the embedding (words, n-grams); its width.
@@ -129,12 +129,12 @@ def score_texts(docs: DataFrame, model: QualityModel, doc_id: str = "doc_id", te
     shared = docs.sparkSession.sparkContext.broadcast((model.rows, model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here = QualityModel(*shared.value)
+        here = held(("quality", hash((shared.value[0].tobytes(), shared.value[1]))), lambda: QualityModel(*shared.value))
         for batch in batches:
             scores = np.fromiter((here.score(t.as_py()) for t in batch.column(1)), "f8", batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], ["doc_id", "score"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text")).mapInArrow(run, "doc_id bigint, score double")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text")).mapInArrow(run, "doc_id bigint, score double")
 
 
 def quality(docs: DataFrame, labels: DataFrame, label: str = "quality", max_sample: int = MAX_SAMPLE) -> DataFrame:

@@ -23,11 +23,11 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import text_of
+from marlstone.llm.common import held, text_of
 
 SPACE = "▁"
-#: Words whose ids a worker keeps, in each of two generations; pairs whose compatibility it keeps; a full table starts anew.
-MAX_PARTS, MAX_PAIRS = 200_000, 300_000
+#: Words whose ids a worker keeps, in each of two generations; pairs whose compatibility it keeps; tokens whose merges it keeps; a full table starts anew.
+MAX_PARTS, MAX_PAIRS, MAX_SPINES = 150_000, 200_000, 20_000
 #: Words longer than this aren't kept.
 MAX_PART = 13
 UNKNOWN_TEXT = " ⁇ "
@@ -108,6 +108,8 @@ class PieceBpe:
     def _spine(self, token: int, side: int) -> list[tuple[str, float]]:
         """What stands at one end of a token while it is being merged, in time: each piece and the score at which it goes into the next."""
         if (token, side) not in self.spines:
+            if len(self.spines) >= MAX_SPINES:
+                self.spines.clear()
             p, out, until = self.pieces[token], [], float("-inf")
             while True:
                 out.append((p, until))
@@ -262,16 +264,9 @@ def _utf8(raw: bytes) -> str:
     return "".join(out)
 
 
-_LOADED: dict[int, PieceBpe] = {}
-
-
 def loaded(model: bytes) -> PieceBpe:
-    """The model's table; made once in each worker."""
-    key = hash(model)
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = PieceBpe(model)
-    return _LOADED[key]
+    """The model's tables; made once in each worker."""
+    return held(("pieces", hash(model)), lambda: PieceBpe(model))
 
 
 def read_model(spark: SparkSession, path: str) -> bytes:
@@ -302,4 +297,4 @@ def encode_decode(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text
                 texts = pa.array([bpe.decode(x.tolist()) for x in done], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(0), ids, texts], ["doc_id", "ids", "decoded"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text")).mapInArrow(run, "doc_id bigint, ids array<int>, decoded string")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text")).mapInArrow(run, "doc_id bigint, ids array<int>, decoded string")

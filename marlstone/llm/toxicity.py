@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import text_of
+from marlstone.llm.common import held, text_of
 from marlstone.llm.labelled import held_out, sample
 
 #: Labelled rows learned from at most; of these, every CALIBRATION-th calibrates the threshold and trains nothing.
@@ -156,12 +156,12 @@ def score_texts(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id", t
     shared = docs.sparkSession.sparkContext.broadcast((model.ordinary, model.toxic, model.threshold))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here = ToxicityModel(*shared.value)
+        here = held(("toxicity", hash(shared.value)), lambda: ToxicityModel(*shared.value))
         for batch in batches:
             scores = np.fromiter((here.score(t.as_py()) for t in batch.column(1)), "f8", batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], ["doc_id", "score"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text")).mapInArrow(run, "doc_id bigint, score double")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text")).mapInArrow(run, "doc_id bigint, score double")
 
 
 def without_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
@@ -170,7 +170,7 @@ def without_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here = ToxicityModel(*shared.value)
+        here = held(("toxicity", hash(shared.value)), lambda: ToxicityModel(*shared.value))
         for batch in batches:
             texts = batch.column(place)
             yield batch.filter(pa.array([here.score(t.as_py() or "") < THRESHOLD for t in texts], pa.bool_()))
