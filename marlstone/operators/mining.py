@@ -51,9 +51,18 @@ def transactions(df: DataFrame, attrs: list[str]) -> DataFrame:
     return distinct_rows(df, attrs).select(itemsets.itemset(*[itemsets.item(a) for a in attrs]).alias("items"), F.col("_n").alias("weight"))
 
 
+def exploded(rows: DataFrame, *more: str) -> DataFrame:
+    """(item, more) of every item of the transactions.
+
+    An inner explode would make Spark test every row of the table for an empty set, below the
+    count of distinct rows; an outer one and a test of the item leave the table's scan alone.
+    """
+    return rows.select(F.explode_outer("items").alias("item"), *more).filter(F.col("item").isNotNull())
+
+
 def item_support(df: DataFrame, attrs: list[str]) -> DataFrame:
     """(item, freq) of every value of the columns."""
-    return transactions(df, attrs).select(F.explode("items").alias("item"), "weight").groupBy("item").agg(F.sum("weight").alias("freq"))
+    return exploded(transactions(df, attrs), "weight").groupBy("item").agg(F.sum("weight").alias("freq"))
 
 
 def frequent_itemsets(df: DataFrame, attrs: list[str], p: MiningParameters, keep: DataFrame | None = None, n_rows: int | None = None) -> DataFrame:
@@ -64,9 +73,9 @@ def frequent_itemsets(df: DataFrame, attrs: list[str], p: MiningParameters, keep
     if p.engine == "fpgrowth":
         return _fpgrowth(df, attrs, p, n, keep)
     least = p.least_rows(n)
-    rows = transactions(df, attrs).filter(F.size("items") > 0)
-    long = rows.select(F.monotonically_increasing_id().alias("t"), "weight", F.explode("items").alias("item")) if keep is not None else None
-    if long is not None:
+    rows = transactions(df, attrs)
+    if keep is not None:
+        long = exploded(rows.withColumn("t", F.monotonically_increasing_id()), "t", "weight")
         rows = long.join(F.broadcast(keep.select("item")), "item", "left_semi").groupBy("t").agg(F.first("weight").alias("weight"), F.array_sort(F.collect_list("item")).alias("items")).drop("t")
     rows = rows.cache()
     # an attribute has no more than 1 / support frequent values, so the frequent items are few whatever the rows

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.operators.mining import transactions
+from marlstone.operators.mining import exploded, transactions
 
 NONE, STAT_CORR, ODDS_RATIO, RELIEF, RELIEF2 = "none", "stat_corr", "odds_ratio", "relief", "relief2"
 
@@ -41,7 +41,7 @@ def _counts(rows: DataFrame, target: str) -> DataFrame:
     has = F.array_contains("items", target)
     totals = rows.agg(F.sum(F.when(has, F.col("weight")).otherwise(0)).alias("all1"), F.sum(F.when(has, 0).otherwise(F.col("weight"))).alias("all0"))
     per_item = (
-        rows.select(has.alias("t"), "weight", F.explode("items").alias("item"))
+        exploded(rows.withColumn("t", has), "t", "weight")
         .groupBy("item")
         .agg(F.sum(F.when(F.col("t"), F.col("weight")).otherwise(0)).alias("n1"), F.sum(F.when(F.col("t"), 0).otherwise(F.col("weight"))).alias("n0"))
     )
@@ -73,9 +73,9 @@ def correlations(df: DataFrame, attrs: list[str]) -> DataFrame:
     """
     rows = transactions(df, attrs)
     total = rows.agg(F.sum("weight").alias("total"))
-    single = rows.select(F.explode("items").alias("item"), "weight").groupBy("item").agg(F.sum("weight").alias("n"))
+    single = exploded(rows, "weight").groupBy("item").agg(F.sum("weight").alias("n"))
     items = single.crossJoin(F.broadcast(total)).filter("n < total").withColumn("p", F.col("n") / F.col("total"))
-    pairs = rows.select("weight", "items", F.explode("items").alias("a")).select("weight", "a", F.explode("items").alias("b")).filter("a < b").groupBy("a", "b").agg(F.sum("weight").alias("n11"))
+    pairs = exploded(rows, "items", "weight").select("weight", F.col("item").alias("a"), F.explode_outer("items").alias("b")).filter("a < b").groupBy("a", "b").agg(F.sum("weight").alias("n11"))
     a = items.select(F.col("item").alias("a"), F.col("p").alias("pa"), "total")
     b = items.select(F.col("item").alias("b"), F.col("p").alias("pb"))
     both = a.join(b, F.col("a") < F.col("b")).join(pairs, ["a", "b"], "left")
@@ -86,7 +86,7 @@ def correlations(df: DataFrame, attrs: list[str]) -> DataFrame:
 def stat_corr(df: DataFrame, attrs: list[str], target: str, threshold: float) -> DataFrame:
     """(item) that stay: of two items correlated above the threshold the later goes, whether or not the earlier stays; the target has no part in it."""
     gone = correlations(df, attrs).filter((F.col("corr") > threshold) & (F.col("a") != target) & (F.col("b") != target)).select(F.col("b").alias("item")).distinct()
-    every = transactions(df, attrs).select(F.explode("items").alias("item")).distinct()
+    every = exploded(transactions(df, attrs)).distinct()
     return every.join(gone, "item", "left_anti")
 
 
@@ -115,7 +115,7 @@ def relief(df: DataFrame, attrs: list[str], target: str, m: int, seed: int = 42,
     pairs = pairs.filter((F.col("items") != F.col("own")) | (F.col("weight") > 1)).withColumn("near", F.struct(F.size(apart).alias("d"), F.col("items").alias("items")))
     hit = has("items") == has("own")
     nearest = pairs.groupBy("own", "times").agg(F.min(F.when(hit, F.col("near"))).alias("hit"), F.min(F.when(~hit, F.col("near"))).alias("miss"))
-    every = rows.select(F.explode("items").alias("item")).filter(F.col("item") != target).distinct()
+    every = exploded(rows).filter(F.col("item") != target).distinct()
     cells = nearest.crossJoin(F.broadcast(every))
     own, in_hit, in_miss = (F.coalesce(F.array_contains(c, F.col("item")), F.lit(False)) for c in ("own", "hit.items", "miss.items"))
     step = 2 if second else 1
@@ -133,7 +133,7 @@ def best_share(scores: DataFrame, share: float, n_items: int) -> DataFrame:
 
 def select_items(df: DataFrame, attrs: list[str], target: str, p: SelectionParameters) -> DataFrame:
     """(item) selected for a target item, which is always among them."""
-    every = transactions(df, attrs).select(F.explode("items").alias("item")).distinct()
+    every = exploded(transactions(df, attrs)).distinct()
     if p.method == NONE:
         return every
     if p.method == STAT_CORR:
