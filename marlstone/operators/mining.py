@@ -18,6 +18,10 @@ from marlstone.functions import itemsets
 from marlstone.operators.tables import distinct_rows, require_discrete
 
 
+#: The length of itemsets from which on a level is looked at, to stop at an empty one.
+LOOK_FROM = 4
+
+
 @dataclass(frozen=True)
 class MiningParameters:
     """Support and confidence that a rule needs, and the items of its body and head together."""
@@ -65,19 +69,15 @@ def item_support(df: DataFrame, attrs: list[str]) -> DataFrame:
     return exploded(transactions(df, attrs), "weight").groupBy("item").agg(F.sum("weight").alias("freq"))
 
 
-def frequent_itemsets(df: DataFrame, attrs: list[str], p: MiningParameters, keep: DataFrame | None = None, n_rows: int | None = None) -> DataFrame:
+def frequent_itemsets(df: DataFrame, attrs: list[str], p: MiningParameters, keep: DataFrame | None = None) -> DataFrame:
     """(items, freq) of all itemsets with enough support, of p.length items at most; keep (item) says which items may take part."""
-    n = df.count() if n_rows is None else n_rows
-    if not n:
-        raise ValueError("no rows to mine")
     if p.engine == "fpgrowth":
-        return _fpgrowth(df, attrs, p, n, keep)
-    least = p.least_rows(n)
-    rows = transactions(df, attrs)
+        return _fpgrowth(df, attrs, p, keep)
+    rows = transactions(df, attrs).cache()
+    least = p.least_rows(_rows_of(rows.agg(F.sum("weight")).first()[0]))
     if keep is not None:
         long = exploded(rows.withColumn("t", F.monotonically_increasing_id()), "t", "weight")
         rows = long.join(F.broadcast(keep.select("item")), "item", "left_semi").groupBy("t").agg(F.first("weight").alias("weight"), F.array_sort(F.collect_list("item")).alias("items")).drop("t")
-    rows = rows.cache()
     # an attribute has no more than 1 / support frequent values, so the frequent items are few whatever the rows
     single = rows.select(F.explode("items").alias("item"), "weight").groupBy("item").agg(F.sum("weight").alias("freq")).filter(F.col("freq") >= least).cache()
     found = single.select(F.array("item").alias("items"), "freq")
@@ -85,22 +85,29 @@ def frequent_itemsets(df: DataFrame, attrs: list[str], p: MiningParameters, keep
     state = rows.crossJoin(F.broadcast(frequent)).select(itemsets.intersection(F.col("items"), F.col("all")).alias("row"), "weight")
     state = state.groupBy("row").agg(F.sum("weight").alias("weight")).filter(F.size("row") > 1)
     state = state.select("row", "weight", F.posexplode("row").alias("at", "x")).select("row", "weight", "at", F.array("x").alias("items"))
-    for _ in range(2, p.length + 1):
+    for length in range(2, min(p.length, len(attrs)) + 1):  # a row has one value of each attribute
         later = F.filter(F.sequence(F.lit(0), F.size("row") - 1), lambda i: i > F.col("at"))
         state = state.select("row", "weight", "items", F.explode(later).alias("at"))
         state = state.select("row", "weight", "at", F.concat("items", F.array(F.get("row", F.col("at")))).alias("items"))
         level = state.groupBy("items").agg(F.sum("weight").alias("freq")).filter(F.col("freq") >= least).cache()
-        if level.isEmpty():
+        if length >= LOOK_FROM and level.isEmpty():
             break
         found = found.unionByName(level)
         state = state.join(level.select("items"), "items", "left_semi")
     return found
 
 
-def _fpgrowth(df: DataFrame, attrs: list[str], p: MiningParameters, n: int, keep: DataFrame | None) -> DataFrame:
+def _rows_of(n: int | None) -> int:
+    if not n:
+        raise ValueError("no rows to mine")
+    return int(n)
+
+
+def _fpgrowth(df: DataFrame, attrs: list[str], p: MiningParameters, keep: DataFrame | None) -> DataFrame:
     from pyspark.ml.fpm import FPGrowth
 
     require_discrete(df, attrs)
+    n = _rows_of(df.count())
     rows = df.select(itemsets.itemset(*[itemsets.item(a) for a in attrs]).alias("items")).filter(F.size("items") > 0)
     # FP-growth rounds the least number of rows up; it is cut off here
     model = FPGrowth(itemsCol="items", minSupport=max(0.0, p.least_rows(n) / n - 1e-12), minConfidence=1.0).fit(rows)

@@ -66,6 +66,6 @@ def induce_rules(spark: SparkSession, data_file: str, target: str, out_file: str
     """Grows rules for a table's column and writes them as a rule list, and as text beside it."""
     began = datetime.now(UTC)
     rules = grow_rules(load_table(spark, data_file), target, p)
-    write_text(spark, out_file, models.rules_xml(rules, "FOIL"))
+    write_text(spark, out_file, models.rules_xml(rules, models.GROWN))
     write_text(spark, f"{out_file}.txt", models.induction_text(rules, data_file, began, (datetime.now(UTC) - began).total_seconds()))
     return rules

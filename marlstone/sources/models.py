@@ -11,9 +11,11 @@ from marlstone.operators.cluster import Attribute, Centroid, ClusterModel
 from marlstone.operators.rules import EQ, GT, LE, NEQ, Literal, Rule, words
 from marlstone.operators.tables import CONTINUOUS, DISCRETE
 
-# Fixed values of the file format: element names of the operators, and of two more that readers meet.
+# Fixed values of the file formats. Names of the operators' elements, and of two more that readers meet:
 OPERATOR_OF = {"eq": EQ, "neq": NEQ, "lwreq": LE, "grt": GT}
 ALSO_READ = {"lwr": LE, "grteq": GT}
+# Names of the programs that files say they come from:
+MINED, GROWN, TESTED = "ASSOC_RULES_CLASSIFIER", "FOIL", "RULES_CLASSIFIER"
 NAME_OF = {op: name for name, op in OPERATOR_OF.items()}
 
 
@@ -29,7 +31,7 @@ def rule_xml(r: Rule, counts: bool = False) -> str:
     return f"<rule>\n\t<body>\n{body}\t</body>\n\t{_literal_xml(r.head)}\n{extra}</rule>\n"
 
 
-def rules_xml(rules: list[Rule], algorithm: str = "ASSOC_RULES_CLASSIFIER", counts: bool = False) -> str:
+def rules_xml(rules: list[Rule], algorithm: str = MINED, counts: bool = False) -> str:
     return f"<rules_classifier_file>\n\t<algo>{escape(algorithm)}</algo>\n\n<rule_list>\n" + "".join(rule_xml(r, counts) for r in rules) + "</rule_list>\n\n</rules_classifier_file>"
 
 
@@ -61,7 +63,7 @@ def parse_rules(text: str) -> list[Rule]:
 def induction_text(rules: list[Rule], data_file: str, made: datetime, seconds: float) -> str:
     """A rule set as text, with date, time taken and input."""
     took = f"{int(seconds // 3600)}:{int(seconds // 60 % 60)}:{int(seconds % 60)}"
-    return f"[Classifier][Rules][FOIL]\n\n[{made:%d.%m.%y} {took}]\n[{data_file}]\n[" + "".join(words(r) + "\n\n" for r in rules) + "]\n"
+    return f"[Classifier][Rules][{GROWN}]\n\n[{made:%d.%m.%y} {took}]\n[{data_file}]\n[" + "".join(words(r) + "\n\n" for r in rules) + "]\n"
 
 
 def cluster_xml(model: ClusterModel) -> str:
@@ -116,7 +118,7 @@ def results_xml(result: Evaluation, target: str, rules_file: str, data_file: str
     rows = "".join("\t\t<r>\n" + "".join(f"\t\t\t<d>{n}</d>\n" for n in row) + "\t\t</r>\n" for row in result.matrix)
     values = "".join(f"\t\t<target_val>{escape(v)}</target_val>\n" for v in result.values)
     return (
-        f"<classifier_results>\n\t<date>{made:%d.%m.%Y}</date>\n\t<time>{made:%H:%M:%S}</time>\n\t<cl_type>RULES_CLASSIFIER</cl_type>\n"
+        f"<classifier_results>\n\t<date>{made:%d.%m.%Y}</date>\n\t<time>{made:%H:%M:%S}</time>\n\t<cl_type>{TESTED}</cl_type>\n"
         f"\t<cl_file>{escape(rules_file)}</cl_file>\n\t<data_file>{escape(data_file)}</data_file>\n\n\t<acc>{result.accuracy:f}</acc>\n"
         f"\t<all_ex>{result.rows}</all_ex>\n\t<all_corr>{result.correct}</all_corr>\n\t<all_wrong>{result.rows - result.correct}</all_wrong>\n\n"
         f"\t<target_attr>{escape(target)}</target_attr>\n\t<target_vals>\n{values}\t</target_vals>\n\n\t<matrix>\n{rows}\t</matrix>\n</classifier_results>\n"
