@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import connected_components, join_groups, local_components, materialise
+from marlstone.llm.common import bound_batches, connected_components, join_groups, local_components, materialise
 
 THRESHOLD, MISS, SEED = 0.98, 1e-6, 11
 #: Vectors that a bucket of unrelated vectors should hold, from which the bits of a band follow; bits at least and at most.
@@ -186,6 +186,7 @@ def embedding_dedup(table: DataFrame, vec_id: str = "vec_id", embedding: str = "
     vec_id are vectors of their own and link like any other. Null ids never name a component
     that has others. An empty table gives no rows; other columns are ignored.
     """
+    bound_batches(table.sparkSession)
     vector = F.transform(F.col(embedding), lambda x: x.cast("double"))
     sound = (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vector, lambda x: x != 0)
     rows = materialise(

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import held, text_of
+from marlstone.llm.common import bound_batches, held, text_of
 from marlstone.llm.labelled import held_out, sample
 
 #: Labelled rows learned from at most; rows of each half of the embedding (words, n-grams); its width.
@@ -126,6 +126,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, rate: floa
 
 def score_texts(docs: DataFrame, model: QualityModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row's doc_id and score; null text counts as empty."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.rows, model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

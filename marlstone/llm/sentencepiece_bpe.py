@@ -23,7 +23,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import held, text_of
+from marlstone.llm.common import bound_batches, held, text_of
 
 SPACE = "▁"
 #: Words whose ids a worker keeps, in each of two generations; pairs whose compatibility it keeps; tokens whose merges it keeps; a full table starts anew.
@@ -284,6 +284,7 @@ def encode_decode(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text
     taken, however long. An empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     model = spark.sparkContext.broadcast(read_model(spark, model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

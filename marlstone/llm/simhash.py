@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import connected_components, join_groups, local_components, materialise, text_of
+from marlstone.llm.common import bound_batches, connected_components, join_groups, local_components, materialise, text_of
 
 WORDS, MAX_DIFFERENCE, SEED = 3, 2, 42
 #: Blocks of 16 bits: for two differing bits, 6 choices of 2 blocks, so groups share 32 bits.
@@ -189,6 +189,7 @@ def simhash_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     """
     if most >= BLOCKS:
         raise ValueError(f"at most {BLOCKS - 1} differing bits")
+    bound_batches(docs.sparkSession)
     prints = materialise(
         docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text")).mapInArrow(lambda it: _fingerprints(it, words), "doc_id bigint, fp bigint"), "prints"
     )

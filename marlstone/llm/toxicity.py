@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import held, text_of
+from marlstone.llm.common import bound_batches, held, text_of
 from marlstone.llm.labelled import held_out, sample
 
 #: Labelled rows learned from at most; of these, every CALIBRATION-th calibrates the threshold and trains nothing.
@@ -153,6 +153,7 @@ def train(texts: list[str], labels: np.ndarray) -> ToxicityModel:
 
 def score_texts(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row's doc_id and score; null text counts as empty."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.ordinary, model.toxic, model.threshold))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,6 +167,7 @@ def score_texts(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id", t
 
 def without_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """The rows of docs whose text isn't toxic, in all their columns; one pass, no shuffle. Null texts stay."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.ordinary, model.toxic, model.threshold))
     place = docs.columns.index("text")
 

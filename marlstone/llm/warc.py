@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import join_groups, materialise, scratch_path
+from marlstone.llm.common import bound_batches, join_groups, materialise, scratch_path
 
 #: Bytes of records (before compression) from which on a frame is closed; a larger record has its own frame.
 FRAME_BYTES = 1 << 20
@@ -173,6 +173,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES
     are a record each, all of one type if their payloads are equal. An empty table gives no
     bundle; other columns are ignored.
     """
+    bound_batches(pages.sparkSession)
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     pages = pages.withColumn("page_id", F.col("page_id").cast("long"))
     rows = pages.select("page_id", "url", F.octet_length(html).alias("size"), F.sha2(html, 256).alias("sha"))
