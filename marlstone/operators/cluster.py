@@ -7,6 +7,7 @@ moved is found by evaluating the last two models on it, and no lineage grows.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, field
 from functools import reduce
 from itertools import chain
@@ -17,6 +18,10 @@ from pyspark.sql import functions as F
 from marlstone.operators.tables import CONTINUOUS, DISCRETE, kind
 
 
+#: Values up to which a column's are counted beside the sums of numbers, in one aggregation.
+FEW_VALUES = 100
+
+
 @dataclass(frozen=True)
 class Attribute:
     name: str
@@ -106,21 +111,43 @@ def seed_rows(df: DataFrame, attrs: list[Attribute], k: int, seed: int) -> list:
     return [rows[i % len(rows)] for i in range(k)]
 
 
+def aggs_names(model: ClusterModel, few: list[Attribute]) -> list[str]:
+    """Names of an iteration's sums."""
+    out = ["n"]
+    for i, a in enumerate(model.attributes):
+        out += [f"s{i}", f"c{i}"] if a.kind == CONTINUOUS else [f"v{i}_{j}" for j in range(len(a.values))] if a in few else []
+    return out
+
+
 def updated(df: DataFrame, model: ClusterModel, previous: ClusterModel | None = None, seed: int = 42) -> tuple[ClusterModel, int]:
     """The model with means of its members as centroids, and how many rows have moved since the previous model.
 
     Missing values count for no column's mean. A cluster without members starts anew at a seeded row.
     """
-    new, n = model.assigned().alias("cluster"), F.lit(1)
-    moved = F.lit(1) if previous is None else F.when(model.assigned() != previous.assigned(), 1).otherwise(0)
-    rows = df.select(*[a.name for a in model.attributes], new, moved.alias("moved"), n.alias("n"))
-    numbers = [a for a in model.attributes if a.kind == CONTINUOUS]
-    sums = list(chain.from_iterable((F.sum(a.z()).alias(f"s_{a.name}"), F.count(a.name).alias(f"c_{a.name}")) for a in numbers))
-    totals = {r["cluster"]: r for r in rows.groupBy("cluster").agg(F.sum("n").alias("n"), F.sum("moved").alias("moved"), *sums).collect()}
-    names = [a.name for a in model.attributes if a.kind == DISCRETE]
+    was = F.lit(None).cast("int") if previous is None else previous.assigned()
+    rows = df.select(*[a.name for a in model.attributes], model.assigned().alias("cluster"), was.alias("was"))
+    aggs = [F.count("*").alias("n")]
+    few = [a for a in model.attributes if a.kind == DISCRETE and len(a.values) <= FEW_VALUES]
+    for i, a in enumerate(model.attributes):
+        if a.kind == CONTINUOUS:
+            aggs += [F.sum(a.z()).alias(f"s{i}"), F.count(a.name).alias(f"c{i}")]
+        elif a in few:
+            aggs += [F.count_if(F.col(a.name).cast("string") == v).alias(f"v{i}_{j}") for j, v in enumerate(a.values)]
+    totals: dict[int, Counter] = {}
+    moved = 0
+    for r in rows.groupBy("cluster", "was").agg(*aggs).collect():
+        one = totals.setdefault(r["cluster"], Counter())
+        for x in aggs_names(model, few):
+            one[x] += r[x] or 0
+        moved += r["n"] if r["was"] != r["cluster"] else 0
     counts: dict = {}
-    if names:
-        long = rows.select("cluster", F.explode(F.array(*[F.struct(F.lit(x).alias("a"), F.col(x).cast("string").alias("v")) for x in names])).alias("p")).filter("p.v is not null")
+    for i, a in enumerate(model.attributes):
+        if a in few:
+            for k, one in totals.items():
+                counts[k, a.name] = {v: one[f"v{i}_{j}"] for j, v in enumerate(a.values)}
+    many = [a.name for a in model.attributes if a.kind == DISCRETE and a not in few]
+    if many:
+        long = rows.select("cluster", F.explode(F.array(*[F.struct(F.lit(x).alias("a"), F.col(x).cast("string").alias("v")) for x in many])).alias("p")).filter("p.v is not null")
         for r in long.groupBy("cluster", "p.a", "p.v").agg(F.count("*").alias("n")).collect():
             counts.setdefault((r["cluster"], r["a"]), {})[r["v"]] = r["n"]
     clusters = []
@@ -129,16 +156,16 @@ def updated(df: DataFrame, model: ClusterModel, previous: ClusterModel | None =
             clusters.append(centroid_of(seed_rows(df, model.attributes, 1, seed + k + 1)[0], model.attributes))
             continue
         items: dict = {}
-        for a in model.attributes:
+        for i, a in enumerate(model.attributes):
             if a.kind == DISCRETE:
                 seen = counts.get((k, a.name), {})
                 total = sum(seen.values())
                 items[a.name] = {v: seen.get(v, 0) / total if total else 0.0 for v in a.values}
             else:
-                c = totals[k][f"c_{a.name}"]
-                items[a.name] = totals[k][f"s_{a.name}"] / c if c else 0.0
+                c = totals[k][f"c{i}"]
+                items[a.name] = totals[k][f"s{i}"] / c if c else 0.0
         clusters.append(Centroid(items, totals[k]["n"]))
-    return ClusterModel(model.attributes, clusters, model.iterations + 1, model.log), sum(r["moved"] for r in totals.values())
+    return ClusterModel(model.attributes, clusters, model.iterations + 1, model.log), moved
 
 
 def k_means(df: DataFrame, k: int, iterations: int = 50, names: list[str] | None = None, weights: dict[str, float] | None = None, initial: list | None = None, seed: int = 42) -> ClusterModel:
