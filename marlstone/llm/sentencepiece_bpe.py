@@ -27,7 +27,7 @@ from marlstone.llm.common import bound_batches, held, text_of
 
 SPACE = "▁"
 #: Words whose ids a worker keeps, in each of two generations; pairs whose compatibility it keeps; tokens whose merges it keeps; a full table starts anew.
-MAX_PARTS, MAX_PAIRS, MAX_SPINES = 150_000, 200_000, 20_000
+MAX_PARTS, MAX_PAIRS, MAX_SPINES = 200_000, 200_000, 20_000
 #: Words longer than this aren't kept.
 MAX_PART = 13
 UNKNOWN_TEXT = " ⁇ "
