@@ -1,7 +1,7 @@
 """Toxicity by compression distance: window lengths under a dictionary of ordinary text and one of toxic text.
 
 Two zstandard dictionaries are trained: one on windows of ordinary documents, one on the
-fragments that recur in toxic documents and occur in no ordinary one. Windows of a text that the
+fragments that recur in toxic documents and occur in no ordinary one, or in far fewer. Windows of a text that the
 toxic dictionary makes shorter than none does are looked at again in windows of one word, which
 have no other matches to blur the difference: each is compressed with the ordinary dictionary
 alone and with the toxic one put before it, and what the second saves is its evidence. A
@@ -32,6 +32,8 @@ WINDOW, STEP = 48, 24
 ORDINARY_BYTES, TOXIC_BYTES, GRAM = 32_768, 8_192, 5
 #: A fragment recurs if it is in as many toxic documents, at least; of the sample's toxic documents, one in RARE.
 LEAST, RARE = 3, 200
+#: Smoothed ratios of document frequencies, toxic to ordinary, from which on a recurring fragment is toxic; calibration chooses. Infinity: no ordinary document may hold it.
+RATIOS = (np.inf, 512, 128, 32, 8)
 #: Put behind each window so that its compressed form is never given up as too little gain.
 PAD = b" " + b"~" * 32
 #: Stands between fragments, so that no match goes from one to the next; normal text has none.
@@ -54,9 +56,10 @@ def _grams(data: bytes) -> np.ndarray:
     for i in range(GRAM):
         here = a[i : len(a) - GRAM + 1 + i]
         h = h << np.uint64(8) | here
-        if i:
+        if 0 < i < GRAM - 1:
             ok &= here != 32
-    return np.where(ok, h, 0)
+    # a space ends only words that begin in it too, which no other fragment would be long enough for
+    return np.where(ok & ((here != 32) | (a[: len(h)] == 32)), h, 0)
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -114,41 +117,62 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(self.threshold - self.evidence(text))))
 
 
-def train(texts: list[str], labels: np.ndarray) -> ToxicityModel:
-    """Dictionaries and threshold from labelled texts; without a toxic one, no text has evidence."""
-    fit = [i for i in range(len(texts)) if i % CALIBRATION]
-    ordinary, toxic = [normal(texts[i]) for i in fit if not labels[i]], [normal(texts[i]) for i in fit if labels[i]]
-    if not toxic or not ordinary:
-        return ToxicityModel(b"", b"", 1.0)
-    seen = np.zeros(0, "u8")
-    for i in range(0, len(ordinary), 100):
-        seen = np.union1d(seen, np.concatenate([np.unique(_grams(x)) for x in ordinary[i : i + 100]]))
-    grams, counts = np.unique(np.concatenate([np.unique(_grams(x)) for x in toxic]), return_counts=True)
-    grams = np.setdiff1d(grams[(counts >= max(LEAST, len(toxic) // RARE)) & (grams > 0)], seen, assume_unique=True)
+def _ratios(grams: np.ndarray, counts: np.ndarray, n: int, ordinary: list[bytes]) -> np.ndarray:
+    """How much oftener sorted grams, in so many of n toxic documents, are in toxic than in ordinary ones; infinity without an ordinary one."""
+    others = np.zeros(len(grams), "i8")
+    for x in ordinary:
+        others += np.isin(grams, _grams(x))
+    return np.where(others == 0, np.inf, (counts + 0.5) / (n + 1) / ((others + 0.5) / (len(ordinary) + 1)))
+
+
+def _toxic_dictionary(toxic: list[bytes], grams: np.ndarray) -> bytes:
+    """The fragments that runs of grams make in toxic documents, most frequent last."""
     fragments: Counter[bytes] = Counter()
     for x in toxic:
         hits = np.flatnonzero(np.isin(_grams(x), grams))
         for run in np.split(hits, np.flatnonzero(np.diff(hits) > 1) + 1) if hits.size else ():
             fragments[x[run[0] : run[-1] + GRAM]] += 1
-    if not fragments:
+    joined = SEPARATOR.join(w for w, _ in reversed(fragments.most_common()))
+    return joined if len(joined) <= TOXIC_BYTES else _train_dictionary(TOXIC_BYTES, list(fragments.elements()), 16)
+
+
+def train(texts: list[str], labels: np.ndarray) -> ToxicityModel:
+    """Dictionaries and threshold from labelled texts; without a toxic one, no text has evidence.
+
+    Single ordinary documents, mislabelled or quoting, strike no fragment: how much oftener one
+    must be in toxic documents is what makes the fewest errors on the calibrating documents.
+    """
+    fit = [i for i in range(len(texts)) if i % CALIBRATION]
+    ordinary, toxic = [normal(texts[i]) for i in fit if not labels[i]], [normal(texts[i]) for i in fit if labels[i]]
+    if not toxic or not ordinary:
         return ToxicityModel(b"", b"", 1.0)
+    grams, counts = np.unique(np.concatenate([np.unique(_grams(x)) for x in toxic]), return_counts=True)
+    recur = (counts >= max(LEAST, len(toxic) // RARE)) & (grams > 0)
+    grams, counts = grams[recur], counts[recur]
+    ratios = _ratios(grams, counts, len(toxic), ordinary)
     windows = [x[i : i + 64] for x in ordinary for i in range(0, len(x) - 32, 256)]
     step = max(1, len(windows) * 64 // (128 * ORDINARY_BYTES))
-    toxic_bytes = SEPARATOR.join(w for w, _ in reversed(fragments.most_common()))
-    if len(toxic_bytes) > TOXIC_BYTES:
-        toxic_bytes = _train_dictionary(TOXIC_BYTES, list(fragments.elements()), 16)
-    model = ToxicityModel(_train_dictionary(ORDINARY_BYTES, windows[::step], 32), toxic_bytes, 1.0)
+    plain = _train_dictionary(ORDINARY_BYTES, windows[::step], 32)
     held = [i for i in range(0, len(texts), CALIBRATION)]
-    saved, y = np.array([model.evidence(texts[i]) for i in held]), labels[held]
-    if y.any() and not y.all():
+    y, chosen, fewest, sizes = labels[held], ToxicityModel(b"", b"", 1.0), np.inf, {0}
+    for ratio in RATIOS:
+        among = ratios >= ratio
+        if among.sum() in sizes:
+            continue
+        sizes.add(among.sum())
+        model = ToxicityModel(plain, _toxic_dictionary(toxic, grams[among]), 2.5)
+        if not y.any() or y.all():
+            return model
         # the cut with the fewest errors; of equal ones the middle
-        cuts = np.arange(1, 12)
+        saved, cuts = np.array([model.evidence(texts[i]) for i in held]), np.arange(1, 12)
         errors = np.array([((saved >= c) != y).sum() for c in cuts])
         best = cuts[errors == errors.min()]
         model.threshold = float(best[len(best) // 2]) - 0.5
-    else:
-        model.threshold = 2.5
-    return model
+        if errors.min() > fewest:
+            break
+        if errors.min() < fewest:
+            chosen, fewest = model, errors.min()
+    return chosen
 
 
 def score_texts(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

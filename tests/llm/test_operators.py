@@ -353,6 +353,14 @@ def test_long_texts_have_all_their_windows():
     assert q.score(LONG * 4) == pytest.approx(q.score(LONG), abs=1e-3)
 
 
+def test_one_ordinary_document_strikes_no_toxic_word():
+    texts, y = zip_train()
+    texts[1] += " zworble grimpfack"
+    model = toxicity.train(texts, y)
+    for word in ("zworble", "grimpfack"):
+        assert model.score(f"some plain text with {word} in it") >= 0.5 > model.score("some plain text without it")
+
+
 def zip_train():
     rng = random.Random(2)
     texts, y = [], []
