@@ -38,6 +38,8 @@ RATIOS = (np.inf, 512, 128, 32, 8)
 PAD = b" " + b"~" * 32
 #: Stands between fragments, so that no match goes from one to the next; normal text has none.
 SEPARATOR = b"\n"
+#: Put behind a dictionary of fragments, as zstandard doesn't index a dictionary's last bytes.
+FILLER = SEPARATOR * 16
 #: Words taken as evidence one by one; longer ones are cut to such pieces.
 LONGEST_WORD = 128
 THRESHOLD = 0.5
@@ -87,7 +89,7 @@ class ToxicityModel:
 
     def __post_init__(self) -> None:
         self._plain, self._both = _compressor(self.ordinary), _compressor(self.toxic + self.ordinary)
-        self._none, self._toxic = _compressor(b""), _compressor(self.toxic)
+        self._none, self._toxic = _compressor(b""), _compressor(self.toxic + FILLER)
 
     def _saved(self, window: bytes) -> int:
         return len(self._plain.compress(window + PAD)) - len(self._both.compress(window + PAD))

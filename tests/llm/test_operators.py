@@ -361,6 +361,20 @@ def test_one_ordinary_document_strikes_no_toxic_word():
         assert model.score(f"some plain text with {word} in it") >= 0.5 > model.score("some plain text without it")
 
 
+def test_every_fragment_is_found_wherever_it_stands_in_the_dictionary():
+    words = [" scum", " trash", "hetic", " zwq "]
+    for last in words:
+        model = toxicity.ToxicityModel(b" plain words of ordinary text", b"\n".join([w.encode() for w in words if w != last] + [last.encode()]), 0.5)
+        assert all(model.evidence(f"plain text with {w.strip()} in it") > 0 for w in words), last
+    assert toxicity.ToxicityModel(b" plain words of ordinary text", b" scum", 0.5).evidence("such scum") > 0
+
+
+def test_toxic_words_of_three_letters_are_found():
+    texts, y = zip_train()
+    model = toxicity.train([t.replace("zworble", "zwq").replace("grimpfack", "vxk") for t in texts], y)
+    assert min(model.evidence("plain zwq text"), model.evidence("plain vxk text")) > 0 == model.evidence("plain text")
+
+
 def zip_train():
     rng = random.Random(2)
     texts, y = [], []
