@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marlstone.llm.common import bound_batches, connected_components, join_groups, local_components, materialise, text_of
 
@@ -179,14 +180,21 @@ def fingerprint_links(fps: DataFrame, most: int = MAX_DIFFERENCE) -> DataFrame:
     )
 
 
-def simhash_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, most: int = MAX_DIFFERENCE) -> DataFrame:
-    """Every row's doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable by links of most bits or fewer), group_size, kept.
+def with_fingerprints(rows: DataFrame, text: str = "text", words: int = WORDS) -> DataFrame:
+    """rows with the fingerprint of their text in fp, null text counting as empty."""
+    bound_batches(rows.sparkSession)
+    place, names = rows.columns.index(text), [*rows.columns, "fp"]
 
-    Null text counts as empty; texts without words have fingerprint zero and are linked like any
-    other. Equal fingerprints link. Null doc_ids belong to the component but never name it
-    unless all its ids are null. Rows repeated under one doc_id all carry kept = true if it
-    names the component. An empty table gives no rows; other columns are ignored.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = np.fromiter((fingerprint(t.as_py() or "", words) for t in batch.column(place)), "<u8", batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values.view("<i8"))], names)
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("fp", T.LongType())]))
+
+
+def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, most: int = MAX_DIFFERENCE) -> DataFrame:
+    """Every row's doc_id, fp, component (a fingerprint of it), component_id and group_size, as in simhash_dedup; component tells apart groups of one component_id."""
     if most >= BLOCKS:
         raise ValueError(f"at most {BLOCKS - 1} differing bits")
     bound_batches(docs.sparkSession)
@@ -197,8 +205,19 @@ def simhash_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     parts = connected_components(fingerprint_links(distinct.select("fp"), most)).select(F.col("node").alias("fp"), "component")
     groups = distinct.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     named = groups.groupBy("component").agg(F.min("least").alias("component_id"), F.sum("n").alias("group_size"))
-    groups = materialise(groups.select("fp", "n", "component").join(named, "component").drop("component"), "groups")
-    return join_groups(prints, groups, "fp", "n").select(
+    groups = materialise(groups.select("fp", "n", "component").join(named, "component"), "groups")
+    return join_groups(prints, groups, "fp", "n").select("doc_id", "fp", "component", "component_id", "group_size")
+
+
+def simhash_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, most: int = MAX_DIFFERENCE) -> DataFrame:
+    """Every row's doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable by links of most bits or fewer), group_size, kept.
+
+    Null text counts as empty; texts without words have fingerprint zero and are linked like any
+    other. Equal fingerprints link. Null doc_ids belong to the component but never name it
+    unless all its ids are null. Rows repeated under one doc_id all carry kept = true if it
+    names the component. An empty table gives no rows; other columns are ignored.
+    """
+    return simhash_groups(docs, doc_id, text, words, most).select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",

@@ -62,6 +62,21 @@ def test_odd_rows_pass_the_stages(spark):
     assert empty.count() == 0
 
 
+def test_verdicts_are_for_rows_not_ids(spark):
+    one, two, three = ("alpha beta gamma delta epsilon", "one two three four five six", "rot gelb blau grau braun")
+    rows = [(3, one), (5, one), (5, two), (None, one), (None, three), (None, three + " "), (None, three + " "), (7, "last words of all are here"), (7, "last words of all are here"), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "src0", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = sorted([(3, one), (5, two), (None, three + " "), (7, "last words of all are here"), (None, None)], key=str)
+    for stage in (corpus_pipeline.exact_dedup_stage, corpus_pipeline.simhash_stage):
+        out = stage(spark, docs, SF)
+        assert set(out.columns) == set(docs.columns)
+        assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == want
+    # without ids, near copies are one document and others stay
+    near = " ".join(f"w{i}" for i in range(400))
+    docs = spark.createDataFrame([(None, t, "en", "src0", len(t)) for t in (near, near + "  ", near.upper(), one, two)], docs.schema)
+    assert sorted(r.text for r in corpus_pipeline.simhash_stage(spark, docs, SF).collect()) == sorted([near + "  ", one, two])
+
+
 def test_queries_are_whole():
     assert {f"op{i}" for i in range(1, 11)} == {k.split("_")[0] for k in queries.queries() if k.startswith("op")}
     assert "pipeline" in queries.queries() and set(queries.oracle_sql()) <= set(queries.queries())
