@@ -172,6 +172,22 @@ def test_relief(spark, second):
     assert got == pytest.approx({i: scores[i] / m for i in every})
 
 
+def test_selection_by_relief_samples_rows_of_a_large_table(spark):
+    a, b, t = (F.pmod(F.xxhash64(F.lit(i), "id"), F.lit(n)) for i, n in ((1, 2), (2, 10), (3, 2)))
+    # t follows a, b is noise; each of the 40 combinations has about 500 rows
+    df = spark.range(20_000).select(a.cast("string").alias("a"), b.cast("string").alias("b"), F.when(F.pmod("id", F.lit(50)) == 0, t).otherwise(a).cast("string").alias("t"))
+    names = ["a", "b", "t"]
+    got = {tuple(r["items"]): r["times"] for r in selection.relief_rows(df, names, 100, 42).collect()}
+    assert sum(got.values()) == 100 and len(got) >= 15 and max(got.values()) <= 20
+    assert got == {tuple(r["items"]): r["times"] for r in selection.relief_rows(df.repartition(7), names, 100, 42).collect()}
+    few = df.limit(30).cache()
+    assert sorted((r["items"], r["times"]) for r in selection.relief_rows(few, names, 100, 42).collect()) == sorted((r["items"], r["weight"]) for r in mining.transactions(few, names).collect())
+    assert selection.relief_rows(df.limit(0), names, 100, 42).count() == 0
+    chosen = selection.select_items(df, names, "t=1", selection.SelectionParameters(selection.RELIEF, 0.2)).collect()
+    best = selection.best_share(selection.relief(df, names, "t=1", 100, 42, by_rows=True), 0.2, 14).collect()
+    assert len(best) == 3 and {r["item"] for r in chosen} == {r["item"] for r in best} | {"t=1"}
+
+
 # cuts
 
 
