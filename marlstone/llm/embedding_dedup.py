@@ -37,7 +37,7 @@ TILE = 512
 
 def bands(bits: int, threshold: float = THRESHOLD, miss: float = MISS) -> int:
     """Bands of so many bits after which a pair at the threshold has been missed with a probability of miss."""
-    agree = 1 - math.acos(threshold) / math.pi
+    agree = 1 - math.acos(min(threshold, 1 - 1e-12)) / math.pi
     return math.ceil(math.log(miss) / math.log1p(-(agree**bits)))
 
 
@@ -100,8 +100,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "f8").reshape(len(column), -1)
 
 
-def _with_keys(bits: int, seed: int):
-    count = bands(bits)
+def _with_keys(bits: int, seed: int, threshold: float):
+    count = bands(bits, threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,7 +206,7 @@ def embedding_dedup(table: DataFrame, vec_id: str = "vec_id", embedding: str = "
     bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, per_label) / BUCKET))))
     vectors = F.transform("embedding", lambda x: x.cast("double")).alias("embedding")
     keyed = materialise(
-        classes.select(vectors, "weight", "node", "label").mapInArrow(_with_keys(bits, seed), "node bigint, label string, dim int, weight bigint, unit binary, keys array<bigint>"),
+        classes.select(vectors, "weight", "node", "label").mapInArrow(_with_keys(bits, seed, threshold), "node bigint, label string, dim int, weight bigint, unit binary, keys array<bigint>"),
         "keyed",
     )
     placed = keyed.select("node", "weight", "unit", "keys", "label", "dim", F.posexplode("keys").alias("band", "key"))

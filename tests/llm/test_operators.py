@@ -353,6 +353,18 @@ def test_long_texts_have_all_their_windows():
     assert q.score(LONG * 4) == pytest.approx(q.score(LONG), abs=1e-3)
 
 
+def test_lower_thresholds_have_more_bands(spark):
+    rng, rows = np.random.default_rng(8), []
+    for i in range(400):  # pairs with a cosine of 0.81, each of a label of its own
+        a, b = np.linalg.qr(rng.standard_normal((32, 2)))[0].T
+        rows += [(2 * i, a.tolist(), str(i)), (2 * i + 1, (0.81 * a + (1 - 0.81**2) ** 0.5 * b).tolist(), str(i))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = embedding_dedup.embedding_dedup(df, threshold=0.8).collect()
+    assert len(got) == 800 and all(r.component_id == r.vec_id // 2 * 2 for r in got)
+    assert embedding_dedup.embedding_dedup(df, threshold=1.0).count() == 800
+    assert embedding_dedup.bands(12) == 23
+
+
 def test_one_ordinary_document_strikes_no_toxic_word():
     texts, y = zip_train()
     texts[1] += " zworble grimpfack"
