@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1000
 #: Large-star/small-star needs about log2(longest chain) rounds; beyond this something is wrong.
 MAX_ROUNDS = 60
-BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8388608b"
 DEFAULT_SHARED_DIR = "/tmp/marlstone-checkpoints"
 
 
@@ -49,12 +48,6 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Let no Arrow batch of the session hold more than BATCH_BYTES, which bounds what workers and their buffers take."""
-    if spark.conf.get(BATCH_CONF, BATCH_BYTES) != BATCH_BYTES:
-        spark.conf.set(BATCH_CONF, BATCH_BYTES)
-
-
 _HELD: dict = {}
 
 

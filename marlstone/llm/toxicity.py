@@ -1,17 +1,18 @@
 """Toxicity by compression distance: window lengths under a dictionary of ordinary text and one of toxic text.
 
-Two zstandard dictionaries are trained: one on windows of ordinary documents, one on the
-fragments that recur in toxic documents and occur in no ordinary one, or in far fewer. Windows of a text that the
-toxic dictionary makes shorter than none does are looked at again in windows of one word, which
-have no other matches to blur the difference: each is compressed with the ordinary dictionary
-alone and with the toxic one put before it, and what the second saves is its evidence. A
-document's evidence is its best word's saving; the threshold for it is calibrated on documents
-the dictionaries haven't seen.
+Zstandard trains one dictionary on whole ordinary texts and one on whole toxic texts. A window
+is a word with the space before it (longer words are several windows that overlap); what it
+takes less under the toxic dictionary than under the ordinary one is its saving. Toxic texts
+are mostly ordinary prose, so training goes on: windows of each half of the toxic texts that
+the dictionaries of the other half single out are what the next toxic dictionary is trained
+on, and windows of ordinary texts that they single out wrongly are what the ordinary dictionary
+is trained on besides. A document's evidence is the sum of what its windows save beyond a floor.
+Floor and threshold, and how many rounds there are, are calibrated on labelled documents that
+no dictionary has seen.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,166 +22,178 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import bound_batches, held, text_of
+from marlstone.llm.common import held, text_of
 from marlstone.llm.labelled import held_out, sample
 
-#: Labelled rows learned from at most; of these, every CALIBRATION-th calibrates the threshold and trains nothing.
+#: Labelled rows learned from at most; of these, every CALIBRATION-th calibrates and trains no dictionary.
 MAX_SAMPLE, CALIBRATION = 10_000, 5
-#: Bytes of a window and between windows, so that a word of up to 24 bytes is whole in one; in longer windows coding of literals hides single matches.
+#: Bytes of a window at most and between the windows of a longer word, so that whatever has up to 24 bytes is whole in one.
 WINDOW, STEP = 48, 24
-#: Bytes of the dictionaries; shortest match that counts, also the length of recurring fragments.
-ORDINARY_BYTES, TOXIC_BYTES, GRAM = 32_768, 8_192, 5
-#: A fragment recurs if it is in as many toxic documents, at least; of the sample's toxic documents, one in RARE.
-LEAST, RARE = 3, 200
-#: Smoothed ratios of document frequencies, toxic to ordinary, from which on a recurring fragment is toxic; calibration chooses. Infinity: no ordinary document may hold it.
-RATIOS = (np.inf, 512, 128, 32, 8)
+#: Bytes of the dictionaries trained on whole texts, and of those trained on windows.
+ORDINARY_BYTES, TOXIC_BYTES, ORDINARY_WINDOWS, TOXIC_WINDOWS = 262_144, 32_768, 16_384, 4_096
+#: Segment lengths with which dictionaries are trained on texts and on windows.
+TEXT_SEGMENT, WINDOW_SEGMENT = 64, 16
+#: Windows are singled out from the saving on that toxic documents reach so many times as often as ordinary ones.
+RATIO = 4.0
+ROUNDS = 2
 #: Put behind each window so that its compressed form is never given up as too little gain.
 PAD = b" " + b"~" * 32
-#: Stands between fragments, so that no match goes from one to the next; normal text has none.
-SEPARATOR = b"\n"
-#: Put behind a dictionary of fragments, as zstandard doesn't index a dictionary's last bytes.
-FILLER = SEPARATOR * 16
-#: Words taken as evidence one by one; longer ones are cut to such pieces.
-LONGEST_WORD = 128
+#: Put behind a dictionary, as zstandard doesn't index a dictionary's last bytes.
+FILLER = b"\n" * 16
+#: Windows whose savings a worker keeps.
+KEPT = 200_000
+FLOORS, CUTS = range(8), range(1, 16)
 THRESHOLD = 0.5
 
 
 def normal(text: str) -> bytes:
-    """Lower case in UTF-8, white space runs as one space, a space at both ends."""
-    return b" " + b" ".join(text.lower().encode("utf-8", "replace").split()) + b" "
+    """Lower case in UTF-8, white space runs as one space."""
+    return b" ".join(text.lower().encode("utf-8", "replace").split())
 
 
-def _grams(data: bytes) -> np.ndarray:
-    a = np.frombuffer(data, "u1").astype("u8")
-    if len(a) < GRAM:
-        return np.zeros(0, "u8")
-    h, ok = np.zeros(len(a) - GRAM + 1, "u8"), np.ones(len(a) - GRAM + 1, bool)
-    for i in range(GRAM):
-        here = a[i : len(a) - GRAM + 1 + i]
-        h = h << np.uint64(8) | here
-        if 0 < i < GRAM - 1:
-            ok &= here != 32
-    # a space ends only words that begin in it too, which no other fragment would be long enough for
-    return np.where(ok & ((here != 32) | (a[: len(h)] == 32)), h, 0)
+def windows(data: bytes) -> list[bytes]:
+    """The distinct words of a normal text in order, those longer than WINDOW in overlapping pieces."""
+    words = list(dict.fromkeys(data.split()))
+    if max(map(len, words), default=0) <= WINDOW:
+        return words
+    return list(dict.fromkeys(w[i : i + WINDOW] for w in words for i in range(0, max(1, len(w) - WINDOW + STEP), STEP)))
 
 
-def _compressor(content: bytes) -> zstandard.ZstdCompressor:
+def compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     params = zstandard.ZstdCompressionParameters.from_level(
-        5, window_log=17, hash_log=16, chain_log=16, search_log=5, min_match=GRAM, strategy=zstandard.STRATEGY_GREEDY,
+        5, window_log=20, hash_log=17, chain_log=17, search_log=5, min_match=4, strategy=zstandard.STRATEGY_GREEDY,
         write_content_size=0, write_dict_id=0, write_checksum=0,
     )
-    dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if len(content) >= 8 else None
-    return zstandard.ZstdCompressor(compression_params=params, dict_data=dictionary)
+    content = zstandard.ZstdCompressionDict(dictionary + FILLER, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    return zstandard.ZstdCompressor(compression_params=params, dict_data=content)
 
 
-def _train_dictionary(size: int, samples: list[bytes], k: int) -> bytes:
-    """A trained dictionary; the samples themselves, most frequent last, where they are too few to train on."""
+def train_dictionary(size: int, samples: list[bytes], segment: int) -> bytes:
+    """A dictionary that zstandard trains; the end of the joined samples where they are too few to train on."""
     try:
-        return zstandard.train_dictionary(size, samples, k=k, d=6).as_bytes()
+        return zstandard.train_dictionary(size, samples, k=segment, d=8 if segment >= TEXT_SEGMENT else 6).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(w for w, _ in reversed(Counter(samples).most_common()))[-size:]
+        return b"".join(samples)[-size:]
 
 
 @dataclass
 class ToxicityModel:
     ordinary: bytes
     toxic: bytes
-    threshold: float  #: bytes saved from which on a document is toxic
+    floor: int = 0  #: bytes that a window's saving must exceed to count
+    threshold: float = 0.5  #: evidence from which on a document is toxic
 
     def __post_init__(self) -> None:
-        self._plain, self._both = _compressor(self.ordinary), _compressor(self.toxic + self.ordinary)
-        self._none, self._toxic = _compressor(b""), _compressor(self.toxic + FILLER)
-
-    def _saved(self, window: bytes) -> int:
-        return len(self._plain.compress(window + PAD)) - len(self._both.compress(window + PAD))
+        self._ordinary, self._toxic, self._kept = compressor(self.ordinary), compressor(self.toxic), {}
+
+    def saving(self, window: bytes) -> int:
+        """Bytes that a window takes less under the toxic dictionary than under the ordinary one."""
+        known = self._kept.get(window)
+        if known is None:
+            if len(self._kept) >= KEPT:
+                self._kept.clear()
+            data = b" " + window + PAD
+            known = self._kept[window] = len(self._ordinary.compress(data)) - len(self._toxic.compress(data))
+        return known
 
     def evidence(self, text: str) -> int:
-        """Bytes that the toxic dictionary saves on the best word of a text; 0 without toxic words."""
+        """What the windows of a text save beyond the floor; 0 where nothing is known of toxic text."""
         if not self.toxic:
             return 0
-        data, best, done = normal(text), 0, set()
-        for at in range(0, max(1, len(data) - WINDOW + STEP), STEP):
-            window = data[at : at + WINDOW] + PAD
-            if len(self._toxic.compress(window)) >= len(self._none.compress(window)):
-                continue
-            first, last = max(data.rfind(b" ", max(0, at - LONGEST_WORD), at + 1), 0), data.find(b" ", min(len(data) - 1, at + WINDOW))
-            for word in data[first if first else max(0, at - LONGEST_WORD) : min(last if last > 0 else len(data), at + WINDOW + LONGEST_WORD)].split():
-                for i in range(0, len(word), LONGEST_WORD):
-                    piece = word[i : i + LONGEST_WORD]
-                    if piece not in done:
-                        done.add(piece)
-                        best = max(best, self._saved(b" " + piece))
-            if len(done) > 10_000:
-                done.clear()
-        return best
+        saving, floor = self.saving, self.floor
+        return sum(s - floor for s in map(saving, windows(normal(text))) if s > floor)
 
     def score(self, text: str) -> float:
         """0 to 1, 0.5 at the threshold."""
-        return float(1 / (1 + np.exp(self.threshold - self.evidence(text))))
+        return float(1 / (1 + np.exp(np.clip(self.threshold - self.evidence(text), -700, 700))))
 
 
-def _ratios(grams: np.ndarray, counts: np.ndarray, n: int, ordinary: list[bytes]) -> np.ndarray:
-    """How much oftener sorted grams, in so many of n toxic documents, are in toxic than in ordinary ones; infinity without an ordinary one."""
-    others = np.zeros(len(grams), "i8")
-    for x in ordinary:
-        others += np.isin(grams, _grams(x))
-    return np.where(others == 0, np.inf, (counts + 0.5) / (n + 1) / ((others + 0.5) / (len(ordinary) + 1)))
+@dataclass
+class _Half:
+    """What is known from one half of the fitting documents: samples for the toxic dictionary, and windows for the ordinary one."""
 
+    toxic: list[bytes]
+    ordinary: list[bytes]
 
-def _toxic_dictionary(toxic: list[bytes], grams: np.ndarray) -> bytes:
-    """The fragments that runs of grams make in toxic documents, most frequent last."""
-    fragments: Counter[bytes] = Counter()
-    for x in toxic:
-        hits = np.flatnonzero(np.isin(_grams(x), grams))
-        for run in np.split(hits, np.flatnonzero(np.diff(hits) > 1) + 1) if hits.size else ():
-            fragments[x[run[0] : run[-1] + GRAM]] += 1
-    joined = SEPARATOR.join(w for w, _ in reversed(fragments.most_common()))
-    return joined if len(joined) <= TOXIC_BYTES else _train_dictionary(TOXIC_BYTES, list(fragments.elements()), 16)
 
+def _model(base: bytes, halves: list[_Half], first: bool) -> ToxicityModel:
+    toxic, ordinary = [x for h in halves for x in h.toxic], [x for h in halves for x in h.ordinary]
+    toxic_dictionary = train_dictionary(TOXIC_BYTES, toxic, TEXT_SEGMENT // 2) if first else train_dictionary(TOXIC_WINDOWS, toxic, WINDOW_SEGMENT)
+    return ToxicityModel(base + (train_dictionary(ORDINARY_WINDOWS, ordinary, WINDOW_SEGMENT * 2) if ordinary else b""), toxic_dictionary)
 
-def train(texts: list[str], labels: np.ndarray) -> ToxicityModel:
-    """Dictionaries and threshold from labelled texts; without a toxic one, no text has evidence.
 
-    Single ordinary documents, mislabelled or quoting, strike no fragment: how much oftener one
-    must be in toxic documents is what makes the fewest errors on the calibrating documents.
-    """
-    fit = [i for i in range(len(texts)) if i % CALIBRATION]
-    ordinary, toxic = [normal(texts[i]) for i in fit if not labels[i]], [normal(texts[i]) for i in fit if labels[i]]
-    if not toxic or not ordinary:
-        return ToxicityModel(b"", b"", 1.0)
-    grams, counts = np.unique(np.concatenate([np.unique(_grams(x)) for x in toxic]), return_counts=True)
-    recur = (counts >= max(LEAST, len(toxic) // RARE)) & (grams > 0)
-    grams, counts = grams[recur], counts[recur]
-    ratios = _ratios(grams, counts, len(toxic), ordinary)
-    windows = [x[i : i + 64] for x in ordinary for i in range(0, len(x) - 32, 256)]
-    step = max(1, len(windows) * 64 // (128 * ORDINARY_BYTES))
-    plain = _train_dictionary(ORDINARY_BYTES, windows[::step], 32)
-    held = [i for i in range(0, len(texts), CALIBRATION)]
-    y, chosen, fewest, sizes = labels[held], ToxicityModel(b"", b"", 1.0), np.inf, {0}
-    for ratio in RATIOS:
-        among = ratios >= ratio
-        if among.sum() in sizes:
-            continue
-        sizes.add(among.sum())
-        model = ToxicityModel(plain, _toxic_dictionary(toxic, grams[among]), 2.5)
-        if not y.any() or y.all():
-            return model
-        # the cut with the fewest errors; of equal ones the middle
-        saved, cuts = np.array([model.evidence(texts[i]) for i in held]), np.arange(1, 12)
-        errors = np.array([((saved >= c) != y).sum() for c in cuts])
-        best = cuts[errors == errors.min()]
-        model.threshold = float(best[len(best) // 2]) - 0.5
-        if errors.min() > fewest:
-            break
+class _Documents:
+    """The windows of documents by number, so that a model weighs each distinct one once."""
+
+    def __init__(self, texts: list[bytes]):
+        number: dict[bytes, int] = {}
+        self.own = [np.fromiter((number.setdefault(w, len(number)) for w in windows(x)), "i4") for x in texts]
+        self.windows = list(number)
+
+    def savings(self, model: ToxicityModel, which: list[int]) -> list[np.ndarray]:
+        """What the windows of some documents save."""
+        needed = np.unique(np.concatenate([self.own[i] for i in which]))
+        saved = np.zeros(len(self.windows), "i4")
+        saved[needed] = np.fromiter((model.saving(self.windows[w]) for w in needed), "i4", len(needed))
+        return [saved[self.own[i]] for i in which]
+
+
+def _singled_out(model: ToxicityModel, docs: _Documents, ordinary: list[int], toxic: list[int], ratio: float) -> _Half:
+    """Windows of toxic and of ordinary documents that a model takes for toxic; one that both have is for the side where it is more common."""
+    saved = docs.savings(model, ordinary), docs.savings(model, toxic)
+    best = [np.array([s.max(initial=-WINDOW) for s in side]) for side in saved]
+    least = next((t for t in range(1, WINDOW) if (best[1] >= t).mean() > ratio * ((best[0] >= t).sum() + 0.5) / len(best[0])), WINDOW)
+    marked = [[docs.own[i][s >= t] for i, s in zip(side, ss)] for side, ss, t in zip((ordinary, toxic), saved, (max(1, least - 1), least))]
+    share = [np.bincount(np.concatenate(m), minlength=len(docs.windows)) / len(m) for m in marked]
+    foul = share[1] > ratio * share[0]
+    samples = lambda side: [b" " + docs.windows[w] + b" " for ws in marked[side] for w in ws if foul[w] == side]
+    return _Half(samples(1), samples(0))
+
+
+def _calibrate(model: ToxicityModel, savings: list[np.ndarray], y: np.ndarray) -> int:
+    """Sets floor and threshold to those with the fewest errors on documents that no dictionary has seen; of equal ones the middle threshold, the lowest floor. The number of errors."""
+    fewest = len(y) + 1
+    for floor in FLOORS:
+        evidence = np.array([np.maximum(0, s - floor).sum() for s in savings])
+        errors = np.array([((evidence >= c) != y).sum() for c in CUTS])
         if errors.min() < fewest:
-            chosen, fewest = model, errors.min()
+            fewest, best = int(errors.min()), np.flatnonzero(errors == errors.min())
+            model.floor, model.threshold = floor, CUTS[best[len(best) // 2]] - 0.5
+    return fewest
+
+
+def train(texts: list[str], labels: np.ndarray) -> ToxicityModel:
+    """Dictionaries, floor and threshold from labelled texts; without texts of both kinds to fit and to calibrate on, no text has evidence."""
+    held, fit = ([i for i in range(len(texts)) if (i % CALIBRATION == 0) == side] for side in (True, False))
+    if any(len(set(labels[side].tolist())) < 2 for side in (held, fit)):
+        return ToxicityModel(b"", b"")
+    data = [normal(t) for t in texts]
+    docs, halves = _Documents(data), [fit[0::2], fit[1::2]]
+    sides = [[[i for i in half if labels[i] == y] for y in (0, 1)] for half in halves]
+    base = train_dictionary(ORDINARY_BYTES, [data[i] for i in fit if not labels[i]], TEXT_SEGMENT)
+    known = [_Half([data[i] for i in toxic], []) for _, toxic in sides]
+    chosen, fewest = None, len(held) + 1
+    for done in range(ROUNDS + 1):
+        model = _model(base, known, not done)
+        errors = _calibrate(model, docs.savings(model, held), labels[held])
+        if errors < fewest:
+            chosen, fewest = model, errors
+        if done == ROUNDS or not all(map(all, sides)):
+            break
+        marked = [_singled_out(_model(base, [known[1 - h]], not done), docs, *sides[h], RATIO) for h in (0, 1)]
+        if not all(m.toxic for m in marked):
+            break
+        known = [_Half(m.toxic, m.ordinary + k.ordinary) for m, k in zip(marked, known)]
     return chosen
 
 
+def _parameters(model: ToxicityModel) -> tuple[bytes, bytes, int, float]:
+    return model.ordinary, model.toxic, model.floor, model.threshold
+
+
 def score_texts(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row's doc_id and score; null text counts as empty."""
-    bound_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast((model.ordinary, model.toxic, model.threshold))
+    shared = docs.sparkSession.sparkContext.broadcast(_parameters(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here = held(("toxicity", hash(shared.value)), lambda: ToxicityModel(*shared.value))
@@ -193,8 +206,7 @@ def score_texts(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id", t
 
 def without_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """The rows of docs whose text isn't toxic, in all their columns; one pass, no shuffle. Null texts stay."""
-    bound_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast((model.ordinary, model.toxic, model.threshold))
+    shared = docs.sparkSession.sparkContext.broadcast(_parameters(model))
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
