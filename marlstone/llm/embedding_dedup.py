@@ -1,14 +1,16 @@
 """Embedding near-dedup with randomised-rotation binary codes and stored correction factors.
 
-A unit vector is rotated at random and its signs are its code; the correction factor is the inner
-product of the vector with its code (as a unit vector). The inner product of another rotated
-vector with the code, divided by the factor, estimates that of the two vectors without bias. The
-part of the code that is orthogonal to its vector bounds how far off that can be, so a pair
-whose upper bound is below the threshold is left, and all others are computed anew in double
-precision.
+A unit vector is rotated at random. Its signs are its code, PLANES - 1 more bits a component
+refine it, and its correction factor is the inner product of the rotated vector with its code
+(as a unit vector). All of this is stored packed with the vector's id. The inner product of one
+vector's code with another's refined form, divided by the factor, estimates that of the two
+vectors without bias; it is computed from the packed planes by AND and counts of bits. The part of
+the code that is orthogonal to its vector is in a random direction, so a pair at the threshold
+has an estimate far below it with a small probability only: that confidence bound decides
+which pairs are computed anew in double precision, and only the vectors of such pairs are fetched.
 
 Pairs to look at come from buckets: vectors of one label that agree in a band of signs of
-further rotations. The number of bands follows from the number of bits so that a pair at the
+further rotations, stored packed as well. The number of bands follows from the number of bits so that a pair at the
 threshold shares none with a probability of MISS at most; pairs closer than that are missed far
 more rarely. A pair counts in the first band that it shares. Buckets are compared block by
 block; what leaves a block is a count for each vector and a spanning forest of its links.
@@ -21,18 +23,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import bound_batches, connected_components, join_groups, local_components, materialise
+from marlstone.llm.common import connected_components, join_groups, local_components, materialise
 
+#: MISS is the probability with which a pair at the threshold may share no band, and with which its estimate may miss the bound.
 THRESHOLD, MISS, SEED = 0.98, 1e-6, 11
 #: Vectors that a bucket of unrelated vectors should hold, from which the bits of a band follow; bits at least and at most.
-BUCKET, LEAST_BITS, MOST_BITS = 64, 6, 24
+BUCKET, LEAST_BITS, MOST_BITS = 512, 4, 24
 #: Vectors of a block; a larger bucket is split into blocks, which meet in pairs.
 BLOCK = 2048
 #: Rows and columns of a tile of estimates.
 TILE = 512
+#: Bits a component in a code's refined form, the sign included: its levels are the odd numbers from 1 - 2 ** PLANES to 2 ** PLANES - 1.
+PLANES = 4
 
 
 def bands(bits: int, threshold: float = THRESHOLD, miss: float = MISS) -> int:
@@ -46,48 +51,77 @@ def rotation(dim: int, seed: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def band_keys(unit: np.ndarray, bits: int, count: int, seed: int) -> np.ndarray:
-    """n x count keys: the signs of bits directions each, from as many rotations as are needed."""
+def band_signs(unit: np.ndarray, bits: int, count: int, seed: int) -> np.ndarray:
+    """n x count x bits: the signs of bits directions for each band, from as many rotations as are needed."""
     dim, need = unit.shape[1], bits * count
     signs = np.concatenate([unit @ rotation(dim, seed + 1 + i).T > 0 for i in range(-(-need // dim))], axis=1)[:, :need]
-    return signs.reshape(len(unit), count, bits) @ (1 << np.arange(bits, dtype="i8"))
+    return signs.reshape(len(unit), count, bits)
 
 
-def codes(unit: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rotated vectors, their codes as unit vectors, and the correction factors."""
-    rotated = unit @ rotation(unit.shape[1], seed).T
-    code = np.where(rotated > 0, 1.0, -1.0) / math.sqrt(unit.shape[1])
-    return rotated, code, (rotated * code).sum(axis=1)
+def _words(bits: np.ndarray) -> np.ndarray:
+    """Packs the last axis of booleans into whole 64-bit words."""
+    packed = np.packbits(bits, axis=-1, bitorder="little")
+    out = np.zeros((*packed.shape[:-1], -(-packed.shape[-1] // 8) * 8), "u1")
+    out[..., : packed.shape[-1]] = packed
+    return out.view("<u8")
 
 
-def maybe_close(code: np.ndarray, factor: np.ndarray, rotated: np.ndarray, threshold: float) -> np.ndarray:
-    """For each code and rotated vector, whether the upper bound of the estimated inner product reaches the threshold.
+def encode(unit: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The packed planes of each vector (n x PLANES x words, signs first, then the refining bits from the highest) and its numbers (n x 3):
 
-    With the code's inner product c with its own vector, one at the threshold t must have an
-    estimate of t - sqrt(1 - t^2) sqrt(1 - c^2) / c at least: the bound holds for every pair.
+    the correction factor of its code, the width of a level, and the length of what the refined form leaves out.
     """
-    estimate = (code.astype("f4") @ rotated.astype("f4").T) / factor.astype("f4")[:, None]
-    slack = math.sqrt(1 - threshold**2) * np.sqrt(np.maximum(0, 1 - factor**2)) / factor
-    return estimate >= (threshold - slack - 1e-5).astype("f4")[:, None]
-
-
-def block_links(a: np.ndarray, b: np.ndarray | None, threshold: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (row of a, row of b) with an inner product of threshold or more, in double precision; within a (first < second) if b is None."""
-    rot_a, code_a, factor_a = codes(a, seed)
-    rot_b, right = (rot_a, a) if b is None else (codes(b, seed)[0], b)
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    for i in range(0, len(a), TILE):
-        for j in range(i if b is None else 0, len(right), TILE):
-            x, y = np.nonzero(maybe_close(code_a[i : i + TILE], factor_a[i : i + TILE], rot_b[j : j + TILE], threshold))
+    dim = unit.shape[1]
+    rotated = unit @ rotation(dim, seed).T
+    positive, top = rotated > 0, (1 << PLANES) - 1
+    factor = np.abs(rotated).sum(axis=1) / math.sqrt(dim)
+    width = np.abs(rotated).max(axis=1) / (top + 1)
+    # level (2 u - top) for u in 0 .. top; a level's sign is the component's
+    u = np.clip(np.floor(rotated / (2 * width[:, None])) + (top + 1) // 2, 0, top).astype("i8")
+    u = np.where(positive, np.maximum(u, (top + 1) // 2), np.minimum(u, (top - 1) // 2))
+    left = np.linalg.norm(rotated - width[:, None] * (2 * u - top), axis=1)
+    planes = np.stack([_words((u >> k & 1).astype(bool)) for k in range(PLANES - 1, -1, -1)], axis=1)
+    return planes, np.stack([factor, width, left], axis=1).astype("f4")
+
+
+def estimates(a: np.ndarray, numbers_a: np.ndarray, b: np.ndarray, numbers_b: np.ndarray, dim: int) -> np.ndarray:
+    """The estimated inner product of each of a with each of b, from a's codes and factors and b's planes and widths."""
+    code = a[:, 0]
+    total = np.zeros((len(a), len(b)), "i4")
+    for k in range(PLANES):
+        plane = b[:, k]
+        # the sum over components of sign(a) * bit(b): twice the bits that both have, less those of b
+        both = sum(np.bitwise_count(code[:, None, w] & plane[None, :, w]).astype("i4") for w in range(code.shape[1]))
+        total += (2 * both - np.bitwise_count(plane).sum(axis=1, dtype="i4")[None, :]) << (PLANES - 1 - k)
+    signs = 2 * np.bitwise_count(code).sum(axis=1, dtype="i4") - dim
+    levels = 2 * total - ((1 << PLANES) - 1) * signs[:, None]
+    return levels * numbers_b[None, :, 1] / (numbers_a[:, None, 0] * math.sqrt(dim))
+
+
+def slack(numbers_a: np.ndarray, numbers_b: np.ndarray, dim: int, threshold: float, miss: float = MISS) -> np.ndarray:
+    """How far below its inner product, which is threshold or more, a pair's estimate is, but for a probability of miss.
+
+    Both parts of the error are products with unit vectors in random directions, of which a
+    component exceeds x / sqrt(dim - 1) with a probability of 2 exp(-x * x / 2) at most.
+    """
+    factor = numbers_a[:, None, 0].astype("f8")
+    orthogonal = np.sqrt(np.maximum(0, 1 - factor**2)) * math.sqrt(max(0.0, 1 - threshold**2)) / factor
+    cut = numbers_b[None, :, 2] / factor
+    sure = math.sqrt(2 * math.log(4 / miss))
+    # in few dimensions the largest errors there can be are smaller than such bounds
+    return np.minimum(1.0, sure / math.sqrt(max(1, dim - 1))) * (orthogonal + cut) + 1e-5
+
+
+def open_pairs(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray] | None, dim: int, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (row of a, row of b; within a, first < second, if b is None) whose bound leaves open whether they reach the threshold, tile by tile."""
+    right = a if b is None else b
+    for i in range(0, len(a[0]), TILE):
+        for j in range(i if b is None else 0, len(right[0]), TILE):
+            pa_, na = a[0][i : i + TILE], a[1][i : i + TILE]
+            pb, nb = right[0][j : j + TILE], right[1][j : j + TILE]
+            x, y = np.nonzero(estimates(pa_, na, pb, nb, dim) >= threshold - slack(na, nb, dim, threshold))
             x, y = x + i, y + j
-            if b is None:
-                x, y = x[x < y], y[x < y]
-            for k in range(0, len(x), 65536):
-                p, q = x[k : k + 65536], y[k : k + 65536]
-                ok = np.einsum("ij,ij->i", a[p], right[q]) >= threshold
-                found.append((p[ok], q[ok]))
-    none = np.zeros(0, "i8")
-    return (np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])) if found else (none, none)
+            yield (x[x < y], y[x < y]) if b is None else (x, y)
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -96,11 +130,22 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return wide / np.sqrt(np.einsum("ij,ij->i", wide, wide))[:, None]
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "f8").reshape(len(column), -1)
+def _matrix(column: pa.Array, dtype: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), -1)
+
+
+def _batch(columns: dict[str, pa.Array | np.ndarray | list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], list(columns))
+
+
+def _rows(matrix: np.ndarray) -> pa.Array:
+    return pa.array([r.tobytes() for r in np.ascontiguousarray(matrix)], pa.binary())
+
+
+CODES = "node bigint, label string, dim int, weight bigint, planes binary, numbers binary, signs binary, keys array<bigint>"
 
 
-def _with_keys(bits: int, seed: int, threshold: float):
+def _encoder(bits: int, seed: int, threshold: float):
     count = bands(bits, threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,67 +159,125 @@ def _with_keys(bits: int, seed: int, threshold: float):
             for dim in np.unique(sizes):
                 at = np.flatnonzero(sizes == dim)
                 unit = _unit(values[starts[at][:, None] + np.arange(dim)])
-                keys = band_keys(unit, bits, count, seed)
+                signs = band_signs(unit, bits, count, seed)
+                keys = signs @ (1 << np.arange(bits, dtype="i8"))
+                planes, numbers = encode(unit, seed)
                 take = pa.array(at)
-                yield pa.RecordBatch.from_arrays(
-                    [node.take(take), label.take(take), pa.array(np.full(len(at), dim, "i4")), weight.take(take), pa.array([u.tobytes() for u in unit], pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))],
-                    ["node", "label", "dim", "weight", "unit", "keys"],
-                )
+                yield _batch({
+                    "node": node.take(take), "label": label.take(take), "dim": np.full(len(at), dim, "i4"), "weight": weight.take(take), "planes": _rows(planes),
+                    "numbers": _rows(numbers), "signs": _rows(np.packbits(signs.reshape(len(at), -1), axis=1, bitorder="little")), "keys": pa.array(list(keys), pa.list_(pa.int64())),
+                })
 
     return run
 
 
-def _compare(rows: list[pa.Array], threshold: float, seed: int) -> pa.RecordBatch | None:
-    """Counts and forest of one block or pair of blocks, whose rows are (node, weight, unit, keys, band, side)."""
-    node, weight = rows[0].to_numpy(), rows[1].to_numpy()
-    side, band = rows[5].to_numpy(), int(rows[4][0].as_py())
-    unit = _matrix(rows[2])
-    left, right = np.flatnonzero(side <= 0), np.flatnonzero(side > 0)
-    both = bool((side != 0).any())
-    if both and (not len(left) or not len(right)) or len(node) < 2:
-        return None
-    x, y = block_links(unit[left], unit[right] if both else None, threshold, seed)
-    x, y = left[x], (right if both else left)[y]
-    if not len(x):
-        return None
-    low = local_components(len(node), x, y)
-    keys = rows[3].flatten().to_numpy().reshape(len(node), -1)
-    first = np.concatenate([~(keys[x[i : i + 65536], :band] == keys[y[i : i + 65536], :band]).any(axis=1) for i in range(0, len(x), 65536)])
-    count = np.bincount(x[first], weight[y[first]], len(node)) + np.bincount(y[first], weight[x[first]], len(node))
-    out = np.flatnonzero((count > 0) | (low != np.arange(len(node))))
-    return pa.RecordBatch.from_arrays([pa.array(node[out]), pa.array(count[out].astype("i8")), pa.array(node[low[out]])], ["node", "links", "root"])
-
-
-def _blocks(threshold: float, seed: int):
+class _Block:
+    """Rows of a block or of a pair of blocks, and which of their pairs are open and meet in this band first."""
+
+    def __init__(self, rows: pa.Table, bits: int):
+        column = lambda name: rows.column(name).combine_chunks() if isinstance(rows.column(name), pa.ChunkedArray) else rows.column(name)
+        self.node, self.weight, self.side = (column(x).to_numpy() for x in ("node", "weight", "side"))
+        self.dim, self.band, self.bits = int(rows.column("dim")[0].as_py()), int(rows.column("band")[0].as_py()), bits
+        self.planes = _matrix(column("planes"), "<u8").reshape(len(self.node), PLANES, -1)
+        self.numbers = _matrix(column("numbers"), "<f4")
+        signs = np.unpackbits(_matrix(column("signs"), "u1"), axis=1, count=self.band * bits, bitorder="little") if self.band else np.zeros((len(self.node), 0), "u1")
+        self.earlier = np.packbits(signs.reshape(len(self.node), self.band, bits), axis=2, bitorder="little")
+        vectors = column("embedding").flatten().to_numpy().reshape(len(self.node), -1) if "embedding" in rows.column_names else None
+        self.units = None if vectors is None else _unit(vectors)
+
+    def pairs(self, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Open pairs of rows that share no earlier band."""
+        both = bool((self.side != 0).any())
+        left, right = np.flatnonzero(self.side <= 0), np.flatnonzero(self.side > 0)
+        if both and (not len(left) or not len(right)):
+            return
+        part = lambda at: (self.planes[at], self.numbers[at])
+        for x, y in open_pairs(part(left), part(right) if both else None, self.dim, threshold):
+            x, y = left[x], (right if both else left)[y]
+            if self.band and len(x):
+                first = np.concatenate([~(self.earlier[x[i : i + 65536]] == self.earlier[y[i : i + 65536]]).all(axis=2).any(axis=1) for i in range(0, len(x), 65536)])
+                x, y = x[first], y[first]
+            if len(x):
+                yield x, y
+
+    def open_nodes(self, threshold: float) -> pa.Array:
+        seen = np.zeros(len(self.node), bool)
+        for x, y in self.pairs(threshold):
+            seen[x] = seen[y] = True
+        return pa.array(seen)
+
+    def links(self, threshold: float) -> pa.RecordBatch | None:
+        """Number of links and root in the block's forest for each node that has any, from open pairs computed anew."""
+        low, count = np.arange(len(self.node)), np.zeros(len(self.node), "i8")
+        for x, y in self.pairs(threshold):
+            for k in range(0, len(x), 65536):
+                p, q = x[k : k + 65536], y[k : k + 65536]
+                ok = np.einsum("ij,ij->i", self.units[p], self.units[q]) >= threshold
+                p, q = p[ok], q[ok]
+                np.add.at(count, p, self.weight[q])
+                np.add.at(count, q, self.weight[p])
+                low = local_components(len(low), low[p], low[q])[low]
+        out = np.flatnonzero(count > 0)
+        if not len(out):
+            return None
+        return _batch({"node": self.node[out], "links": count[out], "root": self.node[low[out]]})
+
+
+#: Two hashes together tell comparisons apart.
+GROUP = ("group", "check")
+
+
+def _by_group(work):
+    """Applies work to the rows of each group of at least two, of batches sorted by group; a batch and a group are all that is held."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.RecordBatch | None = None
+        held: pa.Table | None = None
         for batch in batches:
-            table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
-            if not table.num_rows:
-                continue
-            group = table.column("group").combine_chunks()
-            group = group.chunk(0) if isinstance(group, pa.ChunkedArray) else group
-            ids = group.dictionary_encode().indices.to_numpy()
-            cuts = np.append(np.flatnonzero(np.diff(ids)) + 1, len(ids))
+            now = pa.Table.from_batches([batch])
+            held = now if held is None else pa.concat_tables([held, now])
+            cuts = np.flatnonzero(np.any([np.diff(held.column(x).to_numpy()) != 0 for x in GROUP], axis=0)) + 1
             start = 0
-            for end in cuts[:-1]:
-                if end - start > 1:
-                    found = _compare([_flat(table.column(c), start, end) for c in ("node", "weight", "unit", "keys", "band", "side")], threshold, seed)
-                    if found is not None:
-                        yield found
-                start = int(end)
-            held = table.slice(start).combine_chunks().to_batches()[0]
-        if held is not None and held.num_rows > 1:
-            found = _compare([_flat(held.column(i), 0, held.num_rows) for i in (held.schema.get_field_index(c) for c in ("node", "weight", "unit", "keys", "band", "side"))], threshold, seed)
-            if found is not None:
-                yield found
+            for end in cuts.tolist():
+                if end - start > 1 and (found := work(held.slice(start, end - start))) is not None:
+                    yield found
+                start = end
+            held = held.slice(start)
+        if held is not None and held.num_rows > 1 and (found := work(held)) is not None:
+            yield found
 
     return run
 
 
-def _flat(column, start: int, end: int) -> pa.Array:
-    part = column.slice(start, end - start)
-    return part.combine_chunks() if isinstance(part, pa.ChunkedArray) else part
+def _opened(threshold: float, bits: int):
+    def work(rows: pa.Table) -> pa.RecordBatch | None:
+        found = rows.filter(_Block(rows, bits).open_nodes(threshold)).combine_chunks()
+        return found.to_batches()[0] if found.num_rows else None
+
+    return _by_group(work)
+
+
+def _linked(threshold: float, bits: int):
+    return _by_group(lambda rows: _Block(rows, bits).links(threshold))
+
+
+def _placed(codes: DataFrame) -> DataFrame:
+    """codes once for each band and block in which a vector is compared, with the group that is one such comparison."""
+    at = [F.col("label"), F.col("dim"), F.posexplode("keys").alias("band", "key")]
+    sizes = codes.select(*at).groupBy("label", "dim", "band", "key").agg(F.count("*").alias("n"))
+    large = materialise(sizes.filter(F.col("n") > BLOCK), "large")
+    placed = codes.select("node", "weight", "planes", "numbers", "signs", *at).join(large, ["label", "dim", "band", "key"], "left")
+    blocks = F.ceil(F.coalesce("n", F.lit(1)) / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node", "band"), blocks).cast("int")
+    placed = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    # a block meets itself with side 0, another as the lower (-1) or the higher (1) of the two
+    side: Column = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), -1).otherwise(1)
+    met = ("label", "dim", "band", "key", F.least("own", "other"), F.greatest("own", "other"))
+    group = [F.xxhash64(F.lit(x), *met).alias(x) for x in GROUP]
+    return placed.select(*group, "node", "weight", "dim", "planes", "numbers", "signs", F.col("band").cast("byte").alias("band"), side.cast("byte").alias("side"))
+
+
+def _grouped(rows: DataFrame) -> DataFrame:
+    return rows.repartition(GROUP[0]).sortWithinPartitions(*GROUP, "node")
 
 
 def embedding_dedup(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = THRESHOLD, seed: int = SEED) -> DataFrame:
@@ -186,13 +289,13 @@ def embedding_dedup(table: DataFrame, vec_id: str = "vec_id", embedding: str = "
     vec_id are vectors of their own and link like any other. Null ids never name a component
     that has others. An empty table gives no rows; other columns are ignored.
     """
-    bound_batches(table.sparkSession)
     vector = F.transform(F.col(embedding), lambda x: x.cast("double"))
+    kept = F.col(embedding) if table.schema[embedding].dataType.elementType.typeName() == "float" else vector
     sound = (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vector, lambda x: x != 0)
     rows = materialise(
         table.select(
             F.col(vec_id).cast("long").alias("vec_id"),
-            F.when(F.col(label).isNotNull() & F.coalesce(sound, F.lit(False)), F.col(embedding)).alias("embedding"),
+            F.when(F.col(label).isNotNull() & F.coalesce(sound, F.lit(False)), kept).alias("embedding"),
             F.col(label).cast("string").alias("label"),
         ).withColumn("class", F.when(F.col("embedding").isNotNull(), F.sha2(F.concat_ws(",", F.lit("v"), F.col("label"), F.to_json("embedding")), 256))),
         "vectors",
@@ -205,28 +308,10 @@ def embedding_dedup(table: DataFrame, vec_id: str = "vec_id", embedding: str = "
     per_label = classes.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, per_label) / BUCKET))))
     vectors = F.transform("embedding", lambda x: x.cast("double")).alias("embedding")
-    keyed = materialise(
-        classes.select(vectors, "weight", "node", "label").mapInArrow(_with_keys(bits, seed, threshold), "node bigint, label string, dim int, weight bigint, unit binary, keys array<bigint>"),
-        "keyed",
-    )
-    placed = keyed.select("node", "weight", "unit", "keys", "label", "dim", F.posexplode("keys").alias("band", "key"))
-    sizes = keyed.select("label", "dim", F.posexplode("keys").alias("band", "key")).groupBy("label", "dim", "band", "key").agg(F.count("*").alias("n"))
-    large = materialise(sizes.filter(F.col("n") > BLOCK), "large")
-    placed = placed.join(large, ["label", "dim", "band", "key"], "left")
-    blocks = F.ceil(F.coalesce("n", F.lit(1)) / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node", "band"), blocks).cast("int")
-    placed = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    # a block meets itself with side 0, another as the lower (-1) or the higher (1) of the two
-    placed = placed.select(
-        F.concat_ws("|", "label", "dim", "band", "key", F.least("own", "other"), F.greatest("own", "other")).alias("group"),
-        "node",
-        "weight",
-        "unit",
-        "keys",
-        "band",
-        F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), -1).otherwise(1).cast("int").alias("side"),
-    )
-    found = placed.repartition("group").sortWithinPartitions("group").mapInArrow(_blocks(threshold, seed), "node bigint, links bigint, root bigint")
+    codes = materialise(classes.select(vectors, "weight", "node", "label").mapInArrow(_encoder(bits, seed, threshold), CODES), "codes")
+    placed = _placed(codes)
+    opened = materialise(_grouped(placed).mapInArrow(_opened(threshold, bits), placed.schema), "open")
+    found = _grouped(opened.join(classes.select("node", "embedding"), "node")).mapInArrow(_linked(threshold, bits), "node bigint, links bigint, root bigint")
     found = materialise(found, "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select(F.col("node").alias("src"), F.col("root").alias("dst")))

@@ -173,15 +173,35 @@ def test_embedding_blocks(spark, monkeypatch):
     assert got == {i: int(close[i].sum()) - 1 for i in range(150)}
 
 
-def test_embedding_bound_holds():
-    rng = np.random.default_rng(7)
-    a = rng.standard_normal((300, 48))
-    b = a + rng.standard_normal(a.shape) * rng.uniform(0, 2, (300, 1))
-    a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (a, b))
-    _, code, factor = embedding_dedup.codes(a, 1)
-    kept = np.diag(embedding_dedup.maybe_close(code, factor, embedding_dedup.codes(b, 1)[0], 0.98))
-    close = (a * b).sum(axis=1) >= 0.98
-    assert close.any() and kept[close].all() and not kept.all()
+def test_embedding_estimates():
+    """From packed planes: what the same levels give in floats, without bias, and pairs at the threshold within the bound."""
+    for dim in (3, 48, 64, 100):
+        rng = np.random.default_rng(dim)
+        a = rng.standard_normal((400, dim))
+        b = a + rng.standard_normal(a.shape) * rng.uniform(0, 2, (400, 1))
+        near = rng.standard_normal(a.shape)
+        a, b = embedding_dedup._unit(a), embedding_dedup._unit(b)
+        near = embedding_dedup._unit(near - (near * a).sum(axis=1, keepdims=True) * a)
+        at = 0.98 * a + math.sqrt(1 - 0.98**2) * near
+        ca, na = embedding_dedup.encode(a, 1)
+        turn = embedding_dedup.rotation(dim, 1)
+        for other in (b, at):
+            cb, nb = embedding_dedup.encode(other, 1)
+            got = embedding_dedup.estimates(ca, na, cb, nb, dim)
+            u = np.zeros((400, dim), "i8")
+            for k in range(embedding_dedup.PLANES):
+                bits = np.unpackbits(np.ascontiguousarray(cb[:, k]).view("u1"), axis=1, bitorder="little")[:, :dim]
+                u += bits.astype("i8") << (embedding_dedup.PLANES - 1 - k)
+            levels = (2 * u - (1 << embedding_dedup.PLANES) + 1) * nb[:, 1:2]
+            code = np.where(a @ turn.T > 0, 1, -1) / math.sqrt(dim)
+            assert np.allclose(got, code @ levels.T / (code * (a @ turn.T)).sum(axis=1)[:, None], atol=1e-4)
+            assert np.allclose(np.linalg.norm(levels - other @ turn.T, axis=1), nb[:, 2], atol=1e-5)
+            if dim > 3:
+                assert abs((np.diag(got) - (a * other).sum(axis=1)).mean()) < 0.02
+        kept = np.diag(got) >= 0.98 - np.diag(embedding_dedup.slack(na, nb, dim, 0.98))
+        assert kept.all()
+        unrelated = embedding_dedup.open_pairs((ca, na), None, dim, 0.98)
+        assert dim == 3 or sum(len(x) for x, _ in unrelated) < 50
 
 
 # WARC
