@@ -39,8 +39,9 @@ def format_conversations(turns: DataFrame, conv_id: str = "conv_id", turn: str =
     """Examples of every conversation: conv_id, example (from 1), context_turns, formatted, loss_start, loss_length (code points, from 0).
 
     Turns are ordered by turn, nulls first, then role and text, so repeated and tied rows have a
-    place; null roles and texts count as empty; rows with a null conv_id are one conversation. An
-    empty table gives no rows; other columns are ignored.
+    place; null roles and texts count as empty; each row with a null conv_id is a conversation of
+    its own, as nothing says which of them belong together. An empty table gives no rows; other
+    columns are ignored.
     """
     rows = turns.select(
         F.col(conv_id).alias("conv_id"),
@@ -50,7 +51,8 @@ def format_conversations(turns: DataFrame, conv_id: str = "conv_id", turn: str =
             F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
         ).alias("t"),
     )
-    whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
+    whole = rows.filter("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
+    whole = whole.unionByName(rows.filter("conv_id is null").select("conv_id", F.array("t").alias("ts")))
     whole = whole.select(
         "conv_id",
         F.transform("ts", lambda t: F.concat(F.lit(BEGIN), escape(t.role), F.lit(MIDDLE), escape(t.text), F.lit(END))).alias("marked"),
@@ -76,14 +78,18 @@ def format_conversations(turns: DataFrame, conv_id: str = "conv_id", turn: str =
 
 
 def read_back(examples: DataFrame) -> DataFrame:
-    """What the examples say: conv_id, turns (array of role and text, unescaped), losses (each example's trainable text in order), formatted_chars."""
-    loss = unescape(F.substring("formatted", F.col("loss_start") + 1, F.col("loss_length")))
-    last = F.max_by("formatted", "context_turns")
-    found = examples.groupBy("conv_id").agg(
-        F.sort_array(F.collect_list(F.struct("example", loss.alias("text")))).alias("losses"),
+    """What the examples say: conv_id, turns (array of role and text, unescaped), losses (each example's trainable text in order), formatted_chars.
+
+    Examples without conv_id are a conversation each.
+    """
+    loss = F.struct("example", unescape(F.substring("formatted", F.col("loss_start") + 1, F.col("loss_length"))).alias("text"))
+    found = examples.filter("conv_id is not null").groupBy("conv_id").agg(
+        F.sort_array(F.collect_list(loss)).alias("losses"),
         F.sum(F.char_length("formatted")).alias("formatted_chars"),
-        last.alias("last"),
+        F.max_by("formatted", "context_turns").alias("last"),
     )
+    single = (F.array(loss).alias("losses"), F.char_length("formatted").cast("long").alias("formatted_chars"), F.col("formatted").alias("last"))
+    found = found.unionByName(examples.filter("conv_id is null").select("conv_id", *single))
     pieces = F.transform(
         F.filter(F.split("last", "\\Q" + END + "\\E", -1), lambda x: x != ""), lambda x: F.substring(x, F.lit(len(BEGIN) + 1), F.char_length(x))
     )

@@ -17,8 +17,11 @@ DEFAULT_SHARED_DIR = "/tmp/marlstone-checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session's spark.checkpoint.dir names it; a local one only where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SHARED_DIR).rstrip("/")
+    """The folder all executors share: spark.checkpoint.dir, else the context's checkpoint folder; without either, a local one in local mode and an error on a cluster."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (named or DEFAULT_SHARED_DIR).rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -59,25 +62,28 @@ def held(key: tuple, make: Callable[[], object]) -> object:
     return _HELD[key]
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
-    """Inner join of rows with one row per key, where keys may hold a third of all rows.
+def join_groups(rows: DataFrame, groups: DataFrame, key: str | list[str], size: str, how: str = "inner") -> DataFrame:
+    """Join of rows with one row per key, where keys may hold a third of all rows.
 
     groups must have the number of rows of each key in column size, and both inputs should be
     materialised. Hot keys (more than 1/HOT_SHARE of the rows, so fewer than HOT_SHARE keys) are
     joined by broadcast and never shuffled; all others by a shuffle in which no key is large.
+    With how = "left", rows whose key isn't in groups stay.
     """
+    keys = [key] if isinstance(key, str) else key
     total = groups.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first()["n"]
     least = max(1, total // HOT_SHARE)
     hot = groups.filter(F.col(size) > least)
     cold = groups.filter(F.col(size) <= least)
-    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
+    return rows.join(F.broadcast(hot), keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph given as (src, dst) longs: (node, component) with the smallest node as component.
 
     Alternates large-star and small-star steps until the edges are stars around the
-    smallest nodes; every step is a group-by and a join on edges, nothing is collected. Nodes
+    smallest nodes; every step is a group-by and a join on edges, nothing is collected. The join's
+    other side has one row per node, so adaptive execution may split a hub's rows. Nodes
     without edges don't appear. Nulls are ignored, repeated edges and loops are harmless.
     """
     now = materialise(

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.common import join_groups, materialise, text_of
 
-#: Distinct digests that a shard of the index holds on average.
+#: Distinct digests of history and of incoming rows together that a shard has on average.
 SHARD_DIGESTS = 16384
 #: Positions for each digest at a level; after MAX_LEVELS levels, what is left is held in sorted order.
 GAMMA, MAX_LEVELS = 1.5, 48
@@ -171,9 +171,11 @@ def exact_dedup(docs: DataFrame, is_history: Column | None = None, doc_id: str =
     old = F.pmod(F.xxhash64(F.col(doc_id)), F.lit(2)) == 0 if is_history is None else is_history
     rows = materialise(digests(docs, doc_id, text, F.coalesce(old, F.lit(False)).alias("old")), "digests")
     history = materialise(grouped(rows.filter("old")), "history")
-    shards = max(1, -(-history.count() // SHARD_DIGESTS))
+    incoming = materialise(grouped(rows.filter("not old")), "incoming")
+    # a shard's index and the digests looked up in it are in one task, so both are counted
+    shards = max(1, -(-(history.count() + incoming.count()) // SHARD_DIGESTS))
     index = materialise(build_index(history, shards), "index")
-    groups = materialise(lookup(grouped(rows.filter("not old")), index, shards), "groups")
+    groups = materialise(lookup(incoming, index, shards), "groups")
     return join_groups(rows.drop("chars"), groups.select("digest", F.when(~F.col("keep_null"), F.col("keep_id")).alias("keep_id"), "group_size", "member"), "digest", "group_size").select(
         "doc_id",
         "keep_id",

@@ -64,7 +64,7 @@ def _op5(weights: tuple, domains: tuple, max_epochs: int, seed: int) -> str:
     return f"""
 WITH given(domain, lang, source, weight) AS (VALUES {rows}),
 d AS (
-  SELECT doc_id, lang, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n_tokens,
+  SELECT doc_id, text, lang, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n_tokens,
     ([{names}])[((coalesce(try_cast(regexp_extract(source, '([0-9]+)$', 1) AS INT), 0) // 5) % {len(domains)} + 1)::INT] AS domain
   FROM documents),
 leaf AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens FROM d GROUP BY ALL),
@@ -84,7 +84,7 @@ plan AS (
   FROM three JOIN leaf USING (domain, lang, source)),
 ordered AS (
   SELECT d.*, epochs, CASE WHEN epochs < {max_epochs} THEN budget - epochs * tokens ELSE 0 END AS rest,
-    sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('{seed}|' || epochs || '|' || doc_id)) AS upto
+    sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('{seed}|' || epochs || '|' || doc_id || '|' || md5(coalesce(text, '')))) AS upto
   FROM d JOIN plan USING (domain, lang, source))
 SELECT doc_id, domain, lang, source, n_tokens, (epochs + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END)::BIGINT AS copies FROM ordered
 """
@@ -112,13 +112,14 @@ FROM s GROUP BY conv_id
 OP10 = r"""
 WITH u AS (
   SELECT page_id, TIMESTAMP '2024-01-01' + to_seconds((page_id % 366) * 86400 + (page_id * 7919) % 86400) AS fetched,
-    lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host,
+    lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)', 1)) AS host,
     regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path
   FROM pages),
 p AS (SELECT *, list_filter(string_split(host, '.'), lambda x: x <> '') AS hs, list_filter(string_split(path, '/'), lambda x: x <> '') AS ps FROM u),
 k AS (
   SELECT DISTINCT page_id, fetched, unnest(list_concat(
-    list_transform(range(1, len(hs)), lambda i: 'd:' || array_to_string(hs[i:], '.')),
+    CASE WHEN host LIKE '[%' OR regexp_matches(host, '^[0-9]{1,3}([.][0-9]{1,3}){3}$') THEN ['d:' || host]
+      ELSE list_transform(range(1, len(hs)), lambda i: 'd:' || array_to_string(hs[i:], '.')) END,
     list_transform(range(1, len(ps) + 1), lambda i: 'p:' || host || '/' || array_to_string(ps[:i], '/')))) AS key
   FROM p WHERE host <> ''),
 n AS (SELECT key, ('0x' || substr(md5(key), 1, 6))::BIGINT AS n FROM (SELECT DISTINCT key FROM k)),

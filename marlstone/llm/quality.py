@@ -9,6 +9,7 @@ needs one number per row: the row's part in the difference of the two outputs.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,11 +25,13 @@ from marlstone.llm.labelled import held_out, sample
 MAX_SAMPLE, BUCKETS, WIDTH = 6000, 1 << 17, 16
 GRAMS = (3, 4)
 EPOCHS, RATE, SEED = 5, 20.0, 7
-#: Code points taken at once; longer texts are taken in such pieces.
+#: Code points after which the next white space ends what is taken at once of a text.
 PIECE = 1 << 20
 THRESHOLD = 0.3
 #: The pair of any word with itself.
 REPEATED = np.uint64(0x5851F42D4C957F2D)
+_WHITE = "\t\n\x0b\x0c\r "
+_SPACE = re.compile(f"[{_WHITE}]")
 _SPACES = np.array([9, 10, 11, 12, 13, 32], "u4")
 
 
@@ -40,8 +43,16 @@ def _mix(h: np.ndarray) -> np.ndarray:
 _POWERS = np.cumprod(np.full(64, 0x100000001B3, "u8"))
 
 
-def features(text: str) -> np.ndarray:
-    """Rows of the embedding for every word, pair of words and n-gram of a text, repeats included; none for a blank one."""
+def _word_hash(word: str) -> np.ndarray:
+    points = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), "<u4").astype("u8")
+    return (points * _POWERS[np.arange(len(points)) & 63]).sum(keepdims=True)
+
+
+def features(text: str, before: str = "") -> np.ndarray:
+    """Rows of the embedding for every word, pair of words and n-gram of a text, repeats included; none for a blank one.
+
+    before is the word in front of a text that is a piece of a longer one; it adds the pair with the first word.
+    """
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
     space = np.isin(points, _SPACES)
     keep = ~space | np.append(True, ~space[:-1])
@@ -54,8 +65,9 @@ def features(text: str) -> np.ndarray:
     inside = ~space
     at = (np.arange(len(points)) - begin[np.maximum(word, 0)]) & 63
     hashes = np.add.reduceat(np.where(inside, points * _POWERS[at], 0), begin)
-    pairs = hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:]
-    out = [_mix(hashes), _mix(np.where(hashes[:-1] == hashes[1:], REPEATED, pairs))]
+    left = np.append(_word_hash(before), hashes[:-1]) if before else hashes[:-1]
+    right = hashes if before else hashes[1:]
+    out = [_mix(hashes), _mix(np.where(left == right, REPEATED, left * np.uint64(0x9E3779B97F4A7C15) + right))]
     for n in GRAMS:
         if len(points) < n:
             continue
@@ -69,15 +81,16 @@ def features(text: str) -> np.ndarray:
     return np.concatenate(out).astype("i8")
 
 
-def _pieces(text: str) -> Iterator[str]:
-    """The text, or pieces of it that end at white space where there is some."""
-    at = 0
-    while len(text) - at > PIECE:
-        end = max(text.rfind(" ", at, at + PIECE), text.rfind("\n", at, at + PIECE))
-        end = end if end > at else at + PIECE
-        yield text[at:end]
-        at = end
-    yield text[at:]
+def document_features(text: str) -> Iterator[np.ndarray]:
+    """features() of a text, piece by piece; pieces end at white space, so that together they are what the whole text gives."""
+    at, before = 0, ""
+    while at < len(text):
+        cut = _SPACE.search(text, at + PIECE)
+        end = cut.start() if cut else len(text)
+        piece = text[at:end]
+        yield features(piece, before)
+        piece = piece.rstrip(_WHITE)
+        at, before = end, piece[max(map(piece.rfind, _WHITE)) + 1 :] or before
 
 
 @dataclass
@@ -88,8 +101,7 @@ class QualityModel:
     def score(self, text: str) -> float:
         """The softmax probability of label 1; a text without features has the bias alone."""
         total, n = 0.0, 0
-        for piece in _pieces(text):
-            ids = features(piece)
+        for ids in document_features(text):
             total, n = total + float(self.rows[ids].sum(dtype="f8")), n + len(ids)
         return float(1 / (1 + np.exp(-np.clip(total / max(n, 1) + self.bias, -700, 700))))
 
@@ -105,7 +117,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, rate: floa
         done, steps = 0, epochs * len(texts)
         for _ in range(epochs):
             for i in rng.permutation(len(texts)):
-                ids, counts = np.unique(np.concatenate([features(x) for x in _pieces(texts[i])]), return_counts=True)
+                ids, counts = np.unique(np.concatenate([np.zeros(0, "i8"), *document_features(texts[i])]), return_counts=True)
                 lr = rate * (1 - done / steps)
                 done += 1
                 if not ids.size:

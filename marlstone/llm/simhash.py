@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.llm.common import connected_components, join_groups, local_components, materialise, text_of
+from marlstone.llm.common import HOT_SHARE, connected_components, join_groups, local_components, materialise, text_of
 
 WORDS, MAX_DIFFERENCE, SEED = 3, 2, 42
 #: Blocks of 16 bits: for two differing bits, 6 choices of 2 blocks, so groups share 32 bits.
@@ -32,6 +32,8 @@ FRONTIER = 1 << 20
 QUERIES = 1 << 15
 #: Shingles that are hashed before their bits are counted.
 CHUNK = 1 << 16
+#: Fingerprints from which on a group is split again.
+LARGE = 1 << 16
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -135,20 +137,23 @@ def _links(keys: list[np.ndarray], codes: np.ndarray, most: int) -> tuple[np.nda
 
 
 def _link_groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Rows (choice, key, rank, fp) sorted by choice, key, rank: whole groups are taken as they end, so a batch is all that is held unless a group is larger."""
-    held: list[np.ndarray] | None = None
+    """Rows (choice, key, rank, fp) sorted by choice, key, rank: whole groups are taken as they end, so a batch and a group are all that is held."""
+    held: list[list[np.ndarray]] = []
     for batch in batches:
         now = [batch.column(i).to_numpy() for i in range(4)]
-        held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
-        if not len(held[0]):
+        if not len(now[0]):
             continue
-        open_ = (held[0] == held[0][-1]) & (held[1] == held[1][-1])
-        end = int(np.argmax(open_))
-        if end:
-            yield _link_batch([x[:end] for x in held], most)
-            held = [x[end:] for x in held]
-    if held is not None and len(held[0]):
-        yield _link_batch(held, most)
+        last = (now[0] == now[0][-1]) & (now[1] == now[1][-1])
+        end = int(np.argmax(last))
+        goes_on = not end and held and all(held[-1][k][-1] == now[k][0] for k in (0, 1))
+        if not goes_on:
+            done = [*held, [x[:end] for x in now]]
+            held = []
+            if sum(len(x[0]) for x in done):
+                yield _link_batch([np.concatenate(x) for x in zip(*done)], most)
+        held.append([x[end:] for x in now])
+    if held:
+        yield _link_batch([np.concatenate(x) for x in zip(*held)], most)
 
 
 def _link_batch(rows: list[np.ndarray], most: int) -> pa.RecordBatch:
@@ -160,14 +165,37 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _masks(most: int, blocks: list[int]) -> list[int]:
+    """Masks of all choices of the blocks (masks themselves) but most of them."""
+    return [_signed(sum(chosen)) for chosen in combinations(blocks, len(blocks) - most)]
+
+
+def _block_masks(width: int, start: int = 0, end: int = 64) -> list[int]:
+    return [((1 << width) - 1) << at for at in range(start, end, width)]
+
+
 def fingerprint_links(fps: DataFrame, most: int = MAX_DIFFERENCE) -> DataFrame:
-    """Links (src, dst) that connect all distinct fingerprints fp within most bits; of a group in which many are, no more links than fingerprints."""
+    """Links (src, dst) that connect all distinct fingerprints fp within most bits; of a group in which many are, no more links than fingerprints.
+
+    A group of many fingerprints is split again: those of it that are within most bits agree on
+    all but most of the blocks that halve the ones left, too.
+    """
     width = 64 // BLOCKS
-    masks = [_signed(sum(((1 << width) - 1) << (width * b) for b in chosen)) for chosen in combinations(range(BLOCKS), BLOCKS - most)]
-    rows = fps.select(
-        "fp",
-        F.explode(F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])).alias("g"),
-    ).select("g.choice", "g.key", "fp")
+    wide = _block_masks(width)
+    masks = _masks(most, wide)
+    choices = lambda masks, first: F.explode(F.array(*[F.struct(F.lit(first + i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)]))
+    rows = fps.select("fp", choices(masks, 0).alias("g")).select("g.choice", "g.key", "fp")
+    sizes = rows.groupBy("choice", "key").agg(F.count("*").alias("n"))
+    # more rows than this have fewer than HOT_SHARE groups, so that their keys can be broadcast
+    large = materialise(sizes.filter(F.col("n") > max(LARGE, len(masks) * fps.count() // HOT_SHARE)).select("choice", "key"), "large")
+    if not large.isEmpty():
+        again, first = None, len(masks)
+        for i, m in enumerate(masks):
+            rest = [half for b in wide if not b & (m & (1 << 64) - 1) for half in _block_masks(width // 2, b.bit_length() - width, b.bit_length())]
+            finer = [_signed((m & (1 << 64) - 1) | (x & (1 << 64) - 1)) for x in _masks(most, rest)]
+            part = rows.filter(F.col("choice") == i).join(F.broadcast(large), ["choice", "key"], "left_semi").select("fp", choices(finer, first).alias("g")).select("g.choice", "g.key", "fp")
+            again, first = part if again is None else again.unionByName(part), first + len(finer)
+        rows = rows.join(F.broadcast(large), ["choice", "key"], "left_anti").unionByName(again)
     for i, shift in enumerate((1, 2, 4, 8, 16, 32)):
         last = F.col(f"r{i}") if i else F.col("fp")
         rows = rows.withColumn(f"r{i + 1}", last.bitwiseXOR(F.shiftrightunsigned(last, shift)))

@@ -2,8 +2,8 @@
 
 A list's dated entries (add or remove a key) become validity intervals: an addition holds until
 the next entry for its key. Every capture is joined as of its fetch time with the intervals of
-all keys of its URL: the host and each domain above it, and the host with each leading part of
-its path.
+all keys of its URL: the host and each domain above it (an address has none above it), and the
+host with each leading part of its path.
 """
 
 from __future__ import annotations
@@ -11,15 +11,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import HOT_SHARE, materialise
+from marlstone.llm.common import HOT_SHARE, join_groups, materialise
 
-#: Parts into which the captures of a hot key are dealt; the key's intervals are repeated for each.
-SALTS = 32
+#: Intervals of hot keys that are broadcast at most; there are fewer than HOT_SHARE such keys, but a key may have any number of intervals.
+MOST_BROADCAST = 1_000_000
+IPV4 = "^[0-9]{1,3}([.][0-9]{1,3}){3}$"
 
 
 def host_of(url: Column) -> Column:
-    """The lower-case host of a URL, without user and port; empty for anything else."""
-    return F.coalesce(F.lower(F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
+    """The lower-case host of a URL, without user and port, an IPv6 address with its brackets; empty for anything else."""
+    return F.coalesce(F.lower(F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\\[[^\\]/?#]*\\]|[^/?#:]*)", 1)), F.lit(""))
 
 
 def path_of(url: Column) -> Column:
@@ -28,9 +29,10 @@ def path_of(url: Column) -> Column:
 
 
 def url_keys(url: Column) -> Column:
-    """All keys under which lists may have a URL: 'd:' and a domain of two labels or more, 'p:' and the host with leading path parts."""
+    """All keys under which lists may have a URL: 'd:' and a domain of two labels or more or an address, 'p:' and the host with leading path parts."""
     host, path = host_of(url), path_of(url)
     labels = F.filter(F.split(host, "\\."), lambda x: x != "")
+    address = F.startswith(host, F.lit("[")) | host.rlike(IPV4)
     parts = F.filter(F.split(path, "/"), lambda x: x != "")
     domains = F.transform(
         F.filter(F.sequence(F.lit(1), F.greatest(F.size(labels), F.lit(1))), lambda i: F.size(labels) - i >= 1),
@@ -40,7 +42,7 @@ def url_keys(url: Column) -> Column:
         F.filter(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), lambda i: i <= F.size(parts)),
         lambda i: F.concat(F.lit("p:"), host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/")),
     )
-    return F.when(host != "", F.array_distinct(F.concat(domains, paths))).otherwise(F.array().cast("array<string>"))
+    return F.when(host != "", F.array_distinct(F.concat(F.when(address, F.array(F.concat(F.lit("d:"), host))).otherwise(domains), paths))).otherwise(F.array().cast("array<string>"))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -62,24 +64,24 @@ def filter_urls(captures: DataFrame, entries: DataFrame, capture_id: str = "page
     one URL and time are one capture each in the output and count alike. An entry holds from its
     date on, to before the next one's. An empty table gives no rows; other columns are ignored.
     """
-    rows = captures.select(F.col(capture_id).alias("id"), F.col(url).alias("url"), F.col(fetched).alias("at"))
-    once = rows.groupBy("id", "url", "at").agg(F.count("*").alias("copies"))
-    once = materialise(once, "captures")
-    keys = materialise(once.select("id", "url", "at", F.explode(url_keys(F.col("url"))).alias("key")), "keys")
-    counts = keys.groupBy("key").agg(F.count("*").alias("n"))
-    total = max(1, keys.count())
-    hot = materialise(counts.filter(F.col("n") > max(1, total // HOT_SHARE)).select("key", F.lit(True).alias("hot")), "hot")
-    salted = keys.join(F.broadcast(hot), "key", "left").withColumn(
-        "salt", F.when(F.col("hot"), F.pmod(F.xxhash64("id", "url", "at"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
-    )
-    held = intervals(entries).join(F.broadcast(hot), "key", "left")
-    held = held.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("hot"), SALTS - 1).otherwise(0)))).drop("hot")
-    matches = salted.drop("hot").join(held, ["key", "salt"]).filter((F.col("at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("at") < F.col("valid_to"))))
-    found = matches.groupBy("id", "url", "at").agg(F.count("*").alias("n_rules"), F.min(F.concat_ws(" ", "list", "key")).alias("first_rule"))
-    same = [once[x].eqNullSafe(found[x]) for x in ("id", "url", "at")]
-    out = once.join(found, same[0] & same[1] & same[2], "left").select(
-        once["id"].alias(capture_id), "copies", F.coalesce("n_rules", F.lit(0)).alias("n_rules"), "first_rule"
-    )
-    return out.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(
-        capture_id, (F.col("n_rules") > 0).alias("blocked"), F.col("n_rules").cast("long").alias("n_rules"), "first_rule"
-    )
+    rows = materialise(captures.select(F.col(capture_id).alias("id"), F.col(url).alias("url"), F.col(fetched).alias("at")), "captures")
+    dated = rows.filter(F.col("url").isNotNull() & F.col("at").isNotNull())
+    once = materialise(dated.groupBy("url", "at").agg(F.count("*").alias("copies")), "once")
+    keys = materialise(once.select("url", "at", F.explode(url_keys(F.col("url"))).alias("key")), "keys")
+    held = materialise(intervals(entries), "intervals")
+    total = keys.count()
+    hot = materialise(keys.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > max(1, total // HOT_SHARE)).select("key"), "hot")
+    often = held.join(F.broadcast(hot), "key", "left_semi")
+    if often.count() <= MOST_BROADCAST:
+        # captures of hot keys stay where they are, the few intervals of these keys go to them
+        rare = keys.join(F.broadcast(hot), "key", "left_anti").join(held.join(F.broadcast(hot), "key", "left_anti"), "key")
+        met = keys.join(F.broadcast(often), "key").unionByName(rare)
+    else:
+        met = keys.join(held, "key")
+    matches = met.filter((F.col("at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("at") < F.col("valid_to"))))
+    found = matches.groupBy("url", "at").agg(F.count("*").alias("n_rules"), F.min(F.concat_ws(" ", "list", "key")).alias("first_rule"))
+    results = materialise(once.join(found, ["url", "at"], "left"), "results")
+    none = rows.filter(F.col("url").isNull() | F.col("at").isNull()).select("id", F.lit(None).cast("long").alias("n_rules"), F.lit(None).cast("string").alias("first_rule"))
+    out = join_groups(dated, results, ["url", "at"], "copies").select("id", "n_rules", "first_rule").unionByName(none)
+    number = F.coalesce("n_rules", F.lit(0)).cast("long")
+    return out.select(F.col("id").alias(capture_id), (number > 0).alias("blocked"), number.alias("n_rules"), "first_rule")

@@ -174,15 +174,17 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES
     bundle; other columns are ignored.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    pages = pages.withColumn("page_id", F.col("page_id").cast("long"))
-    rows = pages.select("page_id", "url", F.octet_length(html).alias("size"), F.sha2(html, 256).alias("sha"))
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"))
+    sha = F.sha2("html", 256)
+    rows = materialise(pages.select("page_id", F.octet_length("html").alias("size"), sha.alias("sha")), "payloads")
     same = rows.filter(F.col("size") >= least_bytes).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    repeated = materialise(same.filter("n > 1"), "repeated")
-    # a revisit needs another record to refer to; only groups of two or more are joined
-    keyed = pages.select("page_id", "url", html.alias("html"), F.sha2(html, 256).alias("sha"))
-    marked = keyed.join(repeated.select("sha", "first"), "sha", "left")
-    refers = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    return materialise(marked.select("page_id", "url", "html", refers.alias("refers_to")).mapInArrow(_writer(folder), MANIFEST), "manifest")
+    repeated = materialise(same.filter("n > 1 and first is not null"), "repeated")
+    # who revisits whom is found out among ids; payloads are only joined with what their own page and digest refers to
+    record = F.concat_ws(" ", "page_id", "sha")
+    revisits = join_groups(rows.select("page_id", "sha"), repeated, "sha", "n").filter(~F.col("page_id").eqNullSafe(F.col("first")))
+    revisits = materialise(revisits.groupBy(record.alias("record")).agg(F.first("first").alias("refers_to"), F.count("*").alias("copies")), "revisits")
+    marked = join_groups(pages.select("page_id", "url", "html", sha.alias("sha")).select("page_id", "url", "html", record.alias("record")), revisits, "record", "copies", "left")
+    return materialise(marked.select("page_id", "url", "html", "refers_to").mapInArrow(_writer(folder), MANIFEST), "manifest")
 
 
 READ = "page_id bigint, record_type string, refers_to bigint, payload_digest string, payload binary"
