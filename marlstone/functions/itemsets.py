@@ -1,6 +1,6 @@
 """Itemsets as sorted arrays of distinct strings: their algebra as column functions.
 
-An item is the string "attribute=value". Every function keeps results sorted and distinct, so
+An item is the string "attribute=value", the name as item_name() writes it. Every function keeps results sorted and distinct, so
 equal sets are equal arrays and can be join keys.
 """
 
@@ -12,12 +12,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def item_name(attribute: str) -> str:
+    """An attribute's name as it stands in items: = and % are written %3D and %25, so that the first = ends it."""
+    return attribute.replace("%", "%25").replace("=", "%3D")
+
+
+def attribute_name(name: str) -> str:
+    """The attribute that item_name() was given."""
+    return name.replace("%3D", "=").replace("%25", "%")
+
+
 def item(attribute: str, value: Column | None = None) -> Column:
     """The item of an attribute's value; null where the value is missing."""
-    return F.concat(F.lit(f"{attribute}="), F.col(attribute).cast("string") if value is None else value)
+    return F.concat(F.lit(f"{item_name(attribute)}="), F.col(attribute).cast("string") if value is None else value)
 
 
 def item_attribute(x: Column) -> Column:
+    """The attribute's name as it stands in the item."""
     return F.substring_index(x, "=", 1)
 
 

@@ -1,15 +1,16 @@
 """Rule lists as classifiers: construction by greedy covering, evaluation and labelling.
 
 Construction needs to know only which rules cover a row, and its class. Rows are reduced once to
-the distinct combinations of these with their number, and every greedy step is one aggregation
-over that small table.
+the distinct combinations of these with their number. If that table is small, by count, the
+greedy steps are taken on the driver; else every step is one aggregation over it.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ from marlstone.operators.rules import EQ, Literal, Rule, check, order_key
 USE_ALL, N_ALL, N_EACH, MAX_COVER = "all", "n_all", "n_each", "max_cover"
 #: Rules from which on a label is looked up in an array of conditions rather than a chain of cases.
 LONG_LIST = 200
+#: Distinct signatures times rules up to which greedy steps are taken on the driver, without a job for each.
+LOCAL_CELLS = 20_000_000
 
 
 @dataclass(frozen=True)
@@ -43,6 +46,11 @@ class _Signatures:
         cover = F.array(*[r.covers() for r in rules]) if rules else F.array().cast("array<boolean>")
         w = F.col(weight) if weight else F.lit(1)
         self.rows = known.select(cover.alias("cover"), F.col(class_).cast("string").alias("class"), w.alias("w")).groupBy("cover", "class").agg(F.sum("w").alias("n")).cache()
+        self.here: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+        if self.rows.count() * max(1, len(rules)) <= LOCAL_CELLS:
+            found = self.rows.toArrow()
+            cover = found["cover"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(bool).reshape(found.num_rows, len(rules))
+            self.here = cover, np.array(found["class"].to_pylist(), object), found["n"].to_numpy()
 
     def open_rows(self, picked: list[int]) -> Column:
         return ~reduce(lambda a, b: a | b, [F.get("cover", F.lit(i)) for i in picked], F.lit(False))
@@ -51,6 +59,13 @@ class _Signatures:
         """Positives and negatives of the rules left, on rows that no picked one covers."""
         if not left:
             return {}
+        if self.here is not None:
+            cover, classes, n = self.here
+            open_ = ~cover[:, picked].any(axis=1)
+            cover, classes, n = cover[open_][:, left], classes[open_], n[open_]
+            right = classes[:, None] == np.array([self.rules[i].head.value for i in left], object)[None, :]
+            pos, neg = (n @ (cover & right)).tolist(), (n @ (cover & ~right)).tolist()
+            return {i: (int(p), int(m)) for i, p, m in zip(left, pos, neg)}
         heads = F.array(*[F.lit(r.head.value) for r in self.rules])
         rule = F.explode(F.filter(F.array(*[F.lit(i) for i in left]), lambda i: F.get("cover", i)))
         hits = self.rows.filter(self.open_rows(picked)).select(rule.alias("rule"), "class", "n")
@@ -229,11 +244,3 @@ def evaluate(df: DataFrame, rules: list[Rule], class_: str) -> Evaluation:
     for r in cells:
         matrix[len(values) if r["predicted"] is None else values.index(r["predicted"])][values.index(r["real"])] = r["n"]
     return Evaluation(values, matrix)
-
-
-def without_default(rules: list[Rule]) -> list[Rule]:
-    return [r for r in rules if r.body]
-
-
-def renamed(rules: list[Rule], class_: str) -> list[Rule]:
-    return [replace(r, head=Literal(class_, EQ, r.head.value)) for r in rules]

@@ -15,7 +15,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.operators.tables import CONTINUOUS, DISCRETE, kind
+from marlstone.operators.tables import CONTINUOUS, DISCRETE, fresh, kind
 
 
 #: Values up to which a column's are counted beside the sums of numbers, in one aggregation.
@@ -105,7 +105,7 @@ def centroid_of(row, attrs: list[Attribute]) -> Centroid:
 def seed_rows(df: DataFrame, attrs: list[Attribute], k: int, seed: int) -> list:
     """k rows with the smallest seeded hashes of their values; a table with fewer repeats them."""
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(a.name).cast("string"), F.lit("?")) for a in attrs]))
-    rows = df.select(*[a.name for a in attrs], key.alias("_key")).orderBy("_key").limit(k).collect()
+    rows = df.select(*[a.name for a in attrs]).orderBy(key).limit(k).collect()
     if not rows:
         raise ValueError("no rows to cluster")
     return [rows[i % len(rows)] for i in range(k)]
@@ -125,7 +125,8 @@ def updated(df: DataFrame, model: ClusterModel, previous: ClusterModel | None =
     Missing values count for no column's mean. A cluster without members starts anew at a seeded row.
     """
     was = F.lit(None).cast("int") if previous is None else previous.assigned()
-    rows = df.select(*[a.name for a in model.attributes], model.assigned().alias("cluster"), was.alias("was"))
+    cluster, before = fresh(df, "cluster"), fresh(df, "was")
+    rows = df.select(*[a.name for a in model.attributes], model.assigned().alias(cluster), was.alias(before))
     aggs = [F.count("*").alias("n")]
     few = [a for a in model.attributes if a.kind == DISCRETE and len(a.values) <= FEW_VALUES]
     for i, a in enumerate(model.attributes):
@@ -135,7 +136,7 @@ def updated(df: DataFrame, model: ClusterModel, previous: ClusterModel | None =
             aggs += [F.count_if(F.col(a.name).cast("string") == v).alias(f"v{i}_{j}") for j, v in enumerate(a.values)]
     totals: dict[int, Counter] = {}
     moved = 0
-    for r in rows.groupBy("cluster", "was").agg(*aggs).collect():
+    for r in rows.groupBy(F.col(cluster).alias("cluster"), F.col(before).alias("was")).agg(*aggs).collect():
         one = totals.setdefault(r["cluster"], Counter())
         for x in aggs_names(model, few):
             one[x] += r[x] or 0
@@ -147,7 +148,7 @@ def updated(df: DataFrame, model: ClusterModel, previous: ClusterModel | None =
                 counts[k, a.name] = {v: one[f"v{i}_{j}"] for j, v in enumerate(a.values)}
     many = [a.name for a in model.attributes if a.kind == DISCRETE and a not in few]
     if many:
-        long = rows.select("cluster", F.explode(F.array(*[F.struct(F.lit(x).alias("a"), F.col(x).cast("string").alias("v")) for x in many])).alias("p")).filter("p.v is not null")
+        long = rows.select(F.col(cluster).alias("cluster"), F.explode(F.array(*[F.struct(F.lit(x).alias("a"), F.col(x).cast("string").alias("v")) for x in many])).alias("p")).filter("p.v is not null")
         for r in long.groupBy("cluster", "p.a", "p.v").agg(F.count("*").alias("n")).collect():
             counts.setdefault((r["cluster"], r["a"]), {})[r["v"]] = r["n"]
     clusters = []

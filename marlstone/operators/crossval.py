@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.functions.itemsets import item_name
 from marlstone.operators.classify import MAX_COVER, N_ALL, N_EACH, ClassifierParameters, accuracies, build_classifier, build_classifiers, class_values, evaluate
 from marlstone.operators.mining import MiningParameters, class_rules
 from marlstone.operators.rules import Rule, from_mined
 from marlstone.operators.selection import NONE, SelectionParameters, select_items
+from marlstone.operators.tables import fresh
 
 FOLDS = 10
 GRID_N = (1, 2, 5, 10, 15, 20)
@@ -24,17 +26,19 @@ def numbered(df: DataFrame, *key: str, seed: int = 42, name: str = "_number") ->
     and rows are numbered within their part, so no task orders all rows.
     """
     place = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("?")) for k in key]))
-    rows = df.withColumn("_place", place).withColumn("_part", F.substring("_place", 1, _DIGITS))
-    sizes = rows.groupBy("_part").agg(F.count("*").alias("n"))
-    earlier = F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select("_part", F.coalesce(earlier, F.lit(0)).alias("_start"))  # 4096 rows
-    within = F.row_number().over(Window.partitionBy("_part").orderBy("_place", *key)) - 1
-    return rows.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + within).drop("_place", "_part", "_start")
+    at, part, start = (fresh(df, x) for x in ("_place", "_part", "_start"))
+    rows = df.withColumn(at, place).withColumn(part, F.substring(at, 1, _DIGITS))
+    sizes = rows.groupBy(part).agg(F.count("*").alias("n"))
+    earlier = F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(part, F.coalesce(earlier, F.lit(0)).alias(start))  # 4096 rows
+    within = F.row_number().over(Window.partitionBy(part).orderBy(at, *key)) - 1
+    return rows.join(F.broadcast(starts), part).withColumn(name, F.col(start) + within).drop(at, part, start)
 
 
 def with_folds(df: DataFrame, *key: str, folds: int = FOLDS, seed: int = 42, name: str = "fold") -> DataFrame:
     """df with a random fold from 0; sizes differ by one at most, the first folds being the larger."""
-    return numbered(df, *key, seed=seed).withColumn(name, F.pmod(F.col("_number"), F.lit(folds)).cast("int")).drop("_number")
+    number = fresh(df, "_number")
+    return numbered(df, *key, seed=seed, name=number).withColumn(name, F.pmod(F.col(number), F.lit(folds)).cast("int")).drop(number)
 
 
 def mine_rules(df: DataFrame, attrs: list[str], class_: str, p: MiningParameters, s: SelectionParameters = SelectionParameters()) -> list[Rule]:
@@ -43,7 +47,8 @@ def mine_rules(df: DataFrame, attrs: list[str], class_: str, p: MiningParameters
     selected = None
     if s.method != NONE:
         known = df.filter(F.col(class_).isNotNull())
-        selected = {f"{class_}={v}": select_items(known, [*others, class_], f"{class_}={v}", s) for v in class_values(df, class_)}
+        heads = [f"{item_name(class_)}={v}" for v in class_values(df, class_)]
+        selected = {h: select_items(known, [*others, class_], h, s) for h in heads}
     return from_mined(class_rules(df, others, class_, p, selected).collect())
 
 
@@ -52,13 +57,17 @@ def run_classifier(df: DataFrame, attrs: list[str], class_: str, p: MiningParame
     return build_classifier(df, mine_rules(df, attrs, class_, p, s), class_, c)
 
 
+def _fold_parts(df: DataFrame, class_: str, key: tuple[str, ...], folds: int, seed: int) -> tuple[DataFrame, list[tuple[DataFrame, DataFrame]]]:
+    """The rows with their folds, cached, and what each fold learns from and is tested on."""
+    fold = fresh(df, "fold")
+    rows = with_folds(df.filter(F.col(class_).isNotNull()), *(key or df.columns), folds=folds, seed=seed, name=fold).cache()
+    return rows, [(rows.filter(F.col(fold) != i).drop(fold), rows.filter(F.col(fold) == i).drop(fold)) for i in range(folds)]
+
+
 def cross_validate(df: DataFrame, attrs: list[str], class_: str, p: MiningParameters, c: ClassifierParameters, s: SelectionParameters = SelectionParameters(), key: tuple[str, ...] = (), folds: int = FOLDS, seed: int = 42) -> list[float]:
     """The accuracy on each fold of a classifier made from the others; their mean is the result."""
-    rows = with_folds(df.filter(F.col(class_).isNotNull()), *(key or df.columns), folds=folds, seed=seed).cache()
-    out = []
-    for fold in range(folds):
-        learned = run_classifier(rows.filter(F.col("fold") != fold).drop("fold"), attrs, class_, p, c, s)
-        out.append(evaluate(rows.filter(F.col("fold") == fold).drop("fold"), learned, class_).accuracy)
+    rows, parts = _fold_parts(df, class_, key, folds, seed)
+    out = [evaluate(test, run_classifier(train, attrs, class_, p, c, s), class_).accuracy for train, test in parts]
     rows.unpersist()
     return out
 
@@ -72,10 +81,7 @@ def grid(train: DataFrame, test: DataFrame, attrs: list[str], class_: str, p: Mi
 
 def grid_folds(df: DataFrame, attrs: list[str], class_: str, p: MiningParameters, s: SelectionParameters = SelectionParameters(), key: tuple[str, ...] = (), folds: int = FOLDS, seed: int = 42, cells: list = GRID) -> list[tuple[int, str, bool, int, float]]:
     """The grid for every fold."""
-    rows = with_folds(df.filter(F.col(class_).isNotNull()), *(key or df.columns), folds=folds, seed=seed).cache()
-    out = []
-    for fold in range(folds):
-        out += [(fold, *x) for x in grid(rows.filter(F.col("fold") != fold).drop("fold"), rows.filter(F.col("fold") == fold).drop("fold"), attrs, class_, p, s, cells)]
+    rows, parts = _fold_parts(df, class_, key, folds, seed)
+    out = [(i, *cell) for i, (train, test) in enumerate(parts) for cell in grid(train, test, attrs, class_, p, s, cells)]
     rows.unpersist()
     return out
-

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.measures import plogp
+from marlstone.operators.rules import number_text
+from marlstone.operators.tables import fresh
 
 #: Distinct values that are ordered in one task; more are dealt to ranges.
 ONE_PART = 100_000
@@ -69,15 +71,18 @@ def best_cut(rows: DataFrame, attr: str, class_: str, weight: str | None = None,
 
 def discretise(df: DataFrame, attr: str, cut: float, name: str | None = None) -> DataFrame:
     """df with the side of a cut ('<=cut' or '>cut') as a discrete column; missing stays missing."""
-    label = F.when(F.col(attr) <= cut, f"<={cut:g}").when(F.col(attr) > cut, f">{cut:g}")
+    shown = number_text(cut)
+    label = F.when(F.col(attr) <= cut, f"<={shown}").when(F.col(attr) > cut, f">{shown}")
     return df.withColumn(name or attr, label)
 
 
 def z_scores(df: DataFrame, attrs: list[str]) -> DataFrame:
     """df with each number less its mean, by its sample deviation; missing stays missing, and a column without spread is 0."""
-    stats = df.agg(*[f(x).alias(f"{n}_{x}") for x in attrs for n, f in (("_mean", F.avg), ("_dev", F.stddev_samp))])
+    names = {(n, x): fresh(df, f"_{n}_{x}") for x in attrs for n in ("mean", "dev")}
+    stats = df.agg(*[f(x).alias(names[n, x]) for x in attrs for n, f in (("mean", F.avg), ("dev", F.stddev_samp))])
     out = df.crossJoin(F.broadcast(stats))  # one row
     for x in attrs:
-        z = F.when(F.col(f"_dev_{x}") > 0, (F.col(x) - F.col(f"_mean_{x}")) / F.col(f"_dev_{x}")).otherwise(F.lit(0.0))
+        mean, dev = F.col(names["mean", x]), F.col(names["dev", x])
+        z = F.when(dev > 0, (F.col(x) - mean) / dev).otherwise(F.lit(0.0))
         out = out.withColumn(x, F.when(F.col(x).isNotNull(), z))
-    return out.drop(*[f"{n}_{x}" for x in attrs for n in ("_mean", "_dev")])
+    return out.drop(*names.values())

@@ -14,23 +14,25 @@ from marlstone.functions.itemsets import all_of
 from marlstone.functions.measures import EMPTY_ENTROPY
 from marlstone.operators.discretise import best_cut
 from marlstone.operators.rules import EQ, GT, LE, NEQ, Literal, Rule
-from marlstone.operators.tables import CONTINUOUS, DISCRETE, distinct_rows, kind
+from marlstone.operators.tables import CONTINUOUS, DISCRETE, distinct_rows, fresh, kind
 
 #: Digits to which entropies are equal.
 DIGITS = 12
+#: Literals of a body up to which pruning looks at every subset.
+ALL_SUBSETS = 12
 
 
 @dataclass(frozen=True)
 class InductionParameters:
     min_support: int = 10
     use_negation: bool = False
-    max_body: int = 10  #: pruning looks at all subsets of a body, so bodies are bounded
+    max_body: int | None = None  #: literals of a body, if they are to be bounded
 
     def __post_init__(self) -> None:
         if self.min_support < 1:
             raise ValueError("min_support must be 1 or more")
-        if not 1 <= self.max_body <= 16:
-            raise ValueError("max_body must be between 1 and 16")
+        if self.max_body is not None and self.max_body < 1:
+            raise ValueError("max_body must be 1 or more")
 
 
 def entropy_of(counts: dict[str, int]) -> float:
@@ -42,8 +44,8 @@ def majority(counts: dict[str, int]) -> str | None:
     return min(counts, key=lambda c: (-counts[c], c), default=None)
 
 
-def _class_counts(rows: DataFrame, class_: str) -> dict[str, int]:
-    return {r[0]: r[1] for r in rows.groupBy(class_).agg(F.sum("_n")).collect()}
+def _class_counts(rows: DataFrame, class_: str, weight: str) -> dict[str, int]:
+    return {r[0]: r[1] for r in rows.groupBy(class_).agg(F.sum(weight)).collect()}
 
 
 def candidate_literals(rows: DataFrame, attrs: list[str], class_: str, cuts: dict[str, float], use_negation: bool, weight: str = "_n") -> DataFrame:
@@ -91,20 +93,21 @@ def grow_rules(df: DataFrame, class_: str, p: InductionParameters = InductionPar
     if kind(df, class_) != DISCRETE:
         raise ValueError("the target must be discrete")
     attrs = attrs if attrs is not None else [x for x in df.columns if x != class_]
-    rows = distinct_rows(df.filter(F.col(class_).isNotNull()), [*attrs, class_]).cache()
+    weight = fresh(df, "_n")
+    rows = distinct_rows(df.filter(F.col(class_).isNotNull()), [*attrs, class_], weight).cache()
     left, rules = F.lit(True), []
-    counts = _class_counts(rows, class_)
+    counts = _class_counts(rows, class_, weight)
     classes = sorted(counts)
     while sum(counts.values()) and (max_rules is None or len(rules) < max_rules):
         open_rows = rows.filter(left)
         cuts = {}
         for a in attrs:
             if kind(df, a) == CONTINUOUS:
-                cut = best_cut(open_rows, a, class_, "_n", classes).first()["cut"]
+                cut = best_cut(open_rows, a, class_, weight, classes).first()["cut"]
                 if cut is not None:
                     cuts[a] = cut
-        body = _grow_body(open_rows, [a for a in attrs if kind(df, a) == DISCRETE or a in cuts], class_, cuts, counts, p)
-        rule, covered = _prune(open_rows, body, class_)
+        body = _grow_body(open_rows, [a for a in attrs if kind(df, a) == DISCRETE or a in cuts], class_, cuts, counts, p, weight)
+        rule, covered = _prune(open_rows, body, class_, weight)
         if not rule.pos:
             break
         rules.append(rule)
@@ -114,14 +117,14 @@ def grow_rules(df: DataFrame, class_: str, p: InductionParameters = InductionPar
     return rules
 
 
-def _grow_body(open_rows: DataFrame, attrs: list[str], class_: str, cuts: dict[str, float], counts: dict[str, int], p: InductionParameters) -> list[Literal]:
+def _grow_body(open_rows: DataFrame, attrs: list[str], class_: str, cuts: dict[str, float], counts: dict[str, int], p: InductionParameters, weight: str) -> list[Literal]:
     body: list[Literal] = []
     unused = list(attrs)
     current, n = entropy_of(counts), sum(counts.values())
     negatives = n - max(counts.values())
-    while negatives and len(unused) >= (2 if body else 1) and len(body) < p.max_body:
+    while negatives and len(unused) >= (2 if body else 1) and (p.max_body is None or len(body) < p.max_body):
         here = open_rows.filter(all_of([x.column() for x in body]))
-        found = candidate_literals(here, unused, class_, cuts, p.use_negation).filter(F.col("n") >= p.min_support)
+        found = candidate_literals(here, unused, class_, cuts, p.use_negation, weight).filter(F.col("n") >= p.min_support)
         best = found.orderBy("entropy", F.desc("n"), "place", "value", "negated").first()
         if best is None or not (best["entropy"] < current or best["entropy"] == current and best["n"] > n):
             break
@@ -135,13 +138,23 @@ def _grow_body(open_rows: DataFrame, attrs: list[str], class_: str, cuts: dict[s
     return body
 
 
-def _prune(open_rows: DataFrame, body: list[Literal], class_: str) -> tuple[Rule, Counter]:
+def _met_by_some(patterns: set[tuple[bool, ...]]) -> list[tuple[bool, ...]]:
+    """What is met in common by the rows of each set of patterns; shorter ones first."""
+    found: set[tuple[bool, ...]] = set()
+    for p in sorted(patterns):
+        found |= {tuple(a and b for a, b in zip(p, x)) for x in found} | {p}
+    return sorted(found, key=lambda x: (sum(x), x))
+
+
+def _prune(open_rows: DataFrame, body: list[Literal], class_: str, weight: str) -> tuple[Rule, Counter]:
     """The rule of the subset of the body with the least entropy on the open rows, the whole body unless another has less; and its class counts.
 
-    Rows are counted once by which literals they meet; subsets are summed up from that.
+    Rows are counted once by which literals they meet; subsets are summed up from that. Of more
+    than ALL_SUBSETS literals, only subsets that differ in the rows they cover are looked at: these are
+    the literals that all of some rows meet.
     """
     flags = F.array(*[x.column() for x in body]) if body else F.array().cast("array<boolean>")
-    cells = [(tuple(r["met"]), r["class"], r["n"]) for r in open_rows.select(flags.alias("met"), F.col(class_).alias("class"), "_n").groupBy("met", "class").agg(F.sum("_n").alias("n")).collect()]
+    cells = [(tuple(r["met"]), r["class"], r["n"]) for r in open_rows.select(flags.alias("met"), F.col(class_).alias("class"), F.col(weight).alias("w")).groupBy("met", "class").agg(F.sum("w").alias("n")).collect()]
 
     def counts(chosen: tuple[bool, ...]) -> Counter:
         out: Counter = Counter()
@@ -152,7 +165,7 @@ def _prune(open_rows: DataFrame, body: list[Literal], class_: str) -> tuple[Rule
 
     best = (True,) * len(body)
     least = entropy_of(counts(best))
-    for chosen in product((False, True), repeat=len(body)):
+    for chosen in product((False, True), repeat=len(body)) if len(body) <= ALL_SUBSETS else _met_by_some({met for met, _, _ in cells}):
         if body and (e := entropy_of(counts(chosen))) < least:
             best, least = chosen, e
     final = counts(best)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions import itemsets
-from marlstone.operators.tables import distinct_rows, require_discrete
+from marlstone.operators.tables import distinct_rows, fresh, require_discrete
 
 
 #: The length of itemsets from which on a level is looked at, to stop at an empty one.
@@ -52,7 +52,8 @@ class MiningParameters:
 def transactions(df: DataFrame, attrs: list[str]) -> DataFrame:
     """(items, weight): distinct rows as sorted arrays of items, a missing value giving none."""
     require_discrete(df, attrs)
-    return distinct_rows(df, attrs).select(itemsets.itemset(*[itemsets.item(a) for a in attrs]).alias("items"), F.col("_n").alias("weight"))
+    n = fresh(df, "_n")
+    return distinct_rows(df, attrs, n).select(itemsets.itemset(*[itemsets.item(a) for a in attrs]).alias("items"), F.col(n).alias("weight"))
 
 
 def exploded(rows: DataFrame, *more: str) -> DataFrame:
@@ -146,7 +147,7 @@ def class_rules(df: DataFrame, attrs: list[str], class_: str, p: MiningParameter
     attrs = [a for a in attrs if a != class_]
     known = df.filter(F.col(class_).isNotNull())
     found = frequent_itemsets(known, [*attrs, class_], p)
-    is_class = lambda x: F.substring_index(x, "=", 1) == class_
+    is_class = lambda x: itemsets.item_attribute(x) == itemsets.item_name(class_)
     with_class = found.filter(F.exists("items", is_class) & (F.size("items") > 1))
     split = with_class.select(
         F.filter("items", lambda x: ~is_class(x)).alias("body"), F.element_at(F.filter("items", is_class), 1).alias("head"), F.col("freq").alias("pos")

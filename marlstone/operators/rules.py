@@ -9,12 +9,17 @@ from html import escape
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.functions.itemsets import all_of
+from marlstone.functions.itemsets import all_of, attribute_name
 from marlstone.operators.tables import CONTINUOUS, DISCRETE, kind
 
 EQ, NEQ, LE, GT = "=", "<>", "<=", ">"
 
 
+def number_text(x: float) -> str:
+    """A number with all its digits; whole ones without a point."""
+    return str(int(x)) if float(x).is_integer() and abs(x) < 1e15 else repr(float(x))
+
+
 @dataclass(frozen=True)
 class Literal:
     """attr op value: = and <> for discrete columns, <= and > for numbers."""
@@ -45,7 +50,7 @@ class Literal:
         return Literal(self.attr, {EQ: NEQ, NEQ: EQ, LE: GT, GT: LE}[self.op], self.value)
 
     def __str__(self) -> str:
-        return f"{self.attr}{self.op}{self.value if self.kind == DISCRETE else f'{self.value:g}'}"
+        return f"{self.attr}{self.op}{self.value if self.kind == DISCRETE else number_text(self.value)}"
 
 
 @dataclass(frozen=True)
@@ -74,7 +79,7 @@ class Rule:
 
 def parse_item(item: str) -> Literal:
     attr, _, value = item.partition("=")
-    return Literal(attr, EQ, value)
+    return Literal(attribute_name(attr), EQ, value)
 
 
 def from_mined(rows: Iterable) -> list[Rule]:
@@ -140,12 +145,18 @@ def plain_text(r: Rule) -> str:
     return f"{r.conf:f} {r.freq} {' & '.join(map(str, r.body))} => {r.head}"
 
 
-def words(r: Rule, counts: bool = True) -> str:
-    """FROM body FOLLOWS head, with counts if wanted."""
-    text = f"FROM {' AND '.join(map(str, r.body)) or 'ANYTHING'} FOLLOWS {r.head}"
-    return f"{text} (pos={r.pos}, neg={r.neg}, freq={r.freq}, conf={r.conf:f})" if counts else text
+# The layouts of rules as text and as HTML.
+FROM, FOLLOWS = "FROM", "FOLLOWS"
+HTML_FROM, HTML_FOLLOWS, HTML_END = "<p><font color=blue><b>FROM</b></font> ", "<br><font color=blue><b>FOLLOWS</b></font> ", "</p>"
+
+
+def words(r: Rule, pos_neg: bool = True, freq_conf: bool = True) -> str:
+    """FROM, a line for each condition, FOLLOWS and the head; counts are comments of the text format, each pair if wanted."""
+    lines = [FROM, *map(str, r.body), FOLLOWS, str(r.head)]
+    lines += [f"%(pos={r.pos},neg={r.neg})"] * pos_neg + [f"%(freq={r.freq},Conf={r.conf:f})"] * freq_conf
+    return "\n".join(lines)
 
 
 def html(r: Rule) -> str:
-    body = " <b>and</b> ".join(escape(str(x)) for x in r.body)
-    return f"<li><b>if</b> {body or 'anything'} <b>then</b> {escape(str(r.head))} <i>({r.freq}, {r.conf:f})</i></li>"
+    """The rule as a paragraph of HTML, conditions with commas between them."""
+    return HTML_FROM + ", ".join(escape(str(x), quote=False) for x in r.body) + HTML_FOLLOWS + escape(str(r.head), quote=False) + HTML_END

@@ -7,10 +7,7 @@ one aggregation. Rankings are by score, then by item, so that ties have an order
 from __future__ import annotations
 
 import math
-import random
-from bisect import bisect_right
 from dataclasses import dataclass
-from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,8 +15,8 @@ from pyspark.sql import functions as F
 from marlstone.operators.mining import exploded, transactions
 
 NONE, STAT_CORR, ODDS_RATIO, RELIEF, RELIEF2 = "none", "stat_corr", "odds_ratio", "relief", "relief2"
-#: Parts that distinct rows are dealt to for a sample of rows.
-PARTS = 4096
+#: Hex digits of the hash by which distinct rows are dealt to parts for a sample of rows.
+PART_DIGITS = 3
 
 
 @dataclass(frozen=True)
@@ -96,48 +93,36 @@ def stat_corr(df: DataFrame, attrs: list[str], target: str, threshold: float) ->
 
 
 def relief_sample(df: DataFrame, attrs: list[str], m: int, seed: int) -> DataFrame:
-    """m rows (items) in the order of a seeded hash of their items, repeats of a row following each other; a bounded sample that is the method's own."""
-    rows = transactions(df, attrs).withColumn("key", F.md5(F.concat_ws("|", F.lit(str(seed)), "items")))
-    upto = F.sum("weight").over(Window.orderBy("key").rowsBetween(Window.unboundedPreceding, -1))
-    top = rows.orderBy("key").limit(m).withColumn("before", F.coalesce(upto, F.lit(0))).filter(F.col("before") < m)
-    return top.select("items", F.least(F.col("weight"), F.lit(m) - F.col("before")).alias("times"))
+    """(items, times): m of the rows, each as likely as any other; all of them if they are fewer.
 
-
-def relief_rows(df: DataFrame, attrs: list[str], m: int, seed: int) -> DataFrame:
-    """m of the rows (items, times) without replacement, every row as likely as any other; all of them if they are fewer.
-
-    Seeded row numbers are drawn among all rows. Distinct rows are dealt to PARTS parts by hash,
-    whose sizes are added up, and weights are added up within the parts that a number falls
-    into, so no task orders all distinct rows.
+    Rows stand in the order of a seeded hash of their items, and every (number of rows / m)-th is
+    taken, from the middle of the first step on. Distinct rows are dealt to parts by the hash, whose sizes
+    are added up, and rows are added up within their part, so no task orders all of them.
     """
-    spark = df.sparkSession
-    rows = transactions(df, attrs).withColumn("part", F.pmod(F.xxhash64("items"), F.lit(PARTS)))
-    sizes = sorted(tuple(r) for r in rows.groupBy("part").agg(F.sum("weight").alias("n")).collect())  # PARTS rows at most
-    ends = list(accumulate(n for _, n in sizes))
-    total = ends[-1] if ends else 0
-    places = []
-    for number in random.Random(seed).sample(range(total), min(m, total)):
-        i = bisect_right(ends, number)
-        places.append((sizes[i][0], number - ends[i] + sizes[i][1]))
-    drawn = spark.createDataFrame(places, "part long, place long")
-    weights = Window.partitionBy("part").orderBy("items")
-    rows = rows.join(F.broadcast(drawn.select("part").distinct()), "part", "left_semi").withColumn("end", F.sum("weight").over(weights.rowsBetween(Window.unboundedPreceding, 0)))
-    hits = rows.join(F.broadcast(drawn), "part").filter((F.col("place") < F.col("end")) & (F.col("place") >= F.col("end") - F.col("weight")))
-    return hits.groupBy("items").agg(F.count("*").alias("times"))
-
-
-def relief(df: DataFrame, attrs: list[str], target: str, m: int, seed: int = 42, second: bool = False, by_rows: bool = False) -> DataFrame:
+    rows = transactions(df, attrs).withColumn("key", F.md5(F.concat_ws("|", F.lit(str(seed)), "items"))).withColumn("part", F.substring("key", 1, PART_DIGITS))
+    sizes = rows.groupBy("part").agg(F.sum("weight").alias("size"))
+    every, earlier = Window.orderBy("part"), Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    starts = sizes.select("part", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("start"), F.sum("size").over(whole).alias("total"))  # 4096 rows
+    within = Window.partitionBy("part").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.join(F.broadcast(starts), "part").withColumn("upto", F.col("start") + F.sum("weight").over(within))
+    # how many of the rows (2 i + 1) total / (2 m), cut off, are before a place
+    twice = 2 * F.col("total")
+    taken = lambda place: (2 * m * place + F.col("total") - 1 - (2 * m * place + F.col("total") - 1) % twice) / twice
+    times = F.when(F.col("total") <= m, F.col("weight")).otherwise(taken(F.col("upto")) - taken(F.col("upto") - F.col("weight")))
+    return placed.select("items", times.cast("long").alias("times")).filter("times > 0")
+
+
+def relief(df: DataFrame, attrs: list[str], target: str, m: int, seed: int = 42, second: bool = False) -> DataFrame:
     """(item, score) of all items but the target by the nearest hit and miss of m sampled rows.
 
     Distance is the number of items, less the target, in which two rows differ; of equally near
     rows the one with the smaller items counts. A sampled row that occurs once is not its own hit.
     Rows without hit or miss add nothing for it. second gives the variant with steps of 2 and
-    further losses of 1. by_rows samples with relief_rows, in which a row counts as often as it
-    occurs; relief_sample is the rule of the registered queries' SQL, and of a large table it
-    takes a few combinations only.
+    further losses of 1.
     """
     rows = transactions(df, attrs)
-    sampled = (relief_rows if by_rows else relief_sample)(df, attrs, m, seed).select(F.col("items").alias("own"), "times")
+    sampled = relief_sample(df, attrs, m, seed).select(F.col("items").alias("own"), "times")
     # m distinct rows at most meet the distinct rows; what is kept of each is one row
     pairs = rows.crossJoin(F.broadcast(sampled))
     has = lambda c: F.array_contains(c, target)
@@ -172,7 +157,7 @@ def select_items(df: DataFrame, attrs: list[str], target: str, p: SelectionParam
         if p.method == ODDS_RATIO:
             scores = odds_ratio(df, attrs, target)
         else:
-            scores = relief(df, attrs, target, p.sample, p.seed, p.method == RELIEF2, by_rows=True)
+            scores = relief(df, attrs, target, p.sample, p.seed, p.method == RELIEF2)
         chosen = best_share(scores, p.share, every.count())
     return chosen.unionByName(every.filter(F.col("item") == target)).distinct()
 

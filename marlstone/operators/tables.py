@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -87,27 +87,35 @@ def random_split(df: DataFrame, ratio: float = 0.9, seed: int = 42) -> tuple[Dat
     return a, b
 
 
-def distinct_rows(df: DataFrame, names: Iterable[str]) -> DataFrame:
-    """The distinct combinations of columns with their number of rows in _n.
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have: name, with underlines behind it as needed."""
+    taken = {x.lower() for x in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def distinct_rows(df: DataFrame, names: Iterable[str], count: str = "_n") -> DataFrame:
+    """The distinct combinations of columns with their number of rows in count.
 
     Mining, coverage and entropies depend on nothing else, so categories of billions of rows
     become a table that is as large as the number of combinations that occur.
     """
-    return df.groupBy(*names).agg(F.count("*").alias("_n"))
+    return df.groupBy(*names).agg(F.count("*").alias(count))
 
 
-def add_rows(mask: str, rows: str) -> str:
-    """Row masks are boolean columns; these four give the SQL for union, difference, size and reset."""
-    return f"({mask} OR {rows})"
+def add_rows(mask: Column, rows: Column) -> Column:
+    """Row masks are boolean columns; these four are union, difference, size and reset."""
+    return mask | rows
 
 
-def remove_rows(mask: str, rows: str) -> str:
-    return f"({mask} AND NOT {rows})"
+def remove_rows(mask: Column, rows: Column) -> Column:
+    return mask & ~rows
 
 
-def count_rows(mask: str) -> str:
-    return f"count_if({mask})"
+def count_rows(mask: Column) -> Column:
+    return F.count_if(mask)
 
 
-def reset_rows(value: bool) -> str:
-    return "TRUE" if value else "FALSE"
+def reset_rows(value: bool) -> Column:
+    return F.lit(value)

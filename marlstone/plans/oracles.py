@@ -155,15 +155,18 @@ SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 
 
 def _relief(second: bool) -> str:
-    """Nearest hit and miss of rows sampled by hash, and the steps of each item's weight."""
+    """Nearest hit and miss of rows sampled evenly in the order of a hash, and the steps of each item's weight."""
     target, m, step = "'o_orderstatus=F'", 100, 2 if second else 1
     items = ", ".join(_item(a) for a in ("band", *ITEMS))
     sign = "(CASE WHEN ot THEN 1 ELSE -1 END) * (CASE WHEN o THEN 1 ELSE -1 END)"
     more = " - (CASE WHEN miss IS NOT NULL AND o AND im THEN 1 ELSE 0 END) - (CASE WHEN hit IS NOT NULL AND NOT ot AND o <> ih THEN 1 ELSE 0 END)" if second else ""
     return f"""WITH {OC},
 t AS (SELECT [{items}] AS items, count(*) AS w FROM oc GROUP BY ALL),
-s AS (SELECT items AS own, w, coalesce(sum(w) OVER (ORDER BY md5('42|' || array_to_string(items, '|')) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t),
-sampled AS (SELECT own, least(w, {m} - before) AS times FROM s WHERE before < {m}),
+s AS (SELECT items AS own, w, sum(w) OVER (ORDER BY md5('42|' || array_to_string(items, '|')) ROWS UNBOUNDED PRECEDING)::BIGINT AS upto, (sum(w) OVER ())::BIGINT AS total FROM t),
+sampled AS (
+  SELECT own, times FROM (
+    SELECT own, CASE WHEN total <= {m} THEN w ELSE (2 * {m} * upto + total - 1) // (2 * total) - (2 * {m} * (upto - w) + total - 1) // (2 * total) END AS times FROM s)
+  WHERE times > 0),
 p AS (
   SELECT own, times, items, list_contains(items, {target}) = list_contains(own, {target}) AS same,
     len(list_filter(items, lambda x: x <> {target} AND NOT list_contains(own, x))) + len(list_filter(own, lambda x: x <> {target} AND NOT list_contains(items, x))) AS d
@@ -260,6 +263,19 @@ def oracle_sql() -> dict[str, str]:
         "kmeans_update": f"WITH {ASSIGNED}, r AS ({assigned_rows}) SELECT cluster::BIGINT AS cluster, attr, value, round(weight, 6) AS weight, members FROM r",
         "typed_text_round_trip": "SELECT o_orderkey::VARCHAR AS key, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS o_orderstatus, replace(o_orderpriority, ' ', '_') AS o_orderpriority, round(o_totalprice, 9) AS o_totalprice FROM orders",
         "c5_export": "SELECT replace(p_type, ' ', '_') || ', ' || replace(p_brand, ' ', '_') || '.' AS value, count(*) AS n FROM part GROUP BY 1",
+        "file_labels": f"WITH {OC} SELECT o_orderkey::VARCHAR AS key, {CHAIN} AS label FROM oc",
+        "file_votes": f"WITH {OC} SELECT o_orderkey::VARCHAR AS key, round(({COVERS[0]}::INT + {COVERS[3]}::INT) / 2, 9) AS vote FROM oc",
+        "file_test": f"WITH {OC}, p AS (SELECT {CHAIN} AS predicted, o_orderstatus AS real FROM oc) SELECT predicted, real, count(*) AS n, (SELECT count(*) FROM p WHERE predicted = real) AS correct FROM p GROUP BY predicted, real",
+        "file_clusters": f"WITH {ASSIGNED} SELECT c_custkey::VARCHAR AS key, cluster::VARCHAR AS cluster FROM a",
+        "rule_list_round_trip": _class_rules(0.335, 0.001, False),
+        "parquet_round_trip": f"WITH {OC} SELECT o_orderkey::VARCHAR AS key, c_mktsegment, o_orderstatus, round(o_totalprice, 9) AS o_totalprice, 'd,d,d,d,c,c' AS kinds FROM oc",
+        "c5_names_lines": """
+WITH v AS (
+  SELECT 2 AS place, 'p_brand' AS attr, list(DISTINCT replace(p_brand, ' ', '_')) AS vs FROM part
+  UNION ALL SELECT 3, 'p_type', list(DISTINCT replace(p_type, ' ', '_')) FROM part)
+SELECT 0::BIGINT AS place, 'p_brand.  | Target attribute' AS line
+UNION ALL SELECT place, attr || ': ' || array_to_string(list_sort(vs), ',') || '.' FROM v
+UNION ALL SELECT 4, 'p_retailprice: continuous.'""",
         "itemset_algebra": """
 WITH p AS (SELECT p_partkey, list_sort(list_distinct(string_split(p_name, ' '))) AS a, list_sort(list_distinct(string_split(p_type || ' ' || p_brand, ' '))) AS b FROM part)
 SELECT p_partkey, array_to_string(list_sort(list_distinct(list_concat(a, b))), '|') AS united, array_to_string(list_sort(list_intersect(a, b)), '|') AS common,

@@ -11,8 +11,10 @@ from marlstone.operators.classify import ClassifierParameters
 from marlstone.operators.cluster import Attribute, Centroid, ClusterModel
 from marlstone.operators.mining import MiningParameters
 from marlstone.operators.rules import EQ, GT, LE, NEQ, Literal, Rule
-from marlstone.plans import oracles
-from marlstone.sources.tables import c5_rows, read_typed_text, write_typed_text
+from marlstone.plans import oracles, pipelines
+from marlstone.sources import models
+from marlstone.sources.files import read_text, scratch_path, write_text
+from marlstone.sources.tables import c5_names, c5_rows, load_table, read_typed_text, save_table, write_typed_text
 
 DIGITS = 9
 #: Confidence that rules over orders and customers reach, whose columns are hardly associated.
@@ -307,11 +309,77 @@ def kmeans_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _centroids(spark, cluster.k_means(df, 5, 10))
 
 
-def typed_text_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from uuid import uuid4
+def _ruled_file(spark: SparkSession, sf_dir: str) -> str:
+    """The table that the fixed rules are for, written as Parquet."""
+    path = scratch_path(spark, "ruled") + ".parquet"
+    save_table(_ruled(spark, sf_dir), path)
+    return path
+
+
+def _written(spark: SparkSession, name: str, content: str) -> str:
+    path = scratch_path(spark, name)
+    write_text(spark, path, content)
+    return path
+
+
+def file_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a table's file and a rule list's to a labelled table's, and back."""
+    out = scratch_path(spark, "labels") + ".parquet"
+    pipelines.assign_classes(spark, _ruled_file(spark, sf_dir), _written(spark, "rules", models.rules_xml(RULES)), out, "label")
+    return load_table(spark, out).select("key", "label")
+
+
+def file_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scratch_path(spark, "votes") + ".parquet"
+    pipelines.assign_votes(spark, _ruled_file(spark, sf_dir), _written(spark, "rules", models.rules_xml([RULES[0], RULES[3]])), out, "vote")
+    return load_table(spark, out).select("key", _r("vote"))
+
+
+def file_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of testing a rule list's file on a table's, read back."""
+    import xml.etree.ElementTree as ET
+
+    out = scratch_path(spark, "report")
+    pipelines.test_classifier(spark, _written(spark, "rules", models.rules_xml(RULES)), _ruled_file(spark, sf_dir), out)
+    report = ET.fromstring(read_text(spark, out))
+    values = [e.text for e in report.find("target_vals")]
+    cells = [(p, r, int(d.text)) for p, row in zip([*values, None], report.find("matrix")) for r, d in zip(values, row)]
+    rows = [(p, r, n, int(report.findtext("all_corr"))) for p, r, n in cells if n]
+    return spark.createDataFrame(rows, "predicted string, real string, n long, correct long")
 
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/marlstone-checkpoints").rstrip("/")
-    path = f"{base}/marlstone-{spark.sparkContext.applicationId}/text-{uuid4().hex}"
+
+def file_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a table's file and a clustering's to a table of clusters, and back."""
+    data, out = scratch_path(spark, "customers") + ".parquet", scratch_path(spark, "clusters") + ".parquet"
+    save_table(_customers(spark, sf_dir), data)
+    pipelines.assign_clusters(spark, data, _written(spark, "model", models.cluster_xml(CENTROIDS)), out, "cluster")
+    return load_table(spark, out).select("key", "cluster")
+
+
+def rule_list_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mined class rules, with their counts, written as a rule list and read again."""
+    made = crossval.mine_rules(_banded(spark, sf_dir), ["band", "c_mktsegment", "o_orderpriority"], CLASS, MiningParameters(0.001, CLASS_CONFIDENCE, 10))
+    back = models.parse_rules(read_text(spark, _written(spark, "rules", models.rules_xml(made, counts=True))))
+    rows = [(" & ".join(map(str, r.body)), str(r.head), r.pos, r.neg, r.freq, round(r.conf, DIGITS)) for r in back]
+    return spark.createDataFrame(rows, "body string, head string, pos long, neg long, freq long, conf double")
+
+
+def parquet_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table written and read by the suffix of its file; kinds of columns are kept."""
+    back = load_table(spark, _ruled_file(spark, sf_dir))
+    kinds = F.lit(",".join(tables.kind(back, x) for x in back.columns))
+    return back.select("key", "c_mktsegment", "o_orderstatus", _r("o_totalprice"), kinds.alias("kinds"))
+
+
+def c5_names_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of a .names file."""
+    df = tables.typed(_table(spark, sf_dir, "part"), ["p_brand", "p_type"], ["p_retailprice"])
+    lines = c5_names(df, "p_brand").split("\n")
+    return spark.createDataFrame([(i, x) for i, x in enumerate(lines) if x], "place long, line string")
+
+
+def typed_text_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "text")
     t = _table(spark, sf_dir, "orders")
     df = tables.typed(t.withColumn("key", F.col("o_orderkey").cast("string")).withColumn("o_orderstatus", F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus"))), ["key", "o_orderstatus", "o_orderpriority"], ["o_totalprice"])
     write_typed_text(df.withColumn("o_orderpriority", F.translate("o_orderpriority", " ", "_").alias("o_orderpriority", metadata={"kind": "d"})), path)
@@ -373,7 +441,8 @@ QUERIES = (
     relief, relief2, best_cut, split_entropy, discretised, z_scores, value_dictionary, encoded_column, transactions, rule_coverage,
     confusion_matrix, classifier_metrics, first_match_label, rule_vote, greedy_cover, n_best_rules, n_rules_each_class, max_cover,
     default_class, fold_sizes, folds, mined_classifier, cross_validation, classifier_grid, induction_candidates, induced_rules,
-    kmeans_assign, kmeans_update, kmeans_fit, typed_text_round_trip, c5_export, itemset_algebra, text_functions, extremes,
+    kmeans_assign, kmeans_update, kmeans_fit, typed_text_round_trip, file_labels, file_votes, file_test,
+    file_clusters, rule_list_round_trip, parquet_round_trip, c5_names_lines, c5_export, itemset_algebra, text_functions, extremes,
 )
 
 

@@ -1,10 +1,28 @@
-"""Small text files in any store that Spark reads."""
+"""Small text files in any store that Spark reads, and names of scratch files in the folder all executors share."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
+LOCAL_SHARED_DIR = "/tmp/marlstone-checkpoints"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir, else the context's checkpoint folder; without either, a local one in local mode and an error on a cluster."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (named or LOCAL_SHARED_DIR).rstrip("/")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new name in the shared folder, below one of the application's own."""
+    return f"{shared_dir(spark)}/marlstone-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def _path(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p

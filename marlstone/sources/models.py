@@ -11,7 +11,7 @@ from marlstone.operators.cluster import Attribute, Centroid, ClusterModel
 from marlstone.operators.rules import EQ, GT, LE, NEQ, Literal, Rule, words
 from marlstone.operators.tables import CONTINUOUS, DISCRETE
 
-# Fixed values of the file formats. Names of the operators' elements, and of two more that readers meet:
+# Fixed values of the file formats, as are the elements and their order in the functions below. Names of the operators' elements, and of two more that readers meet:
 OPERATOR_OF = {"eq": EQ, "neq": NEQ, "lwreq": LE, "grt": GT}
 ALSO_READ = {"lwr": LE, "grteq": GT}
 # Names of the programs that files say they come from:

@@ -177,14 +177,14 @@ def test_selection_by_relief_samples_rows_of_a_large_table(spark):
     # t follows a, b is noise; each of the 40 combinations has about 500 rows
     df = spark.range(20_000).select(a.cast("string").alias("a"), b.cast("string").alias("b"), F.when(F.pmod("id", F.lit(50)) == 0, t).otherwise(a).cast("string").alias("t"))
     names = ["a", "b", "t"]
-    got = {tuple(r["items"]): r["times"] for r in selection.relief_rows(df, names, 100, 42).collect()}
+    got = {tuple(r["items"]): r["times"] for r in selection.relief_sample(df, names, 100, 42).collect()}
     assert sum(got.values()) == 100 and len(got) >= 15 and max(got.values()) <= 20
-    assert got == {tuple(r["items"]): r["times"] for r in selection.relief_rows(df.repartition(7), names, 100, 42).collect()}
+    assert got == {tuple(r["items"]): r["times"] for r in selection.relief_sample(df.repartition(7), names, 100, 42).collect()}
     few = df.limit(30).cache()
-    assert sorted((r["items"], r["times"]) for r in selection.relief_rows(few, names, 100, 42).collect()) == sorted((r["items"], r["weight"]) for r in mining.transactions(few, names).collect())
-    assert selection.relief_rows(df.limit(0), names, 100, 42).count() == 0
+    assert sorted((r["items"], r["times"]) for r in selection.relief_sample(few, names, 100, 42).collect()) == sorted((r["items"], r["weight"]) for r in mining.transactions(few, names).collect())
+    assert selection.relief_sample(df.limit(0), names, 100, 42).count() == 0
     chosen = selection.select_items(df, names, "t=1", selection.SelectionParameters(selection.RELIEF, 0.2)).collect()
-    best = selection.best_share(selection.relief(df, names, "t=1", 100, 42, by_rows=True), 0.2, 14).collect()
+    best = selection.best_share(selection.relief(df, names, "t=1", 100, 42), 0.2, 14).collect()
     assert len(best) == 3 and {r["item"] for r in chosen} == {r["item"] for r in best} | {"t=1"}
 
 
@@ -443,7 +443,9 @@ def test_tables(spark):
     a, b = tables.random_split(spark.range(1000), 0.9, 1)
     assert a.count() + b.count() == 1000 and 850 < a.count() < 950
     masks = spark.createDataFrame([(True, False), (False, True), (True, True)], "m boolean, r boolean")
-    assert masks.selectExpr(f"count_if({tables.add_rows('m', 'r')})", tables.count_rows(tables.remove_rows("m", "r")), tables.reset_rows(True)).first()[:2] == (3, 1)
+    m, r = F.col("m"), F.col("r")
+    found = masks.agg(tables.count_rows(tables.add_rows(m, r)), tables.count_rows(tables.remove_rows(m, r)), tables.count_rows(tables.reset_rows(True)), tables.count_rows(tables.reset_rows(False))).first()
+    assert tuple(found) == (3, 1, 3, 0)
     with pytest.raises(ValueError):
         tables.kind(spark.range(1), "id")
 
@@ -471,3 +473,75 @@ def test_itemset_algebra(spark):
         assert (r[6], r[7], set(r[8]), set(r[9]), r[10]) == (x <= y, not x & y, x | {"b"}, x - {"b"}, not x)
         assert sorted(map(tuple, r[11])) == sorted(c for k in range(1, len(x)) for c in combinations(sorted(x), k))
         assert (r[12], r[13], r[14]) == (min(x, default=None), x == y, sorted(x) < sorted(y))
+
+
+# names, labels and sizes
+
+
+def test_names_may_hold_anything(spark):
+    rows = [("x", "u", "p"), ("x", "v", "p"), ("y", "u", "q"), ("y", "v", "q")] * 3
+    df = spark.createDataFrame(rows, "`a=b` string, `_n` string, `c=d%` string")
+    for p in (MiningParameters(0.1, 0.9), MiningParameters(0.1, 0.9, engine="fpgrowth")):
+        found = rules.from_mined(mining.class_rules(df, ["a=b", "_n"], "c=d%", p).collect())
+        assert [(str(r.body[0]), str(r.head), r.pos) for r in found] == [("a=b=x", "c=d%=p", 6), ("a=b=y", "c=d%=q", 6)]
+    made = crossval.run_classifier(df, ["a=b", "_n"], "c=d%", MiningParameters(0.1, 0.9), ClassifierParameters(classify.N_ALL, 2), selection.SelectionParameters(selection.ODDS_RATIO, 0.9))
+    assert classify.evaluate(df, made, "c=d%").accuracy == 1.0
+    grown = induce.grow_rules(df, "c=d%", induce.InductionParameters(1), ["_n", "a=b"])
+    assert {str(r.body[0]) for r in grown if r.body} <= {"a=b=x", "a=b=y"} and grown
+    odd = spark.range(20).selectExpr("cast(id as double) x", "cast(id % 2 as string) cluster", "cast(id % 3 as string) was", "1 _mean_x", "2 _dev_x", "3 _part", "4 _place", "5 _start", "6 _number")
+    assert set(discretise.z_scores(odd, ["x"]).columns) == set(odd.columns)
+    folds = crossval.with_folds(odd, "x")
+    assert set(folds.columns) == {*odd.columns, "fold"} and folds.filter("_part = 3 and _number = 6").count() == 20
+    model = cluster.k_means(odd, 2, 5, ["x", "cluster", "was"])
+    assert sum(c.members for c in model.clusters) == 20
+
+
+def test_numbers_keep_their_digits(spark):
+    df = spark.createDataFrame([(1234567.2,), (1234567.3,), (None,)], "x double")
+    assert [r[0] for r in discretise.discretise(df, "x", 1234567.25).orderBy("x").collect()] in ([None, "<=1234567.25", ">1234567.25"],)
+    assert str(Literal("x", LE, 1234567.25)) == "x<=1234567.25" and str(Literal("x", GT, 250000)) == "x>250000"
+
+
+def test_many_rules_are_picked_in_few_jobs(spark):
+    rng = random.Random(2)
+    rows = [(str(rng.randrange(40)), str(rng.randrange(25)), rng.choice("pq")) for _ in range(2000)]
+    df = spark.createDataFrame(rows, "a string, b string, c string").cache()
+    rules = [Rule((Literal("a", EQ, str(i)), Literal("b", EQ, str(j))), Literal("c", EQ, h)) for i in range(40) for j in range(13) for h in "pq"][:1000]
+    sc = spark.sparkContext
+    sc.setJobGroup("picks", "picks")
+    few = classify.build_classifier(df, rules, "c", ClassifierParameters(classify.N_ALL, 150))
+    jobs = len(sc.statusTracker().getJobIdsForGroup("picks"))
+    sc.setJobGroup("rest", "rest")
+    assert jobs < 30 and len(few) == 151
+    here, classify.LOCAL_CELLS = classify.LOCAL_CELLS, 0
+    try:
+        assert classify.build_classifier(df, rules, "c", ClassifierParameters(classify.N_ALL, 3))[:3] == few[:3]
+    finally:
+        classify.LOCAL_CELLS = here
+
+
+def test_long_bodies_are_grown_and_pruned(spark, monkeypatch):
+    # every column holds one more row of class q apart, so a rule needs all of them
+    n = 14
+    rows = [(*["1"] * n, "p")] * 30 + [(*["0" if k == i else "1" for k in range(n)], "q") for i in range(n)] * 2
+    df = spark.createDataFrame(rows, ", ".join(f"a{i} string" for i in range(n)) + ", c string")
+    p = induce.InductionParameters(3)
+    first = induce.grow_rules(df, "c", p, max_rules=1)[0]
+    assert len(first.body) == n - 1 and first.neg == 2 and first.pos == 30
+    assert len(induce.grow_rules(df, "c", induce.InductionParameters(3, max_body=3), max_rules=1)[0].body) == 3
+    patterns = {tuple(rng.random() < 0.6 for _ in range(6)) for rng in [random.Random(4)] for _ in range(8)}
+    closed = set(induce._met_by_some(patterns))
+    for chosen in __import__("itertools").product((False, True), repeat=6):
+        over = [q for q in patterns if all(b for b, x in zip(q, chosen) if x)]
+        if over:
+            assert tuple(map(all, zip(*over))) in closed
+
+
+def test_clipped_normal(spark):
+    got = [r[0] for r in spark.range(2000).select(text.clipped_normal(3, -1.0, 2.0)).collect()]
+    assert min(got) == -1.0 and max(got) <= 2.0 and abs(sum(got) / 2000) < 0.3
+
+
+def test_empty_sets_and_values(spark):
+    row = spark.range(1).select(itemsets.empty_set(), itemsets.item_value(F.lit("a=b=c")), itemsets.item_attribute(F.lit("a%3Db=c"))).first()
+    assert tuple(row) == ([], "b=c", "a%3Db") and itemsets.attribute_name(itemsets.item_name("a=b%3D")) == "a=b%3D"
