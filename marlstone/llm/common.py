@@ -2,30 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.sources.files import scratch_path, shared_dir
+
 #: A key with more than 1/HOT_SHARE of all rows is hot; there are fewer than HOT_SHARE of them, so a table of hot keys can be broadcast.
 HOT_SHARE = 1000
 #: Large-star/small-star needs about log2(longest chain) rounds; beyond this something is wrong.
 MAX_ROUNDS = 60
-DEFAULT_SHARED_DIR = "/tmp/marlstone-checkpoints"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, else the context's checkpoint folder; without either, a local one in local mode and an error on a cluster."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return (named or DEFAULT_SHARED_DIR).rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/marlstone-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -22,8 +22,8 @@ LEVELS = ("domain", "lang", "source")
 MAX_EPOCHS, SEED = 4, 42
 #: Of an epoch's order, parts with known token counts, so that only the one in which a prefix ends is sorted.
 PARTS_DIGITS = 3
-#: Ranges of cap / weight into which a node's children are divided, for each doubling.
-RANGES = 64
+#: Leaves from which on a node's children are shared out by ranges of cap / weight; ranges for each doubling. Both ways give the same budgets.
+MANY, RANGES = 200_000, 64
 
 
 def count_tokens(text: str = "text") -> Column:
@@ -36,9 +36,26 @@ def share_out(children: DataFrame, parent: list[str], name: str) -> DataFrame:
 
     Children fill up in the order of cap / weight. The level is what a unit of weight gets; with
     the first ones full it is the rest of the budget by the rest of the weight. It rises while
-    children fill up and falls after, so the share is by its maximum. A parent may have any
-    number of children: they are added up by ranges of cap / weight, and only the range in which
-    the level lies is gone through child by child.
+    children fill up and falls after, so the share is by its maximum.
+    """
+    none = F.lit(0.0)
+    by = Window.partitionBy(*parent).orderBy(F.col("cap") / F.nullif(F.col("weight"), none), name)
+    before, all_ = by.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*parent)
+    level = (F.col("budget") - F.coalesce(F.sum("cap").over(before), none)) / F.nullif(
+        F.sum("weight").over(all_) - F.coalesce(F.sum("weight").over(before), none), none
+    )
+    return (
+        children.withColumn("level", F.when(F.col("weight") > 0, level))
+        .withColumn("share", F.when(F.col("weight") > 0, F.least("cap", F.col("weight") * F.max("level").over(all_))).otherwise(none))
+        .drop("level")
+    )
+
+
+def share_out_many(children: DataFrame, parent: list[str], name: str) -> DataFrame:
+    """share_out() where a parent may have any number of children, which should be materialised.
+
+    They are added up by ranges of cap / weight, and only the range in which the level lies is
+    gone through child by child.
     """
     none, ratio = F.lit(0.0), F.col("cap") / F.col("weight")
     ranged = children.filter("weight > 0").withColumn("range", F.coalesce(F.floor(F.log2(ratio) * RANGES), F.lit(-(1 << 40))))
@@ -73,12 +90,15 @@ def leaf_budgets(leaves: DataFrame, weights: DataFrame, budget_ratio: float, max
         given = given.groupBy(*own).agg(F.greatest(F.coalesce(F.max("weight").cast("double"), F.lit(0.0)), F.lit(0.0)).alias(f"w{depth}"))
         nodes = nodes.join(given, list(own), "left").withColumn(f"w{depth}", F.coalesce(f"w{depth}", F.lit(1.0)))
     dead = reduce(lambda a, b: a | b, [F.col(f"w{d}") <= 0 for d in range(len(LEVELS))])
-    nodes = nodes.withColumn("cap", F.when(dead, 0.0).otherwise(F.col("cap")))
+    nodes = materialise(nodes.withColumn("cap", F.when(dead, 0.0).otherwise(F.col("cap"))), "nodes")
+    many = nodes.count() > MANY
     total = nodes.groupBy(root).agg(F.least(F.sum("tokens") * F.lit(float(budget_ratio)), F.sum("cap")).alias("budget"))
     for depth in range(len(LEVELS)):
         own, parent = list(LEVELS[: depth + 1]), [root, *LEVELS[:depth]]
         here = nodes.groupBy(root, *own).agg(F.sum("cap").alias("cap"), F.max(f"w{depth}").alias("weight"))
-        total = share_out(here.join(total, parent), parent, own[-1]).select(root, *own, F.col("share").alias("budget"))
+        here = here.join(total, parent)
+        shared = share_out_many(materialise(here, "children"), parent, own[-1]) if many else share_out(here, parent, own[-1])
+        total = shared.select(root, *own, F.col("share").alias("budget"))
     return total.select(*LEVELS, F.floor(F.col("budget") + 1e-6).alias("budget"))
 
 

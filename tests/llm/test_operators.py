@@ -298,7 +298,9 @@ def slow_budgets(tree, weights, budget, caps):
     return {leaf: got[leaf] for leaf in tree}
 
 
-def test_leaf_budgets(spark):
+@pytest.mark.parametrize("many", [0, mixing.MANY])
+def test_leaf_budgets(spark, monkeypatch, many):
+    monkeypatch.setattr(mixing, "MANY", many)
     rng = random.Random(9)
     for _ in range(3):
         tokens = {(f"d{a}", f"l{b}", f"s{c}"): rng.randrange(1, 1000) for a in range(3) for b in range(2) for c in range(3) if rng.random() < 0.8}
