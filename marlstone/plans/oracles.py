@@ -208,6 +208,95 @@ e AS (
 SELECT first(cut ORDER BY round(entropy, 12), cut) AS cut, round(min(entropy), 9) AS entropy FROM e"""
 
 
+def _mined_classifier(picks: int, conf: float, support: float) -> str:
+    """Minimal class rules with bodies of two items at most, then the best on rows not yet covered, again and again."""
+    attrs, parts = ("band", "c_mktsegment", "o_orderpriority"), []
+    for n in (1, 2):
+        for chosen in combinations(attrs, n):
+            keys = ", ".join(chosen)
+            parts.append(
+                f"SELECT [{', '.join(_item(a) for a in chosen)}] AS body, 'o_orderstatus=' || o_orderstatus AS head, count(*) AS pos, "
+                f"sum(count(*)) OVER (PARTITION BY {keys}) AS freq FROM oc GROUP BY {keys}, o_orderstatus"
+            )
+    out = f"""WITH {OC}, c AS ({' UNION ALL '.join(parts)}),
+r AS (SELECT body, head, pos, freq - pos AS neg FROM c WHERE pos >= {LEAST.format(s=support)} AND pos / freq >= {conf}),
+m AS MATERIALIZED (
+  SELECT *, row_number() OVER (ORDER BY pos DESC, neg, head, body) AS i FROM r
+  WHERE NOT EXISTS (SELECT 1 FROM r s WHERE s.head = r.head AND len(s.body) < len(r.body) AND list_has_all(r.body, s.body))),
+x AS (SELECT [{', '.join(_item(a) for a in attrs)}] AS items, 'o_orderstatus=' || o_orderstatus AS cls, count(*) AS n FROM oc GROUP BY ALL),
+cov AS MATERIALIZED (SELECT i, items, cls, n FROM m JOIN x ON list_has_all(items, body))"""
+    for k in range(1, picks + 1):
+        taken = ", ".join(f"(SELECT i FROM pick{j})" for j in range(1, k)) or "0"
+        out += f""",
+pick{k} AS MATERIALIZED (
+  SELECT m.i, body, head, coalesce(sum(n) FILTER (cls = head), 0)::BIGINT AS pos, coalesce(sum(n) FILTER (cls <> head), 0)::BIGINT AS neg
+  FROM m LEFT JOIN (SELECT * FROM cov WHERE items NOT IN (SELECT items FROM cov WHERE i IN ({taken}))) o ON o.i = m.i
+  WHERE m.i NOT IN ({taken}) GROUP BY m.i, body, head ORDER BY pos DESC, neg, m.i LIMIT 1)"""
+    every = ", ".join(f"(SELECT i FROM pick{j})" for j in range(1, picks + 1))
+    rows = [f"SELECT {k - 1}::BIGINT AS place, array_to_string(body, ' & ') AS body, head, pos, neg FROM pick{k}" for k in range(1, picks + 1)]
+    rest = f"SELECT cls FROM x WHERE items NOT IN (SELECT items FROM cov WHERE i IN ({every})) GROUP BY cls ORDER BY sum(n) DESC, cls LIMIT 1"
+    rows.append(f"SELECT {picks}, '', coalesce(({rest}), (SELECT min(cls) FROM x)), 0, 0")
+    return out + " " + " UNION ALL ".join(rows)
+
+
+def _cross_validation(picks: int, support: float, conf: float) -> str:
+    """Ten folds at once: rules mined from the other folds, the best picked one by one, and the share of the fold's rows that they and a default class get right."""
+    parts = []
+    for chosen in (("lang",), ("toxic",), ("lang", "toxic")):
+        keys = ", ".join(chosen)
+        parts.append(
+            f"SELECT f, [{', '.join(_item(a) for a in chosen)}] AS body, 'quality=' || quality AS head, sum(n)::BIGINT AS pos, "
+            f"(sum(sum(n)) OVER (PARTITION BY f, {keys}))::BIGINT AS freq FROM tr GROUP BY f, {keys}, quality"
+        )
+    both = "['lang=' || lang, 'toxic=' || toxic] AS items, 'quality=' || quality AS cls"
+    out = f"""WITH {DL},
+d AS (SELECT lang, toxic, quality, (row_number() OVER (ORDER BY md5('42|' || lang || '|' || source || '|' || quality || '|' || toxic), lang, source, quality, toxic) - 1) % 10 AS fold FROM dl),
+tr AS MATERIALIZED (SELECT f, lang, toxic, quality, count(*) AS n FROM d JOIN range(10) t(f) ON fold <> f GROUP BY ALL),
+t AS (SELECT f, greatest(1, floor({support}::DOUBLE * sum(n))) AS least FROM tr GROUP BY f),
+c AS ({' UNION ALL '.join(parts)}),
+r AS (SELECT f, body, head, pos, freq - pos AS neg FROM c JOIN t USING (f) WHERE pos >= least AND pos / freq >= {conf}),
+m AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY f ORDER BY pos DESC, neg, head, body) AS i FROM r
+  WHERE NOT EXISTS (SELECT 1 FROM r s WHERE s.f = r.f AND s.head = r.head AND len(s.body) < len(r.body) AND list_has_all(r.body, s.body))),
+x AS (SELECT f, {both}, n FROM tr),
+cov AS MATERIALIZED (SELECT x.f, i, items, cls, n FROM m JOIN x ON x.f = m.f AND list_has_all(items, body))"""
+    for k in range(1, picks + 1):
+        taken = " UNION ALL ".join(f"SELECT f, i FROM pick{j}" for j in range(1, k)) or "SELECT -1 AS f, -1 AS i"
+        out += f""",
+taken{k} AS ({taken}), gone{k} AS (SELECT DISTINCT cov.f, items FROM cov JOIN taken{k} q ON q.f = cov.f AND q.i = cov.i),
+open{k} AS (SELECT * FROM cov ANTI JOIN gone{k} g ON g.f = cov.f AND g.items = cov.items),
+count{k} AS (
+  SELECT m.f, m.i, body, head, coalesce(sum(n) FILTER (cls = head), 0) AS p, coalesce(sum(n) FILTER (cls <> head), 0) AS q
+  FROM m LEFT JOIN open{k} o ON o.f = m.f AND o.i = m.i WHERE NOT EXISTS (SELECT 1 FROM taken{k} y WHERE y.f = m.f AND y.i = m.i) GROUP BY m.f, m.i, body, head),
+pick{k} AS MATERIALIZED (SELECT f, i, body, head FROM count{k} QUALIFY row_number() OVER (PARTITION BY f ORDER BY p DESC, q, i) = 1)"""
+    every = " UNION ALL ".join(f"SELECT f, i FROM pick{j}" for j in range(1, picks + 1))
+    joins = " ".join(f"LEFT JOIN pick{k} p{k} ON p{k}.f = e.f AND list_has_all(items, p{k}.body)" for k in range(1, picks + 1))
+    return out + f""",
+done AS (SELECT DISTINCT cov.f, items FROM cov JOIN ({every}) q ON q.f = cov.f AND q.i = cov.i),
+rest AS (SELECT x.f, cls FROM x ANTI JOIN done ON done.f = x.f AND done.items = x.items GROUP BY x.f, cls QUALIFY row_number() OVER (PARTITION BY x.f ORDER BY sum(n) DESC, cls) = 1),
+e AS (SELECT fold AS f, {both}, count(*) AS n FROM d GROUP BY ALL)
+SELECT e.f AS fold, coalesce(sum(n) FILTER (coalesce({', '.join(f'p{k}.head' for k in range(1, picks + 1))}, rest.cls, (SELECT min(cls) FROM x WHERE x.f = e.f)) = e.cls), 0) / sum(n) AS accuracy
+FROM e {joins} LEFT JOIN rest ON rest.f = e.f GROUP BY e.f"""
+
+
+def _kmeans(k: int, iterations: int) -> str:
+    """Lloyd's iterations one after the other, from the rows with the smallest seeded hashes; a model that has settled stays as it is."""
+    near = " + ".join(f"(CASE WHEN seg = '{v}' THEN 1 - 2 * p{j} ELSE 0 END) + p{j} * p{j}" for j, v in enumerate(SEGMENTS))
+    shares = ", ".join(f"avg((seg = '{v}')::INT) AS p{j}" for j, v in enumerate(SEGMENTS))
+    first = ", ".join(f"(seg = '{v}')::INT::DOUBLE AS p{j}" for j, v in enumerate(SEGMENTS))
+    out = f"""WITH s AS (SELECT avg(c_acctbal) AS mean, stddev_samp(c_acctbal) AS dev FROM customer),
+u AS MATERIALIZED (
+  SELECT c_custkey AS id, c_mktsegment AS seg, (c_acctbal - mean) / dev AS z, md5('42|' || c_mktsegment || '|' || c_acctbal::VARCHAR) AS h FROM customer, s),
+m0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS k, {first}, z AS mu, 0 AS n FROM (SELECT * FROM u ORDER BY h LIMIT {k}))"""
+    for i in range(iterations):
+        out += f""",
+a{i} AS (SELECT id, seg, z, first(k ORDER BY d, k) AS k FROM (SELECT id, seg, z, k, round({near} + (z - mu) * (z - mu), 12) AS d FROM u, m{i}) GROUP BY id, seg, z),
+m{i + 1} AS MATERIALIZED (SELECT k, {shares}, avg(z) AS mu, count(*) AS n FROM a{i} GROUP BY k)"""
+    last = f"m{iterations}"
+    rows = [f"SELECT k AS cluster, 'c_mktsegment' AS attr, '{v}' AS value, round(p{j}, 6) AS weight, n AS members FROM {last}" for j, v in enumerate(SEGMENTS)]
+    return out + " " + " UNION ALL ".join([*rows, f"SELECT k, 'c_acctbal', '', round(mu, 6), n FROM {last}"])
+
+
 def oracle_sql() -> dict[str, str]:
     long = ", ".join(_item(a) for a in ITEMS)
     sets = f"WITH {OC}, {_itemsets(ITEMS, 0.01)} SELECT items, freq FROM found"
@@ -258,9 +347,12 @@ def oracle_sql() -> dict[str, str]:
         "default_class": f"WITH {OC} SELECT o_orderstatus AS class, count(*) AS n FROM oc GROUP BY 1 ORDER BY n DESC, 1 LIMIT 1",
         "fold_sizes": "SELECT i AS fold, (SELECT count(*) FROM orders) // 10 + (i < (SELECT count(*) FROM orders) % 10)::INT AS n FROM range(10) t(i)",
         "folds": "SELECT o_orderkey, (row_number() OVER (ORDER BY md5('42|' || o_orderkey), o_orderkey) - 1) % 10 AS fold FROM orders",
+        "cross_validation": _cross_validation(3, 0.05, 0.6),
+        "mined_classifier": _mined_classifier(5, 0.335, 0.001),
         "induction_candidates": _candidates(),
         "kmeans_assign": f"WITH {ASSIGNED} SELECT c_custkey::VARCHAR AS key, cluster::VARCHAR AS cluster FROM a",
         "kmeans_update": f"WITH {ASSIGNED}, r AS ({assigned_rows}) SELECT cluster::BIGINT AS cluster, attr, value, round(weight, 6) AS weight, members FROM r",
+        "kmeans_fit": _kmeans(5, 10),
         "typed_text_round_trip": "SELECT o_orderkey::VARCHAR AS key, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS o_orderstatus, replace(o_orderpriority, ' ', '_') AS o_orderpriority, round(o_totalprice, 9) AS o_totalprice FROM orders",
         "c5_export": "SELECT replace(p_type, ' ', '_') || ', ' || replace(p_brand, ' ', '_') || '.' AS value, count(*) AS n FROM part GROUP BY 1",
         "file_labels": f"WITH {OC} SELECT o_orderkey::VARCHAR AS key, {CHAIN} AS label FROM oc",
