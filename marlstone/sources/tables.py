@@ -49,9 +49,10 @@ def read_typed_text(spark: SparkSession, path: str) -> DataFrame:
     data = lines.filter(F.col("line") != first[0])
     if all(which == DISCRETE for _, which in header):
         # only here can a row look like the header, of which each file has one
-        heads = lines.filter(F.col("line") == first[0]).agg(F.count("*").alias("n"), F.count_distinct(F.input_file_name()).alias("files")).first()
-        if heads["n"] > heads["files"]:
-            data = data.unionByName(spark.range(heads["n"] - heads["files"]).select(F.lit(first[0]).alias("line")))
+        like = lines.filter(F.col("line") == first[0]).select(F.input_file_name().alias("file")).groupBy("file").agg(F.count("*").alias("n"))
+        more = like.agg(F.sum(F.col("n") - 1)).first()[0]
+        if more:
+            data = data.unionByName(spark.range(more).select(F.lit(first[0]).alias("line")))
     cells = data.select(F.split("line", " ").alias("x"))
     ragged = F.raise_error(F.concat(F.lit(f"a row of {path} should have {len(header)} values and has "), F.size("x").cast("string")))
     cells = cells.select(F.when(F.size("x") == len(header), F.col("x")).otherwise(ragged).alias("x"))
