@@ -52,7 +52,9 @@ def format_conversations(turns: DataFrame, conv_id: str = "conv_id", turn: str =
         ).alias("t"),
     )
     whole = rows.filter("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    whole = whole.unionByName(rows.filter("conv_id is null").select("conv_id", F.array("t").alias("ts")))
+    lost = rows.filter("conv_id is null")
+    if not lost.isEmpty():  # a union would hide that conversations are dealt by id already, which read_back() makes use of
+        whole = whole.unionByName(lost.select("conv_id", F.array("t").alias("ts")))
     whole = whole.select(
         "conv_id",
         F.transform("ts", lambda t: F.concat(F.lit(BEGIN), escape(t.role), F.lit(MIDDLE), escape(t.text), F.lit(END))).alias("marked"),
