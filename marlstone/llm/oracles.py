@@ -135,6 +135,74 @@ FROM pages LEFT JOIN m USING (page_id) GROUP BY page_id
 """
 
 
+def crc32(text: str) -> str:
+    """The crc32 of a text's UTF-8 bytes, bit by bit: a byte is put in, then shifted out in eight steps."""
+    hexed = f"hex(encode({text}))"
+    bytes_ = f"flatten(list_transform(range(length({hexed}) // 2), lambda i: [('0x' || substr({hexed}, (2 * i + 1)::INT, 2))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    step = "CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {bytes_}), lambda a, x: {step}), 4294967295)"
+
+
+def _op13() -> str:
+    """Turns one after the other, with the cheapest (cost, audit) for each last role: 1 none, 2 system, 3 user, 4 assistant."""
+    inserts = {(1, 2): 0, (1, 3): 0, (1, 4): 1, (2, 3): 0, (2, 4): 1, (3, 4): 0, (3, 3): 1, (4, 3): 0, (4, 4): 1}
+    deleted = lambda q: f"{{'c': s[{q}].c + 2, 'a': s[{q}].a || 'D'}}"
+
+    def state(r: int) -> str:
+        price = f"CASE WHEN t.fault > 1 OR ({r} = 2 AND t.role <> 2) THEN 1000000000 ELSE 5 * t.fault + (t.role <> {r})::INT END"
+        letter = f"CASE WHEN t.role = {r} THEN 'K' ELSE 'R' END"
+        ways = [f"{{'c': s[{q}].c + {5 * k} + {price}, 'a': s[{q}].a || '{'I' * k}' || {letter}}}" for (q, to), k in inserts.items() if to == r]
+        return f"list_min([{', '.join([deleted(r), *ways])}])"
+
+    last = ", ".join(f"{{'c': s[{q}].c + {5 * k}, 'a': s[{q}].a || '{'I' * k}'}}" for q, k in ((1, 0), (2, 2), (3, 1), (4, 0)))
+    return f"""
+WITH RECURSIVE r AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS fate
+  FROM conversations),
+d AS (
+  SELECT conv_id, turn, CASE fate WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE fate WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM r),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM d),
+f AS (
+  SELECT conv_id, turn, role AS name, text, k,
+    CASE role[1] WHEN 's' THEN 2 WHEN 'u' THEN 3 WHEN 'a' THEN 4 ELSE 5 END AS role,
+    CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 3
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 2
+      WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 1 ELSE 0 END AS fault
+  FROM o),
+told AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 3) AS blank,
+    count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 1) AS truncated, count(*) FILTER (k > 1 AND NOT fits) AS illegal
+  FROM (SELECT *, (lag(role) OVER (PARTITION BY conv_id ORDER BY k), role) IN ((2, 3), (3, 4), (4, 3)) AS fits FROM f)
+  GROUP BY conv_id),
+ids AS (SELECT DISTINCT conv_id FROM conversations),
+steps AS (
+  SELECT conv_id, 0::BIGINT AS k, [{{'c': 0, 'a': ''}}, {{'c': 1000000000, 'a': ''}}, {{'c': 1000000000, 'a': ''}}, {{'c': 1000000000, 'a': ''}}] AS s FROM ids
+  UNION ALL
+  SELECT t.conv_id, t.k, [{deleted(1)}, {state(2)}, {state(3)}, {state(4)}]
+  FROM steps JOIN f t ON t.conv_id IS NOT DISTINCT FROM steps.conv_id AND t.k = steps.k + 1),
+ends AS (SELECT conv_id, list_min([{last}]) AS best FROM (SELECT conv_id, arg_max(s, k) AS s FROM steps GROUP BY conv_id)),
+letters AS (
+  SELECT conv_id, unnest(range(1, length(best.a) + 1)) AS pos, best.a[unnest(range(1, length(best.a) + 1))] AS x FROM ends),
+placed AS (
+  SELECT *, count(*) FILTER (x <> 'I') OVER w AS k, count(*) FILTER (x <> 'D') OVER w AS place
+  FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
+lines AS (
+  SELECT p.conv_id, p.pos, p.place, p.x, CASE WHEN x <> 'I' THEN f.role END AS role, CASE WHEN x <> 'I' THEN f.name END AS name, CASE WHEN x = 'I' THEN '' ELSE f.text END AS text
+  FROM placed p LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.k = p.k WHERE x <> 'D'),
+named AS (
+  SELECT *, (place - coalesce(max(CASE WHEN place = 1 AND x = 'K' AND role = 2 THEN 1 END) OVER (PARTITION BY conv_id), 0)) % 2 AS odd FROM lines),
+texts AS (
+  SELECT conv_id, string_agg(CASE WHEN x = 'K' THEN name WHEN odd = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY pos) AS whole FROM named GROUP BY conv_id)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, best.c::BIGINT AS cost, best.a AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM ends e LEFT JOIN told ON told.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN texts ON texts.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
 def oracle_sql(weights: tuple, domains: tuple, max_epochs: int, seed: int) -> dict[str, str]:
     return {
         "op1_exact_dedup": OP1,
@@ -143,4 +211,5 @@ def oracle_sql(weights: tuple, domains: tuple, max_epochs: int, seed: int) -> di
         "op5_mixing": _op5(weights, domains, max_epochs, seed),
         "op6_chat": OP6,
         "op10_url_filters": OP10,
+        "op13_structure_repair": _op13(),
     }

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import chat, embedding_dedup, exact_dedup, mixing, oracles, quality, sentencepiece_bpe, simhash, toxicity, url_filter, warc
+from marlstone.llm import chat, embedding_dedup, exact_dedup, mixing, oracles, quality, repair, sentencepiece_bpe, simhash, toxicity, url_filter, warc
 from marlstone.llm.common import table
 
 MODEL = "piece_bpe_32k.model"
@@ -125,6 +125,25 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(captures(spark, sf_dir), list_entries(table(spark, sf_dir, "pages")))
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversations as op13 is to find them: by crc32 of conv_id:turn, a twentieth of the rows each is dropped, emptied, without its stops, there twice, or a user's."""
+    space = lambda x: F.coalesce(F.col(x).cast("string"), F.lit(" "))
+    fate = F.pmod(F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn"))), F.lit(20))
+    rows = turns.select("conv_id", "turn", space("role").alias("role"), space("text").alias("text"), fate.alias("fate")).filter("fate <> 0")
+    return rows.select(
+        "conv_id",
+        "turn",
+        F.when(F.col("fate") == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(F.col("fate") == 1, "").when(F.col("fate") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text")).alias("text"),
+        F.explode(F.when(F.col("fate") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy"),
+    ).drop("copy")
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return repair.report(damaged(turns), turns)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marlstone.llm import pipeline as stages
 
@@ -134,7 +153,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     own = (
         op1_exact_dedup, op2_warc, op3_embedding_near_dedup, op4_simhash_near_dedup, op5_mixing,
-        op6_chat, op7_quality, op8_toxicity, op9_sentencepiece, op10_url_filters, pipeline,
+        op6_chat, op7_quality, op8_toxicity, op9_sentencepiece, op10_url_filters, op13_structure_repair, pipeline,
     )
     return {f.__name__: f for f in own}
 
