@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marlstone.sources.files import written
+
 DISCRETE, CONTINUOUS = "d", "c"
 _NUMBERS = (T.DoubleType, T.FloatType)
 
@@ -61,6 +63,23 @@ def append_row(df: DataFrame, source: DataFrame, condition) -> DataFrame:
     return df.unionByName(source.filter(condition))
 
 
+def numbered_in_order(df: DataFrame, *order: Column | str, name: str) -> DataFrame:
+    """df with consecutive numbers from 0 in an order, without a task that sees all rows.
+
+    Rows are dealt to ranges and sorted within them; the ranges' sizes are added up in a small
+    table. The order should be total, so that equal keys can't fill one range. Places are written
+    down once (in the shared folder), so they don't change if an executor is lost.
+    """
+    place, start, part = (fresh(df, x) for x in ("_place", "_start", "_part"))
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(place, F.monotonically_increasing_id())
+    ranged = written(ranged, "ordered").withColumn(part, F.shiftright(place, 33))  # Spark's id is partition * 2^33 + row
+    sizes = ranged.groupBy(part).agg(F.count("*").alias("n"))
+    earlier = F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(part, F.coalesce(earlier, F.lit(0)).alias(start))  # a row for each range
+    within = F.col(place).bitwiseAND(F.lit((1 << 33) - 1))
+    return ranged.join(F.broadcast(starts), part).withColumn(name, F.col(start) + within).drop(place, start, part)
+
+
 def dictionary(df: DataFrame, names: Iterable[str] | None = None) -> DataFrame:
     """(attr, value, code): the values of discrete columns, numbered from 0 in the order of their names."""
     names = list(names) if names is not None else columns_of(df, DISCRETE)
