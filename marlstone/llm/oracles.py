@@ -143,6 +143,31 @@ def crc32(text: str) -> str:
     return f"xor(list_reduce(list_concat([4294967295::BIGINT], {bytes_}), lambda a, x: {step}), 4294967295)"
 
 
+def _op11() -> str:
+    words = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')".replace("\\\\", "\\")
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM documents),
+b AS (SELECT {words} AS w FROM benchmark),
+df AS (SELECT r, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM d),
+bf AS (SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM b),
+k AS (SELECT f, {crc32("f")} % 10000 AS bucket FROM (SELECT f FROM df UNION SELECT f FROM bf)),
+dc AS (SELECT r, bucket, count(*) AS n FROM df JOIN k USING (f) GROUP BY ALL),
+s AS (SELECT bucket, sum(n)::DOUBLE AS s FROM dc GROUP BY bucket),
+t AS (SELECT bucket, count(*)::DOUBLE AS t FROM bf JOIN k USING (f) GROUP BY bucket),
+g AS (
+  SELECT bucket, floor(1000.0::DOUBLE * ln((coalesce(t, 0) + 1) * ((SELECT sum(s) FROM s) + 10000) / ((s + 1) * (coalesce((SELECT sum(t) FROM t), 0) + 10000)))) AS gain
+  FROM s LEFT JOIN t USING (bucket)),
+w AS (SELECT r, sum(n)::BIGINT AS n_features, floor(sum(n * gain) / sum(n))::BIGINT AS weight FROM dc JOIN g USING (bucket) GROUP BY r),
+h AS (SELECT r, doc_id, len(w) AS words, ('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT::DOUBLE AS h FROM d),
+x AS (
+  SELECT r, doc_id, words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000.0::DOUBLE * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score
+  FROM h LEFT JOIN w USING (r)),
+o AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST) AS k, count(*) OVER () AS n FROM x WHERE words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN k <= 25 * n // 100 THEN k END AS rank FROM x LEFT JOIN o USING (r)
+"""
+
+
 def _op13() -> str:
     """Turns one after the other, with the cheapest (cost, audit) for each last role: 1 none, 2 system, 3 user, 4 assistant."""
     inserts = {(1, 2): 0, (1, 3): 0, (1, 4): 1, (2, 3): 0, (2, 4): 1, (3, 4): 0, (3, 3): 1, (4, 3): 0, (4, 4): 1}
@@ -211,5 +236,6 @@ def oracle_sql(weights: tuple, domains: tuple, max_epochs: int, seed: int) -> di
         "op5_mixing": _op5(weights, domains, max_epochs, seed),
         "op6_chat": OP6,
         "op10_url_filters": OP10,
+        "op11_importance_resampling": _op11(),
         "op13_structure_repair": _op13(),
     }
