@@ -104,13 +104,15 @@ def _prepared(turns: DataFrame, conv_id: str, turn: str, role: str, text: str) -
     return rows.withColumn("digest", F.unhex(F.sha2("text", 256)))
 
 
-def _faults(rows: DataFrame) -> DataFrame:
-    """conv_id, turn, role's state * 4 + the turn's first fault: all that the plan needs of rows."""
+def _faults(rows: DataFrame, named: DataFrame | None) -> DataFrame:
+    """conv_id, turn, role's state * 4 + the turn's first fault: all that the plan needs of rows. A conversation that is only named has a row without code."""
     shown = F.rtrim(F.col("text"), F.lit(_WHITE))
     blank, cut = shown == "", ~F.right(shown, F.lit(1)).isin(".", "!", "?")
     initial = F.substring("role", 1, 1)
     state = F.when(initial == "s", S).when(initial == "u", U).when(initial == "a", A).otherwise(OTHER)
     narrow = rows.select("conv_id", "turn", "role", "digest", blank.alias("blank"), cut.alias("cut"), state.alias("state"))
+    if named is not None:  # before rows are dealt: a union of what is dealt already need not bring partitions together
+        narrow = narrow.unionByName(named.select("conv_id", *[F.lit(None).cast(t).alias(x) for x, t in narrow.dtypes[1:]]))
     # rows are dealt by conversation once; the window by text and the order by turn are both made within its partitions
     same = Window.partitionBy("conv_id", "role", "digest").orderBy(F.asc_nulls_first("turn"))
     dealt = narrow.repartition("conv_id").withColumn("again", F.row_number().over(same) > 1)
@@ -169,11 +171,8 @@ def plans(turns: DataFrame, conversations: DataFrame | None = None, conv_id: str
 
 
 def _plans_of(rows: DataFrame, conversations: DataFrame | None, conv_id: str) -> DataFrame:
-    found = _faults(rows)
-    if conversations is not None:
-        named = conversations.select(F.col(conv_id).cast("long").alias("conv_id")).distinct()
-        found = found.unionByName(named.select("conv_id", *[F.lit(None).cast(t).alias(x) for x, t in found.dtypes[1:]])).repartition("conv_id")
-    ordered = found.sortWithinPartitions("conv_id", F.asc_nulls_first("turn"), "role", "digest").select("conv_id", "turn", "code")
+    named = None if conversations is None else conversations.select(F.col(conv_id).cast("long").alias("conv_id")).distinct()
+    ordered = _faults(rows, named).sortWithinPartitions("conv_id", F.asc_nulls_first("turn"), "role", "digest").select("conv_id", "turn", "code")
     return ordered.mapInArrow(_plans, "conv_id long, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string")
 
 
