@@ -168,6 +168,18 @@ SELECT doc_id, n_features, weight, score, CASE WHEN k <= 25 * n // 100 THEN k EN
 """
 
 
+OP12 = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.r, a.vec_id AS query_id, b.vec_id, list_dot_product(a.e, b.e)::BIGINT AS score
+  FROM v a JOIN v b ON a.r <> b.r AND len(a.e) = len(b.e) WHERE a.vec_id % 50 = 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM o WHERE rank <= 5
+"""
+
+
 def _op13() -> str:
     """Turns one after the other, with the cheapest (cost, audit) for each last role: 1 none, 2 system, 3 user, 4 assistant."""
     inserts = {(1, 2): 0, (1, 3): 0, (1, 4): 1, (2, 3): 0, (2, 4): 1, (3, 4): 0, (3, 3): 1, (4, 3): 0, (4, 4): 1}
@@ -237,5 +249,6 @@ def oracle_sql(weights: tuple, domains: tuple, max_epochs: int, seed: int) -> di
         "op6_chat": OP6,
         "op10_url_filters": OP10,
         "op11_importance_resampling": _op11(),
+        "op12_top_k_search": OP12,
         "op13_structure_repair": _op13(),
     }

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import chat, embedding_dedup, exact_dedup, importance, mixing, oracles, quality, repair, sentencepiece_bpe, simhash, toxicity, url_filter, warc
+from marlstone.llm import chat, embedding_dedup, exact_dedup, importance, mixing, mtree, oracles, quality, repair, sentencepiece_bpe, simhash, toxicity, url_filter, warc
 from marlstone.llm.common import table
 
 MODEL = "piece_bpe_32k.model"
@@ -129,6 +129,10 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def damaged(turns: DataFrame) -> DataFrame:
     """Conversations as op13 is to find them: by crc32 of conv_id:turn, a twentieth of the rows each is dropped, emptied, without its stops, there twice, or a user's."""
     space = lambda x: F.coalesce(F.col(x).cast("string"), F.lit(" "))
@@ -157,7 +161,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     own = (
         op1_exact_dedup, op2_warc, op3_embedding_near_dedup, op4_simhash_near_dedup, op5_mixing,
-        op6_chat, op7_quality, op8_toxicity, op9_sentencepiece, op10_url_filters, op11_importance_resampling, op13_structure_repair, pipeline,
+        op6_chat, op7_quality, op8_toxicity, op9_sentencepiece, op10_url_filters, op11_importance_resampling, op12_top_k_search, op13_structure_repair, pipeline,
     )
     return {f.__name__: f for f in own}
 
