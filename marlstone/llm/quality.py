@@ -1,9 +1,8 @@
 """Quality classifier: hashed word and character n-gram vectors, averaged per document, softmax output, numpy SGD.
 
 A document's features are its words and pairs of neighbouring words, and the 3- and 4-grams of
-characters within words and their borders, hashed to rows of an embedding. A word's pair with
-itself is one feature, whatever the word, so that repetition is seen in words never met before. Their mean goes through a softmax layer. Both are
-learned together on the driver from a bounded labelled sample. As the layer is linear, scoring
+characters within words and their borders, hashed to rows of an embedding; nothing but its hash
+decides a feature's row. Their mean goes through a softmax layer. Both are learned together on the driver from a bounded labelled sample. As the layer is linear, scoring
 needs one number per row: the row's part in the difference of the two outputs.
 """
 
@@ -28,8 +27,6 @@ EPOCHS, RATE, SEED = 5, 20.0, 7
 #: Code points after which the next white space ends what is taken at once of a text.
 PIECE = 1 << 20
 THRESHOLD = 0.3
-#: The pair of any word with itself.
-REPEATED = np.uint64(0x5851F42D4C957F2D)
 _WHITE = "\t\n\x0b\x0c\r "
 _SPACE = re.compile(f"[{_WHITE}]")
 _SPACES = np.array([9, 10, 11, 12, 13, 32], "u4")
@@ -67,7 +64,7 @@ def features(text: str, before: str = "") -> np.ndarray:
     hashes = np.add.reduceat(np.where(inside, points * _POWERS[at], 0), begin)
     left = np.append(_word_hash(before), hashes[:-1]) if before else hashes[:-1]
     right = hashes if before else hashes[1:]
-    out = [_mix(hashes), _mix(np.where(left == right, REPEATED, left * np.uint64(0x9E3779B97F4A7C15) + right))]
+    out = [_mix(hashes), _mix(left * np.uint64(0x9E3779B97F4A7C15) + right)]
     for n in GRAMS:
         if len(points) < n:
             continue

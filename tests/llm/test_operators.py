@@ -430,7 +430,7 @@ def slow_features(text):
     words = [w for w in re.split("[\x20\x09-\x0d]+", text) if w]
     hashes = [word_hash(w) for w in words]
     out = [mix(h) for h in hashes]
-    out += [mix(int(quality.REPEATED) if a == b else (a * k + b) & mask) for a, b in zip(hashes, hashes[1:])]
+    out += [mix((a * k + b) & mask) for a, b in zip(hashes, hashes[1:])]
     spaced = " " + " ".join(words) + " "
     for n in quality.GRAMS:
         for i in range(len(spaced) - n + 1):
@@ -457,6 +457,21 @@ def test_quality_features_and_score_are_the_slow_ones(monkeypatch):
             assert quality.QualityModel(rows, 0.25).score(t) == pytest.approx(1 / (1 + math.exp(-(mean + 0.25))), abs=1e-5)
 
 
+def test_no_feature_of_quality_says_that_two_words_are_equal():
+    # pairs of words with themselves share no more rows than chance has it
+    words = [f"w{i}" for i in range(400)]
+    pairs = [{x for x in quality.features(f"{w} {w}").tolist() if x < quality.BUCKETS} - set(quality.features(w).tolist()) for w in words]
+    assert all(len(p) == 1 for p in pairs) and len(set().union(*pairs)) > 395
+
+
+def test_quality_learns_from_texts_without_repeated_words():
+    rng = random.Random(9)
+    texts = [" ".join(rng.sample([w if i % 2 else w[::-1] for w in GOOD if len(w) > 2], 3)) for i in range(400)]
+    model = quality.train(texts[:300], np.arange(300) % 2)
+    right = sum((model.score(t) >= 0.5) == (i % 2 == 1) for i, t in enumerate(texts[300:]))
+    assert right >= 95
+
+
 def test_one_step_of_quality_training_is_the_plain_one():
     text, rate = "good words here here", 2.0
     rng = np.random.default_rng(quality.SEED)
