@@ -33,7 +33,7 @@ from marlstone.llm.common import materialise
 #: What a component is multiplied by before it is cut to a whole number; results of a query.
 SCALE, K = 256, 5
 #: Vectors of a tree, and of a page of vectors; children of a node; vectors by whose nearest the others are dealt, a sample by hash; balls of a page.
-TREE, PAGE, CHILDREN, PIVOTS, BALLS = 4096, 64, 16, 256, 512
+TREE, PAGE, CHILDREN, PIVOTS, BALLS = 4096, 256, 16, 256, 512
 #: Squared lengths up to which sums of products are exact in double precision.
 EXACT = float(1 << 52)
 #: A share of the lengths by which distances are taken to be off at most.
