@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from marlstone.functions.names import column
+
 
 def item_name(attribute: str) -> str:
     """An attribute's name as it stands in items: = and % are written %3D and %25, so that the first = ends it."""
@@ -24,7 +26,7 @@ def attribute_name(name: str) -> str:
 
 def item(attribute: str, value: Column | None = None) -> Column:
     """The item of an attribute's value; null where the value is missing."""
-    return F.concat(F.lit(f"{item_name(attribute)}="), F.col(attribute).cast("string") if value is None else value)
+    return F.concat(F.lit(f"{item_name(attribute)}="), column(attribute).cast("string") if value is None else value)
 
 
 def item_attribute(x: Column) -> Column:

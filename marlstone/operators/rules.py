@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions.itemsets import all_of, attribute_name
+from marlstone.functions.names import column
 from marlstone.operators.tables import CONTINUOUS, DISCRETE, kind
 
 EQ, NEQ, LE, GT = "=", "<>", "<=", ">"
@@ -39,7 +40,7 @@ class Literal:
 
     def column(self) -> Column:
         """The condition, never null: a missing value meets only <>."""
-        c = F.col(self.attr)
+        c = column(self.attr)
         if self.op == EQ:
             return c.cast("string").eqNullSafe(F.lit(self.value))
         if self.op == NEQ:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marlstone.functions.names import column
 from marlstone.sources.files import written
 
 DISCRETE, CONTINUOUS = "d", "c"
@@ -31,8 +32,8 @@ def typed(df: DataFrame, discrete: Iterable[str] = (), continuous: Iterable[str]
     """df with these columns only, as text or double, and their kinds as metadata."""
     d, c = list(discrete), list(continuous)
     return df.select(
-        *[F.col(x).cast("string").alias(x, metadata={"kind": DISCRETE}) for x in d],
-        *[F.col(x).cast("double").alias(x, metadata={"kind": CONTINUOUS}) for x in c],
+        *[column(x).cast("string").alias(x, metadata={"kind": DISCRETE}) for x in d],
+        *[column(x).cast("double").alias(x, metadata={"kind": CONTINUOUS}) for x in c],
     )
 
 
@@ -83,7 +84,7 @@ def numbered_in_order(df: DataFrame, *order: Column | str, name: str) -> DataFra
 def dictionary(df: DataFrame, names: Iterable[str] | None = None) -> DataFrame:
     """(attr, value, code): the values of discrete columns, numbered from 0 in the order of their names."""
     names = list(names) if names is not None else columns_of(df, DISCRETE)
-    pairs = F.explode(F.array(*[F.struct(F.lit(x).alias("attr"), F.col(x).cast("string").alias("value")) for x in names])).alias("p")
+    pairs = F.explode(F.array(*[F.struct(F.lit(x).alias("attr"), column(x).cast("string").alias("value")) for x in names])).alias("p")
     values = df.select(pairs).select("p.attr", "p.value").filter("value is not null").distinct()
     return values.withColumn("code", F.row_number().over(Window.partitionBy("attr").orderBy("value")) - 1)
 
@@ -120,7 +121,7 @@ def distinct_rows(df: DataFrame, names: Iterable[str], count: str = "_n") -> Dat
     Mining, coverage and entropies depend on nothing else, so categories of billions of rows
     become a table that is as large as the number of combinations that occur.
     """
-    return df.groupBy(*names).agg(F.count("*").alias(count))
+    return df.groupBy(*map(column, names)).agg(F.count("*").alias(count))
 
 
 def add_rows(mask: Column, rows: Column) -> Column:

@@ -297,6 +297,98 @@ m{i + 1} AS MATERIALIZED (SELECT k, {shares}, avg(z) AS mu, count(*) AS n FROM a
     return out + " " + " UNION ALL ".join([*rows, f"SELECT k, 'c_acctbal', '', round(mu, 6), n FROM {last}"])
 
 
+def _cuts(table: str, attrs: tuple[str, ...], cls: str) -> str:
+    """The best cut of several numbers: sums for each class, below and from each value."""
+    long = " UNION ALL ".join(f"SELECT '{a}' AS attr, {a}::DOUBLE AS v, {cls} AS c FROM {table} WHERE {a} IS NOT NULL AND {cls} IS NOT NULL" for a in attrs)
+    part = lambda x: f"CASE WHEN {x} > 0 THEN {x} * log2({x}) ELSE 0 END"
+    return f"""
+WITH long AS ({long}),
+v AS (SELECT attr, v, min(c) AS f, max(c) AS l FROM long GROUP BY ALL),
+cells AS (SELECT attr, v, c, count(*) AS n FROM long GROUP BY ALL),
+g AS (
+  SELECT v.attr, v.v, k.c, coalesce(sum(n) OVER (PARTITION BY v.attr, k.c ORDER BY v.v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS b,
+    coalesce(sum(n) OVER (PARTITION BY v.attr, k.c), 0)::DOUBLE - b AS a
+  FROM v CROSS JOIN (SELECT DISTINCT c FROM long) k LEFT JOIN cells ON cells.attr = v.attr AND cells.v = v.v AND cells.c = k.c),
+e AS (SELECT attr, v, ({part("sum(b)")} - sum({part("b")}) + {part("sum(a)")} - sum({part("a")})) / (sum(a) + sum(b)) AS e FROM g GROUP BY attr, v),
+p AS (SELECT attr, v, (lag(v) OVER w + v) / 2 AS cut, lag(l) OVER w <> f AS differs FROM v WINDOW w AS (PARTITION BY attr ORDER BY v))
+SELECT attr, arg_min(cut, (round(e, 12), cut)) AS cut, round(arg_min(e, (round(e, 12), cut)), 9) AS entropy FROM p JOIN e USING (attr, v) WHERE differs GROUP BY attr
+"""
+
+
+def _bits(a: str, b: str, digits: int = 12) -> str:
+    """The entropy of two class counts, to the digits to which entropies are compared; 1000 for none."""
+    part = lambda x: f"CASE WHEN {x} > 0 THEN {x} / ({a} + {b}) * log2({x} / ({a} + {b})) ELSE 0 END"
+    return f"CASE WHEN {a} + {b} = 0 THEN 1000 ELSE round(-({part(a)}) - ({part(b)}), {digits}) END"
+
+
+def _induced_rules(least: int) -> str:
+    """Sequential covering for two classes over lang, toxic and n_chars: a round of the recursion is a rule, and what is left of the rows goes to the next.
+
+    No body is longer than three, as each text column is used once and a cut that was taken covers all that is left.
+    """
+
+    def met(lit: str, cut: str) -> str:
+        number = f"CASE {lit}.value WHEN '0' THEN o.n_chars <= {cut} ELSE o.n_chars > {cut} END"
+        return f"coalesce(CASE {lit}.place WHEN 0 THEN o.lang = {lit}.value WHEN 1 THEN o.toxic = {lit}.value ELSE {number} END, false)"
+
+    def step(i: int) -> str:
+        here = " AND ".join(met(f"b{j}", "cut") for j in range(1, i))
+        used = " AND ".join(f"(g.place = 2 OR b{j}.place <> g.place)" for j in range(1, i))
+        before = ", ".join(f"b{j}" for j in range(1, i))
+        unused = "2 + (cut IS NOT NULL)::INT" + "".join(f" - (b{j}.place < 2)::INT" for j in range(1, i))
+        return f"""
+l{i} AS (
+  SELECT g.*, {_bits("g.c0", "g.c1")} AS e FROM (
+    SELECT x.place, x.value, sum(n) FILTER (quality = '0') AS q0, sum(n) FILTER (quality = '1') AS q1, coalesce(q0, 0) AS c0, coalesce(q1, 0) AS c1
+    FROM (SELECT o.*, unnest([{{'place': 0, 'value': lang}}, {{'place': 1, 'value': toxic}}, {{'place': 2, 'value': CASE WHEN n_chars <= cut THEN '0' WHEN n_chars > cut THEN '1' END}}]) AS x
+          FROM o, cutting{", " + before + " WHERE " + here if i > 1 else ""})
+    WHERE x.value IS NOT NULL GROUP BY ALL) g{", " + before + " WHERE " + used if i > 1 else ""}),
+n{i} AS (SELECT * FROM l{i} WHERE c0 + c1 >= {least} ORDER BY e, c0 + c1 DESC, place, value LIMIT 1),
+b{i} AS (
+  SELECT n.* FROM n{i} n, b{i - 1} p, cutting{", " + before if i > 2 else ", b1" if i == 2 else ""}
+  WHERE p.c0 > 0 AND p.c1 > 0 {f"AND {unused.replace('b' + str(i - 1) + '.', 'p.')} >= 2" if i > 1 else ""} AND (n.e < p.e OR n.e = p.e AND n.c0 + n.c1 > p.c0 + p.c1)),"""
+
+    steps = "".join(step(i) for i in (1, 2, 3))
+    texts = "CASE place WHEN 0 THEN 'lang=' || value WHEN 1 THEN 'toxic=' || value ELSE 'n_chars' || CASE value WHEN '0' THEN '<=' ELSE '>' END || CASE WHEN cut = floor(cut) THEN cut::BIGINT::VARCHAR ELSE cut::VARCHAR END END"
+    kept = " AND ".join(f"(NOT s.k[{j}] OR {met(f'body.lits[{j}]', 'body.cut')})" for j in (1, 2, 3))
+    final = kept.replace("s.k[", "chosen.k[").replace("body.", "chosen.")
+    return f"""
+WITH RECURSIVE {DL},
+state AS (
+  SELECT 0 AS k, lang, toxic, n_chars, quality, count(*) AS n, NULL::VARCHAR AS body, NULL::VARCHAR AS head, NULL::BIGINT AS pos, NULL::BIGINT AS neg
+  FROM dl WHERE quality IS NOT NULL GROUP BY ALL
+  UNION ALL
+  SELECT * FROM (
+    WITH o AS (SELECT * FROM state WHERE quality IS NOT NULL),
+    v AS (SELECT n_chars AS v, min(quality) AS f, max(quality) AS l, sum(n) FILTER (quality = '0') AS q0, sum(n) FILTER (quality = '1') AS q1 FROM o WHERE n_chars IS NOT NULL GROUP BY n_chars),
+    w AS (
+      SELECT (lag(v) OVER i + v) / 2 AS cut, lag(l) OVER i AS pl, f, coalesce(sum(q0) OVER b, 0) AS b0, coalesce(sum(q1) OVER b, 0) AS b1,
+        coalesce(sum(q0) OVER (), 0) - b0 AS a0, coalesce(sum(q1) OVER (), 0) - b1 AS a1
+      FROM v WINDOW i AS (ORDER BY v), b AS (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    cutting AS (SELECT min(cut) AS cut FROM (
+      SELECT cut FROM w WHERE pl <> f ORDER BY round(((b0 + b1) * ({_bits("b0", "b1", 16)}) + (a0 + a1) * ({_bits("a0", "a1", 16)})) / (a0 + a1 + b0 + b1), 12), cut LIMIT 1)),
+    b0 AS (SELECT *, {_bits("c0", "c1")} AS e FROM (SELECT -1 AS place, '' AS value, coalesce(sum(n) FILTER (quality = '0'), 0) AS c0, coalesce(sum(n) FILTER (quality = '1'), 0) AS c1 FROM o)),
+    {steps}
+    body AS (
+      SELECT list({{'place': place, 'value': value, 'text': {texts}}} ORDER BY i) AS lits, count(*) AS m, any_value(cut) AS cut
+      FROM (SELECT 1 AS i, place, value FROM b1 UNION ALL SELECT 2, place, value FROM b2 UNION ALL SELECT 3, place, value FROM b3), cutting),
+    subsets AS (SELECT x, [x & 4 > 0, x & 2 > 0, x & 1 > 0] AS k, x = [0, 4, 6, 7][m + 1] AS whole FROM range(8) r(x), body WHERE x & [7, 3, 1, 0][m + 1] = 0),
+    tried AS (
+      SELECT s.x, s.k, s.whole, coalesce(sum(n) FILTER (quality = '0'), 0) AS c0, coalesce(sum(n) FILTER (quality = '1'), 0) AS c1
+      FROM subsets s, body, o WHERE {kept} GROUP BY ALL),
+    chosen AS (
+      SELECT t.*, body.* FROM tried t, body
+      ORDER BY {_bits("t.c0", "t.c1")}, NOT whole, x LIMIT 1)
+    SELECT (SELECT max(k) FROM o) + 1 AS k, lang, toxic, n_chars, quality, n, NULL, NULL, NULL, NULL FROM o, chosen WHERE NOT ({final})
+    UNION ALL
+    SELECT (SELECT max(k) FROM o), NULL, NULL, NULL, NULL, NULL,
+      coalesce(array_to_string([lits[j].text FOR j IN range(1, 4) IF k[j]], ' & '), ''), CASE WHEN c0 >= c1 THEN 'quality=0' ELSE 'quality=1' END, greatest(c0, c1), least(c0, c1)
+    FROM chosen WHERE c0 + c1 > 0)
+)
+SELECT k::BIGINT AS place, body, head, pos::BIGINT AS pos, neg::BIGINT AS neg FROM state WHERE pos IS NOT NULL
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     long = ", ".join(_item(a) for a in ITEMS)
     sets = f"WITH {OC}, {_itemsets(ITEMS, 0.01)} SELECT items, freq FROM found"
@@ -329,6 +421,7 @@ def oracle_sql() -> dict[str, str]:
         "relief": _relief(False),
         "relief2": _relief(True),
         "best_cut": _cut(),
+        "best_cuts": _cuts("lineitem", ("l_quantity", "l_extendedprice", "l_discount", "l_tax"), "l_returnflag"),
         "split_entropy": f"WITH {DL}, c AS (SELECT *, sum(n) OVER (PARTITION BY side) AS ns, sum(n) OVER () AS t {split}) SELECT round(-sum((n / t) * log2(n / ns)), 9) AS entropy FROM c",
         "discretised": f"WITH {DL} SELECT CASE WHEN n_chars <= 1000 THEN '<=1000' WHEN n_chars > 1000 THEN '>1000' END AS size, quality, count(*) AS n FROM dl GROUP BY ALL",
         "z_scores": "SELECT c_custkey, round((c_acctbal - avg(c_acctbal) OVER ()) / stddev_samp(c_acctbal) OVER (), 9) AS z FROM customer",
@@ -350,6 +443,7 @@ def oracle_sql() -> dict[str, str]:
         "cross_validation": _cross_validation(3, 0.05, 0.6),
         "mined_classifier": _mined_classifier(5, 0.335, 0.001),
         "induction_candidates": _candidates(),
+        "induced_rules": _induced_rules(20),
         "kmeans_assign": f"WITH {ASSIGNED} SELECT c_custkey::VARCHAR AS key, cluster::VARCHAR AS cluster FROM a",
         "kmeans_update": f"WITH {ASSIGNED}, r AS ({assigned_rows}) SELECT cluster::BIGINT AS cluster, attr, value, round(weight, 6) AS weight, members FROM r",
         "kmeans_fit": _kmeans(5, 10),

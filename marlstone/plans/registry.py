@@ -161,6 +161,13 @@ def best_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discretise.best_cut(_labelled(spark, sf_dir), "n_chars", "quality").select("cut", _r("entropy"))
 
 
+def best_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best cut of every number of lineitem, for its return flag."""
+    numbers = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    df = tables.typed(_table(spark, sf_dir, "lineitem"), ["l_returnflag"], numbers)
+    return discretise.best_cuts(df, numbers, "l_returnflag").select("attr", "cut", _r("entropy"))
+
+
 def split_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measures.split_entropy(_labelled(spark, sf_dir), "n_chars", 1000.0, "quality").select(_r("entropy"))
 
@@ -438,7 +445,7 @@ def extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = (
     item_support, frequent_itemsets, frequent_itemsets_fpgrowth, itemset_counts, assoc_rules, class_rules_minimal, class_rules_selected,
     entropy, entropy_all, info_gain, info_gain_lift, info_gain_cut, odds_ratio, odds_ratio_selection, item_correlation, correlation_selection,
-    relief, relief2, best_cut, split_entropy, discretised, z_scores, value_dictionary, encoded_column, transactions, rule_coverage,
+    relief, relief2, best_cut, best_cuts, split_entropy, discretised, z_scores, value_dictionary, encoded_column, transactions, rule_coverage,
     confusion_matrix, classifier_metrics, first_match_label, rule_vote, greedy_cover, n_best_rules, n_rules_each_class, max_cover,
     default_class, fold_sizes, folds, mined_classifier, cross_validation, classifier_grid, induction_candidates, induced_rules,
     kmeans_assign, kmeans_update, kmeans_fit, typed_text_round_trip, file_labels, file_votes, file_test,

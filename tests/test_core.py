@@ -3,6 +3,7 @@ import random
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -520,7 +521,7 @@ def test_many_rules_are_picked_in_few_jobs(spark):
         classify.LOCAL_CELLS = here
 
 
-def test_long_bodies_are_grown_and_pruned(spark, monkeypatch):
+def test_long_bodies_are_grown_and_pruned(spark):
     # every column holds one more row of class q apart, so a rule needs all of them
     n = 14
     rows = [(*["1"] * n, "p")] * 30 + [(*["0" if k == i else "1" for k in range(n)], "q") for i in range(n)] * 2
@@ -529,12 +530,59 @@ def test_long_bodies_are_grown_and_pruned(spark, monkeypatch):
     first = induce.grow_rules(df, "c", p, max_rules=1)[0]
     assert len(first.body) == n - 1 and first.neg == 2 and first.pos == 30
     assert len(induce.grow_rules(df, "c", induce.InductionParameters(3, max_body=3), max_rules=1)[0].body) == 3
-    patterns = {tuple(rng.random() < 0.6 for _ in range(6)) for rng in [random.Random(4)] for _ in range(8)}
-    closed = set(induce._met_by_some(patterns))
-    for chosen in __import__("itertools").product((False, True), repeat=6):
-        over = [q for q in patterns if all(b for b, x in zip(q, chosen) if x)]
-        if over:
-            assert tuple(map(all, zip(*over))) in closed
+
+
+@pytest.mark.parametrize("classes", [2, 3, 9])
+def test_pruning_is_one_search_for_bodies_of_any_length(classes):
+    rng = random.Random(classes)
+    for many in (0, 1, 3, 5, 12, 13):
+        for _ in range(20 if many < 10 else 3):
+            patterns = sorted({tuple(rng.random() < 0.7 for _ in range(many)) for _ in range(rng.randrange(1, 9))} | ({(True,) * many} if rng.random() < 0.8 else set()))
+            counts = np.array([[rng.randrange(4) for _ in range(classes)] for _ in patterns])
+            of = lambda chosen: sum((c for p, c in zip(patterns, counts) if all(m for m, x in zip(p, chosen) if x)), np.zeros(classes, int))
+            best = (True,) * many
+            least = induce.entropy_of(dict(enumerate(of(best).tolist())))
+            for chosen in __import__("itertools").product((False, True), repeat=many):
+                if (e := induce.entropy_of(dict(enumerate(of(chosen).tolist())))) < least:
+                    best, least = chosen, e
+            got, final = induce._least_subset(np.array(patterns, bool).reshape(len(patterns), many), counts)
+            assert got == best and final.tolist() == of(best).tolist()
+
+
+@pytest.mark.parametrize("one_part", [100_000, 3])
+def test_cuts_of_several_columns_are_found_together(spark, monkeypatch, one_part):
+    monkeypatch.setattr(discretise, "ONE_PART", one_part)
+    rng = random.Random(6)
+    rows = [(rng.choice([None, *map(float, range(15))]), float(rng.randrange(4)), 1.0, rng.gauss(0, 1e9), rng.choice(["a", "b", "c", None])) for _ in range(80)]
+    df = spark.createDataFrame(rows, "`x.1` double, y double, same double, z double, `c.` string")
+    before = spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    got = {r["attr"]: r for r in discretise.best_cuts(df, ["x.1", "y", "same", "z"], "c.").collect()}
+    assert set(got) == {"x.1", "y", "z"} and spark.sparkContext._jsc.sc().getPersistentRDDs().size() == before
+    for k, a in ((0, "x.1"), (1, "y"), (3, "z")):
+        cut, e = brute_cut([(r[k], r[4]) for r in rows])
+        assert got[a]["cut"] == cut and got[a]["entropy"] == pytest.approx(e)
+        for side, met in ((got[a]["below"], lambda v: v <= cut), (got[a]["above"], lambda v: v > cut)):
+            assert side == [sum(r[4] == c and r[k] is not None and met(r[k]) for r in rows) for c in "abc"]
+
+
+def test_induction_leaves_nothing_behind_and_rewrites_what_is_open(spark, monkeypatch):
+    monkeypatch.setattr(induce, "REWRITE", 1)
+    rng = random.Random(4)
+    rows = [{"a.b": rng.choice("uvw"), "x": float(rng.randrange(6)), "c": rng.choice("PN")} for _ in range(50)]
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], "`a.b` string, x double, c string")
+    before = spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    p = induce.InductionParameters(5)
+    got = induce.grow_rules(df, "c", p)
+    assert [(r.body, r.head.value, r.pos, r.neg) for r in got] == slow_grow(rows, ["a.b", "x"], {"a.b": "d", "x": "c"}, "c", p)
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == before
+
+
+def test_numbers_in_an_order(spark):
+    rows = [(i % 3, None if i % 7 == 0 else i * 37 % 50, i) for i in range(100)] + [(1, 5, 200 + i) for i in range(60)]
+    df = spark.createDataFrame(rows, "a long, b long, _place long")
+    got = tables.numbered_in_order(df, F.desc("a"), F.asc_nulls_first("b"), F.col("_place"), name="n").collect()
+    want = sorted(rows, key=lambda r: (-r[0], r[1] is not None, r[1] or 0, r[2]))
+    assert [tuple(r)[:3] for r in sorted(got, key=lambda r: r["n"])] == want and sorted(r["n"] for r in got) == list(range(160))
 
 
 def test_clipped_normal(spark):
