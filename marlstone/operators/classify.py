@@ -14,7 +14,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.functions.names import column
 from marlstone.operators.rules import EQ, Literal, Rule, check, order_key
+from marlstone.operators.tables import fresh
 
 USE_ALL, N_ALL, N_EACH, MAX_COVER = "all", "n_all", "n_each", "max_cover"
 #: Rules from which on a label is looked up in an array of conditions rather than a chain of cases.
@@ -38,91 +40,149 @@ class ClassifierParameters:
 
 
 class _Signatures:
-    """Which rules cover a row, its class, and how many such rows there are."""
+    """Which rules cover a row, its class, and how many such rows there are: a number for each of weights."""
 
-    def __init__(self, df: DataFrame, rules: list[Rule], class_: str, weight: str | None):
-        self.rules, self.class_ = rules, class_
-        known = df.filter(F.col(class_).isNotNull())
+    def __init__(self, df: DataFrame, rules: list[Rule], class_: str, *weights: str):
+        self.rules, self.class_, self.weights = rules, class_, [f"n{i}" for i in range(max(1, len(weights)))]
+        known = df.filter(column(class_).isNotNull())
         cover = F.array(*[r.covers() for r in rules]) if rules else F.array().cast("array<boolean>")
-        w = F.col(weight) if weight else F.lit(1)
-        self.rows = known.select(cover.alias("cover"), F.col(class_).cast("string").alias("class"), w.alias("w")).groupBy("cover", "class").agg(F.sum("w").alias("n")).cache()
-        self.here: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+        ws = [column(w).cast("long") for w in weights] or [F.lit(1).cast("long")]
+        rows = known.select(cover.alias("cover"), column(class_).cast("string").alias("class"), *[w.alias(n) for w, n in zip(ws, self.weights)])
+        self.rows = rows.groupBy("cover", "class").agg(*[F.sum(n).alias(n) for n in self.weights]).cache()
+        self.here: Held | None = None
         if self.rows.count() * max(1, len(rules)) <= LOCAL_CELLS:
             found = self.rows.toArrow()
             cover = found["cover"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(bool).reshape(found.num_rows, len(rules))
-            self.here = cover, np.array(found["class"].to_pylist(), object), found["n"].to_numpy()
+            n = np.array([found[x].to_numpy() for x in self.weights], "i8").reshape(len(self.weights), found.num_rows)
+            self.here = Held(np.ascontiguousarray(cover.T), found["class"].to_pylist(), n, [r.head.value for r in rules])
 
     def open_rows(self, picked: list[int]) -> Column:
-        return ~reduce(lambda a, b: a | b, [F.get("cover", F.lit(i)) for i in picked], F.lit(False))
+        """Rows that no picked rule covers; one term however many are picked."""
+        return ~F.exists(F.lit(picked), lambda i: F.get("cover", i)) if picked else F.lit(True)
 
     def counts(self, picked: list[int], left: list[int]) -> dict[int, tuple[int, int]]:
-        """Positives and negatives of the rules left, on rows that no picked one covers."""
+        """Positives and negatives of the rules left, on rows that no picked one covers; one job."""
         if not left:
             return {}
-        if self.here is not None:
-            cover, classes, n = self.here
-            open_ = ~cover[:, picked].any(axis=1)
-            cover, classes, n = cover[open_][:, left], classes[open_], n[open_]
-            right = classes[:, None] == np.array([self.rules[i].head.value for i in left], object)[None, :]
-            pos, neg = (n @ (cover & right)).tolist(), (n @ (cover & ~right)).tolist()
-            return {i: (int(p), int(m)) for i, p, m in zip(left, pos, neg)}
-        heads = F.array(*[F.lit(r.head.value) for r in self.rules])
-        rule = F.explode(F.filter(F.array(*[F.lit(i) for i in left]), lambda i: F.get("cover", i)))
-        hits = self.rows.filter(self.open_rows(picked)).select(rule.alias("rule"), "class", "n")
+        heads = F.lit([r.head.value for r in self.rules])
+        rule = F.explode(F.filter(F.lit(left), lambda i: F.get("cover", i)))
+        hits = self.rows.filter(self.open_rows(picked)).select(rule.alias("rule"), "class", F.col(self.weights[0]).alias("n"))
         right = F.get(heads, F.col("rule")) == F.col("class")
         found = hits.groupBy("rule").agg(F.sum(F.when(right, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(right, 0).otherwise(F.col("n"))).alias("m"))
         return {i: (0, 0) for i in left} | {r["rule"]: (r["p"], r["m"]) for r in found.collect()}
 
     def majority(self, picked: list[int], domain: list[str]) -> str:
         """The most frequent class of rows that no picked rule covers; the first by name of equals, or of all if no row is left."""
-        top = self.rows.filter(self.open_rows(picked)).groupBy("class").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "class").first()
+        if self.here is not None:
+            return self.here.majority(picked, domain, 0)
+        top = self.rows.filter(self.open_rows(picked)).groupBy("class").agg(F.sum(self.weights[0]).alias("n")).orderBy(F.desc("n"), "class").first()
         return top["class"] if top else domain[0]
 
 
+class Held:
+    """Signatures on the driver: met says which rows each rule covers, n their numbers under each weight."""
+
+    def __init__(self, met: np.ndarray, classes: list[str], n: np.ndarray, heads: list[str]):
+        self.met, self.n = met, n
+        self.names = sorted({*classes, *heads})
+        code = {c: i for i, c in enumerate(self.names)}
+        self.classes, self.heads = np.array([code[c] for c in classes], "i4"), np.array([code[h] for h in heads], "i4")
+
+    def picks(self, candidates: list[int], most: int | None, whole: bool, weight: int | np.ndarray = 0) -> list[tuple[int, int, int]]:
+        """(rule, positives, negatives) of the best candidate on the rows not yet covered, again and again: most positives (or most rows, if whole), then fewest negatives, then first.
+
+        Counts are kept, not made anew: a row is taken out of all of them once, when the first rule
+        that covers it is picked, so all steps together look at each cell of the table once.
+        """
+        n = self.n[weight] if np.isscalar(weight) else weight
+        rules = np.array(candidates, "i8")
+        heads, open_, left = self.heads[rules], n > 0, np.ones(len(rules), bool)
+        pos, neg = np.zeros(len(rules), "i8"), np.zeros(len(rules), "i8")
+
+        def add(rows: np.ndarray, sign: int) -> None:
+            for a in range(0, len(rules), 256):
+                met = self.met[np.ix_(rules[a : a + 256], rows)]
+                right = heads[a : a + 256, None] == self.classes[rows]
+                pos[a : a + 256] += sign * ((met & right) @ n[rows])
+                neg[a : a + 256] += sign * ((met & ~right) @ n[rows])
+
+        add(np.flatnonzero(open_), 1)
+        out = []
+        while left.any() and (most is None or len(out) < most):
+            first = pos + neg if whole else pos
+            of_best = left & (first == first[left].max())
+            if not whole:
+                of_best &= neg == neg[of_best].min()
+            best = int(of_best.argmax())
+            out.append((int(rules[best]), int(pos[best]), int(neg[best])))
+            left[best] = False
+            rows = np.flatnonzero(self.met[rules[best]] & open_)
+            if rows.size:
+                open_[rows] = False
+                add(rows, -1)
+        return out
+
+    def majority(self, picked: list[int], domain: list[str], weight: int | np.ndarray) -> str:
+        n = self.n[weight] if np.isscalar(weight) else weight
+        open_ = (n > 0) & ~self.met[picked].any(0)
+        totals = np.bincount(self.classes[open_], weights=n[open_], minlength=len(self.names))
+        return self.names[int(totals.argmax())] if open_.any() else domain[0]
+
+    def domain(self, n: np.ndarray) -> list[str]:
+        """The classes that rows have."""
+        return [self.names[c] for c in np.unique(self.classes[n > 0])]
+
+    def right(self, places: list[int], otherwise: str | None, n: np.ndarray) -> float:
+        """The share of rows whose class is the head of the first rule of a list that covers them, or else a default; 0 for no rows."""
+        met = self.met[places]
+        first = met.argmax(0) if places else np.zeros(len(n), "i8")
+        said = np.where(met.any(0), self.heads[np.array(places, "i8")][first], -1) if places else np.full(len(n), -1)
+        if otherwise is not None:
+            said = np.where(said < 0, self.names.index(otherwise), said)
+        return float(n[said == self.classes].sum() / n.sum()) if n.sum() else 0.0
+
+
 def class_values(df: DataFrame, class_: str) -> list[str]:
-    return [r[0] for r in df.select(F.col(class_).cast("string")).filter(F.col(class_).isNotNull()).distinct().orderBy(class_).collect()]
+    return [r[0] for r in df.select(column(class_).cast("string").alias("c")).filter("c is not null").distinct().orderBy("c").collect()]
 
 
 def most_frequent_class(df: DataFrame, class_: str) -> DataFrame:
     """(class, n): the most frequent class, the first by name of equals."""
-    return df.filter(F.col(class_).isNotNull()).groupBy(F.col(class_).alias("class")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "class").limit(1)
+    return df.filter(column(class_).isNotNull()).groupBy(column(class_).alias("class")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "class").limit(1)
 
 
-def _cover_greedily(s: _Signatures, candidates: list[int], most: int | None) -> list[tuple[int, Rule]]:
-    """Best rule on the rows not yet covered, again and again: most positives, then fewest negatives, then first in the list."""
-    picked: list[int] = []
+def _picked(s: _Signatures, candidates: list[int], most: int | None, whole: bool, weight: int | np.ndarray = 0) -> list[tuple[int, int, int]]:
+    """Held.picks(), on the driver or with a job for each pick."""
+    if s.here is not None:
+        return s.here.picks(candidates, most, whole, weight)
     out, left = [], list(candidates)
     while left and (most is None or len(out) < most):
-        counts = s.counts(picked, left)
-        best = min(left, key=lambda i: (-counts[i][0], counts[i][1], left.index(i)))
-        if not any(map(any, counts.values())):  # nothing left to cover: the others follow as they stand
-            rest = left if most is None else left[: most - len(out)]
-            return out + [(i, s.rules[i].counted(0, 0)) for i in rest]
-        out.append((best, s.rules[best].counted(*counts[best])))
-        picked.append(best)
+        counts = s.counts([i for i, _, _ in out], left)
+        first = (lambda i: -sum(counts[i])) if whole else (lambda i: -counts[i][0])
+        best = min(left, key=lambda i: (first(i), 0 if whole else counts[i][1], left.index(i)))
+        out.append((best, *counts[best]))
         left.remove(best)
     return out
 
 
-def _ordered(s: _Signatures, domain: list[str], strategy: str, n: int | None) -> list[list[tuple[int, Rule]]]:
-    """The picks of a strategy, in one list or in one for each class; the picks for fewer rules are the first of each list."""
-    every = list(range(len(s.rules)))
-    if strategy == MAX_COVER:
-        return [_max_cover(s, n or len(every))]
-    if strategy == N_EACH:
-        return [_cover_greedily(s, [i for i in every if s.rules[i].head.value == c], n) for c in domain]
-    return [_cover_greedily(s, every, n)]
+def _ordered(s: _Signatures, rules: list[int], domain: list[str], strategy: str, n: int | None, weight: int | np.ndarray = 0) -> list[list[tuple[int, Rule]]]:
+    """The picks of a strategy among some of the rules, in one list or in one for each class; the picks for fewer rules are the first of each list."""
+    groups = [[i for i in rules if s.rules[i].head.value == c] for c in domain] if strategy == N_EACH else [rules]
+    if strategy == MAX_COVER:  # the class is ignored, and counts stay those of mining
+        return [[(i, s.rules[i]) for i, _, _ in _picked(s, rules, n, True, weight)]]
+    return [[(i, s.rules[i].counted(p, m)) for i, p, m in _picked(s, g, n, False, weight)] for g in groups]
 
 
-def _finished(s: _Signatures, domain: list[str], picks: list[list[tuple[int, Rule]]], p: ClassifierParameters) -> list[Rule]:
+def _chosen(picks: list[list[tuple[int, Rule]]], p: ClassifierParameters) -> list[tuple[int, Rule]]:
     n = None if p.strategy == USE_ALL else p.n_rules
     chosen = [x for one in picks for x in one[:n]]
     if p.strategy == N_EACH:
         chosen.sort(key=lambda x: order_key(x[1]), reverse=p.reference_order)
-    out = [r for _, r in chosen]
-    if p.default_rule and p.strategy != MAX_COVER and domain:
-        out.append(Rule((), Literal(s.class_, EQ, s.majority([i for i, _ in chosen], domain))))
-    return out
+    return chosen
+
+
+def _has_default(p: ClassifierParameters, domain: list[str]) -> bool:
+    return p.default_rule and p.strategy != MAX_COVER and bool(domain)
 
 
 def build_classifier(df: DataFrame, rules: list[Rule], class_: str, p: ClassifierParameters, weight: str | None = None) -> list[Rule]:
@@ -130,29 +190,59 @@ def build_classifier(df: DataFrame, rules: list[Rule], class_: str, p: Classifie
     return build_classifiers(df, rules, class_, [p], weight)[0]
 
 
+def _most(many: list[ClassifierParameters], strategy: str) -> int | None:
+    return None if strategy == USE_ALL else max(p.n_rules for p in many if p.strategy == strategy)
+
+
 def build_classifiers(df: DataFrame, rules: list[Rule], class_: str, many: list[ClassifierParameters], weight: str | None = None) -> list[list[Rule]]:
     """build_classifier for several parameters; each strategy picks once, for its largest number of rules."""
     check(df, rules, class_)
-    s, domain = _Signatures(df, rules, class_, weight), class_values(df, class_)
-    picks = {}
-    for strategy in {p.strategy for p in many}:
-        most = None if strategy == USE_ALL else max(p.n_rules for p in many if p.strategy == strategy)
-        picks[strategy] = _ordered(s, domain, strategy, most)
-    out = [_finished(s, domain, picks[p.strategy], p) for p in many]
+    s, domain = _Signatures(df, rules, class_, *([weight] if weight else [])), class_values(df, class_)
+    picks = {k: _ordered(s, list(range(len(rules))), domain, k, _most(many, k)) for k in {p.strategy for p in many}}
+    out = []
+    for p in many:
+        chosen = _chosen(picks[p.strategy], p)
+        made = [r for _, r in chosen]
+        if _has_default(p, domain):
+            made.append(Rule((), Literal(class_, EQ, s.majority([i for i, _ in chosen], domain))))
+        out.append(made)
     s.rows.unpersist()
     return out
 
 
-def _max_cover(s: _Signatures, n: int) -> list[tuple[int, Rule]]:
-    """n rules that each cover most rows that none before covers, whatever the class; the first of equals."""
-    picked: list[int] = []
-    out, left = [], list(range(len(s.rules)))
-    while left and len(out) < n:
-        counts = s.counts(picked, left)
-        best = min(left, key=lambda i: (-sum(counts[i]), left.index(i)))
-        out.append((best, s.rules[best]))
-        picked.append(best)
-        left.remove(best)
+def fold_accuracies(df: DataFrame, lists: list[list[Rule]], class_: str, many: list[ClassifierParameters], weights: list[str], total: str) -> list[list[float]]:
+    """The accuracy of classifiers on every fold, for each of several parameters: made from a fold's own candidate rules, on the rows that aren't in it.
+
+    df has weighted rows: total of them, weights[i] in fold i. What rules of all folds cover is found once, and
+    each fold has its own numbers of the same signatures, so the number of jobs doesn't follow the folds; unless
+    the signatures are too many for the driver, when each fold's steps are jobs of their own.
+    """
+    place: dict[tuple, int] = {}
+    rules: list[Rule] = []
+    for r in (r for one in lists for r in one):
+        if (r.body, r.head) not in place:
+            place[r.body, r.head] = len(rules)
+            rules.append(r)
+    check(df, rules, class_)
+    s = _Signatures(df, rules, class_, *weights, total)
+    out = []
+    for fold, own in enumerate(lists):
+        if s.here is None:
+            n = fresh(df, "_train")
+            train = df.withColumn(n, column(total) - column(weights[fold])).filter(F.col(n) > 0)
+            made = build_classifiers(train, own, class_, many, n)
+            out.append(accuracies(df, made, class_, weights[fold]))
+            continue
+        test = s.here.n[fold]
+        train = s.here.n[-1] - test
+        domain, ids = s.here.domain(train), [place[r.body, r.head] for r in own]
+        picks = {k: _ordered(s, ids, domain, k, _most(many, k), train) for k in {p.strategy for p in many}}
+        of_fold = []
+        for p in many:
+            chosen = [i for i, _ in _chosen(picks[p.strategy], p)]
+            of_fold.append(s.here.right(chosen, s.here.majority(chosen, domain, train) if _has_default(p, domain) else None, test))
+        out.append(of_fold)
+    s.rows.unpersist()
     return out
 
 
@@ -190,8 +280,8 @@ def vote(df: DataFrame, rules: list[Rule], name: str) -> DataFrame:
 
 def confusion(df: DataFrame, rules: list[Rule], class_: str) -> DataFrame:
     """(predicted, real, n) of rows with a class; predicted is null where no rule fires."""
-    known = df.filter(F.col(class_).isNotNull())
-    return known.select(predicted(rules).alias("predicted"), F.col(class_).cast("string").alias("real")).groupBy("predicted", "real").agg(F.count("*").alias("n"))
+    known = df.filter(column(class_).isNotNull())
+    return known.select(predicted(rules).alias("predicted"), column(class_).cast("string").alias("real")).groupBy("predicted", "real").agg(F.count("*").alias("n"))
 
 
 def metrics(confusion_: DataFrame) -> DataFrame:
@@ -204,12 +294,13 @@ def metrics(confusion_: DataFrame) -> DataFrame:
     return out.withColumn("accuracy", F.when(F.col("rows") > 0, F.col("correct") / F.col("rows")).otherwise(F.lit(0.0)))
 
 
-def accuracies(df: DataFrame, many: list[list[Rule]], class_: str) -> list[float]:
+def accuracies(df: DataFrame, many: list[list[Rule]], class_: str, weight: str | None = None) -> list[float]:
     """The accuracy of several classifiers on the rows with a class, in one pass; 0 for no rows."""
-    known = df.filter(F.col(class_).isNotNull())
-    right = [F.avg(F.coalesce((predicted(r) == F.col(class_).cast("string")).cast("int"), F.lit(0))).alias(f"a{i}") for i, r in enumerate(many)]
-    row = known.agg(*right).first()
-    return [row[f"a{i}"] or 0.0 for i in range(len(many))]
+    known = df.filter(column(class_).isNotNull())
+    w = column(weight) if weight else F.lit(1)
+    right = [F.sum(F.when(predicted(r) == column(class_).cast("string"), w).otherwise(0)).alias(f"a{i}") for i, r in enumerate(many)]
+    row = known.agg(F.sum(w).alias("n"), *right).first()
+    return [row[f"a{i}"] / row["n"] if row["n"] else 0.0 for i in range(len(many))]
 
 
 @dataclass

@@ -10,11 +10,13 @@ ML's FP-growth instead, which is the better choice for long patterns in wide tab
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions import itemsets
+from marlstone.functions.names import column
 from marlstone.operators.tables import distinct_rows, fresh, require_discrete
 
 
@@ -49,11 +51,12 @@ class MiningParameters:
         return max(1, int(self.min_support * n))
 
 
-def transactions(df: DataFrame, attrs: list[str]) -> DataFrame:
-    """(items, weight): distinct rows as sorted arrays of items, a missing value giving none."""
+def transactions(df: DataFrame, attrs: list[str], weight: str | None = None) -> DataFrame:
+    """(items, weight): distinct rows as sorted arrays of items, a missing value giving none; a row counts as often as its weight says, if there is one."""
     require_discrete(df, attrs)
     n = fresh(df, "_n")
-    return distinct_rows(df, attrs, n).select(itemsets.itemset(*[itemsets.item(a) for a in attrs]).alias("items"), F.col(n).alias("weight"))
+    rows = distinct_rows(df, attrs, n) if weight is None else df.filter(column(weight) > 0).groupBy(*map(column, attrs)).agg(F.sum(column(weight)).alias(n))
+    return rows.select(itemsets.itemset(*[itemsets.item(a) for a in attrs]).alias("items"), F.col(n).alias("weight"))
 
 
 def exploded(rows: DataFrame, *more: str) -> DataFrame:
@@ -70,27 +73,36 @@ def item_support(df: DataFrame, attrs: list[str]) -> DataFrame:
     return exploded(transactions(df, attrs), "weight").groupBy("item").agg(F.sum("weight").alias("freq"))
 
 
-def frequent_itemsets(df: DataFrame, attrs: list[str], p: MiningParameters, keep: DataFrame | None = None) -> DataFrame:
+def frequent_itemsets(df: DataFrame, attrs: list[str], p: MiningParameters, keep: DataFrame | None = None, weight: str | None = None) -> DataFrame:
     """(items, freq) of all itemsets with enough support, of p.length items at most; keep (item) says which items may take part."""
-    if p.engine == "fpgrowth":
+    if p.engine == "fpgrowth" and weight is None:
         return _fpgrowth(df, attrs, p, keep)
-    rows = transactions(df, attrs).cache()
+    rows = transactions(df, attrs, weight).cache()
     least = p.least_rows(_rows_of(rows.agg(F.sum("weight")).first()[0]))
     if keep is not None:
         long = exploded(rows.withColumn("t", F.monotonically_increasing_id()), "t", "weight")
         rows = long.join(F.broadcast(keep.select("item")), "item", "left_semi").groupBy("t").agg(F.first("weight").alias("weight"), F.array_sort(F.collect_list("item")).alias("items")).drop("t")
+    return _levels(rows, ["weight"], F.col("weight") >= least, p, len(attrs)).withColumnRenamed("weight", "freq")
+
+
+def _levels(rows: DataFrame, sums: list[str], enough: Column, p: MiningParameters, n_attrs: int, cached: list[DataFrame] | None = None) -> DataFrame:
+    """(items, sums) of all itemsets whose sums are enough; rows are (items, sums), and enough must hold for a subset of any set that it holds for. cached gets what is persisted."""
+    cached = [] if cached is None else cached
+    added = [F.sum(x).alias(x) for x in sums]
     # an attribute has no more than 1 / support frequent values, so the frequent items are few whatever the rows
-    single = rows.select(F.explode("items").alias("item"), "weight").groupBy("item").agg(F.sum("weight").alias("freq")).filter(F.col("freq") >= least).cache()
-    found = single.select(F.array("item").alias("items"), "freq")
+    single = rows.select(F.explode("items").alias("item"), *sums).groupBy("item").agg(*added).filter(enough).cache()
+    cached.append(single)
+    found = single.select(F.array("item").alias("items"), *sums)
     frequent = single.agg(F.array_sort(F.collect_list("item")).alias("all"))
-    state = rows.crossJoin(F.broadcast(frequent)).select(itemsets.intersection(F.col("items"), F.col("all")).alias("row"), "weight")
-    state = state.groupBy("row").agg(F.sum("weight").alias("weight")).filter(F.size("row") > 1)
-    state = state.select("row", "weight", F.posexplode("row").alias("at", "x")).select("row", "weight", "at", F.array("x").alias("items"))
-    for length in range(2, min(p.length, len(attrs)) + 1):  # a row has one value of each attribute
+    state = rows.crossJoin(F.broadcast(frequent)).select(itemsets.intersection(F.col("items"), F.col("all")).alias("row"), *sums)
+    state = state.groupBy("row").agg(*added).filter(F.size("row") > 1)
+    state = state.select("row", *sums, F.posexplode("row").alias("at", "x")).select("row", *sums, "at", F.array("x").alias("items"))
+    for length in range(2, min(p.length, n_attrs) + 1):  # a row has one value of each attribute
         later = F.filter(F.sequence(F.lit(0), F.size("row") - 1), lambda i: i > F.col("at"))
-        state = state.select("row", "weight", "items", F.explode(later).alias("at"))
-        state = state.select("row", "weight", "at", F.concat("items", F.array(F.get("row", F.col("at")))).alias("items"))
-        level = state.groupBy("items").agg(F.sum("weight").alias("freq")).filter(F.col("freq") >= least).cache()
+        state = state.select("row", *sums, "items", F.explode(later).alias("at"))
+        state = state.select("row", *sums, "at", F.concat("items", F.array(F.get("row", F.col("at")))).alias("items"))
+        level = state.groupBy("items").agg(*added).filter(enough).cache()
+        cached.append(level)
         if length >= LOOK_FROM and level.isEmpty():
             break
         found = found.unionByName(level)
@@ -126,9 +138,9 @@ def _split_heads(found: DataFrame) -> DataFrame:
     )
 
 
-def _with_confidence(split: DataFrame, found: DataFrame, least: float) -> DataFrame:
-    bodies = found.select(F.col("items").alias("body"), "freq")
-    return split.join(bodies, "body").withColumn("neg", F.col("freq") - F.col("pos")).withColumn("conf", F.col("pos") / F.col("freq")).filter(F.col("conf") >= least)
+def _with_confidence(split: DataFrame, found: DataFrame, least: float, *by: str) -> DataFrame:
+    bodies = found.select(*by, F.col("items").alias("body"), "freq")
+    return split.join(bodies, [*by, "body"]).withColumn("neg", F.col("freq") - F.col("pos")).withColumn("conf", F.col("pos") / F.col("freq")).filter(F.col("conf") >= least)
 
 
 def association_rules(df: DataFrame, attrs: list[str], p: MiningParameters) -> DataFrame:
@@ -137,7 +149,7 @@ def association_rules(df: DataFrame, attrs: list[str], p: MiningParameters) -> D
     return _with_confidence(_split_heads(found), found, p.min_confidence).select("body", "head", "pos", "neg", "freq", "conf")
 
 
-def class_rules(df: DataFrame, attrs: list[str], class_: str, p: MiningParameters, selected: dict[str, DataFrame] | None = None) -> DataFrame:
+def class_rules(df: DataFrame, attrs: list[str], class_: str, p: MiningParameters, selected: dict[str, DataFrame] | None = None, weight: str | None = None) -> DataFrame:
     """Rules towards every value of the class with minimal bodies: none holds the body of another confident rule for that value.
 
     selected gives, for a class item, the items (item) that may take part for it; the class item
@@ -145,15 +157,43 @@ def class_rules(df: DataFrame, attrs: list[str], class_: str, p: MiningParameter
     """
     require_discrete(df, [class_])
     attrs = [a for a in attrs if a != class_]
-    known = df.filter(F.col(class_).isNotNull())
-    found = frequent_itemsets(known, [*attrs, class_], p)
+    known = df.filter(column(class_).isNotNull())
+    found = frequent_itemsets(known, [*attrs, class_], p, weight=weight)
+    return _class_rules(found, class_, p, selected)
+
+
+def class_rules_of_folds(rows: DataFrame, attrs: list[str], class_: str, p: MiningParameters, weights: list[str], total: str, cached: list[DataFrame] | None = None) -> DataFrame:
+    """(fold, body, head, pos, neg, freq, conf): for each fold the minimal class rules of the rows that aren't in it.
+
+    rows are weighted: total of them, weights[i] in fold i. Counts add up over folds, so itemsets of all folds
+    are counted together, those for learning being the total less the fold's own; a set is
+    followed up as long as it is frequent for one fold. The number of jobs doesn't depend on the folds.
+    """
+    attrs = [a for a in attrs if a != class_]
+    require_discrete(rows, [*attrs, class_])
+    names = [f"t{i}" for i in range(len(weights))]
+    items = itemsets.itemset(*[itemsets.item(a) for a in (*attrs, class_)]).alias("items")
+    learnt = rows.filter(column(class_).isNotNull()).select(items, *[(column(total) - column(w)).alias(t) for w, t in zip(weights, names)])
+    learnt = learnt.groupBy("items").agg(*[F.sum(t).alias(t) for t in names]).cache()
+    sizes = learnt.agg(*[F.sum(t).alias(t) for t in names]).first()
+    least = [p.least_rows(sizes[t] or 0) for t in names]
+    enough = reduce(lambda a, b: a | b, [F.col(t) >= n for t, n in zip(names, least)])
+    found = _levels(learnt, names, enough, p, len(attrs) + 1, cached)
+    if cached is not None:
+        cached.append(learnt)
+    by_fold = found.select("items", F.posexplode(F.array(*names)).alias("fold", "freq")).filter(F.col("freq") >= F.get(F.lit(least), F.col("fold")))
+    return _class_rules(by_fold, class_, p, None, "fold", cached=cached)
+
+
+def _class_rules(found: DataFrame, class_: str, p: MiningParameters, selected: dict[str, DataFrame] | None, *by: str, cached: list[DataFrame] | None = None) -> DataFrame:
+    """Minimal class rules from frequent sets, apart for each value of by."""
     is_class = lambda x: itemsets.item_attribute(x) == itemsets.item_name(class_)
     with_class = found.filter(F.exists("items", is_class) & (F.size("items") > 1))
     split = with_class.select(
-        F.filter("items", lambda x: ~is_class(x)).alias("body"), F.element_at(F.filter("items", is_class), 1).alias("head"), F.col("freq").alias("pos")
+        *by, F.filter("items", lambda x: ~is_class(x)).alias("body"), F.element_at(F.filter("items", is_class), 1).alias("head"), F.col("freq").alias("pos")
     )
     bodies = found.filter(~F.exists("items", is_class))
-    rules = _with_confidence(split, bodies, p.min_confidence)
+    rules = _with_confidence(split, bodies, p.min_confidence, *by)
     if selected is not None:
         allowed = None
         for head, items in selected.items():
@@ -163,9 +203,11 @@ def class_rules(df: DataFrame, attrs: list[str], class_: str, p: MiningParameter
             sets = allowed.groupBy("head").agg(F.collect_set("item").alias("keep"))
             rules = rules.join(sets, "head", "left").filter(F.col("keep").isNull() | itemsets.is_subset(F.col("body"), F.col("keep"))).drop("keep")
     rules = rules.cache()
-    smaller = rules.select("head", "body", F.explode(itemsets.proper_subsets(F.col("body"))).alias("part"))
-    covered = smaller.join(rules.select("head", F.col("body").alias("part")), ["head", "part"], "left_semi").select("head", "body").distinct()
-    return rules.join(covered, ["head", "body"], "left_anti").select("body", "head", "pos", "neg", "freq", "conf")
+    if cached is not None:
+        cached.append(rules)
+    smaller = rules.select(*by, "head", "body", F.explode(itemsets.proper_subsets(F.col("body"))).alias("part"))
+    covered = smaller.join(rules.select(*by, "head", F.col("body").alias("part")), [*by, "head", "part"], "left_semi").select(*by, "head", "body").distinct()
+    return rules.join(covered, [*by, "head", "body"], "left_anti").select(*by, "body", "head", "pos", "neg", "freq", "conf")
 
 
 def candidate_counts(df: DataFrame, attrs: list[str], p: MiningParameters) -> DataFrame:

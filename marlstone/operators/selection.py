@@ -50,12 +50,12 @@ def _counts(rows: DataFrame, target: str) -> DataFrame:
     return per_item.crossJoin(F.broadcast(totals))  # one row of totals
 
 
-def odds_ratio(df: DataFrame, attrs: list[str], target: str) -> DataFrame:
+def odds_ratio(df: DataFrame, attrs: list[str], target: str, weight: str | None = None) -> DataFrame:
     """(item, score): log2 of the odds of the item with the target to those without it, for all other items.
 
     With e = 1/N^2, odds are e/(1-e) where the item never occurs and (1-e)/e where it always does.
     """
-    counts = _counts(transactions(df, attrs), target)
+    counts = _counts(transactions(df, attrs, weight), target)
     n = F.col("all1") + F.col("all0")
     e = 1 / (n * n).cast("double")
 
@@ -67,13 +67,13 @@ def odds_ratio(df: DataFrame, attrs: list[str], target: str) -> DataFrame:
     return counts.filter(F.col("item") != target).select("item", score.alias("score"))
 
 
-def correlations(df: DataFrame, attrs: list[str]) -> DataFrame:
+def correlations(df: DataFrame, attrs: list[str], weight: str | None = None) -> DataFrame:
     """(a, b, corr) for items a < b that both vary: Pearson's correlation of their 0/1 columns.
 
     Pairs of items of one attribute never occur together, so all pairs of items are made; items
     are few against rows.
     """
-    rows = transactions(df, attrs)
+    rows = transactions(df, attrs, weight)
     total = rows.agg(F.sum("weight").alias("total"))
     single = exploded(rows, "weight").groupBy("item").agg(F.sum("weight").alias("n"))
     items = single.crossJoin(F.broadcast(total)).filter("n < total").withColumn("p", F.col("n") / F.col("total"))
@@ -85,21 +85,42 @@ def correlations(df: DataFrame, attrs: list[str]) -> DataFrame:
     return both.select("a", "b", corr.alias("corr"))
 
 
-def stat_corr(df: DataFrame, attrs: list[str], target: str, threshold: float) -> DataFrame:
+def stat_corr(df: DataFrame, attrs: list[str], target: str, threshold: float, weight: str | None = None) -> DataFrame:
     """(item) that stay: of two items correlated above the threshold the later goes, whether or not the earlier stays; the target has no part in it."""
-    gone = correlations(df, attrs).filter((F.col("corr") > threshold) & (F.col("a") != target) & (F.col("b") != target)).select(F.col("b").alias("item")).distinct()
-    every = exploded(transactions(df, attrs)).distinct()
-    return every.join(gone, "item", "left_anti")
+    rows = transactions(df, attrs, weight)
+    pairs = _correlated_pairs(rows, threshold) if threshold >= 0 else correlations(df, attrs, weight).filter(F.col("corr") > threshold)
+    gone = pairs.filter((F.col("a") != target) & (F.col("b") != target)).select(F.col("b").alias("item")).distinct()
+    return exploded(rows).distinct().join(gone, "item", "left_anti")
 
 
-def relief_sample(df: DataFrame, attrs: list[str], m: int, seed: int) -> DataFrame:
+def _correlated_pairs(rows: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, corr) for items a < b that are correlated above a threshold of 0 or more; only pairs of one row that can reach it are made.
+
+    Items that never meet aren't correlated above 0. Of two items, the correlation is largest if the rarer
+    one's rows are all the other's; then its square is the quotient of their odds. So the items of
+    a row are put in order of their odds, and each is paired with those behind it as long as the quotient is
+    over the threshold's square, give or take what rounding may do; the exact correlation decides.
+    """
+    total = rows.agg(F.sum("weight").alias("total"))
+    single = exploded(rows, "weight").groupBy("item").agg(F.sum("weight").alias("n")).crossJoin(F.broadcast(total)).filter("n < total")  # one row of totals
+    known = exploded(rows, "items", "weight").join(single, "item")
+    # distinct rows have distinct items, so these tell the rows apart
+    ordered = known.groupBy("items", "weight", "total").agg(F.expr("sort_array(collect_list(struct(n / (total - n) AS odds, item AS item, n AS n)), false) AS found"))
+    made = ordered.selectExpr("weight", "total", "found", "posexplode(found) AS (at, one)")
+    made = made.selectExpr("weight", "total", "one", f"explode(filter(slice(found, at + 2, size(found)), x -> x.odds >= {threshold * threshold!r}D * one.odds * (1 - 1e-9D))) AS other")
+    pairs = made.selectExpr("weight", "total", "least(one.item, other.item) AS a", "greatest(one.item, other.item) AS b", "least(one.n, other.n) AS low", "greatest(one.n, other.n) AS high")
+    n11 = pairs.groupBy("a", "b", "total", "low", "high").agg(F.sum("weight").alias("n11")).withColumns({"pa": F.expr("low / total"), "pb": F.expr("high / total")})
+    return n11.selectExpr("a", "b", "(n11 / total - pa * pb) / sqrt(pa * (1 - pa) * pb * (1 - pb)) AS corr").filter(F.col("corr") > threshold)
+
+
+def relief_sample(df: DataFrame, attrs: list[str], m: int, seed: int, weight: str | None = None) -> DataFrame:
     """(items, times): m of the rows, each as likely as any other; all of them if they are fewer.
 
     Rows stand in the order of a seeded hash of their items, and every (number of rows / m)-th is
     taken, from the middle of the first step on. Distinct rows are dealt to parts by the hash, whose sizes
     are added up, and rows are added up within their part, so no task orders all of them.
     """
-    rows = transactions(df, attrs).withColumn("key", F.md5(F.concat_ws("|", F.lit(str(seed)), "items"))).withColumn("part", F.substring("key", 1, PART_DIGITS))
+    rows = transactions(df, attrs, weight).withColumn("key", F.md5(F.concat_ws("|", F.lit(str(seed)), "items"))).withColumn("part", F.substring("key", 1, PART_DIGITS))
     sizes = rows.groupBy("part").agg(F.sum("weight").alias("size"))
     every, earlier = Window.orderBy("part"), Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     whole = every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -113,7 +134,7 @@ def relief_sample(df: DataFrame, attrs: list[str], m: int, seed: int) -> DataFra
     return placed.select("items", times.cast("long").alias("times")).filter("times > 0")
 
 
-def relief(df: DataFrame, attrs: list[str], target: str, m: int, seed: int = 42, second: bool = False) -> DataFrame:
+def relief(df: DataFrame, attrs: list[str], target: str, m: int, seed: int = 42, second: bool = False, weight: str | None = None) -> DataFrame:
     """(item, score) of all items but the target by the nearest hit and miss of m sampled rows.
 
     Distance is the number of items, less the target, in which two rows differ; of equally near
@@ -121,8 +142,8 @@ def relief(df: DataFrame, attrs: list[str], target: str, m: int, seed: int = 42,
     Rows without hit or miss add nothing for it. second gives the variant with steps of 2 and
     further losses of 1.
     """
-    rows = transactions(df, attrs)
-    sampled = relief_sample(df, attrs, m, seed).select(F.col("items").alias("own"), "times")
+    rows = transactions(df, attrs, weight)
+    sampled = relief_sample(df, attrs, m, seed, weight).select(F.col("items").alias("own"), "times")
     # m distinct rows at most meet the distinct rows; what is kept of each is one row
     pairs = rows.crossJoin(F.broadcast(sampled))
     has = lambda c: F.array_contains(c, target)
@@ -146,18 +167,18 @@ def best_share(scores: DataFrame, share: float, n_items: int) -> DataFrame:
     return scores.orderBy(F.desc("score"), "item").limit(math.floor(n_items * share + 0.5)).select("item")
 
 
-def select_items(df: DataFrame, attrs: list[str], target: str, p: SelectionParameters) -> DataFrame:
+def select_items(df: DataFrame, attrs: list[str], target: str, p: SelectionParameters, weight: str | None = None) -> DataFrame:
     """(item) selected for a target item, which is always among them."""
-    every = exploded(transactions(df, attrs)).distinct()
+    every = exploded(transactions(df, attrs, weight)).distinct()
     if p.method == NONE:
         return every
     if p.method == STAT_CORR:
-        chosen = stat_corr(df, attrs, target, p.threshold)
+        chosen = stat_corr(df, attrs, target, p.threshold, weight)
     else:
         if p.method == ODDS_RATIO:
-            scores = odds_ratio(df, attrs, target)
+            scores = odds_ratio(df, attrs, target, weight)
         else:
-            scores = relief(df, attrs, target, p.sample, p.seed, p.method == RELIEF2)
+            scores = relief(df, attrs, target, p.sample, p.seed, p.method == RELIEF2, weight)
         chosen = best_share(scores, p.share, every.count())
     return chosen.unionByName(every.filter(F.col("item") == target)).distinct()
 

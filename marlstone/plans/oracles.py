@@ -279,6 +279,58 @@ SELECT e.f AS fold, coalesce(sum(n) FILTER (coalesce({', '.join(f'p{k}.head' for
 FROM e {joins} LEFT JOIN rest ON rest.f = e.f GROUP BY e.f"""
 
 
+def _grid(folds: str, support: float, conf: float, most: int) -> str:
+    """Every strategy with and without default rule, for the first N picks: rules mined from the rows outside a fold, picked step by step in a recursion for
+    all folds (folds: those wanted) and strategies at once, and the share of the fold's rows that the first covering rule gets right."""
+    parts = []
+    for chosen in (("lang",), ("toxic",), ("lang", "toxic")):
+        keys = ", ".join(chosen)
+        parts.append(
+            f"SELECT f, [{', '.join(_item(a) for a in chosen)}] AS body, 'quality=' || quality AS head, sum(n)::BIGINT AS pos, "
+            f"(sum(sum(n)) OVER (PARTITION BY f, {keys}))::BIGINT AS freq FROM tr GROUP BY f, {keys}, quality"
+        )
+    both = "['lang=' || lang, 'toxic=' || toxic] AS items, 'quality=' || quality AS cls"
+    # grp parts the picks of a strategy: each class has its own where N rules are wanted for each
+    return f"""
+WITH RECURSIVE {DL},
+d AS (SELECT lang, toxic, quality, (row_number() OVER (ORDER BY md5('42|' || lang || '|' || source || '|' || quality || '|' || toxic), lang, source, quality, toxic) - 1) % 10 AS fold FROM dl),
+tr AS (SELECT f, lang, toxic, quality, count(*) AS n FROM d JOIN (SELECT unnest({folds}) AS f) t ON fold <> f GROUP BY ALL),
+t AS (SELECT f, greatest(1, floor({support}::DOUBLE * sum(n))) AS least FROM tr GROUP BY f),
+c AS ({' UNION ALL '.join(parts)}),
+r AS (SELECT f, body, head, pos, freq - pos AS neg FROM c JOIN t USING (f) WHERE pos >= least AND pos / freq >= {conf}),
+m AS (
+  SELECT *, row_number() OVER (PARTITION BY f ORDER BY pos DESC, neg, head, body) AS i FROM r
+  WHERE NOT EXISTS (SELECT 1 FROM r s WHERE s.f = r.f AND s.head = r.head AND len(s.body) < len(r.body) AND list_has_all(r.body, s.body))),
+x AS (SELECT f, {both}, n FROM tr),
+s AS (SELECT 'n_all' AS strategy, f, '' AS grp FROM t UNION ALL SELECT 'max_cover', f, '' FROM t UNION ALL SELECT DISTINCT 'n_each', f, cls FROM x),
+picks AS (
+  SELECT strategy, f, grp, 0 AS k, []::BIGINT[] AS ids, []::VARCHAR[][] AS bodies, NULL::VARCHAR AS head, NULL::VARCHAR[] AS body, 0::BIGINT AS p, 0::BIGINT AS q FROM s
+  UNION ALL
+  SELECT strategy, f, grp, k + 1, list_append(ids, i), list_append(bodies, body), head, body, p, q FROM (
+    SELECT y.strategy, y.f, y.grp, y.k, y.ids, y.bodies, m.i, m.body, m.head,
+      coalesce(sum(n) FILTER (cls = m.head), 0)::BIGINT AS p, coalesce(sum(n) FILTER (cls <> m.head), 0)::BIGINT AS q
+    FROM picks y JOIN m ON m.f = y.f AND (y.grp = '' OR m.head = y.grp) AND NOT list_contains(y.ids, m.i)
+    LEFT JOIN x ON x.f = y.f AND list_has_all(x.items, m.body) AND len(list_filter(y.bodies, lambda b: list_has_all(x.items, b))) = 0
+    WHERE y.k < {most} GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY strategy, f, grp ORDER BY CASE WHEN strategy = 'max_cover' THEN p + q ELSE p END DESC, CASE WHEN strategy = 'max_cover' THEN 0 ELSE q END, i) = 1),
+cells AS (SELECT f, strategy, default_rule, n_rules FROM (SELECT DISTINCT f, strategy FROM s), (SELECT unnest([true, false]) AS default_rule), (SELECT unnest([1, 2, 5, 10, 15, 20]) AS n_rules)),
+lists AS (
+  SELECT c.f, c.strategy, c.default_rule, c.n_rules, list({{'body': body, 'head': head}} ORDER BY CASE WHEN c.strategy = 'n_each' THEN p END DESC, CASE WHEN c.strategy = 'n_each' THEN q END, grp, k) FILTER (k > 0) AS made
+  FROM cells c JOIN picks p ON p.f = c.f AND p.strategy = c.strategy AND p.k <= c.n_rules GROUP BY ALL),
+o AS (
+  SELECT l.f, l.strategy, l.default_rule, l.n_rules, cls, sum(n) AS n FROM lists l JOIN x ON x.f = l.f
+  WHERE len(list_filter(coalesce(made, []), lambda r: list_has_all(items, r.body))) = 0 GROUP BY ALL),
+rest AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY f, strategy, default_rule, n_rules ORDER BY n DESC, cls) = 1),
+e AS (SELECT fold AS f, {both}, count(*) AS n FROM d GROUP BY ALL),
+said AS (
+  SELECT l.f, l.strategy, l.default_rule, l.n_rules, e.cls, e.n,
+    coalesce(list_filter(made, lambda r: list_has_all(e.items, r.body))[1].head,
+      CASE WHEN l.default_rule AND l.strategy <> 'max_cover' THEN coalesce(rest.cls, (SELECT min(cls) FROM x WHERE x.f = l.f)) END) AS said
+  FROM lists l JOIN e ON e.f = l.f LEFT JOIN rest ON rest.f = l.f AND rest.strategy = l.strategy AND rest.default_rule = l.default_rule AND rest.n_rules = l.n_rules)
+SELECT f AS fold, strategy, default_rule, n_rules::BIGINT AS n_rules, coalesce(sum(n) FILTER (said = cls), 0) / sum(n) AS accuracy FROM said GROUP BY ALL
+"""
+
+
 def _kmeans(k: int, iterations: int) -> str:
     """Lloyd's iterations one after the other, from the rows with the smallest seeded hashes; a model that has settled stays as it is."""
     near = " + ".join(f"(CASE WHEN seg = '{v}' THEN 1 - 2 * p{j} ELSE 0 END) + p{j} * p{j}" for j, v in enumerate(SEGMENTS))
@@ -441,6 +493,8 @@ def oracle_sql() -> dict[str, str]:
         "fold_sizes": "SELECT i AS fold, (SELECT count(*) FROM orders) // 10 + (i < (SELECT count(*) FROM orders) % 10)::INT AS n FROM range(10) t(i)",
         "folds": "SELECT o_orderkey, (row_number() OVER (ORDER BY md5('42|' || o_orderkey), o_orderkey) - 1) % 10 AS fold FROM orders",
         "cross_validation": _cross_validation(3, 0.05, 0.6),
+        "classifier_grid": f"SELECT strategy, default_rule, n_rules, accuracy FROM ({_grid('[0]', 0.05, 0.6, 20)})",
+        "classifier_grid_folds": _grid("range(10)", 0.05, 0.6, 20),
         "mined_classifier": _mined_classifier(5, 0.335, 0.001),
         "induction_candidates": _candidates(),
         "induced_rules": _induced_rules(20),

@@ -267,6 +267,12 @@ def classifier_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(found, "strategy string, default_rule boolean, n_rules long, accuracy double")
 
 
+def classifier_grid_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _labelled(spark, sf_dir).select("lang", "source", "quality", "toxic")
+    found = crossval.grid_folds(df, ["lang", "toxic"], "quality", MiningParameters(0.05, 0.6, 3), key=("lang", "source", "quality", "toxic"))
+    return spark.createDataFrame(found, "fold long, strategy string, default_rule boolean, n_rules long, accuracy double")
+
+
 def induction_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     attrs = ["lang", "source", "n_chars"]
     rows = tables.distinct_rows(_labelled(spark, sf_dir), [*attrs, "quality"])
@@ -447,7 +453,7 @@ QUERIES = (
     entropy, entropy_all, info_gain, info_gain_lift, info_gain_cut, odds_ratio, odds_ratio_selection, item_correlation, correlation_selection,
     relief, relief2, best_cut, best_cuts, split_entropy, discretised, z_scores, value_dictionary, encoded_column, transactions, rule_coverage,
     confusion_matrix, classifier_metrics, first_match_label, rule_vote, greedy_cover, n_best_rules, n_rules_each_class, max_cover,
-    default_class, fold_sizes, folds, mined_classifier, cross_validation, classifier_grid, induction_candidates, induced_rules,
+    default_class, fold_sizes, folds, mined_classifier, cross_validation, classifier_grid, classifier_grid_folds, induction_candidates, induced_rules,
     kmeans_assign, kmeans_update, kmeans_fit, typed_text_round_trip, file_labels, file_votes, file_test,
     file_clusters, rule_list_round_trip, parquet_round_trip, c5_names_lines, c5_export, itemset_algebra, text_functions, extremes,
 )
