@@ -2,7 +2,8 @@
 
 Construction needs to know only which rules cover a row, and its class. Rows are reduced once to
 the distinct combinations of these with their number. If that table is small, by count, the
-greedy steps are taken on the driver; else every step is one aggregation over it.
+greedy steps are taken on the driver, where each row of it is taken out of all rules' counts
+once; else every step is one aggregation over it.
 """
 
 from __future__ import annotations
@@ -15,12 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions.names import column
+from marlstone.operators.matching import LONG_LIST, with_first_head, with_places
 from marlstone.operators.rules import EQ, Literal, Rule, check, order_key
 from marlstone.operators.tables import fresh
 
 USE_ALL, N_ALL, N_EACH, MAX_COVER = "all", "n_all", "n_each", "max_cover"
-#: Rules from which on a label is looked up in an array of conditions rather than a chain of cases.
-LONG_LIST = 200
 #: Distinct signatures times rules up to which greedy steps are taken on the driver, without a job for each.
 LOCAL_CELLS = 20_000_000
 
@@ -45,27 +45,29 @@ class _Signatures:
     def __init__(self, df: DataFrame, rules: list[Rule], class_: str, *weights: str):
         self.rules, self.class_, self.weights = rules, class_, [f"n{i}" for i in range(max(1, len(weights)))]
         known = df.filter(column(class_).isNotNull())
-        cover = F.array(*[r.covers() for r in rules]) if rules else F.array().cast("array<boolean>")
         ws = [column(w).cast("long") for w in weights] or [F.lit(1).cast("long")]
-        rows = known.select(cover.alias("cover"), column(class_).cast("string").alias("class"), *[w.alias(n) for w, n in zip(ws, self.weights)])
+        cover = fresh(df, "_cover")
+        rows = with_places(known, rules, cover).select(F.col(cover).alias("cover"), column(class_).cast("string").alias("class"), *[w.alias(n) for w, n in zip(ws, self.weights)])
         self.rows = rows.groupBy("cover", "class").agg(*[F.sum(n).alias(n) for n in self.weights]).cache()
         self.here: Held | None = None
         if self.rows.count() * max(1, len(rules)) <= LOCAL_CELLS:
             found = self.rows.toArrow()
-            cover = found["cover"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(bool).reshape(found.num_rows, len(rules))
+            places = found["cover"].combine_chunks()
+            met = np.zeros((len(rules), found.num_rows), bool)
+            met[places.flatten().to_numpy(), np.repeat(np.arange(found.num_rows), np.diff(places.offsets.to_numpy()))] = True
             n = np.array([found[x].to_numpy() for x in self.weights], "i8").reshape(len(self.weights), found.num_rows)
-            self.here = Held(np.ascontiguousarray(cover.T), found["class"].to_pylist(), n, [r.head.value for r in rules])
+            self.here = Held(met, found["class"].to_pylist(), n, [r.head.value for r in rules])
 
     def open_rows(self, picked: list[int]) -> Column:
         """Rows that no picked rule covers; one term however many are picked."""
-        return ~F.exists(F.lit(picked), lambda i: F.get("cover", i)) if picked else F.lit(True)
+        return ~F.arrays_overlap("cover", F.lit(picked)) if picked else F.lit(True)
 
     def counts(self, picked: list[int], left: list[int]) -> dict[int, tuple[int, int]]:
         """Positives and negatives of the rules left, on rows that no picked one covers; one job."""
         if not left:
             return {}
         heads = F.lit([r.head.value for r in self.rules])
-        rule = F.explode(F.filter(F.lit(left), lambda i: F.get("cover", i)))
+        rule = F.explode(F.array_intersect("cover", F.lit(left)))
         hits = self.rows.filter(self.open_rows(picked)).select(rule.alias("rule"), "class", F.col(self.weights[0]).alias("n"))
         right = F.get(heads, F.col("rule")) == F.col("class")
         found = hits.groupBy("rule").agg(F.sum(F.when(right, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(right, 0).otherwise(F.col("n"))).alias("m"))
@@ -264,7 +266,14 @@ def label(df: DataFrame, rules: list[Rule], name: str) -> DataFrame:
     if name in df.columns:
         raise ValueError(f"there is a column {name} already")
     check(df, rules, need_target=False)
-    return df.withColumn(name, predicted(rules)).withMetadata(name, {"kind": "d"})
+    return _with_predicted(df, rules, name).withMetadata(name, {"kind": "d"})
+
+
+def _with_predicted(df: DataFrame, rules: list[Rule], name: str) -> DataFrame:
+    """df with predicted(); a long list is looked up in an index of literals, but for a stream, whose rows can't be reduced to distinct ones."""
+    if len(rules) > LONG_LIST and not df.isStreaming:
+        return with_first_head(df, rules, name)
+    return df.withColumn(name, predicted(rules))
 
 
 def vote(df: DataFrame, rules: list[Rule], name: str) -> DataFrame:
@@ -281,7 +290,9 @@ def vote(df: DataFrame, rules: list[Rule], name: str) -> DataFrame:
 def confusion(df: DataFrame, rules: list[Rule], class_: str) -> DataFrame:
     """(predicted, real, n) of rows with a class; predicted is null where no rule fires."""
     known = df.filter(column(class_).isNotNull())
-    return known.select(predicted(rules).alias("predicted"), column(class_).cast("string").alias("real")).groupBy("predicted", "real").agg(F.count("*").alias("n"))
+    said = fresh(df, "_predicted")
+    found = _with_predicted(known, rules, said).select(F.col(said).alias("predicted"), column(class_).cast("string").alias("real"))
+    return found.groupBy("predicted", "real").agg(F.count("*").alias("n"))
 
 
 def metrics(confusion_: DataFrame) -> DataFrame:

@@ -110,6 +110,25 @@ def _levels(rows: DataFrame, sums: list[str], enough: Column, p: MiningParameter
     return found
 
 
+def candidates(level: DataFrame, length: int) -> DataFrame:
+    """(items) of a length, 2 or more, that can be frequent, given the frequent sets (items) one shorter.
+
+    Two sets that agree in all but their last items, which are of different attributes, make one of them
+    together; it is a candidate if all its other subsets are frequent as well.
+    """
+    last, prefix = F.element_at("items", -1), F.slice("items", 1, length - 2)
+    a = level.select(prefix.alias("prefix"), last.alias("a"))
+    b = level.select(prefix.alias("prefix"), last.alias("b"))
+    joined = a.join(b, "prefix").filter((F.col("a") < F.col("b")) & (itemsets.item_attribute(F.col("a")) != itemsets.item_attribute(F.col("b"))))
+    made = joined.select(F.concat("prefix", F.array("a", "b")).alias("items"))
+    if length < 3:
+        return made
+    each = made.select("items", F.explode(F.slice("items", 1, length - 2)).alias("less"))  # without one of the last two it is frequent already
+    parts = each.select(F.col("items").alias("whole"), itemsets.without_item(F.col("items"), F.col("less")).alias("items"))
+    kept = parts.join(level, "items", "left_semi").groupBy("whole").agg(F.count("*").alias("n")).filter(F.col("n") == length - 2)
+    return kept.select(F.col("whole").alias("items"))
+
+
 def _rows_of(n: int | None) -> int:
     if not n:
         raise ValueError("no rows to mine")
@@ -211,5 +230,16 @@ def _class_rules(found: DataFrame, class_: str, p: MiningParameters, selected: d
 
 
 def candidate_counts(df: DataFrame, attrs: list[str], p: MiningParameters) -> DataFrame:
-    """(length, itemsets): how many frequent itemsets of each length there are."""
-    return frequent_itemsets(df, attrs, p).groupBy(F.size("items").alias("length")).agg(F.count("*").alias("itemsets"))
+    """(length, candidates, itemsets): how many sets of each length can be frequent, as all of their subsets are, and how many of them are; up to the first length without candidates.
+
+    Mining itself extends sets within rows, so it only counts sets that occur and whose beginnings are frequent; to look up all other subsets as well takes
+    longer than to count these.
+    """
+    found = frequent_itemsets(df, attrs, p).select("items").cache()
+    every = item_support(df, attrs).agg(F.count("*").alias("candidates")).select(F.lit(1).alias("length"), "candidates")
+    for length in range(2, min(p.length, len(attrs)) + 1):
+        shorter = found.filter(F.size("items") == length - 1)
+        every = every.unionByName(candidates(shorter, length).agg(F.count("*").alias("candidates")).select(F.lit(length).alias("length"), "candidates"))
+    frequent = found.groupBy(F.size("items").alias("length")).agg(F.count("*").alias("itemsets"))
+    out = every.filter("candidates > 0").join(frequent, "length", "left")
+    return out.select("length", "candidates", F.coalesce("itemsets", F.lit(0)).alias("itemsets"))

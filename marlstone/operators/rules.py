@@ -97,15 +97,18 @@ def order_key(r: Rule) -> tuple[int, int]:
 def coverage(df: DataFrame, rules: list[Rule], where: Column | None = None, weight: str | None = None) -> DataFrame:
     """(rule, pos, neg, freq, conf) of every rule on the rows that meet where; one pass for all rules."""
     rows = df if where is None else df.filter(where)
-    w = F.col(weight) if weight else F.lit(1)
-    sums = []
-    for i, r in enumerate(rules):
-        sums += [F.sum(F.when(r.covers() & r.head.column(), w).otherwise(0)).alias(f"p{i}"), F.sum(F.when(r.covers() & ~r.head.column(), w).otherwise(0)).alias(f"n{i}")]
-    counts = rows.agg(*sums) if sums else rows.limit(0).select(F.lit(0).alias("none"))
-    each = F.explode(F.array(*[F.struct(F.lit(i).alias("rule"), F.coalesce(f"p{i}", F.lit(0)).cast("long").alias("pos"), F.coalesce(f"n{i}", F.lit(0)).cast("long").alias("neg")) for i in range(len(rules))]))
-    long = counts.select(each.alias("r")).select("r.*") if rules else counts.selectExpr("0 AS rule", "0L AS pos", "0L AS neg")
+    spark = df.sparkSession
+    every = spark.range(len(rules)).select(F.col("id").cast("int").alias("rule"))
+    if rules:  # a row for each rule that covers a row, added up before it is sent on
+        met = F.array_compact(F.array(*[F.when(r.covers(), F.struct(F.lit(i).alias("rule"), r.head.column().alias("right"))) for i, r in enumerate(rules)]))
+        hits = rows.select((column(weight) if weight else F.lit(1)).alias("w"), F.explode(met).alias("r"))
+        found = hits.groupBy("r.rule").agg(F.sum(F.when(F.col("r.right"), F.col("w"))).alias("pos"), F.sum(F.when(~F.col("r.right"), F.col("w"))).alias("neg"))
+        every = every.join(found, "rule", "left")
+    else:
+        every = every.selectExpr("rule", "0L AS pos", "0L AS neg")
+    pos, neg = (F.coalesce(x, F.lit(0)).cast("long").alias(x) for x in ("pos", "neg"))
     freq = F.col("pos") + F.col("neg")
-    return long.withColumn("freq", freq).withColumn("conf", F.when(freq > 0, F.col("pos") / freq).otherwise(F.lit(0.0)))
+    return every.select("rule", pos, neg).withColumn("freq", freq).withColumn("conf", F.when(freq > 0, F.col("pos") / freq).otherwise(F.lit(0.0)))
 
 
 def counted(df: DataFrame, rules: list[Rule]) -> list[Rule]:
@@ -115,11 +118,14 @@ def counted(df: DataFrame, rules: list[Rule]) -> list[Rule]:
 
 def check(df: DataFrame, rules: Iterable[Rule], class_: str | None = None, need_target: bool = True) -> None:
     """Raises unless every rule's columns are there with fitting kinds, and all heads are of the class."""
+    names, kinds = set(df.columns), {}
     for r in rules:
         for x in r.body:
-            if x.attr not in df.columns:
+            if x.attr not in names:
                 raise ValueError(f"rule {plain_text(r)}: no column {x.attr}")
-            if kind(df, x.attr) != x.kind:
+            if x.attr not in kinds:
+                kinds[x.attr] = kind(df, x.attr)
+            if kinds[x.attr] != x.kind:
                 raise ValueError(f"rule {plain_text(r)}: column {x.attr} is of the other kind")
         if r.head.op != EQ:
             raise ValueError(f"rule {plain_text(r)}: a head is an equality")
@@ -127,7 +133,7 @@ def check(df: DataFrame, rules: Iterable[Rule], class_: str | None = None, need_
             raise ValueError(f"rule {plain_text(r)}: its head isn't {class_}")
         if any(x.attr == r.head.attr for x in r.body):
             raise ValueError(f"rule {plain_text(r)}: its head is in its body")
-        if need_target and r.head.attr not in df.columns:
+        if need_target and r.head.attr not in names:
             raise ValueError(f"rule {plain_text(r)}: no column {r.head.attr}")
 
 

@@ -13,6 +13,8 @@ from marlstone.sources.files import written
 
 DISCRETE, CONTINUOUS = "d", "c"
 _NUMBERS = (T.DoubleType, T.FloatType)
+#: Hex digits of a row's hash that say to which part it goes.
+_HASH_DIGITS = 12
 
 
 def kind(df: DataFrame, name: str) -> str:
@@ -82,17 +84,23 @@ def numbered_in_order(df: DataFrame, *order: Column | str, name: str) -> DataFra
 
 
 def dictionary(df: DataFrame, names: Iterable[str] | None = None) -> DataFrame:
-    """(attr, value, code): the values of discrete columns, numbered from 0 in the order of their names."""
+    """(attr, value, code): the values of discrete columns, numbered from 0 in the order of their names.
+
+    Values of all columns are numbered together by ranges, so one with very many values is in many tasks; each column's first number is taken off.
+    """
     names = list(names) if names is not None else columns_of(df, DISCRETE)
     pairs = F.explode(F.array(*[F.struct(F.lit(x).alias("attr"), column(x).cast("string").alias("value")) for x in names])).alias("p")
     values = df.select(pairs).select("p.attr", "p.value").filter("value is not null").distinct()
-    return values.withColumn("code", F.row_number().over(Window.partitionBy("attr").orderBy("value")) - 1)
+    numbered = numbered_in_order(values, F.col("attr"), F.col("value"), name="n")
+    first = numbered.groupBy("attr").agg(F.min("n").alias("first"))  # a row for each column
+    return numbered.join(F.broadcast(first), "attr").select("attr", "value", (F.col("n") - F.col("first")).alias("code"))
 
 
 def encode(df: DataFrame, name: str) -> DataFrame:
-    """df with the column's dictionary code in <name>_code; -1 where it is missing."""
-    codes = dictionary(df, [name]).select(F.col("value").alias(name), F.col("code").alias(f"{name}_code"))
-    return df.join(codes, name, "left").withColumn(f"{name}_code", F.coalesce(f"{name}_code", F.lit(-1)))
+    """df with the column's dictionary code in <name>_code; -1 where it is missing. Rows of a value that very many share may be split by adaptive execution, as the dictionary has one row for it."""
+    value, code = fresh(df, "_value"), f"{name}_code"
+    codes = dictionary(df, [name]).select(F.col("value").alias(value), F.col("code").cast("long").alias(code))
+    return df.join(codes, column(name).cast("string") == F.col(value), "left").drop(value).withColumn(code, F.coalesce(column(code), F.lit(-1)))
 
 
 def unknown_values(df: DataFrame, name: str, domain: DataFrame) -> DataFrame:
@@ -102,9 +110,17 @@ def unknown_values(df: DataFrame, name: str, domain: DataFrame) -> DataFrame:
 
 
 def random_split(df: DataFrame, ratio: float = 0.9, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Every row to the first part with probability ratio, else to the second."""
-    a, b = df.randomSplit([ratio, 1 - ratio], seed)
-    return a, b
+    """Every row to the first part with probability ratio, else to the second, by a seeded hash of its values: however rows are dealt, and equal rows together."""
+    first = in_first_part(df, ratio, seed)
+    return df.filter(first), df.filter(~first)
+
+
+def in_first_part(df: DataFrame, ratio: float = 0.9, seed: int = 42) -> Column:
+    """Whether a row's hash is in the first ratio of its range."""
+    if not 0 <= ratio <= 1:
+        raise ValueError("ratio must be between 0 and 1")
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(column(x).cast("string"), F.lit("?")) for x in df.columns])
+    return F.conv(F.substring(F.md5(text), 1, _HASH_DIGITS), 16, 10).cast("long") < int(ratio * 16**_HASH_DIGITS)
 
 
 def fresh(df: DataFrame, name: str) -> str:

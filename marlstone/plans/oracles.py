@@ -32,6 +32,18 @@ def _itemsets(attrs: tuple[str, ...], support: float) -> str:
     return "found AS (" + " UNION ALL ".join(parts) + ")"
 
 
+def _itemset_counts(attrs: tuple[str, str, str], support: float) -> str:
+    """Candidates of three columns by length: all items, pairs of frequent items, and triples whose pairs are all frequent."""
+    least, (a, b, c) = LEAST.format(s=support), attrs
+    one = {x: f"(SELECT {x} FROM oc WHERE {x} IS NOT NULL GROUP BY {x} HAVING count(*) >= {least})" for x in attrs}
+    two = {(x, y): f"(SELECT {x}, {y} FROM oc GROUP BY {x}, {y} HAVING count(*) >= {least})" for x, y in ((a, b), (a, c), (b, c))}
+    pairs = " + ".join(f"(SELECT count(*) FROM {one[x]}) * (SELECT count(*) FROM {one[y]})" for x, y in two)
+    triples = f"(SELECT count(*) FROM {two[a, b]} p JOIN {two[a, c]} q USING ({a}) JOIN {two[b, c]} r ON r.{b} = p.{b} AND r.{c} = q.{c})"
+    return f"""WITH {OC}, {_itemsets(attrs, support)},
+n AS (SELECT 1 AS length, {' + '.join(f'(SELECT count(DISTINCT {x}) FROM oc)' for x in attrs)} AS candidates UNION ALL SELECT 2, {pairs} UNION ALL SELECT 3, {triples})
+SELECT length, candidates::BIGINT AS candidates, (SELECT count(*) FROM found f WHERE f.length = n.length) AS itemsets FROM n WHERE candidates > 0"""
+
+
 def _rules(attrs: tuple[str, ...], support: float, conf: float) -> str:
     parts = []
     for n in range(2, len(attrs) + 1):
@@ -457,7 +469,7 @@ def oracle_sql() -> dict[str, str]:
         "item_support": f"WITH {OC} SELECT item, count(*) AS freq FROM (SELECT unnest([{long}]) AS item FROM oc) GROUP BY item",
         "frequent_itemsets": sets,
         "frequent_itemsets_fpgrowth": sets,
-        "itemset_counts": f"WITH {OC}, {_itemsets(ITEMS, 0.01)} SELECT length, count(*) AS itemsets FROM found GROUP BY length",
+        "itemset_counts": _itemset_counts(ITEMS, 0.01),
         "assoc_rules": f"WITH {OC} {_rules(ITEMS, 0.01, 0.2)}",
         "class_rules_minimal": _class_rules(0.335, 0.001, False),
         "class_rules_selected": _class_rules(0.335, 0.001, True),
@@ -478,6 +490,7 @@ def oracle_sql() -> dict[str, str]:
         "discretised": f"WITH {DL} SELECT CASE WHEN n_chars <= 1000 THEN '<=1000' WHEN n_chars > 1000 THEN '>1000' END AS size, quality, count(*) AS n FROM dl GROUP BY ALL",
         "z_scores": "SELECT c_custkey, round((c_acctbal - avg(c_acctbal) OVER ()) / stddev_samp(c_acctbal) OVER (), 9) AS z FROM customer",
         "value_dictionary": f"WITH {OC}, v AS ({' UNION '.join(f'SELECT {chr(39)}{a}{chr(39)} AS attr, {a} AS value FROM oc' for a in ITEMS)}) SELECT attr, value, row_number() OVER (PARTITION BY attr ORDER BY value) - 1 AS code FROM v",
+        "random_split": "SELECT o_orderkey, o_custkey, ('0x' || substr(md5('42|' || o_orderkey || '|' || o_custkey), 1, 12))::BIGINT < floor(0.9::DOUBLE * 281474976710656) AS first FROM orders",
         "encoded_column": f"WITH {OC} SELECT o_orderkey::VARCHAR AS key, o_orderpriority, dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS code FROM oc",
         "transactions": f"WITH {OC} SELECT {' || chr(32) || chr(38) || chr(32) || '.join(_item(a) for a in ITEMS)} AS items, count(*) AS weight FROM oc GROUP BY ALL",
         "rule_coverage": f"WITH {OC}, r AS (" + " UNION ALL ".join(f"SELECT {i} AS rule, count(*) FILTER ({c} AND o_orderstatus = '{h}') AS pos, count(*) FILTER ({c} AND o_orderstatus <> '{h}') AS neg FROM oc" for i, (c, h) in enumerate(zip(COVERS, HEADS))) + ") SELECT rule::BIGINT AS rule, pos, neg, pos + neg AS freq, round(CASE WHEN pos + neg > 0 THEN pos / (pos + neg) ELSE 0 END, 9) AS conf FROM r",

@@ -185,6 +185,12 @@ def value_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.dictionary(_mined(spark, sf_dir), ITEMS).withColumn("code", F.col("code").cast("long"))
 
 
+def random_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    a, b = tables.random_split(o)
+    return a.withColumn("first", F.lit(True)).unionByName(b.withColumn("first", F.lit(False)))
+
+
 def encoded_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = tables.encode(_ruled(spark, sf_dir), "o_orderpriority")
     return e.select("key", "o_orderpriority", F.col("o_orderpriority_code").cast("long").alias("code"))
@@ -451,7 +457,7 @@ def extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = (
     item_support, frequent_itemsets, frequent_itemsets_fpgrowth, itemset_counts, assoc_rules, class_rules_minimal, class_rules_selected,
     entropy, entropy_all, info_gain, info_gain_lift, info_gain_cut, odds_ratio, odds_ratio_selection, item_correlation, correlation_selection,
-    relief, relief2, best_cut, best_cuts, split_entropy, discretised, z_scores, value_dictionary, encoded_column, transactions, rule_coverage,
+    relief, relief2, best_cut, best_cuts, split_entropy, discretised, z_scores, value_dictionary, encoded_column, random_split, transactions, rule_coverage,
     confusion_matrix, classifier_metrics, first_match_label, rule_vote, greedy_cover, n_best_rules, n_rules_each_class, max_cover,
     default_class, fold_sizes, folds, mined_classifier, cross_validation, classifier_grid, classifier_grid_folds, induction_candidates, induced_rules,
     kmeans_assign, kmeans_update, kmeans_fit, typed_text_round_trip, file_labels, file_votes, file_test,

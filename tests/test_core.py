@@ -593,3 +593,139 @@ def test_clipped_normal(spark):
 def test_empty_sets_and_values(spark):
     row = spark.range(1).select(itemsets.empty_set(), itemsets.item_value(F.lit("a=b=c")), itemsets.item_attribute(F.lit("a%3Db=c"))).first()
     assert tuple(row) == ([], "b=c", "a%3Db") and itemsets.attribute_name(itemsets.item_name("a=b%3D")) == "a=b%3D"
+
+
+# long lists, folds and selection
+
+
+def many_rules(rng, n):
+    ops = lambda: rng.choice([Literal("a.b", EQ, rng.choice("uvw")), Literal("a.b", NEQ, rng.choice("uvwx")), Literal("y", EQ, rng.choice("kl")), Literal("x", LE, rng.randrange(-1, 9) / 2), Literal("x", GT, rng.randrange(-1, 9) / 2)])
+    return [Rule(tuple(ops() for _ in range(rng.randrange(4))) if i % 37 else (), Literal("c", EQ, rng.choice("PQR")), 3, 1) for i in range(n)][::-1]
+
+
+def rule_rows(spark, rng, n=150):
+    rows = [(rng.choice(["u", "v", "w", None]), rng.choice(["k", "l", None]), rng.choice([None, float("nan"), float("-inf"), *[i / 4 for i in range(-4, 20)]]), rng.choice(["P", "Q", "R", None]), i) for i in range(n)]
+    return spark.createDataFrame(rows, "`a.b` string, y string, x double, c string, id long")
+
+
+def test_the_index_finds_the_rules_that_conditions_find(spark, monkeypatch):
+    from marlstone.operators import matching
+
+    rng = random.Random(12)
+    df, made = rule_rows(spark, rng), many_rules(rng, 90)
+    plain = {r["id"]: r["p"] for r in matching.with_places(df, made, "p").collect()}
+    labels = {r["id"]: r["l"] for r in classify.label(df, made, "l").collect()}
+    matrix = {tuple(r) for r in classify.confusion(df, made, "c").collect()}
+    built = classify.build_classifier(df, made, "c", ClassifierParameters(classify.N_EACH, 3))
+    monkeypatch.setattr(matching, "LONG_LIST", 0)
+    monkeypatch.setattr(classify, "LONG_LIST", 0)
+    assert {r["id"]: r["p"] for r in matching.with_places(df, made, "p").collect()} == plain and any(len(p) > 5 for p in plain.values())
+    got = classify.label(df, made, "l")
+    assert {r["id"]: r["l"] for r in got.collect()} == labels and got.columns == [*df.columns, "l"]
+    assert {tuple(r) for r in classify.confusion(df, made, "c").collect()} == matrix
+    assert classify.build_classifier(df, made, "c", ClassifierParameters(classify.N_EACH, 3)) == built
+    only = [Rule((Literal("x", GT, 1.0),), Literal("c", EQ, "P"))]
+    assert {r["id"] for r in matching.with_first_head(df, only, "l").filter("l = 'P'").collect()} == {r["id"] for r in df.filter("x > 1").collect()}
+
+
+def test_a_hundred_thousand_rules_label_a_table(spark):
+    rng = random.Random(1)
+    df = spark.range(3000).selectExpr("cast(id % 500 as string) a", "cast(id % 71 as string) b", "cast(id % 1000 as double) x")
+    made = [Rule((Literal("a", EQ, str(rng.randrange(500))), Literal("b", EQ, str(rng.randrange(71))), Literal("x", LE, float(rng.randrange(1000)))), Literal("c", EQ, str(i % 9))) for i in range(100_000)]
+    got = classify.label(df, made, "l")
+    assert len(got._jdf.queryExecution().optimizedPlan().toString()) < 60_000
+    first = {}
+    for r in made:
+        first.setdefault((r.body[0].value, r.body[1].value), []).append((r.body[2].value, r.head.value))
+    for r in got.collect():
+        assert r["l"] == next((h for t, h in first.get((r["a"], r["b"]), []) if r["x"] <= t), None)
+
+
+def test_a_long_list_is_covered_in_seconds():
+    import time
+
+    rng = np.random.default_rng(2)
+    met, classes = rng.random((2000, 10_000)) < 0.01, rng.choice(list("pq"), 10_000).tolist()
+    held = classify.Held(met, classes, rng.integers(1, 9, (1, 10_000)), rng.choice(list("pq"), 2000).tolist())
+    began = time.perf_counter()
+    picks = held.picks(list(range(2000)), None, False)
+    assert time.perf_counter() - began < 20 and len(picks) == 2000
+    open_, n = np.ones(10_000, bool), held.n[0]
+    for i, p, m in picks[:30]:
+        right = held.classes == held.heads[i]
+        assert (p, m) == (int(n[met[i] & open_ & right].sum()), int(n[met[i] & open_ & ~right].sum()))
+        open_ &= ~met[i]
+
+
+def test_folds_of_few_keys_are_arithmetic(spark):
+    rows = [("a", "p")] * 61 + [("b", "q")] * 30 + [("c", None)] * 7 + [(None, "p")] * 5
+    df = spark.createDataFrame(rows, "`k.` string, c string")
+    table_, weights, total = crossval.weighted_folds(df, ["k.", "c"], "k.", "c", folds=4)
+    got = [tuple(r) for r in table_.select("`k.`", "c", *weights, total).collect()]
+    assert {r[:2]: r[-1] for r in got} == Counter(rows) and all(sum(r[2:-1]) == r[-1] for r in got)
+    assert [sum(r[2 + i] for r in got) for i in range(4)] == [26, 26, 26, 25]
+    plain = Counter((r["k."], r["c"], r["fold"]) for r in crossval.with_folds(df.withColumnRenamed("k.", "k"), "k", "c", folds=4).withColumnRenamed("k", "k.").collect())
+    assert {(*r[:2], i): r[2 + i] for r in got for i in range(4) if r[2 + i]} == plain
+
+
+@pytest.mark.parametrize("method", [selection.NONE, selection.ODDS_RATIO])
+def test_folds_together_are_folds_one_by_one(spark, monkeypatch, method):
+    rng = random.Random(21)
+    rows = [(str(i), a := rng.choice("xyz"), rng.choice(["k", "l", None]), ("A" if a == "x" else "B") if rng.random() < 0.8 else rng.choice(["A", "B", None])) for i in range(120)]
+    df = spark.createDataFrame(rows, "id string, a string, b string, c string")
+    p, s = MiningParameters(0.05, 0.55, 3), selection.SelectionParameters(method, 0.8)
+    cells = [("n_all", True, 2), ("n_each", False, 1), ("max_cover", True, 2), ("all", True, 1)]
+    got = crossval.grid_folds(df, ["a", "b"], "c", p, s, key=("id",), folds=3, cells=cells)
+    rows_ = crossval.with_folds(df.filter("c is not null"), "id", folds=3).cache()
+    want = [(i, *x) for i in range(3) for x in crossval.grid(rows_.filter(f"fold <> {i}"), rows_.filter(f"fold = {i}"), ["a", "b"], "c", p, s, cells)]
+    assert [x[:4] for x in got] == [x[:4] for x in want] and [x[4] for x in got] == pytest.approx([x[4] for x in want])
+    monkeypatch.setattr(classify, "LOCAL_CELLS", 0)
+    assert [x[4] for x in crossval.grid_folds(df, ["a", "b"], "c", p, s, key=("id",), folds=3, cells=cells[:2])] == pytest.approx([x[4] for x in got if x[1:4] in cells[:2]])
+    before = spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    crossval.cross_validate(df, ["a", "b"], "c", p, ClassifierParameters("n_all", 2), key=("id",), folds=2)
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == before
+
+
+def test_correlated_pairs_are_those_of_all_pairs(spark):
+    rng = random.Random(8)
+    rows = [(a := rng.choice("xyz"), a if rng.random() < 0.9 else "x", rng.choice(["k", "l", None]), "same") for _ in range(70)]
+    df = spark.createDataFrame(rows, "a string, b string, c string, d string")
+    attrs = ["a", "b", "c", "d"]
+    every = {(r["a"], r["b"]): r["corr"] for r in selection.correlations(df, attrs).collect()}
+    for threshold in (0.0, 0.3, 0.8, 1.0):
+        pairs = selection._correlated_pairs(selection.transactions(df, attrs), threshold)
+        assert "NestedLoop" not in pairs._jdf.queryExecution().executedPlan().toString().replace("BroadcastNestedLoopJoin BuildRight, Cross", "")
+        got = {(r["a"], r["b"]): r["corr"] for r in pairs.collect()}
+        assert set(got) == {k for k, x in every.items() if x > threshold + 1e-12} and all(got[k] == pytest.approx(every[k]) for k in got)
+
+
+def test_candidates_are_sets_whose_subsets_are_frequent(spark):
+    from itertools import combinations
+
+    rng = random.Random(17)
+    rows = [tuple(rng.choice("xyz"[: 2 + k % 2]) for k in range(5)) for _ in range(60)]
+    attrs = [f"a{k}" for k in range(5)]
+    df = spark.createDataFrame(rows, ", ".join(f"{a} string" for a in attrs))
+    p = MiningParameters(0.2, 0.5, 5)
+    frequent = {frozenset(r["items"]) for r in mining.frequent_itemsets(df, attrs, p).collect()}
+    every = [f"{a}={v}" for a, vs in zip(attrs, zip(*rows)) for v in sorted(set(vs))]
+    want = {}
+    for n in range(1, 6):
+        made = [c for c in combinations(every, n) if len({x.split("=")[0] for x in c}) == n and (n == 1 or all(frozenset(s) in frequent for s in combinations(c, n - 1)))]
+        if made:
+            want[n] = len(made), sum(frozenset(c) in frequent for c in made)
+    assert {r["length"]: (r["candidates"], r["itemsets"]) for r in mining.candidate_counts(df, attrs, p).collect()} == want and len(want) > 2
+
+
+def test_dictionaries_and_splits(spark):
+    df = spark.createDataFrame([(str(i % 23), None if i % 5 else "v", i) for i in range(100)], "`a.1` string, b string, n long")
+    got = {(r["attr"], r["value"]): r["code"] for r in tables.dictionary(df, ["a.1", "b"]).collect()}
+    assert got == {("a.1", v): k for k, v in enumerate(sorted({str(i) for i in range(23)}))} | {("b", "v"): 0}
+    coded = tables.encode(df.withColumnRenamed("a.1", "a"), "b").collect()
+    assert {(r["b"], r["b_code"]) for r in coded} == {(None, -1), ("v", 0)} and len(coded) == 100
+    a, b = tables.random_split(df, 0.7, seed=3)
+    assert sorted(r["n"] for r in a.union(b).collect()) == list(range(100)) and 50 < a.count() < 90
+    assert {r["n"] for r in tables.random_split(df.repartition(7).orderBy(F.desc("n")), 0.7, seed=3)[0].collect()} == {r["n"] for r in a.collect()}
+    assert tables.random_split(df, 1.0)[1].count() == 0
+    with pytest.raises(ValueError):
+        tables.random_split(df, 1.5)
