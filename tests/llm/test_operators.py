@@ -660,14 +660,46 @@ def test_addresses_are_hosts_of_their_own(spark):
     ]
 
 
-def test_one_common_capture_and_both_ways_of_joining(spark, monkeypatch):
+def test_one_common_capture(spark):
     captures = spark.range(3000).selectExpr("id page_id", "case when id % 3 = 0 then 'http://hot.org/x' else concat('http://h', id % 700, '.org/y') end url", "timestamp'2024-03-01' + make_interval(0,0,0,int(case when id % 3 = 0 then 0 else id % 5 end)) fetched_at")
     entries = spark.createDataFrame([("l", "d:hot.org", "add"), ("l", "p:hot.org/x", "add"), ("l", "d:h5.org", "add")], "list string, key string, action string").withColumn("at", F.expr("timestamp'2024-01-01'"))
-    for most in (1_000_000, -1):
-        monkeypatch.setattr(url_filter, "MOST_BROADCAST", most)
-        got = url_filter.filter_urls(captures, entries).collect()
-        want = {i: 2 if i % 3 == 0 else int(i % 700 == 5) for i in range(3000)}
-        assert len(got) == 3000 and {r.page_id: r.n_rules for r in got} == want
+    got = url_filter.filter_urls(captures, entries).collect()
+    want = {i: 2 if i % 3 == 0 else int(i % 700 == 5) for i in range(3000)}
+    assert len(got) == 3000 and {r.page_id: r.n_rules for r in got} == want
+
+
+@pytest.mark.parametrize("spread", [1, 900])
+def test_one_key_with_very_many_entries_and_captures_is_in_many_ranges(spark, spread):
+    # a list whose only key is added and removed by turns, and captures of it in between or all at one time
+    asked = spark.range(4000).selectExpr("cast(null as string) list", "'d:hot.org' key", f"timestamp_seconds(10 * (1 + id % {spread}) + 5) at", "concat('http://hot.org/', id) url").unionByName(
+        spark.range(50).selectExpr("'m' list", "concat('d:h', id, '.org') key", "timestamp_seconds(id) at", "'u' url")
+    )
+    dated = spark.range(1000).selectExpr("cast(null as string) list", "'d:hot.org' key", "timestamp_seconds(10 * id + 20) at", "id % 3 <> 0 active").unionByName(
+        spark.range(0, 50, 2).selectExpr("'m' list", "concat('d:h', id, '.org') key", "timestamp_seconds(id) at", "true active")
+    )
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = url_filter.as_of(asked, dated).collect()
+        sizes = [r["count"] for r in materialise(asked.repartitionByRange("list", "key", "at", F.xxhash64("url")).groupBy(F.spark_partition_id()).count(), "sizes").collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) > 8 and max(sizes) < 1500
+    assert len(got) == 4050
+    for r in got:
+        if r["list"] == "m":
+            assert r["active"] == (True if int(r["key"][3:-4]) % 2 == 0 else None)
+        else:
+            n = int(r["url"].rsplit("/", 1)[1]) % spread  # captured at 10 n + 15, after the entries at up to 10 n + 10
+            assert r["active"] == (None if n == 0 else (n - 1) % 3 != 0)
+
+
+def test_hosts_that_are_odd(spark):
+    urls = ["http://a.example.com./x", "http://bücher.de/ä", "http://EXAMPLE.com:8080"]
+    got = [r[0] for r in spark.createDataFrame([(u,) for u in urls], "u string").select(url_filter.url_keys(F.col("u"))).collect()]
+    assert got == [["d:a.example.com", "d:example.com", "p:a.example.com./x"], ["d:bücher.de", "p:bücher.de/ä"], ["d:example.com"]]
 
 
 def test_materialised_tables_are_in_the_shared_folder(spark):
