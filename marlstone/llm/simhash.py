@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.llm.common import HOT_SHARE, connected_components, join_groups, local_components, materialise, text_of
+from marlstone.llm.common import connected_components, join_groups, local_components, materialise, text_of
 
 WORDS, MAX_DIFFERENCE, SEED = 3, 2, 42
 #: Blocks of 16 bits: for two differing bits, 6 choices of 2 blocks, so groups share 32 bits.
@@ -186,16 +186,16 @@ def fingerprint_links(fps: DataFrame, most: int = MAX_DIFFERENCE) -> DataFrame:
     choices = lambda masks, first: F.explode(F.array(*[F.struct(F.lit(first + i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)]))
     rows = fps.select("fp", choices(masks, 0).alias("g")).select("g.choice", "g.key", "fp")
     sizes = rows.groupBy("choice", "key").agg(F.count("*").alias("n"))
-    # more rows than this have fewer than HOT_SHARE groups, so that their keys can be broadcast
-    large = materialise(sizes.filter(F.col("n") > max(LARGE, len(masks) * fps.count() // HOT_SHARE)).select("choice", "key"), "large")
+    # one row for each, and never more than the rows of all choices / LARGE; Spark broadcasts them if they are few
+    large = materialise(sizes.filter(F.col("n") > LARGE).select("choice", "key"), "large")
     if not large.isEmpty():
         again, first = None, len(masks)
         for i, m in enumerate(masks):
             rest = [half for b in wide if not b & (m & (1 << 64) - 1) for half in _block_masks(width // 2, b.bit_length() - width, b.bit_length())]
             finer = [_signed((m & (1 << 64) - 1) | (x & (1 << 64) - 1)) for x in _masks(most, rest)]
-            part = rows.filter(F.col("choice") == i).join(F.broadcast(large), ["choice", "key"], "left_semi").select("fp", choices(finer, first).alias("g")).select("g.choice", "g.key", "fp")
+            part = rows.filter(F.col("choice") == i).join(large, ["choice", "key"], "left_semi").select("fp", choices(finer, first).alias("g")).select("g.choice", "g.key", "fp")
             again, first = part if again is None else again.unionByName(part), first + len(finer)
-        rows = rows.join(F.broadcast(large), ["choice", "key"], "left_anti").unionByName(again)
+        rows = rows.join(large, ["choice", "key"], "left_anti").unionByName(again)
     for i, shift in enumerate((1, 2, 4, 8, 16, 32)):
         last = F.col(f"r{i}") if i else F.col("fp")
         rows = rows.withColumn(f"r{i + 1}", last.bitwiseXOR(F.shiftrightunsigned(last, shift)))

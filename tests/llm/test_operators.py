@@ -147,9 +147,8 @@ def test_large_groups_are_split_again(spark, monkeypatch):
     want = {frozenset(signed[i][0] for i in range(len(codes)) if low[i] == c) for c in set(low)}
     want = {x for x in want if len(x) > 1}
     fps = spark.createDataFrame(signed, "fp long")
-    for large, share in ((1 << 16, 1000), (16, 1 << 30)):
+    for large in (1 << 16, 16):
         monkeypatch.setattr(simhash, "LARGE", large)
-        monkeypatch.setattr(simhash, "HOT_SHARE", share)
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
         try:
             found = connected_components(simhash.fingerprint_links(fps)).collect()
