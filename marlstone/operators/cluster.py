@@ -15,6 +15,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.functions.names import column
 from marlstone.operators.tables import CONTINUOUS, DISCRETE, fresh, kind
 
 
@@ -104,8 +105,8 @@ def centroid_of(row, attrs: list[Attribute]) -> Centroid:
 
 def seed_rows(df: DataFrame, attrs: list[Attribute], k: int, seed: int) -> list:
     """k rows with the smallest seeded hashes of their values; a table with fewer repeats them."""
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(a.name).cast("string"), F.lit("?")) for a in attrs]))
-    rows = df.select(*[a.name for a in attrs]).orderBy(key).limit(k).collect()
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(column(a.name).cast("string"), F.lit("?")) for a in attrs]))
+    rows = df.select(*[column(a.name) for a in attrs]).orderBy(key).limit(k).collect()
     if not rows:
         raise ValueError("no rows to cluster")
     return [rows[i % len(rows)] for i in range(k)]

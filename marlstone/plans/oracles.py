@@ -514,6 +514,7 @@ def oracle_sql() -> dict[str, str]:
         "kmeans_assign": f"WITH {ASSIGNED} SELECT c_custkey::VARCHAR AS key, cluster::VARCHAR AS cluster FROM a",
         "kmeans_update": f"WITH {ASSIGNED}, r AS ({assigned_rows}) SELECT cluster::BIGINT AS cluster, attr, value, round(weight, 6) AS weight, members FROM r",
         "kmeans_fit": _kmeans(5, 10),
+        "kmeans_sparse": f"SELECT * FROM ({_kmeans(5, 10)}) WHERE value = '' OR weight > 0",
         "typed_text_round_trip": "SELECT o_orderkey::VARCHAR AS key, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS o_orderstatus, replace(o_orderpriority, ' ', '_') AS o_orderpriority, round(o_totalprice, 9) AS o_totalprice FROM orders",
         "c5_export": "SELECT replace(p_type, ' ', '_') || ', ' || replace(p_brand, ' ', '_') || '.' AS value, count(*) AS n FROM part GROUP BY 1",
         "file_labels": f"WITH {OC} SELECT o_orderkey::VARCHAR AS key, {CHAIN} AS label FROM oc",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import itemsets, measures, text
-from marlstone.operators import classify, cluster, crossval, discretise, induce, mining, rules, selection, tables
+from marlstone.operators import classify, cluster, crossval, discretise, induce, mining, rules, selection, sparse_cluster, tables
 from marlstone.operators.classify import ClassifierParameters
 from marlstone.operators.cluster import Attribute, Centroid, ClusterModel
 from marlstone.operators.mining import MiningParameters
@@ -328,6 +328,12 @@ def kmeans_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _centroids(spark, cluster.k_means(df, 5, 10))
 
 
+def kmeans_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """kmeans_fit by a table of probabilities; values that no member of a cluster has are left out."""
+    found = sparse_cluster.k_means_sparse(_customers(spark, sf_dir).drop("key"), 5, 10).centroids()
+    return found.select(F.col("cluster").cast("long").alias("cluster"), "attr", "value", F.round("weight", 6).alias("weight"), "members")
+
+
 def _ruled_file(spark: SparkSession, sf_dir: str) -> str:
     """The table that the fixed rules are for, written as Parquet."""
     path = scratch_path(spark, "ruled") + ".parquet"
@@ -460,7 +466,7 @@ QUERIES = (
     relief, relief2, best_cut, best_cuts, split_entropy, discretised, z_scores, value_dictionary, encoded_column, random_split, transactions, rule_coverage,
     confusion_matrix, classifier_metrics, first_match_label, rule_vote, greedy_cover, n_best_rules, n_rules_each_class, max_cover,
     default_class, fold_sizes, folds, mined_classifier, cross_validation, classifier_grid, classifier_grid_folds, induction_candidates, induced_rules,
-    kmeans_assign, kmeans_update, kmeans_fit, typed_text_round_trip, file_labels, file_votes, file_test,
+    kmeans_assign, kmeans_update, kmeans_fit, kmeans_sparse, typed_text_round_trip, file_labels, file_votes, file_test,
     file_clusters, rule_list_round_trip, parquet_round_trip, c5_names_lines, c5_export, itemset_algebra, text_functions, extremes,
 )
 

@@ -1,4 +1,5 @@
 import math
+import os
 import random
 from collections import Counter
 from itertools import combinations
@@ -729,3 +730,33 @@ def test_dictionaries_and_splits(spark):
     assert tables.random_split(df, 1.0)[1].count() == 0
     with pytest.raises(ValueError):
         tables.random_split(df, 1.5)
+
+
+def test_sparse_k_means_is_k_means(spark):
+    from marlstone.operators import sparse_cluster
+
+    rng = random.Random(5)
+    rows = [(rng.choice(["x", "y", None]), str(rng.randrange(60)), rng.choice([None, *range(12)]), 3.0) for _ in range(80)]
+    df = tables.typed(spark.createDataFrame([(a, b, None if n is None else float(n), c) for a, b, n, c in rows], "`a.1` string, b string, n double, same double"), ["a.1", "b"], ["n", "same"])
+    initial = [{"a.1": "x", "b": "7", "n": 2.0, "same": 3.0}, {"a.1": None, "b": "8", "n": None, "same": None}, {"a.1": "y", "b": "9", "n": 1e6, "same": 3.0}]
+    plain_names = df.withColumnRenamed("a.1", "a1")
+    for start, weights in ((None, {"b": 0.5}), (initial, None)):
+        got = sparse_cluster.k_means_sparse(df, 3, 4, weights=weights, initial=start)
+        want = cluster.k_means(plain_names, 3, 4, weights=weights, initial=start and [{"a1": r["a.1"], **r} for r in start])
+        assert got.log == want.log and got.iterations == want.iterations and got.members == [c.members for c in want.clusters]
+        table_ = {(r["cluster"], r["attr"], r["value"]): r["weight"] for r in got.centroids().collect()}
+        plain = {(k, {"a1": "a.1"}.get(a, a), v): p for k, c in enumerate(want.clusters) for a, x in c.items.items() for v, p in (x.items() if isinstance(x, dict) else [("", x)]) if p or not isinstance(x, dict)}
+        assert set(table_) == set(plain) and all(table_[k] == pytest.approx(p) for k, p in plain.items())
+        labels = sparse_cluster.assign_sparse(df, got, "k")
+        assert labels.count() == 80 and labels.columns == [*df.columns, "k"]
+        assert Counter(r["k"] for r in labels.collect()) == Counter(r["k"] for r in cluster.assign(plain_names, want, "k").collect())
+
+
+def test_scratch_is_let_go(spark):
+    from marlstone.sources.files import drop_scratch, written
+
+    held = written(spark.range(5), "probe")
+    folder = held.inputFiles()[0].split("/probe-")[0].removeprefix("file://").removeprefix("file:")
+    assert held.count() == 5 and os.path.isdir(folder)
+    drop_scratch(spark)
+    assert not os.path.exists(folder)
