@@ -115,5 +115,5 @@ def test_verdicts_are_for_rows_not_ids(spark):
 
 
 def test_queries_are_whole():
-    assert {f"op{i}" for i in range(1, 11)} == {k.split("_")[0] for k in queries.queries() if k.startswith("op")}
+    assert {f"op{i}" for i in range(1, 14)} == {k.split("_")[0] for k in queries.queries() if k.startswith("op")}
     assert "pipeline" in queries.queries() and set(queries.oracle_sql()) <= set(queries.queries())
