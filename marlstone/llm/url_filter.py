@@ -88,7 +88,8 @@ def filter_urls(captures: DataFrame, entries: DataFrame, capture_id: str = "page
     dated = rows.filter(F.col("url").isNotNull() & F.col("at").isNotNull())
     once = materialise(dated.groupBy("url", "at").agg(F.count("*").alias("copies")), "once")
     dated_entries = materialise(states(entries), "states")
-    listed = dated_entries.groupBy("key").agg(F.collect_set(F.struct("list")).alias("lists"))  # one row for a key, so its captures may be split as they meet it
+    # one row for a key, and written, so that the captures of a key may be split as they meet it
+    listed = materialise(dated_entries.groupBy("key").agg(F.collect_set(F.struct("list")).alias("lists")), "listed")
     keys = once.select("url", "at", F.explode(url_keys(F.col("url"))).alias("key")).join(listed, "key")
     asked = keys.select("url", "at", "key", F.explode("lists").alias("l")).select("url", "at", "key", "l.list")
     found = as_of(asked, dated_entries).filter("active").groupBy("url", "at").agg(F.count("*").alias("n_rules"), F.min(F.concat_ws(" ", "list", "key")).alias("first_rule"))
