@@ -344,21 +344,35 @@ SELECT f AS fold, strategy, default_rule, n_rules::BIGINT AS n_rules, coalesce(s
 
 
 def _kmeans(k: int, iterations: int) -> str:
-    """Lloyd's iterations one after the other, from the rows with the smallest seeded hashes; a model that has settled stays as it is."""
+    """Lloyd's iterations one after the other, from the rows with the smallest seeded hashes, which a table of fewer rows repeats; a model that has settled stays as it is.
+
+    A cluster without members starts anew at the row whose hash is smallest under a seed of the cluster's own.
+    Copies have one hash, so on a table of copies all first rows are equal, and all clusters but one start anew at once.
+    """
     near = " + ".join(f"(CASE WHEN seg = '{v}' THEN 1 - 2 * p{j} ELSE 0 END) + p{j} * p{j}" for j, v in enumerate(SEGMENTS))
-    shares = ", ".join(f"avg((seg = '{v}')::INT) AS p{j}" for j, v in enumerate(SEGMENTS))
-    first = ", ".join(f"(seg = '{v}')::INT::DOUBLE AS p{j}" for j, v in enumerate(SEGMENTS))
+    shares = ", ".join(f"coalesce(avg((seg = '{v}')::INT), 0) AS p{j}" for j, v in enumerate(SEGMENTS))
+    first = ", ".join(f"coalesce((seg = '{v}')::INT, 0)::DOUBLE AS p{j}" for j, v in enumerate(SEGMENTS))
+    cells = ", ".join(f"coalesce(a.p{j}, e.p{j}) AS p{j}" for j in range(len(SEGMENTS)))
+    hashed = lambda seed: f"md5({seed} || '|' || txt)"
     out = f"""WITH s AS (SELECT avg(c_acctbal) AS mean, stddev_samp(c_acctbal) AS dev FROM customer),
 u AS MATERIALIZED (
-  SELECT c_custkey AS id, c_mktsegment AS seg, (c_acctbal - mean) / dev AS z, md5('42|' || c_mktsegment || '|' || c_acctbal::VARCHAR) AS h FROM customer, s),
-m0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS k, {first}, z AS mu, 0 AS n FROM (SELECT * FROM u ORDER BY h LIMIT {k}))"""
+  SELECT c_custkey AS id, c_mktsegment AS seg, CASE WHEN c_acctbal IS NOT NULL THEN coalesce((c_acctbal - mean) / nullif(dev, 0), 0) END AS z,
+    coalesce(c_mktsegment, '?') || '|' || coalesce(c_acctbal::VARCHAR, '?') AS txt FROM customer, s),
+f AS MATERIALIZED (SELECT seg, z, row_number() OVER (ORDER BY h) - 1 AS i, count(*) OVER () AS m FROM (SELECT seg, z, {hashed(42)} AS h FROM u ORDER BY h LIMIT {k})),
+m0 AS MATERIALIZED (SELECT k, {first}, coalesce(z, 0) AS mu, 0 AS n FROM range({k}) t(k) JOIN f ON f.i = t.k % f.m),
+e AS MATERIALIZED (
+  SELECT k, {first}, coalesce(z, 0) AS mu FROM (
+    SELECT k, r.seg AS seg, r.z AS z FROM (SELECT k, arg_min({{'seg': seg, 'z': z}}, {hashed('(43 + k)')}) AS r FROM u, range({k}) t(k) GROUP BY k)))"""
     for i in range(iterations):
+        d = f"CASE WHEN seg IS NULL THEN 0 ELSE {near} END + CASE WHEN z IS NULL THEN 0 ELSE (z - mu) * (z - mu) END"
         out += f""",
-a{i} AS (SELECT id, seg, z, first(k ORDER BY d, k) AS k FROM (SELECT id, seg, z, k, round({near} + (z - mu) * (z - mu), 12) AS d FROM u, m{i}) GROUP BY id, seg, z),
-m{i + 1} AS MATERIALIZED (SELECT k, {shares}, avg(z) AS mu, count(*) AS n FROM a{i} GROUP BY k)"""
+a{i} AS (SELECT id, seg, z, first(k ORDER BY d, k) AS k FROM (SELECT id, seg, z, k, round({d}, 12) AS d FROM u, m{i}) GROUP BY id, seg, z),
+m{i + 1} AS MATERIALIZED (
+  SELECT e.k, {cells}, coalesce(a.mu, e.mu) AS mu, coalesce(a.n, 0) AS n
+  FROM e LEFT JOIN (SELECT k, {shares}, coalesce(avg(z), 0) AS mu, count(*) AS n FROM a{i} GROUP BY k) a ON a.k = e.k)"""
     last = f"m{iterations}"
     rows = [f"SELECT k AS cluster, 'c_mktsegment' AS attr, '{v}' AS value, round(p{j}, 6) AS weight, n AS members FROM {last}" for j, v in enumerate(SEGMENTS)]
-    return out + " " + " UNION ALL ".join([*rows, f"SELECT k, 'c_acctbal', '', round(mu, 6), n FROM {last}"])
+    return out + " " + " UNION ALL ".join([*rows, f"SELECT k, 'c_acctbal', '', round(mu, 6) + 0.0::DOUBLE, n FROM {last}"])
 
 
 def _cuts(table: str, attrs: tuple[str, ...], cls: str) -> str:
