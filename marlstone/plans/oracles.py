@@ -343,11 +343,12 @@ SELECT f AS fold, strategy, default_rule, n_rules::BIGINT AS n_rules, coalesce(s
 """
 
 
-def _kmeans(k: int, iterations: int) -> str:
+def _kmeans(k: int, iterations: int, sparse: bool = False) -> str:
     """Lloyd's iterations one after the other, from the rows with the smallest seeded hashes, which a table of fewer rows repeats; a model that has settled stays as it is.
 
     A cluster without members starts anew at the row whose hash is smallest under a seed of the cluster's own.
     Copies have one hash, so on a table of copies all first rows are equal, and all clusters but one start anew at once.
+    sparse: without values that no member has.
     """
     near = " + ".join(f"(CASE WHEN seg = '{v}' THEN 1 - 2 * p{j} ELSE 0 END) + p{j} * p{j}" for j, v in enumerate(SEGMENTS))
     shares = ", ".join(f"coalesce(avg((seg = '{v}')::INT), 0) AS p{j}" for j, v in enumerate(SEGMENTS))
@@ -371,7 +372,7 @@ m{i + 1} AS MATERIALIZED (
   SELECT e.k, {cells}, coalesce(a.mu, e.mu) AS mu, coalesce(a.n, 0) AS n
   FROM e LEFT JOIN (SELECT k, {shares}, coalesce(avg(z), 0) AS mu, count(*) AS n FROM a{i} GROUP BY k) a ON a.k = e.k)"""
     last = f"m{iterations}"
-    rows = [f"SELECT k AS cluster, 'c_mktsegment' AS attr, '{v}' AS value, round(p{j}, 6) AS weight, n AS members FROM {last}" for j, v in enumerate(SEGMENTS)]
+    rows = [f"SELECT k AS cluster, 'c_mktsegment' AS attr, '{v}' AS value, round(p{j}, 6) AS weight, n AS members FROM {last}{f' WHERE p{j} > 0' if sparse else ''}" for j, v in enumerate(SEGMENTS)]
     return out + " " + " UNION ALL ".join([*rows, f"SELECT k, 'c_acctbal', '', round(mu, 6) + 0.0::DOUBLE, n FROM {last}"])
 
 
@@ -528,7 +529,7 @@ def oracle_sql() -> dict[str, str]:
         "kmeans_assign": f"WITH {ASSIGNED} SELECT c_custkey::VARCHAR AS key, cluster::VARCHAR AS cluster FROM a",
         "kmeans_update": f"WITH {ASSIGNED}, r AS ({assigned_rows}) SELECT cluster::BIGINT AS cluster, attr, value, round(weight, 6) AS weight, members FROM r",
         "kmeans_fit": _kmeans(5, 10),
-        "kmeans_sparse": f"SELECT * FROM ({_kmeans(5, 10)}) WHERE value = '' OR weight > 0",
+        "kmeans_sparse": _kmeans(5, 10, sparse=True),
         "typed_text_round_trip": "SELECT o_orderkey::VARCHAR AS key, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS o_orderstatus, replace(o_orderpriority, ' ', '_') AS o_orderpriority, round(o_totalprice, 9) AS o_totalprice FROM orders",
         "c5_export": "SELECT replace(p_type, ' ', '_') || ', ' || replace(p_brand, ' ', '_') || '.' AS value, count(*) AS n FROM part GROUP BY 1",
         "file_labels": f"WITH {OC} SELECT o_orderkey::VARCHAR AS key, {CHAIN} AS label FROM oc",

@@ -28,7 +28,7 @@ def copies(tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["kmeans_fit"])
+@pytest.mark.parametrize("name", ["kmeans_fit", "kmeans_sparse"])
 def test_kmeans_of_copies(spark, copies, name):
     found = _same(spark, copies, name)
     assert {r[0] for r in found} == set(range(5)) and sum(r[4] for r in found if r[1] == "c_acctbal") == 2400
