@@ -221,7 +221,7 @@ SELECT first(cut ORDER BY round(entropy, 12), cut) AS cut, round(min(entropy), 9
 
 
 def _mined_classifier(picks: int, conf: float, support: float) -> str:
-    """Minimal class rules with bodies of two items at most, then the best on rows not yet covered, again and again."""
+    """Minimal class rules with bodies of two items at most, then the best on rows not yet covered, again and again; last the default class, at the place after the last pick."""
     attrs, parts = ("band", "c_mktsegment", "o_orderpriority"), []
     for n in (1, 2):
         for chosen in combinations(attrs, n):
@@ -247,7 +247,8 @@ pick{k} AS MATERIALIZED (
     every = ", ".join(f"(SELECT i FROM pick{j})" for j in range(1, picks + 1))
     rows = [f"SELECT {k - 1}::BIGINT AS place, array_to_string(body, ' & ') AS body, head, pos, neg FROM pick{k}" for k in range(1, picks + 1)]
     rest = f"SELECT cls FROM x WHERE items NOT IN (SELECT items FROM cov WHERE i IN ({every})) GROUP BY cls ORDER BY sum(n) DESC, cls LIMIT 1"
-    rows.append(f"SELECT {picks}, '', coalesce(({rest}), (SELECT min(cls) FROM x)), 0, 0")
+    # the default follows the last rule: there are fewer picks than wanted where fewer rules reach the confidence
+    rows.append(f"SELECT least({picks}, (SELECT count(*) FROM m)), '', coalesce(({rest}), (SELECT min(cls) FROM x)), 0, 0")
     return out + " " + " UNION ALL ".join(rows)
 
 

@@ -32,3 +32,14 @@ def copies(tmp_path_factory):
 def test_kmeans_of_copies(spark, copies, name):
     found = _same(spark, copies, name)
     assert {r[0] for r in found} == set(range(5)) and sum(r[4] for r in found if r[1] == "c_acctbal") == 2400
+
+
+@pytest.mark.parametrize("signals", [0, 2, 5])
+def test_mined_classifier_of_few_rules(spark, tmp_path, signals):
+    """All classes are equally frequent for every priority but the first few; fewer rules than wanted are found where these are fewer."""
+    status = f"CASE WHEN p < {signals} AND r % 9 = 0 THEN 'F' ELSE (['F', 'O', 'P'])[1 + r % 3] END"
+    status = f"CASE WHEN p < {signals} AND r % 9 = 1 THEN 'F' ELSE {status} END"
+    duckdb.sql(f"COPY (SELECT p * 3 * 1800 + s * 1800 + r AS o_orderkey, (s % 5)::BIGINT AS o_custkey, {status} AS o_orderstatus, 'P' || p AS o_orderpriority, 5000.0 AS o_totalprice FROM range(5) a(p), range(5) b(s), range(1800) c(r)) TO '{tmp_path}/orders.parquet'")
+    duckdb.sql(f"COPY (SELECT i AS c_custkey, 'S' || i AS c_mktsegment, 0.0 AS c_acctbal FROM range(5) t(i)) TO '{tmp_path}/customer.parquet'")
+    found = _same(spark, tmp_path, "mined_classifier")
+    assert sorted(r[0] for r in found) == list(range(len(found))) and (signals != 0 or len(found) == 1)
