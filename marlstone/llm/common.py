@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +36,21 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def give_back() -> None:
+    """Memory that Python and Arrow no longer use goes back to the system, which a process that lives long else keeps."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
+def let_go(spark: SparkSession) -> None:
+    """The driver lets go of the broadcasts and shuffles of results that are written: Spark cleans up behind objects once the driver's JVM has collected them, and its heap shrinks."""
+    give_back()
+    spark.sparkContext._jvm.System.gc()
+
+
 _HELD: dict = {}
 
 

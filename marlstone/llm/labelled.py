@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,13 +20,14 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), F.lit(FOLDS)) == 0
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, max_bytes: int = MAX_BYTES) -> tuple[list[str], np.ndarray]:
+def sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, max_bytes: int = MAX_BYTES, form: Callable[[str], object] = str) -> tuple[list, np.ndarray]:
     """Whole texts and 0/1 labels of at most limit labelled rows that aren't held out, by hash of the id.
 
     Rows without label or id are passed over; of several labels of one document the largest
     counts, of several texts under one id the smallest. Texts are taken while all of them
     together have max_bytes at most; one that doesn't fit any more is passed over. All of this is decided
-    before anything comes to the driver, so neither many rows under one id nor long texts come there.
+    before anything comes to the driver, so neither many rows under one id nor long texts come there. Each text is brought into its form by
+    itself, so that besides these only what Spark sent is held, and no other copy of all texts.
     """
     known = (
         labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y"))
@@ -44,5 +47,6 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, max_bytes
             taken.append((id_,))
             left -= size
     fits = docs.sparkSession.createDataFrame(taken, rows.select("id").schema)
-    found = rows.join(F.broadcast(fits), "id").select("id", "text", "y").toArrow().sort_by("id")
-    return found["text"].to_pylist(), found["y"].to_numpy()
+    found = rows.join(F.broadcast(fits), "id").select("id", "text", "y").toArrow()
+    by_id = np.argsort(found["id"].to_numpy())
+    return [form(found["text"][int(i)].as_py()) for i in by_id], found["y"].to_numpy()[by_id]

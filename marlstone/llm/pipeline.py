@@ -1,7 +1,7 @@
 """The stages of the corpus pipeline, from documents to tokens: toxicity, exact dedup, SimHash near-dedup, mixing, SentencePiece.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; all but
-the last return the columns of documents.
+the last return the columns of documents. A stage begins with letting go of what the ones before it left on the driver.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import exact_dedup, mixing, sentencepiece_bpe, simhash, toxicity
-from marlstone.llm.common import materialise, table, text_of
+from marlstone.llm.common import let_go, materialise, table, text_of
 from marlstone.llm.queries import MODEL, digested, domain_of_source, weights
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -46,12 +46,14 @@ def _without(docs: DataFrame, verdicts: DataFrame, keyed: Callable[[DataFrame],
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier doesn't reject; it learns from the labelled ones among docs."""
-    model = toxicity.train(*toxicity.sample(docs, table(spark, sf_dir, "labels"), "toxic", toxicity.MAX_SAMPLE))
+    let_go(spark)
+    model = toxicity.learned(docs, table(spark, sf_dir, "labels"))
     return toxicity.without_toxic(docs.select(*COLUMNS), model)
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
+    let_go(spark)
     verdicts = exact_dedup.exact_dedup(docs).select("doc_id", F.col("text_sha256").alias("key"), F.col("text_sha256").alias("part"), "kept")
     text = F.regexp_replace(text_of(), "[\\x20\\x09-\\x0D]+", "")
     return _without(docs.select(*COLUMNS), verdicts, lambda rows: rows.withColumn("key", F.sha2(text, 256)))
@@ -59,18 +61,21 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
+    let_go(spark)
     verdicts = simhash.simhash_groups(docs).select("doc_id", F.col("fp").alias("key"), F.col("component").alias("part"), F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
     return _without(docs.select(*COLUMNS), verdicts, lambda rows: simhash.with_fingerprints(rows).withColumnRenamed("fp", "key"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the target weights take them; a document that is taken in several epochs is a row for each."""
+    let_go(spark)
     mixed = mixing.mix(docs.select(*COLUMNS), weights(spark), domain_of_source())
     return mixed.filter("mix_copies > 0").withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies")))).select(*COLUMNS)
 
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids and their digests for every row."""
+    let_go(spark)
     return digested(sentencepiece_bpe.encode_decode(docs, public_tokenizers.path(MODEL)), "ids")
 
 

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import held, text_of
+from marlstone.llm.common import give_back, held, text_of
 from marlstone.llm.labelled import held_out, sample
 
 #: Labelled rows learned from at most; of these, every CALIBRATION-th calibrates and trains no dictionary.
@@ -163,11 +163,15 @@ def _calibrate(model: ToxicityModel, savings: list[np.ndarray], y: np.ndarray) -
 
 
 def train(texts: list[str], labels: np.ndarray) -> ToxicityModel:
-    """Dictionaries, floor and threshold from labelled texts; without texts of both kinds to fit and to calibrate on, no text has evidence."""
-    held, fit = ([i for i in range(len(texts)) if (i % CALIBRATION == 0) == side] for side in (True, False))
+    """fit() on texts that aren't normal yet."""
+    return fit([normal(t) for t in texts], labels)
+
+
+def fit(data: list[bytes], labels: np.ndarray) -> ToxicityModel:
+    """Dictionaries, floor and threshold from labelled normal texts; without texts of both kinds to fit and to calibrate on, no text has evidence."""
+    held, fit = ([i for i in range(len(data)) if (i % CALIBRATION == 0) == side] for side in (True, False))
     if any(len(set(labels[side].tolist())) < 2 for side in (held, fit)):
         return ToxicityModel(b"", b"")
-    data = [normal(t) for t in texts]
     docs, halves = _Documents(data), [fit[0::2], fit[1::2]]
     sides = [[[i for i in half if labels[i] == y] for y in (0, 1)] for half in halves]
     base = train_dictionary(ORDINARY_BYTES, [data[i] for i in fit if not labels[i]], TEXT_SEGMENT)
@@ -187,6 +191,13 @@ def train(texts: list[str], labels: np.ndarray) -> ToxicityModel:
     return chosen
 
 
+def learned(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_sample: int = MAX_SAMPLE) -> ToxicityModel:
+    """The model of a table's sample; of what the driver held to train it, only the dictionaries stay in memory."""
+    model = ToxicityModel(*_parameters(fit(*sample(docs, labels, label, max_sample, form=normal))))
+    give_back()
+    return model
+
+
 def _parameters(model: ToxicityModel) -> tuple[bytes, bytes, int, float]:
     return model.ordinary, model.toxic, model.floor, model.threshold
 
@@ -225,7 +236,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_sampl
     no evidence and so a low score; without toxic labels every row has the same low score; an
     empty table gives no rows. Labels, ids and other columns play no part in a score.
     """
-    model = train(*sample(docs, labels, label, max_sample))
+    model = learned(docs, labels, label, max_sample)
     return score_texts(docs, model).select(
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
     )

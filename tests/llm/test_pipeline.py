@@ -117,3 +117,26 @@ def test_verdicts_are_for_rows_not_ids(spark):
 def test_queries_are_whole():
     assert {f"op{i}" for i in range(1, 14)} == {k.split("_")[0] for k in queries.queries() if k.startswith("op")}
     assert "pipeline" in queries.queries() and set(queries.oracle_sql()) <= set(queries.queries())
+
+
+def test_the_driver_gives_memory_back():
+    """Small pieces that lie between others in use go back to the system, too."""
+    from pathlib import Path
+
+    from marlstone.llm.common import give_back
+
+    held = lambda: int(re.search(r"Pss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
+    pieces = [bytes(3000) for _ in range(30_000)]
+    kept = pieces[::50]
+    before = held()
+    del pieces
+    give_back()
+    assert len(kept) == 600 and held() < before - 40
+
+
+def test_the_sample_comes_in_its_form_and_trains_the_same(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    texts, y = toxicity.sample(docs, labels, "toxic", toxicity.MAX_SAMPLE)
+    data, same = toxicity.sample(docs, labels, "toxic", toxicity.MAX_SAMPLE, form=toxicity.normal)
+    assert data == [toxicity.normal(t) for t in texts] and y.tolist() == same.tolist()
+    assert toxicity._parameters(toxicity.learned(docs, labels)) == toxicity._parameters(toxicity.train(texts, y))
